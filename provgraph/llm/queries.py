@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provgraph.llm import bpe, chat, neardup, packing, quality, sharding, urls
+from provgraph.llm import bpe, chat, neardup, neighbours, packing, quality, sharding, urls
 from provgraph.session import read_table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -16,6 +16,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_quality(read_table(spark, sf_dir, "documents"))
 
 
+def op2_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op3_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
 
@@ -65,5 +69,5 @@ select conv_id, count(*) as n_turns,
   cast(0 as bigint) as attachment_tokens
 from said group by conv_id"""
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op10_url_ngrams)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_robust_pruned_graph, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op10_url_ngrams)}
 ORACLES = {"op7_typed_parts": OP7_SQL}
