@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provgraph.llm import bpe, chat, neardup, neighbours, packing, quality, sharding, urls
+from provgraph.llm import bpe, chat, langid, neardup, neighbours, packing, pii, quality, sharding, urls
 from provgraph.session import read_table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -53,6 +53,15 @@ def op7_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op9_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return langid.identify_languages(docs, langid.fit_languages(docs))
+
+
 def op10_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"))
 
@@ -69,5 +78,5 @@ select conv_id, count(*) as n_turns,
   cast(0 as bigint) as attachment_tokens
 from said group by conv_id"""
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_robust_pruned_graph, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op10_url_ngrams)}
+QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_robust_pruned_graph, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op8_weak_supervision, op9_subword_softmax, op10_url_ngrams)}
 ORACLES = {"op7_typed_parts": OP7_SQL}
