@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provgraph.llm.common import map_rows
@@ -19,8 +19,6 @@ REGISTERS, BASE, RATE, LAST = 128, 1.001, 20.0, 65_534
 #: 32 bands of 4 registers: a pair at similarity 0.8 misses every band once in 2e7.
 ROWS = 4
 BANDS = REGISTERS // ROWS
-#: A bucket up to this size has all its open pairs compared; a larger one is split by the further bands its members share.
-SMALL = 48
 _RNG = np.random.default_rng(20210711)
 _MULT = (_RNG.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -155,25 +153,58 @@ def confirmed_pairs(pairs: DataFrame, full: DataFrame, percent: int) -> DataFram
     return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "f_a", "f_b").mapInPandas(run, "a bigint, b bigint")
 
 
-def _open_pairs(members: DataFrame, all_bands: DataFrame, depth: int = 0) -> DataFrame:
-    """Pairs (a, b) in one bucket (columns ``bucket``, node, comp) whose components differ.
+def _size_class(n: Column) -> Column:
+    """Class of a set size; a class spans five hundredths."""
+    return F.floor(F.log(n.cast("double")) / np.log(1.05)).cast("int")
 
-    A bucket of more than ``SMALL`` is split by each further band (a link shares about 13 of the 32): pairs stay together in
-    the buckets of every band that both share. After three bands whatever is left is paired whole: no pair is dropped.
+
+def residues(spokes: DataFrame, full: DataFrame) -> DataFrame:
+    """(centre, node, comp, n, shared, rest): a set's size, its elements shared with its centre by number, and those that it hasn't in common."""
+    side = lambda c: full.select(F.col("node").alias(c), F.col("shingles").alias(f"f_{c}"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [np.frombuffer(x, np.int64) for x in pdf["f_node"]]
+            rest = [x[~np.isin(x, np.frombuffer(c, np.int64))] for x, c in zip(own, pdf["f_centre"])]
+            n = np.array([len(x) for x in own], np.int64)
+            yield pdf[["centre", "node", "comp"]].assign(n=n, shared=n - np.array([len(x) for x in rest], np.int64), rest=rest)
+
+    both = spokes.join(side("node").hint("merge"), "node").join(side("centre").hint("merge"), "centre")
+    return both.select("centre", "node", "comp", "f_node", "f_centre").mapInPandas(run, "centre bigint, node bigint, comp bigint, n bigint, shared bigint, rest array<bigint>")
+
+
+def open_pairs(spokes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of spokes (centre, node, comp) of one centre, in different components, that can still be links.
+
+    Two spokes have in common at most what the smaller number of them shares with the centre, plus what they share outside
+    it. So a link needs either enough inside the centre, which the sizes tell (sizes are joined by class), or a common
+    element outside it; there only the rarest elements of a set have to be looked at, as many as leave too few for a link.
+    The bounds are exact: a large group whose members differ by edits of their own costs its size, and no link is passed over.
     """
-    counted = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi")
-    live = members.join(counted.hint("shuffle_hash"), "bucket").select("bucket", "node", "comp", "_n")
-    small = live if depth == 2 else live.where(F.col("_n") <= SMALL)
-    x, y = small.select("bucket", F.col("node").alias("a"), F.col("comp").alias("_ca")), small.select("bucket", F.col("node").alias("b"), F.col("comp").alias("_cb"))
-    pairs = x.join(y.hint("merge"), "bucket").where("a < b and _ca != _cb").select("a", "b").distinct()
-    if depth == 2:
-        return pairs
-    large = materialize(live.where(F.col("_n") > SMALL).select("bucket", "node", "comp"))
-    if large.isEmpty():
-        return pairs
-    finer = large.join(all_bands.hint("merge"), "node").where(F.col("band") > F.element_at(F.col("bucket.bands"), -1))
-    bucket = F.struct(F.concat("bucket.bands", F.array("band")).alias("bands"), F.concat("bucket.keys", F.array("key")).alias("keys"))
-    return pairs.unionByName(_open_pairs(finer.select(bucket.alias("bucket"), "node", "comp"), all_bands, depth + 1))
+    p, q = percent, 100 + percent
+    apart = spokes.groupBy("centre").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("centre")
+    held = materialize(residues(spokes.join(apart.hint("shuffle_hash"), "centre"), full))
+    sizes = held.groupBy("centre", "comp").agg(F.count("*").alias("_n"))
+    main = sizes.groupBy("centre").agg(F.max(F.struct("_n", "comp"))["comp"].alias("_main"))
+    members = held.join(main.hint("shuffle_hash"), "centre").withColumn("asks", F.col("comp") != F.col("_main")).drop("_main")
+    small = members.select("centre", "node", "comp", "n", "shared", "asks")
+    low, high = F.ceil(F.col("n") * p / 100).cast("bigint"), F.floor(F.col("shared") * q / p - F.col("n")).cast("bigint")
+    asked = small.where("asks").select("centre", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"), low.alias("_low"), high.alias("_high")).where("_low >= 1 and _low <= _high")
+    asked = asked.withColumn("_class", F.explode(F.sequence(_size_class(F.col("_low")), _size_class(F.col("_high")))))
+    others = small.select("centre", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("shared").alias("_sb"), _size_class(F.col("n")).alias("_class"))
+    inside = asked.join(others.hint("merge"), ["centre", "_class"]).where(f"_ca != _cb and _nb between _low and _high and _sb * {q} >= {p} * (_na + _nb)").select("a", "b")
+    elements = members.select("centre", "node", "comp", "n", "shared", "asks", F.size("rest").alias("_r"), F.explode("rest").alias("e"))
+    common = elements.groupBy("centre", "e").agg(F.count("*").alias("_f"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("centre", "e", "_f")
+    known = elements.join(common.hint("merge"), ["centre", "e"])
+    of_set = Window.partitionBy("centre", "node")
+    ranked = known.withColumn("_at", F.row_number().over(of_set.orderBy("_f", "e"))).withColumn("_k", F.count("*").over(of_set))
+    missing = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("shared"), F.lit(1))  # least number of common elements outside the centre
+    prefix = materialize(ranked.where(F.col("_at") <= F.col("_k") - missing + 1).select("centre", "e", "node", "comp", "n", "asks"))
+    x = prefix.where("asks").select("centre", "e", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"))
+    y = prefix.select("centre", "e", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"))
+    outside = x.join(y.hint("merge"), ["centre", "e"]).where(f"_ca != _cb and 100 * least(_na, _nb) >= {p} * greatest(_na, _nb)").select("a", "b")
+    both = inside.unionByName(outside)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,9 +212,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Documents link at ``100 * intersection >= percent * union`` of their word shingles. Equal sets are one node from the
     start, so exact copies of any number cost one row each. Each bucket of equal band keys first compares its members with
-    one of them only, that which shares the most buckets overall; components are formed; then the pairs of a bucket that
-    are still in different components are compared all, so a large group costs about its size and loses no link. Pairs are
-    sifted by the likelihood estimate and then confirmed on full sets. Documents without words link with nothing. Rows that
+    one of them only, that which shares the most buckets overall; components are formed; then those pairs of one centre are
+    compared that lie in different components and that ``open_pairs`` can't rule out, so a large group costs about its size
+    and loses no link. Pairs are sifted by the likelihood estimate and then confirmed on full sets. Documents without words link with nothing. Rows that
     repeat an id count as one document with the links of all its texts. An empty table gives no row.
     """
     marks = materialize(sketches(docs, words, id_col, text_col).withColumnRenamed(id_col, "doc"))
@@ -201,15 +232,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         likely = materialize(likely_pairs(pairs, some, percent))
         return materialize(confirmed_pairs(likely, full, percent))
 
-    spoke = rows.join(centre.hint("shuffle_hash"), ["band", "key"]).where("node != centre")
+    spoke = materialize(rows.join(centre.hint("shuffle_hash"), ["band", "key"]).where("node != centre").select("node", "centre").distinct())
     first = links(spoke.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
     label = materialize(connected_components(first, "a", "b"))
-    own = label.select("node", "component")
-    members = rows.join(own.hint("merge"), "node", "left").select(
-        F.struct(F.array("band").alias("bands"), F.array("key").alias("keys")).alias("bucket"), "node", F.coalesce("component", "node").alias("comp")
-    )
-    tested = first.select("a", "b")
-    more = links(_open_pairs(materialize(members), rows.select("node", "band", "key")).distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"))
+    placed = spoke.join(label.hint("merge"), "node", "left").select("centre", "node", F.coalesce("component", "node").alias("comp"))
+    more = links(open_pairs(placed, full, percent))
     whole = label if more.isEmpty() else materialize(connected_components(first.unionByName(more), "a", "b"))
     class_of = sets.select("set_key", "node").join(whole.select("node", "component").hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     joined = marks.join(class_of.hint("merge"), "set_key", "left")
