@@ -19,6 +19,8 @@ REGISTERS, BASE, RATE, LAST = 128, 1.001, 20.0, 65_534
 #: 32 bands of 4 registers: a pair at similarity 0.8 misses every band once in 2e7.
 ROWS = 4
 BANDS = REGISTERS // ROWS
+#: Sets that share an element outside their centre: so many are paired at once; larger groups get centres of their own, so many times.
+SMALL, LEVELS = 8, 4
 _RNG = np.random.default_rng(20210711)
 _MULT = (_RNG.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -173,13 +175,16 @@ def residues(spokes: DataFrame, full: DataFrame) -> DataFrame:
     return both.select("centre", "node", "comp", "f_node", "f_centre").mapInPandas(run, "centre bigint, node bigint, comp bigint, n bigint, shared bigint, rest array<bigint>")
 
 
-def open_pairs(spokes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of spokes (centre, node, comp) of one centre, in different components, that can still be links.
+def open_pairs(spokes: DataFrame, full: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of spokes (centre, node, comp) of one centre, in different components, that can still be links, and new spokes.
 
     Two spokes have in common at most what the smaller number of them shares with the centre, plus what they share outside
     it. So a link needs either enough inside the centre, which the sizes tell (sizes are joined by class), or a common
     element outside it; there only the rarest elements of a set have to be looked at, as many as leave too few for a link.
     The bounds are exact: a large group whose members differ by edits of their own costs its size, and no link is passed over.
+
+    Of the sets that share an element, up to ``SMALL`` are paired. More become spokes (node, centre) of the one among them
+    that is nearest to the old centre, to be compared with it first and paired in a later call; ``last`` pairs them all.
     """
     p, q = percent, 100 + percent
     apart = spokes.groupBy("centre").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("centre")
@@ -199,12 +204,17 @@ def open_pairs(spokes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     of_set = Window.partitionBy("centre", "node")
     ranked = known.withColumn("_at", F.row_number().over(of_set.orderBy("_f", "e"))).withColumn("_k", F.count("*").over(of_set))
     missing = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("shared"), F.lit(1))  # least number of common elements outside the centre
-    prefix = materialize(ranked.where(F.col("_at") <= F.col("_k") - missing + 1).select("centre", "e", "node", "comp", "n", "asks"))
-    x = prefix.where("asks").select("centre", "e", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"))
-    y = prefix.select("centre", "e", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"))
+    prefix = materialize(ranked.where(F.col("_at") <= F.col("_k") - missing + 1).select("centre", "e", "node", "comp", "n", "asks", "_r"))
+    groups = prefix.groupBy("centre", "e").agg(F.count("*").alias("_s"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct("_r", "node"))["node"].alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_f"))
+    groups = materialize(groups.where("_lo != _hi").dropDuplicates(["centre", "hub", "_s", "_f"]).select("centre", "e", "_s", "hub"))  # elements of one edit have one group
+    paired = prefix.join((groups if last else groups.where(F.col("_s") <= SMALL)).hint("shuffle_hash"), ["centre", "e"])
+    x = paired.where("asks").select("centre", "e", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"))
+    y = paired.select("centre", "e", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"))
     outside = x.join(y.hint("merge"), ["centre", "e"]).where(f"_ca != _cb and 100 * least(_na, _nb) >= {p} * greatest(_na, _nb)").select("a", "b")
     both = inside.unionByName(outside)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    further = groups.where(F.lit(not last) & (F.col("_s") > SMALL))
+    spread = prefix.join(further.hint("shuffle_hash"), ["centre", "e"]).where("node != hub").select("node", F.col("hub").alias("centre")).distinct()
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), spread
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,8 +223,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     Documents link at ``100 * intersection >= percent * union`` of their word shingles. Equal sets are one node from the
     start, so exact copies of any number cost one row each. Each bucket of equal band keys first compares its members with
     one of them only, that which shares the most buckets overall; components are formed; then those pairs of one centre are
-    compared that lie in different components and that ``open_pairs`` can't rule out, so a large group costs about its size
-    and loses no link. Pairs are sifted by the likelihood estimate and then confirmed on full sets. Documents without words link with nothing. Rows that
+    compared that lie in different components and that ``open_pairs`` can't rule out, level by level around new centres, so
+    a large group costs about its size and loses no link. Pairs are sifted by the likelihood estimate and then confirmed on full sets. Documents without words link with nothing. Rows that
     repeat an id count as one document with the links of all its texts. An empty table gives no row.
     """
     marks = materialize(sketches(docs, words, id_col, text_col).withColumnRenamed(id_col, "doc"))
@@ -234,10 +244,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     spoke = materialize(rows.join(centre.hint("shuffle_hash"), ["band", "key"]).where("node != centre").select("node", "centre").distinct())
     first = links(spoke.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    label = materialize(connected_components(first, "a", "b"))
-    placed = spoke.join(label.hint("merge"), "node", "left").select("centre", "node", F.coalesce("component", "node").alias("comp"))
-    more = links(open_pairs(placed, full, percent))
-    whole = label if more.isEmpty() else materialize(connected_components(first.unionByName(more), "a", "b"))
+    edges, tested = first, spoke
+    whole = materialize(connected_components(edges, "a", "b"))
+    for level in range(LEVELS):
+        placed = spoke.join(whole.hint("merge"), "node", "left").select("centre", "node", F.coalesce("component", "node").alias("comp"))
+        pairs, spread = open_pairs(placed, full, percent, level == LEVELS - 1)
+        spoke = materialize(spread)
+        asked = pairs.unionByName(spoke.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
+        known = tested.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        more = links(asked.join(known.hint("merge"), ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            whole = materialize(connected_components(edges, "a", "b"))
+        if spoke.isEmpty():
+            break
+        tested = tested.unionByName(spoke)
     class_of = sets.select("set_key", "node").join(whole.select("node", "component").hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
     joined = marks.join(class_of.hint("merge"), "set_key", "left")
     out = joined.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
