@@ -73,8 +73,9 @@ def train(rows: Sequence[tuple[str, str]], epochs: int = 6, rate: float = 0.5, h
     def bag(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for w in words:
             if w not in known:
-                known[w] = np.array(subwords(w))
-        return np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
+                known[w] = np.array(subwords(w), np.int32)
+        at, counts = np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
+        return at, counts.astype(np.float32)
 
     fit, kept = [], []
     for i, (text, lang) in enumerate(rows):
@@ -89,7 +90,7 @@ def train(rows: Sequence[tuple[str, str]], epochs: int = 6, rate: float = 0.5, h
         if step % len(bags) == 0:
             order = rng.permutation(len(bags))
         at, counts, y = bags[order[step % len(bags)]]
-        share = (counts / counts.sum()).astype(np.float32)
+        share = counts / counts.sum()
         mean = share @ table[at]
         z = mean @ weights + bias
         off = np.exp(z - z.max())
@@ -117,7 +118,7 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def fit_languages(docs: DataFrame, most: int = 4000, a_language: int = 700) -> LanguageModel | None:
+def fit_languages(docs: DataFrame, most: int = 2000, a_language: int = 300) -> LanguageModel | None:
     """A model from a bounded sample of the labelled rows outside the held-out third: at most ``a_language`` texts of a
     language and ``most`` in all, those whose ids have the least hashes. None if there is no such row."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(in_training(F.col("doc_id")), F.lit(False)))
