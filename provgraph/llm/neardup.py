@@ -20,7 +20,7 @@ REGISTERS, BASE, RATE, LAST = 128, 1.001, 20.0, 65_534
 ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Sets that share an element outside their centre: so many are paired at once; larger groups get centres of their own, so many times.
-SMALL, LEVELS = 8, 4
+SMALL, LEVELS = 8, 6
 _RNG = np.random.default_rng(20210711)
 _MULT = (_RNG.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
