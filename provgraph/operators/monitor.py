@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from provgraph.operators.evaluate import metric_columns
 
-_RUN = Window.partitionBy("run_id").orderBy("step")
+def _run():
+    return Window.partitionBy("run_id").orderBy("step")
 
 
 def _last(n: int):
-    return _RUN.rowsBetween(1 - n, 0)
+    return _run().rowsBetween(1 - n, 0)
 
 
 def rolling_confusion(steps: DataFrame, n: int = 20) -> DataFrame:
@@ -39,29 +40,29 @@ def converged(steps: DataFrame, n: int = 12, f1: float = 0.75, std: float = 0.04
 
 def running_best(steps: DataFrame) -> DataFrame:
     """(run_id, step, best_f1, best_combined, is_new_best) so far."""
-    before = F.max("combined").over(_RUN.rowsBetween(Window.unboundedPreceding, -1))
-    up = _RUN.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.max("combined").over(_run().rowsBetween(Window.unboundedPreceding, -1))
+    up = _run().rowsBetween(Window.unboundedPreceding, 0)
     return steps.select("run_id", "step", F.max("f1").over(up).alias("best_f1"), F.max("combined").over(up).alias("best_combined"), (before.isNull() | (F.col("combined") > before)).alias("is_new_best"))
 
 
 def plateau(steps: DataFrame, n: int = 15, std: float = 0.10) -> DataFrame:
     """Steps with ``flag``: reward deviation below ``std`` over n steps, and n steps or more without a new best combined score."""
     best = steps.join(running_best(steps).select("run_id", "step", "is_new_best"), ["run_id", "step"])
-    place = best.withColumn("_at", F.row_number().over(_RUN))
-    since = F.col("_at") - F.max(F.when(F.col("is_new_best"), F.col("_at"))).over(_RUN.rowsBetween(Window.unboundedPreceding, 0))
+    place = best.withColumn("_at", F.row_number().over(_run()))
+    since = F.col("_at") - F.max(F.when(F.col("is_new_best"), F.col("_at"))).over(_run().rowsBetween(Window.unboundedPreceding, 0))
     flat = (F.count("*").over(_last(n)) == n) & (F.round(F.stddev_samp("reward").over(_last(n)), 9) < std)
     return place.select("run_id", "step", F.coalesce(flat & (since >= n), F.lit(False)).alias("flag"))
 
 
 def run_length(condition: Column) -> Column:
     """How many steps in a row, up to this one, meet a condition (columns run_id, step)."""
-    up = _RUN.rowsBetween(Window.unboundedPreceding, 0)
+    up = _run().rowsBetween(Window.unboundedPreceding, 0)
     return F.count("*").over(up) - F.coalesce(F.max(F.when(~condition, F.col("_at"))).over(up), F.lit(0))
 
 
 def degraded(steps: DataFrame, miss: float = 0.80, n: int = 15, low_f1: float = 0.05, m: int = 20) -> DataFrame:
     """Steps with ``flag``: miss rate above ``miss`` for n steps in a row, or F1 below ``low_f1`` for m in a row counted after step m."""
-    placed = steps.withColumn("_at", F.row_number().over(_RUN))
+    placed = steps.withColumn("_at", F.row_number().over(_run()))
     bad = run_length(F.col("miss_rate") > miss) >= n
     weak = run_length((F.col("f1") < low_f1) & (F.col("_at") > m)) >= m
     return placed.select("run_id", "step", (bad | weak).alias("flag"))
