@@ -228,7 +228,7 @@ _add(
     "m3_binary_metrics", "scores", lambda d: M.binary_metrics(M.confusion(M.threshold_predict(d), ["grp"])),
     f"select *, round(tp / (tp + fp + 1e-9), 6) as precision, round(tp / (tp + fn + 1e-9), 6) as recall, round(2 * (tp / (tp + fp + 1e-9)) * (tp / (tp + fn + 1e-9)) / (tp / (tp + fp + 1e-9) + tp / (tp + fn + 1e-9) + 1e-9), 6) as f1, round((tp + tn) / (tp + fp + fn + tn + 1e-9), 6) as accuracy, round(fn / (tp + fn + 1e-9), 6) as fn_rate from (select grp, {CONF} from {PRED} group by grp)",
 )
-_add("m4_roc_auc", "scores", lambda d: M.roc_auc(d, ["grp"]), "select p.grp, round(avg(case when p.prob > q.prob then 1.0 when p.prob = q.prob then 0.5 else 0.0 end), 6) as auc from scores p join scores q on p.grp = q.grp where p.label = 1 and q.label = 0 group by p.grp")
+_add("m4_roc_auc", "scores", lambda d: M.roc_auc(d, ["grp"]), "select g.grp, round(avg(case when p.prob > q.prob then 1.0 when p.prob = q.prob then 0.5 when p.prob < q.prob then 0.0 end), 6) as auc from (select distinct grp from scores) g left join scores p on p.grp = g.grp and p.label = 1 left join scores q on q.grp = g.grp and q.label = 0 group by g.grp")
 _add("m5_recovery", "scores", lambda d: M.recovery_rate(_runs(d)), f"select round(1 - count(*) filter (pred_after = 0) / count(*), 6) as value, count(*) as n, count(*) filter (pred_after is null) as n_unscored from {RUNS} where label = 1 and pred_base = 0")
 _add("m5_retention", "scores", lambda d: M.retention(_runs(d)), f"select round(count(*) filter (pred_after = label) / count(*), 6) as value, count(*) as n, count(*) filter (pred_after is null) as n_unscored from {RUNS} where pred_base = label")
 _add(
