@@ -26,11 +26,18 @@ def boundaries(pattern: str) -> Callable[[str], list[int]]:
     return lambda text: [m.end() for m in find(text) if not text[m.end() - 1].isspace()]
 
 
-def chunk_edges(texts: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def chunks_of(texts: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``texts`` (with ``row_id`` and ``text``) as rows (chunk, part) in place of ``text``, dealt evenly: chunk k is [k * chunk, (k + 1) * chunk + overlap)."""
+    number = F.sequence(F.lit(0), F.ceil(F.length("text") / chunk).cast("int") - 1)
+    part = lambda k: F.substring("text", k * chunk + 1, F.lit(chunk + overlap))
+    cut = texts.withColumn("_c", F.explode(F.transform(number, lambda k: F.struct(k.alias("chunk"), part(k).alias("part"))))).drop("text")
+    return cut.select("*", "_c.chunk", "_c.part").drop("_c").repartition("row_id", "chunk")
+
+
+def chunk_edges(chunks: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(row_id, chunk, head, tail): the boundaries of each chunk in the overlaps with the one before and the one after, as places in the whole text.
 
-    Chunk k spans [k * chunk, (k + 1) * chunk + overlap). The last few characters of a chunk are left out, for there a
-    contraction may be cut.
+    The last few characters of a chunk are left out, for there a contraction may be cut.
     """
 
     def begin() -> Callable[..., list[tuple]]:
@@ -43,75 +50,76 @@ def chunk_edges(texts: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int
 
         return each
 
-    parts = texts.select("row_id", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("chunk"), "text")
-    cut = parts.select("row_id", "chunk", F.substring("text", (F.col("chunk") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("part"))
-    return map_rows(cut, begin, "row_id bigint, chunk int, head array<bigint>, tail array<bigint>")
+    return map_rows(chunks.select("row_id", "chunk", "part"), begin, "row_id bigint, chunk int, head array<bigint>, tail array<bigint>")
 
 
 def stitched(edges: DataFrame) -> DataFrame:
-    """(row_id, piece, start, stop): the spans between proven cuts.
+    """(row_id, chunk, piece, start, stop, alone): the piece that each chunk lies in, and its span between proven cuts.
 
     A place that ends a pre-token in two neighbouring chunks is a cut once the chunk before is known to be in step; from
-    there on both agree. Where an overlap has no such place (one run of characters), the piece goes on to the text's end.
+    there on both agree, and the piece up to the next cut lies in its chunk (``alone``). Where an overlap has no such place
+    (one run of characters), the last piece goes on through all further chunks; its ``stop`` is null.
     """
     order = Window.partitionBy("row_id").orderBy("chunk")
     met = edges.withColumn("_cut", F.array_min(F.array_intersect(F.lag("tail").over(order), "head")))
-    proven = met.withColumn("_in_step", F.min(F.when((F.col("chunk") == 0) | F.col("_cut").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    starts = proven.where("_in_step = 1").select("row_id", F.coalesce("_cut", F.lit(0)).alias("start"))
-    by_start = Window.partitionBy("row_id").orderBy("start")
-    return starts.select("row_id", (F.row_number().over(by_start) - 1).alias("piece"), "start", F.lead("start").over(by_start).alias("stop"))
-
-
-def _coder(ranks: str, pattern: str) -> Callable[[], Callable[[str], tuple[bytes, bytes]]]:
-    def begin() -> Callable[[str], tuple[bytes, bytes]]:
-        encode = ByteBpe(library_encoder(ranks, pattern))
-        raw = {i: token for token, i in byte_ranks(ranks).items()}
-        table = [raw.get(i, b"") for i in range(max(raw) + 1)]
-
-        def each(text: str) -> tuple[bytes, bytes]:
-            ids = encode(text)
-            return ids, b"".join(map(table.__getitem__, memoryview(ids).cast("I")))
+    proven = met.withColumn("_in_step", F.min(F.when((F.col("chunk") == 0) | F.col("_cut").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    of_row = Window.partitionBy("row_id")
+    placed = proven.withColumn("_last", F.max(F.when(F.col("_in_step"), F.col("chunk"))).over(of_row)).withColumn("_end", F.max("chunk").over(of_row))
+    stop = F.when(F.lead("_in_step").over(order), F.lead("_cut").over(order))
+    alone = (F.col("chunk") < F.col("_last")) | (F.col("_last") == F.col("_end"))
+    return placed.select("row_id", "chunk", F.least("chunk", "_last").alias("piece"), F.when(F.col("_in_step"), F.coalesce("_cut", F.lit(0))).alias("start"), stop.alias("stop"), alone.alias("alone"))
 
-        return each
 
-    return begin
+def pieces_of(chunks: DataFrame, spans: DataFrame, id_col: str, chunk: int = CHUNK) -> DataFrame:
+    """(row_id, id, piece, text): the text of each piece, cut from its chunk, or joined from the chunks that a last piece goes through."""
+    placed = chunks.join(spans.hint("merge"), ["row_id", "chunk"])
+    first = (F.coalesce(F.col("start") - F.col("chunk").cast("bigint") * chunk, F.lit(0)) + 1).cast("int")
+    length = F.coalesce(F.col("stop") - F.col("start"), F.lit(2**31 - 1)).cast("int")
+    alone = placed.where("alone").select("row_id", id_col, "piece", F.substring("part", first, length).alias("text"))
+    through = placed.where("not alone").select("row_id", id_col, "piece", "chunk", F.substring("part", first, F.lit(chunk + 1) - first).alias("part"))
+    joined = through.groupBy("row_id", "piece").agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("_p"))
+    return alone.unionByName(joined.select("row_id", id_col, "piece", F.array_join("_p.part", "").alias("text")))
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row a document: id, n_tokens, and the SHA-256 of its ids (little-endian, 32 bits) and of the bytes decoded from them.
 
     Texts of up to a chunk are one piece. Longer ones are dealt as chunks, so that no task pre-tokenises or encodes a long
-    text alone; only places of boundaries within the overlaps are shuffled, and the pieces of a long text meet again by its
-    row. Null texts are empty: no tokens, the digest of nothing. Repeated rows stay apart.
+    text alone. Chunks are written once; places of boundaries are stitched a text, and the ids of its pieces meet again by
+    its row, where they are decoded. Null texts are empty: no tokens, the digest of nothing. Repeated rows stay apart.
     """
-    coder = _coder(ranks, pattern)
 
-    def short() -> Callable[..., list[tuple]]:
-        code = coder()
+    def coder() -> Callable[[str], bytes]:
+        return ByteBpe(library_encoder(ranks, pattern))
 
-        def each(doc: int | None, text: str | None) -> list[tuple]:
-            ids, raw = code(text or "")
-            return [(doc, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(raw).hexdigest())]
+    def digester() -> Callable[..., list[tuple]]:
+        raw = {i: token for token, i in byte_ranks(ranks).items()}
+        table = [raw.get(i, b"") for i in range(max(raw) + 1)]
+
+        def each(doc: int | None, parts: list[bytes]) -> list[tuple]:
+            n, of_ids, of_bytes = 0, hashlib.sha256(), hashlib.sha256()
+            for ids in parts:
+                n += len(ids) // 4
+                of_ids.update(ids)
+                of_bytes.update(b"".join(map(table.__getitem__, memoryview(ids).cast("I"))))
+            return [(doc, n, of_ids.hexdigest(), of_bytes.hexdigest())]
 
         return each
 
-    def pieces() -> Callable[..., list[tuple]]:
-        code = coder()
-        return lambda row, piece, text: [(row, piece, *code(text))]
+    def short() -> Callable[..., list[tuple]]:
+        encode, digest = coder(), digester()
+        return lambda doc, text: digest(doc, [encode(text or "")])
+
+    def coded() -> Callable[..., list[tuple]]:
+        encode = coder()
+        return lambda row, doc, piece, text: [(row, doc, piece, encode(text))]
 
     out = f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     size = F.length(F.coalesce(F.col(text_col), F.lit("")))
     brief = map_rows(docs.where(size <= chunk).select(id_col, text_col), short, out)
-    long = materialize(docs.where(size > chunk).select(F.monotonically_increasing_id().alias("row_id"), id_col, F.col(text_col).alias("text"), F.ceil(size / chunk).cast("int").alias("_chunks")))
-    spans = stitched(chunk_edges(long.repartition("row_id"), pattern, chunk))
-    cut = spans.join(long.select("row_id", "text").hint("merge"), "row_id").select(
-        "row_id", "piece", F.substring("text", F.col("start").cast("int") + 1, (F.coalesce("stop", F.lit(2**31 - 1)) - F.col("start")).cast("int")).alias("text")
-    )
-    coded = map_rows(cut.repartition("row_id", "piece"), pieces, "row_id bigint, piece int, ids binary, raw binary")
-    whole = coded.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids", "raw"))).alias("_p"))
-    joined = lambda field: F.unhex(F.array_join(F.transform("_p", lambda p: F.hex(p[field])), ""))
-    digest = whole.select("row_id", joined("ids").alias("_ids"), joined("raw").alias("_raw")).select(
-        "row_id", F.expr("cast(octet_length(_ids) div 4 as bigint)").alias("n_tokens"), F.sha2("_ids", 256).alias("ids_sha256"), F.sha2("_raw", 256).alias("decoded_sha256")
-    )
-    long_out = long.select("row_id", id_col).join(digest.hint("merge"), "row_id").select(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
-    return brief.unionByName(long_out)
+    long = docs.where(size > chunk).select(F.monotonically_increasing_id().alias("row_id"), id_col, F.col(text_col).alias("text"))
+    chunks = materialize(chunks_of(long, chunk))
+    pieces = pieces_of(chunks, stitched(chunk_edges(chunks, pattern, chunk)), id_col, chunk)
+    ids = map_rows(pieces.select("row_id", id_col, "piece", "text"), coded, f"row_id bigint, {id_col} bigint, piece int, ids binary")
+    whole = ids.groupBy("row_id").agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("_p"))
+    return brief.unionByName(map_rows(whole.select(id_col, F.col("_p.ids").alias("ids")), digester, out))
