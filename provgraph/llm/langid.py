@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,15 +120,35 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
 
 
-def fit_languages(docs: DataFrame, most: int = 2000, a_language: int = 300) -> LanguageModel | None:
-    """A model from a bounded sample of the labelled rows outside the held-out third: at most ``a_language`` texts of a
-    language and ``most`` in all, those whose ids have the least hashes. None if there is no such row."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(in_training(F.col("doc_id")), F.lit(False)))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    some = labelled.select("doc_id", "text", "lang").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= a_language)
-    rows = some.orderBy("_n", "lang", F.xxhash64("doc_id")).limit(most).select("text", "lang").collect()
-    rows = [(r.text, r.lang) for r in rows if has_letter(r.text)]
-    return train(rows) if rows else None
+def training_sample(docs: DataFrame, most: int = 2000, a_language: int = 300, longest: int = 100_000) -> DataFrame:
+    """(text, lang) of at most ``a_language`` rows of a language and ``most`` in all, out of the labelled rows outside the
+    held-out third whose texts have at most ``longest`` characters: those whose ids have the least hashes.
+
+    Rows per language are counted first, so only the share of hashes that can be among the least is shuffled (thrice as
+    many as are wanted, and all of a small language).
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") <= longest) & F.coalesce(in_training(F.col("doc_id")), F.lit(False)))
+    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
+    ceilings = {r["lang"]: min(int(3 * (a_language + 10) / r["count"] * 2**64), 2**64 - 1) - 2**63 for r in common}
+    if not ceilings:
+        return labelled.select("text", "lang")
+    by_hash = F.xxhash64("doc_id")
+    bound = F.create_map(*[F.lit(x) for pair in ceilings.items() for x in pair])[F.col("lang")]
+    least = labelled.where(by_hash <= bound).select("doc_id", "text", "lang")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(by_hash, "doc_id", F.xxhash64("text")))
+    return least.withColumn("_n", nth).where(F.col("_n") <= a_language).orderBy("_n", "lang").limit(most).select("text", "lang")
+
+
+def fit_languages(docs: DataFrame, most: int = 2000, a_language: int = 300, longest: int = 100_000) -> LanguageModel | None:
+    """A model from the bounded :func:`training_sample`, trained in one task. None if there is no row to learn from."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(text, lang) for pdf in batches for text, lang in zip(pdf["text"], pdf["lang"]) if has_letter(text)]
+        if rows:
+            yield pd.DataFrame({"model": [pickle.dumps(train(rows))]})
+
+    found = training_sample(docs, most, a_language, longest).coalesce(1).mapInPandas(fit, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def predictor(model: LanguageModel | None, most: int = 400_000) -> Callable[[], Callable[[str | None], tuple[str, float, bool]]]:
