@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +20,9 @@ REGISTERS, BASE, RATE, LAST = 128, 1.001, 20.0, 65_534
 #: 32 bands of 4 registers: a pair at similarity 0.8 misses every band once in 2e7.
 ROWS = 4
 BANDS = REGISTERS // ROWS
-#: Sets that share an element outside their centre: so many are paired at once; larger groups get centres of their own, so many times.
-SMALL, LEVELS = 8, 6
+#: Sets that share an element outside their centre: so many are paired at once; larger groups get centres of their own, at
+#: most so many times, until pairing them takes at most so many pairs a distinct set of the input.
+SMALL, LEVELS, PAIRS_A_SET = 8, 6, 2
 _RNG = np.random.default_rng(20210711)
 _MULT = (_RNG.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -175,7 +177,7 @@ def residues(spokes: DataFrame, full: DataFrame) -> DataFrame:
     return both.select("centre", "node", "comp", "f_node", "f_centre").mapInPandas(run, "centre bigint, node bigint, comp bigint, n bigint, shared bigint, rest array<bigint>")
 
 
-def open_pairs(spokes: DataFrame, full: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+def open_pairs(spokes: DataFrame, full: DataFrame, percent: int, most: float) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of spokes (centre, node, comp) of one centre, in different components, that can still be links, and new spokes.
 
     Two spokes have in common at most what the smaller number of them shares with the centre, plus what they share outside
@@ -184,7 +186,8 @@ def open_pairs(spokes: DataFrame, full: DataFrame, percent: int, last: bool) ->
     The bounds are exact: a large group whose members differ by edits of their own costs its size, and no link is passed over.
 
     Of the sets that share an element, up to ``SMALL`` are paired. More become spokes (node, centre) of the one among them
-    that is nearest to the old centre, to be compared with it first and paired in a later call; ``last`` pairs them all.
+    that is nearest to the old centre, to be compared with it first and paired in a later call; if pairing them all takes at
+    most ``most`` pairs, they are paired now. A pair meets once a centre, at the first element that both look at.
     """
     p, q = percent, 100 + percent
     apart = spokes.groupBy("centre").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("centre")
@@ -205,12 +208,17 @@ def open_pairs(spokes: DataFrame, full: DataFrame, percent: int, last: bool) ->
     ranked = known.withColumn("_at", F.row_number().over(of_set.orderBy("_f", "e"))).withColumn("_k", F.count("*").over(of_set))
     missing = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("shared"), F.lit(1))  # least number of common elements outside the centre
     prefix = materialize(ranked.where(F.col("_at") <= F.col("_k") - missing + 1).select("centre", "e", "node", "comp", "n", "asks", "_r"))
-    groups = prefix.groupBy("centre", "e").agg(F.count("*").alias("_s"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct("_r", "node"))["node"].alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_f"))
-    groups = materialize(groups.where("_lo != _hi").dropDuplicates(["centre", "hub", "_s", "_f"]).select("centre", "e", "_s", "hub"))  # elements of one edit have one group
+    groups = prefix.groupBy("centre", "e").agg(F.count("*").alias("_s"), F.sum(F.col("asks").cast("bigint")).alias("_a"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct("_r", "node"))["node"].alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_f"))
+    groups = materialize(groups.where("_lo != _hi").dropDuplicates(["centre", "hub", "_s", "_f"]).select("centre", "e", "_s", "_a", "hub"))  # elements of one edit have one group
+    cost = groups.where(F.col("_s") > SMALL).agg(F.sum(F.col("_a").cast("double") * F.col("_s"))).first()[0] or 0
+    last = cost <= most
     paired = prefix.join((groups if last else groups.where(F.col("_s") <= SMALL)).hint("shuffle_hash"), ["centre", "e"])
-    x = paired.where("asks").select("centre", "e", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"))
-    y = paired.select("centre", "e", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"))
-    outside = x.join(y.hint("merge"), ["centre", "e"]).where(f"_ca != _cb and 100 * least(_na, _nb) >= {p} * greatest(_na, _nb)").select("a", "b")
+    earlier = Window.partitionBy("centre", "node").orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
+    paired = paired.select("centre", "e", "node", "comp", "n", "asks", F.collect_list("e").over(earlier).alias("_before"))
+    x = paired.where("asks").select("centre", "e", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"), F.col("_before").alias("_xs"))
+    y = paired.select("centre", "e", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("asks").alias("_yasks"), F.col("_before").alias("_ys"))
+    once = f"_ca != _cb and (a < b or not _yasks) and 100 * least(_na, _nb) >= {p} * greatest(_na, _nb) and not arrays_overlap(_xs, _ys)"
+    outside = x.join(y.hint("merge"), ["centre", "e"]).where(once).select("a", "b")
     both = inside.unionByName(outside)
     further = groups.where(F.lit(not last) & (F.col("_s") > SMALL))
     spread = prefix.join(further.hint("shuffle_hash"), ["centre", "e"]).where("node != hub").select("node", F.col("hub").alias("centre")).distinct()
@@ -244,11 +252,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     spoke = materialize(rows.join(centre.hint("shuffle_hash"), ["band", "key"]).where("node != centre").select("node", "centre").distinct())
     first = links(spoke.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    edges, tested = first, spoke
+    edges, tested, most = first, spoke, PAIRS_A_SET * sets.count()
     whole = materialize(connected_components(edges, "a", "b"))
     for level in range(LEVELS):
         placed = spoke.join(whole.hint("merge"), "node", "left").select("centre", "node", F.coalesce("component", "node").alias("comp"))
-        pairs, spread = open_pairs(placed, full, percent, level == LEVELS - 1)
+        pairs, spread = open_pairs(placed, full, percent, math.inf if level == LEVELS - 1 else most)
         spoke = materialize(spread)
         asked = pairs.unionByName(spoke.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
         known = tested.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
@@ -256,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         if not more.isEmpty():
             edges = edges.unionByName(more)
             whole = materialize(connected_components(edges, "a", "b"))
-        if spoke.isEmpty():
+        if spoke.isEmpty():  # also if all pairs were affordable
             break
         tested = tested.unionByName(spoke)
     class_of = sets.select("set_key", "node").join(whole.select("node", "component").hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
