@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from provgraph.plans import queries as core
+from provgraph.plans import registry as core
 
 SF = "/root/testdata/sf0.001"
 
