@@ -48,13 +48,13 @@ def consecutive(chain: DataFrame) -> DataFrame:
 
 
 def score_transitions(chain: DataFrame, vectors: DataFrame, contexts: DataFrame, external: DataFrame | None = None, alpha: float = 0.55, threshold: float = 0.8) -> DataFrame:
-    """(chain_id, pos, src, dst, score, kept): neighbours' hybrid similarity, blended with an external score (src, dst, external) where there is one."""
+    """(chain_id, pos, src, dst, score, kept): neighbours' hybrid similarity, blended with an external score (src, dst, external) where there is one; halves round up (by 1e-9)."""
     scored = hybrid_similarity(consecutive(chain), vectors, contexts)
     if external is None:
         blended = scored.withColumn("score", F.col("similarity"))
     else:
         outside = external.select("src", "dst", "external")
-        blended = scored.join(outside, ["src", "dst"], "left").withColumn("score", F.coalesce(F.round(alpha * F.col("external") + (1 - alpha) * F.col("similarity"), 6), "similarity"))
+        blended = scored.join(outside, ["src", "dst"], "left").withColumn("score", F.coalesce(F.round(alpha * F.col("external") + (1 - alpha) * F.col("similarity") + 1e-9, 6), "similarity"))
     return blended.select("chain_id", "pos", "src", "dst", "score", (F.col("score") >= threshold).alias("kept"))
 
 

@@ -48,12 +48,12 @@ def stage_coverage(edges: DataFrame) -> DataFrame:
 
 
 def importance(nodes: DataFrame, edges: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
-    """(graph_id, node, importance): PageRank times n, degree centrality, and stage coverage over the largest."""
+    """(graph_id, node, importance): PageRank times n, degree centrality, and stage coverage over the largest; halves round up (by 1e-9)."""
     w = Window.partitionBy("graph_id")
     joined = pagerank(nodes, edges).join(degree_centrality(nodes, edges), ["graph_id", "node"]).join(stage_coverage(edges), ["graph_id", "node"], "left")
     stages = F.coalesce("n_stages", F.lit(0))
     cover = stages / F.greatest(F.max(stages).over(w), F.lit(1))
-    return joined.select("graph_id", "node", F.round(weights[0] * F.col("rank") * F.count("*").over(w) + weights[1] * F.col("centrality") + weights[2] * cover, 6).alias("importance"))
+    return joined.select("graph_id", "node", F.round(weights[0] * F.col("rank") * F.count("*").over(w) + weights[1] * F.col("centrality") + weights[2] * cover + 1e-9, 6).alias("importance"))
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int = 3, directed: bool = False) -> DataFrame:

@@ -48,7 +48,7 @@ _add(
 )
 ORACLES["a4_importance"] = with_views("select r.graph_id, r.node, round(0.4", "small_graphs").replace(
     " select r.graph_id, r.node, round(0.4",
-    f", {RANKS} select r.graph_id, r.node, round(0.4 * rank * n + 0.3 * round(case when n > 1 then d / (n - 1) else 1.0 end, 6) + 0.3, 6) as importance from r20 r join (select *, count(*) over (partition by graph_id) as n from (select graph_id, node, count(*) as d from {SM} group by all)) c on c.graph_id = r.graph_id and c.node = r.node",
+    f", {RANKS} select r.graph_id, r.node, round(0.4 * rank * n + 0.3 * round(case when n > 1 then d / (n - 1) else 1.0 end, 6) + 0.3 + 1e-9, 6) as importance from r20 r join (select *, count(*) over (partition by graph_id) as n from (select graph_id, node, count(*) as d from {SM} group by all)) c on c.graph_id = r.graph_id and c.node = r.node",
     1,
 )
 SHARE = "round(count(*) filter ({c}) / count(*), 6) as share_{v}"
@@ -76,7 +76,7 @@ _chain = lambda d: d.select(F.col("grp").alias("chain_id"), F.col("id").alias("p
 _outside = lambda d: T.consecutive(_chain(d)).where("src % 3 = 0").select("src", "dst", (F.col("src") % 10 / 10).alias("external"))
 _add(
     "t6_score_transitions", "vectors", lambda d: T.score_transitions(_chain(d), d, _contexts(d), _outside(d), threshold=0.4),
-    f"""select chain_id, pos, src, dst, score, score >= 0.4 as kept from (select c.grp as chain_id, c.id as pos, c.id as src, c.n as dst, case when c.id % 3 = 0 then round(0.55 * (c.id % 10 / 10) + 0.45 * {HYBRID}, 6) else {HYBRID} end as score
+    f"""select chain_id, pos, src, dst, score, score >= 0.4 as kept from (select c.grp as chain_id, c.id as pos, c.id as src, c.n as dst, case when c.id % 3 = 0 then round(0.55 * (c.id % 10 / 10) + 0.45 * {HYBRID} + 1e-9, 6) else {HYBRID} end as score
     from (select grp, id, lead(id) over (partition by grp order by id) as n from vectors) c join vectors a on a.id = c.id join vectors b on b.id = c.n)""",
 )
 _add(
