@@ -72,18 +72,17 @@ _NUMERIC = re.compile(r"[0-9.,:/%+\-]+")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;]+")
 _ASSIGNED = re.compile(r"[A-Za-z_-]+[=:]")
 LABELERS = ["format", "hexadecimal", "gazetteer", "assignment", "mixture", "variety"]
-CONTEXT, FEATURES = 24, 8 + 64
+_SECRET_WORD = re.compile("|".join(map(re.escape, SECRET_WORDS)), re.IGNORECASE)
+CONTEXT, FEATURES = 24, 11 + 64
 
 
 def candidates(text: str, taken: Sequence[Span]) -> list[tuple[int, int]]:
-    """Tokens of 8 to 256 characters with a digit, without a leading ``name=``, that overlap no span taken."""
-    if not _DIGIT.search(text):
-        return []
+    """Tokens of at least 8 characters, without a leading ``name=``, that overlap no span taken: all with a digit, and those for which the gazetteer or the assignment labeler votes."""
     out, ends = [], sorted((s, e) for s, _, e in taken)
     at = 0
     for m in _TOKEN.finditer(text):
         start, end = m.start(), m.end()
-        if end - start < 8 or not _DIGIT.search(text, start, end):
+        if end - start < 8:
             continue
         lead = _ASSIGNED.match(text, start, end)
         start = lead.end() if lead and lead.end() < end else start
@@ -91,34 +90,50 @@ def candidates(text: str, taken: Sequence[Span]) -> list[tuple[int, int]]:
             end -= 1
         while at < len(ends) and ends[at][1] <= start:
             at += 1
-        if 8 <= end - start <= 256 and not (at < len(ends) and ends[at][0] < end):
+        if end - start >= 8 and not (at < len(ends) and ends[at][0] < end) and (_DIGIT.search(text, start, end) or wanted(text, start)):
             out.append((start, end))
     return out
 
 
+def wanted(text: str, start: int) -> bool:
+    """Whether what stands before ``start`` makes the gazetteer or the assignment labeler vote for a token there."""
+    before = text[max(0, start - CONTEXT) : start]
+    return assigned(before) or bool(_SECRET_WORD.search(before)) and named(before) == 1
+
+
+def assigned(before: str) -> bool:
+    return before.rstrip("\"' ").endswith(("=", ":"))
+
+
+def named(before: str) -> int:
+    """The gazetteer's vote."""
+    near = re.split(r"[^a-z0-9_-]+", before.lower())
+    return 1 if any(w in near for w in SECRET_WORDS) else 0 if any(w in near for w in PLAIN_WORDS) else -1
+
+
 def votes(value: str, before: str) -> list[int]:
     """A vote of each labeler: 1 for, 0 against, -1 none."""
-    near = re.split(r"[^a-z0-9_-]+", before.lower())
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))
     return [
         1 if _FORMAT.fullmatch(value) else -1,
         1 if _HEX.fullmatch(value) and not value.isdigit() else 0 if _NUMERIC.fullmatch(value) else -1,
-        1 if any(w in near for w in SECRET_WORDS) else 0 if any(w in near for w in PLAIN_WORDS) else -1,
-        1 if before.rstrip("\"' ").endswith(("=", ":")) else -1,
+        named(before),
+        1 if assigned(before) else -1,
         1 if switches >= 4 else 0 if switches <= 1 else -1,
         1 if len(value) >= 16 and len(set(value)) >= 8 else 0 if len(value) < 12 else -1,
     ]
 
 
 def features(value: str, before: str) -> list[float]:
-    """Shape of the span, and its preceding word by hash."""
+    """Shape of the span, what stands before it, and its preceding word by hash."""
     n = len(value)
     word = (re.split(r"[^a-z0-9_-]+", before.lower().rstrip("=:\"' ")) or [""])[-1]
     hashed = [0.0] * 64
     hashed[zlib.crc32(word.encode()) % 64] = 0.5
     count = lambda f: sum(map(f, value)) / n
     shape = [1.0, np.log(n) - 2.8, count(str.isdigit), count(str.isupper), count(lambda c: c in "0123456789abcdef"), count(lambda c: not c.isalnum()), sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:])) / n, len(set(value)) / n]
-    return [*map(float, shape), *hashed]
+    by_name, by_sign = named(before) == 1, assigned(before)
+    return [*map(float, shape), float(by_name), float(by_sign), float(by_name and by_sign), *hashed]
 
 
 def pattern_of(cast: Sequence[int]) -> int:

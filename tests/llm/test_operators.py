@@ -191,6 +191,19 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_personal_data(empty).count() == 0 and pii.emails("a" * 200_000) == []
 
 
+def test_personal_data_long_and_without_digits(spark):
+    r = random.Random(6)
+    part = lambda n: "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", k=n))
+    jwt, key = f"{part(36)}.{part(240)}.{part(122)}", part(1200)
+    rows = [(1, f"Authorization: Bearer {jwt} sent"), (2, f"use ssh-rsa {key} here"), (3, "set password=correcthorse now"), (4, "the secret conference was long, and everything: protection included")]
+    rows += [(10 + i, f"set password={'%018x' % (i * 7919 + 10**20)} now, page 20{10 + i} of version 1.2.{i}.7") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {x.doc_id: x.spans for x in pii.find_personal_data(table).collect()}
+    assert len(jwt) == 400 and out[1] == "secret:22:422" and out[2] == "secret:12:1212" and out[3] == "secret:13:25" and out[4] == ""
+    masked = {x.doc_id: x.text for x in pii.mask_personal_data(table).collect()}
+    assert [masked[i] for i in (1, 2, 3)] == ["Authorization: Bearer [SECRET] sent", "use ssh-rsa [SECRET] here", "set password=[SECRET] now"] and masked[4] == rows[3][1]
+
+
 def test_languages(spark, docs, empty):
     say = {"en": "the cat sat on a mat and then it ran off with the dog".split(), "de": "der hund und die katze sind nicht hier auf dem berg".split()}
     r = random.Random(4)
