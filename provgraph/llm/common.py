@@ -128,3 +128,23 @@ def library_encoder(path: str, pattern: str) -> Callable[[str], bytes]:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     return encode
+
+
+def file_encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+    """text -> the ids that the tokenizers library gives for a ``.json`` tokenizer with add_special_tokens=False, as little-endian 32-bit bytes.
+
+    The library takes an added token's content inside a text for that token, so a text that holds one goes to the library
+    whole; any other is encoded by cached words.
+    """
+    from tokenizers import Tokenizer
+
+    own, plain = Tokenizer.from_file(path), ByteBpe(library_encoder(path, pattern))
+    added = [token.content for token in own.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> bytes:
+        if not any(x in text for x in added):
+            return plain(text)
+        ids = own.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    return encode

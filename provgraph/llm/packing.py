@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.llm.common import ByteBpe, library_encoder, map_rows
+from provgraph.llm.common import file_encoder, map_rows
 from provgraph.session import materialize
 
 SEQUENCE = 2048
@@ -155,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int =
     """
 
     def begin() -> Callable[..., list[tuple]]:
-        encode = ByteBpe(library_encoder(tokenizer, pattern))
+        encode = file_encoder(tokenizer, pattern)
         tail = end.to_bytes(4, "little")
 
         def each(doc: int | None, text: str | None) -> list[tuple]:

@@ -69,6 +69,21 @@ def test_bpe_and_packing(docs, empty):
     assert packing.pack_documents(empty, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
 
 
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), "<|endoftext|>"
+    own = Tokenizer.from_file(path)
+    said = [f"foo {end} bar", f"a  \n\n{end}{end}\n x", end, f" {end}  ", "<|endoftext|", "x y " * 3000 + end + " z" * 40, "plain text"]
+    rows = packing.token_pieces(spark.createDataFrame(list(enumerate(said)), "doc_id bigint, text string"), path, public_tokenizers.PATTERN).collect()
+    for i, t in enumerate(said):
+        ids = [*own.encode(t, add_special_tokens=False).ids, 0]
+        pieces = sorted((p.start, p.length, p.ids_crc32) for p in rows if p.doc_id == i)
+        assert sum(n for _, n, _ in pieces) == len(ids), t[:40]
+        assert all(crc == zlib.crc32(struct.pack(f"<{n}I", *ids[at : at + n])) for at, n, crc in pieces), t[:40]
+    assert own.encode(said[0], add_special_tokens=False).ids == [21943, 220, 50256, 2318]
+
+
 def test_bin_completion_beats_best_fit():
     lengths = Counter([6, 6, 5, 5, 4, 4, 3, 3, 2, 2] * 3)
     for trial in range(30):
