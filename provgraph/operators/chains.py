@@ -6,13 +6,16 @@ an array of string arrays.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from provgraph.functions.names import TACTICS, tactic_rank
 from provgraph.operators.evaluate import cosine
+from provgraph.session import materialize
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -118,28 +121,79 @@ def check_precedence(sequence: DataFrame, a: str, b: str) -> DataFrame:
     return sequence.groupBy("graph_id").agg(F.coalesce(first(a) <= first(b), F.lit(True)).alias("ok"))
 
 
-def match_sequences(edges: DataFrame, rules: DataFrame) -> DataFrame:
+def _traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ordered edges (graph_id, stage, rule, _want, edge_id, triple, _block): those that hit, and a last row a run (``_end``).
+
+    ``_step`` and ``_no`` have a place for every state that the run may start from: the step hit (0 for none) and the passes
+    completed before it, or for the last row the state reached and all passes.
+    """
+    run, now, done, lead, schema = None, [], [], None, None
+
+    def rows(cells: list[tuple]) -> pa.RecordBatch:
+        keys = [pa.array([c[i] for c in cells], schema.field(name).type) for i, name in enumerate(("graph_id", "stage", "rule", "_block", "edge_id"))]
+        kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_())
+        return pa.RecordBatch.from_arrays([*keys, *(pa.array([c[5 + i] for c in cells], t) for i, t in enumerate(kinds))], names=["graph_id", "stage", "rule", "_block", "edge_id", "_no", "_step", "_end"])
+
+    for batch in batches:
+        schema, out = batch.schema, []
+        for graph, stage, rule, want, edge, triple, block in zip(*(c.to_pylist() for c in batch.columns)):
+            if run != (graph, stage, rule):
+                if run is not None:
+                    out.append((*run, lead, None, done, now, True))
+                run, now, done, lead = (graph, stage, rule), list(range(len(want))), [0] * len(want), block
+            steps = [at + 1 if want[at] == triple else 0 for at in now]
+            if any(steps):
+                out.append((*run, block, edge, list(done), steps, False))
+                for i, step in enumerate(steps):
+                    if step == len(want):
+                        now[i], done[i] = 0, done[i] + 1
+                    elif step:
+                        now[i] = step
+        yield rows(out)
+    if run is not None:
+        yield rows([(*run, lead, None, done, now, True)])
+
+
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the runs of each (graph, stage, rule) in order (``_r``): the state and the passes that each starts from, as ``_starts``."""
+    for batch in batches:
+        out = []
+        for runs in batch.column(3).to_pylist():
+            state, base, starts = 0, 0, []
+            for r in runs:
+                starts.append({"_block": r["_block"], "_from": state, "_base": base})
+                state, base = r["_step"][state], base + r["_no"][state]
+            out.append(starts)
+        kind = pa.list_(pa.struct([("_block", pa.int32()), ("_from", pa.int32()), ("_base", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind)], names=["graph_id", "stage", "rule", "_starts"])
+
+
+def match_sequences(edges: DataFrame, rules: DataFrame, blocks: int | None = None) -> DataFrame:
     """(graph_id, stage, rule, match_no, edge_ids): greedy left-to-right matches of ordered triples.
 
     Edges are (graph_id, stage, edge_id, triple), rules (rule, step from 1, triple). The state waits for a step's triple,
-    takes the first edge that has it, emits the edges of a full pass and starts again; a partial tail is dropped. Only edges
-    of a rule's own triples are gathered, by (graph, stage, rule).
+    takes the first edge that has it, emits the edges of a full pass and starts again; a partial tail is dropped. Edges of a
+    rule's own triples are dealt by range into ``blocks`` (the shuffle partitions by default), so that a large graph spans
+    several; each block is followed from every state, and only its end states are chained by (graph, stage, rule).
     """
-    lengths = rules.groupBy("rule").agg(F.max("step").alias("_len"), F.transform(F.array_sort(F.collect_list(F.struct("step", "triple"))), lambda x: x["triple"]).alias("_want"))
-    of_rule = rules.select("rule", "triple").distinct().join(lengths, "rule")
-    taken = edges.select("graph_id", "stage", "edge_id", "triple").join(of_rule, "triple")
-    runs = taken.groupBy("graph_id", "stage", "rule").agg(F.first("_len").alias("_len"), F.first("_want").alias("_want"), F.array_sort(F.collect_list(F.struct("edge_id", "triple"))).alias("_e"))
-    none = F.array().cast("array<bigint>")
-
-    def step(state: Column, edge: Column) -> Column:
-        hit = edge["triple"] == F.element_at(F.col("_want"), F.size(state["now"]) + 1)
-        now = F.when(hit, F.concat(state["now"], F.array(edge["edge_id"].cast("bigint")))).otherwise(state["now"])
-        full = F.size(now) == F.col("_len")
-        return F.struct(F.when(full, none).otherwise(now).alias("now"), F.when(full, F.concat(state["done"], F.array(now))).otherwise(state["done"]).alias("done"))
-
-    start = F.struct(none.alias("now"), F.array().cast("array<array<bigint>>").alias("done"))
-    done = runs.withColumn("_d", F.aggregate("_e", start, step, lambda s: s["done"]))
-    return done.select("graph_id", "stage", "rule", F.posexplode("_d").alias("_p", "edge_ids")).select("graph_id", "stage", "rule", (F.col("_p") + 1).alias("match_no"), "edge_ids")
+    wants = rules.groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "triple"))), lambda x: x["triple"]).alias("_want"))
+    of_rule = rules.select("rule", "triple").distinct().join(wants, "rule")
+    taken = edges.select("graph_id", "stage", F.col("edge_id").cast("bigint").alias("edge_id"), "triple").join(F.broadcast(of_rule), "triple").select("graph_id", "stage", "rule", "_want", "edge_id", "triple")
+    order = ["graph_id", "stage", "rule", "edge_id", "triple"]
+    dealt = taken.repartitionByRange(blocks, *order) if blocks else taken.repartitionByRange(*order)
+    placed = dealt.withColumn("_block", F.spark_partition_id()).sortWithinPartitions(*order)
+    kinds = {f.name: f for f in placed.schema.fields}
+    fields = StructType([*(StructField(n, kinds[n].dataType) for n in ("graph_id", "stage", "rule", "_block", "edge_id")), *StructType.fromDDL("_no array<bigint>, _step array<int>, _end boolean").fields])
+    traced = materialize(placed.mapInArrow(_traced, fields))  # a block's number holds for one run only
+    runs = traced.where("_end").groupBy("graph_id", "stage", "rule").agg(F.array_sort(F.collect_list(F.struct("_block", "_step", "_no"))).alias("_r"))
+    starts = runs.mapInArrow(_chained, StructType([*fields.fields[:3], *StructType.fromDDL("_starts array<struct<_block:int,_from:int,_base:bigint>>").fields]))
+    each = starts.select(*(F.col(c).alias(f"_{c}") for c in order[:3]), F.explode("_starts").alias("_s")).select("_graph_id", "_stage", "_rule", F.col("_s._block").alias("_at"), "_s._from", "_s._base")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order[:3]]
+    hits = traced.where("not _end").join(each, [*same, F.col("_block") == F.col("_at")])
+    step, number = F.get("_step", F.col("_from")), F.get("_no", F.col("_from")) + F.col("_base") + 1
+    passes = hits.select(*order[:3], number.alias("match_no"), step.alias("_hit"), "edge_id", F.size("_step").alias("_len")).where("_hit > 0")
+    full = passes.groupBy(*order[:3], "match_no").agg(F.array_sort(F.collect_list(F.struct("_hit", "edge_id"))).alias("_e"), F.first("_len").alias("_len")).where(F.size("_e") == F.col("_len"))
+    return full.select(*order[:3], "match_no", F.transform("_e", lambda x: x["edge_id"]).alias("edge_ids"))
 
 
 def rule_coverage(matches: DataFrame, edges: DataFrame) -> DataFrame:
