@@ -57,6 +57,15 @@ def log_loss(scores: DataFrame) -> DataFrame:
     return scores.agg(F.round(-F.avg(F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p))), 6).alias("loss"))
 
 
+def centre_distances(vectors: DataFrame) -> DataFrame:
+    """(graph_id, node, x): Euclidean distance of each node's vector (graph_id, node, vec) from the mean vector of its graph, halves up at 9 places."""
+    parts = vectors.select("graph_id", F.posexplode("vec").alias("dim", "_x"))
+    means = parts.groupBy("graph_id", "dim").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    centre = means.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "_m"))), lambda s: s["_m"]).alias("_c"))
+    off = F.zip_with("vec", "_c", lambda x, m: x.cast("double") - m)
+    return vectors.join(centre, "graph_id").select("graph_id", "node", F.round(F.sqrt(dot(off, off)), 9).alias("x"))
+
+
 def anomaly_ratio(values: DataFrame, z: float = 3.5) -> DataFrame:
     """(graph_id, ratio): share of a graph's values that are outliers by the robust z-score 0.6745 |x - median| / MAD.
 
