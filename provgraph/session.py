@@ -1,4 +1,4 @@
-"""Session helpers: where intermediate tables go, and how a plan is cut."""
+"""Session helpers: where intermediate tables go, how a plan is cut, and how such tables are removed again."""
 
 from __future__ import annotations
 
@@ -33,5 +33,40 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator: ``table`` writes one, ``drop`` removes those that nothing reads any more.
+
+    A dropped table must not be read again, so what was made from it has to be written first.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[str, DataFrame]] = {}
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        read = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(read)] = path, read
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            held = self.paths.get(id(df))
+            if held:
+                remove(self.spark, held[0])
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Remove all tables but ``kept``."""
+        stay = {id(df) for df in kept}
+        self.drop(*(df for key, (_, df) in list(self.paths.items()) if key not in stay))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
