@@ -6,10 +6,11 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provgraph.llm import langid, neardup, packing, pii, quality
+from provgraph.llm.common import unused
 from provgraph.session import materialize, read_table, scratch_dir
 
 
@@ -26,11 +27,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id.
 
-    Of rows that repeat an id one stays; rows without an id are in no group and stay.
+    Rows that repeat an id are told apart by their texts; of rows that repeat both one stays. Rows without an id are in no
+    group and stay.
     """
-    keep = materialize(neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct())
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = docs.join(keep.hint("merge"), "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).where(F.col("__nth") == 1).drop("__nth")
+    least = neardup.near_duplicates(docs).where("doc_id is not null and kept and text_key = component_text").select("doc_id", "text_key")
+    keep = materialize(least.groupBy("doc_id", "text_key").agg(F.count("*").alias("copies")))
+    ids = [unused(docs, "_id"), unused(docs, "_text")]
+    kept = docs.join(keep.select(*(F.col(c).alias(i) for c, i in zip(("doc_id", "text_key"), ids))).hint("merge"), (F.col("doc_id") == F.col(ids[0])) & (F.xxhash64("text") == F.col(ids[1])), "left_semi")
+    if not keep.where("copies > 1").isEmpty():
+        kept = kept.withColumn(ids[1], F.xxhash64("text")).dropDuplicates(["doc_id", ids[1]]).drop(ids[1])
     return kept.unionByName(docs.where("doc_id is null"))
 
 

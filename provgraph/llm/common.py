@@ -14,6 +14,14 @@ from pyspark.sql import DataFrame
 _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as keep it from clashing with a column of ``df``, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string of plain types and arrays of them."""
     fields = []

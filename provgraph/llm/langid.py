@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provgraph.llm.common import add_columns, map_rows
+from provgraph.llm.common import add_columns, map_rows, unused
 
 #: Hash buckets, width of an embedding, byte lengths of subwords.
 BUCKETS, WIDTH, SHORT, LONG = 1 << 16, 16, 2, 4
@@ -208,5 +208,6 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None) -> DataFram
 def filter_languages(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The documents that aren't rejected, with the columns they came with."""
     begin = predictor(model)
-    marked = add_columns(docs, "text", lambda: (lambda each: lambda text: (each(text)[2],))(begin()), "__lang_rejected boolean")
-    return marked.where("not __lang_rejected").drop("__lang_rejected")
+    mark = unused(docs, "_rejected")
+    marked = add_columns(docs, "text", lambda: (lambda each: lambda text: (each(text)[2],))(begin()), f"{mark} boolean")
+    return marked.where(f"not {mark}").drop(mark)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,16 +12,20 @@ from pyspark.sql import functions as F
 
 from provgraph.llm.common import map_rows
 from provgraph.operators.components import connected_components
-from provgraph.session import materialize
+from provgraph.session import Scratch
 
 #: Registers a document, base and rate of the exponential law, and the greatest register (two bytes).
 REGISTERS, BASE, RATE, LAST = 128, 1.001, 20.0, 65_534
 #: 32 bands of 4 registers: a pair at similarity 0.8 misses every band once in 2e7.
 ROWS = 4
 BANDS = REGISTERS // ROWS
-#: Sets that share an element outside their centre: so many are paired at once; larger groups get centres of their own, at
-#: most so many times, until pairing them takes at most so many pairs a distinct set of the input.
-SMALL, LEVELS, PAIRS_A_SET = 8, 6, 2
+#: Groups of sets that share an element outside their centre are paired as soon as all of them together take at most so many
+#: pairs a distinct set of the input; until then groups of more than ``SMALL`` get centres of their own.
+SMALL, PAIRS_A_SET = 8, 2
+#: Sets compared with a copy of their centre; a centre of more is copied under several salts.
+A_SALT = 500
+#: Most bits of the map of candidate ids that thins the texts before they are shuffled (4 MB; fuller maps only thin less).
+MOST_BITS = 1 << 25
 _RNG = np.random.default_rng(20210711)
 _MULT = (_RNG.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -97,37 +100,132 @@ def likely_jaccard(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
 
 
 def sketches(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, set_key, sketch): set_key is a 128-bit digest of the shingle set; both are null for an empty set."""
+    """(doc, n_shingles, text_key, set_key, sketch): set_key is a 128-bit digest of the shingle set; it and the sketch are null for an empty set and for a null id."""
 
     def start() -> Callable[..., list[tuple]]:
         shingle = Shingler(words)
 
-        def each(doc: int | None, text: str | None) -> list[tuple]:
+        def each(doc: int | None, text_key: int, text: str | None) -> list[tuple]:
             found = shingle(text)
-            if not len(found):
-                return [(doc, 0, None, None)]
-            return [(doc, len(found), xxhash.xxh3_128_digest(found.tobytes()), registers(minima(found)).tobytes())]
+            if doc is None or not len(found):
+                return [(doc, len(found), text_key, None, None)]
+            return [(doc, len(found), text_key, xxhash.xxh3_128_digest(found.tobytes()), registers(minima(found)).tobytes())]
 
         return each
 
-    return map_rows(docs.select(id_col, text_col), start, f"{id_col} bigint, n_shingles bigint, set_key binary, sketch binary")
+    ddl = "doc bigint, n_shingles bigint, text_key bigint, set_key binary, sketch binary"
+    return map_rows(docs.select(F.col(id_col).cast("bigint"), F.xxhash64(text_col), text_col), start, ddl)
+
+
+def distinct_sets(marks: DataFrame) -> DataFrame:
+    """(node, set_key, doc, text_key, n, sketch): one row a shingle set, numbered, with the smallest id that has it. To be written before use, as numbers are given once."""
+    least, first = F.min(F.struct("doc", "text_key")).alias("_least"), [F.first(c).alias(c) for c in ("n_shingles", "sketch")]
+    sets = marks.where("set_key is not null").groupBy("set_key").agg(least, *first)
+    return sets.select(F.monotonically_increasing_id().alias("node"), "set_key", "_least.*", F.col("n_shingles").alias("n"), "sketch")
 
 
 def band_rows(sets: DataFrame) -> DataFrame:
-    """(node, band, key): a band's four registers are one 64-bit key."""
+    """(node, key): a band's four registers and its number as one 64-bit key."""
+    numbers = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys = np.frombuffer(b"".join(pdf["sketch"]), "<i8").reshape(-1, BANDS)
-            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), BANDS), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(pdf)), "key": keys.ravel()})
+            keys = _finish(np.frombuffer(b"".join(pdf["sketch"]), "<u8").reshape(-1, BANDS) + numbers).view(np.int64)
+            yield pd.DataFrame({"node": np.repeat(pdf["node"].to_numpy(), BANDS), "key": keys.ravel()})
+
+    return sets.select("node", "sketch").mapInPandas(run, "node bigint, key bigint")
+
+
+def bucket_rows(sets: DataFrame) -> DataFrame:
+    """(node, key, size) of the buckets that hold more than one set."""
+    bands = band_rows(sets)
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return bands.join(shared.hint("shuffle_hash"), "key").select("node", "key", "size")
+
+
+def star_spokes(rows: DataFrame) -> DataFrame:
+    """(node, centre, salts): every set of a bucket with the bucket's centre, the set that shares the most buckets overall."""
+    score = rows.groupBy("node").agg(F.sum("size").alias("_score"))
+    scored = rows.join(score.hint("shuffle_hash"), "node")
+    of_key = scored.groupBy("key", "size").agg(F.max(F.struct("_score", "node"))["node"].alias("centre"))
+    salts = of_key.groupBy("centre").agg(F.ceil(F.sum("size") / (8 * A_SALT)).alias("salts"))  # a set meets its centre in several buckets
+    keyed = of_key.select("key", "centre").join(salts.hint("shuffle_hash"), "centre")
+    return rows.select("node", "key").join(keyed.hint("merge"), "key").where("node != centre").select("node", "centre", F.col("salts").cast("int").alias("salts")).distinct()
+
+
+def salted(copies: DataFrame) -> DataFrame:
+    """Rows with ``salts`` once for each salt from 0 on."""
+    return copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+def own_salt() -> Column:
+    return F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")
+
+
+def thinned(texts: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (doc, ..) whose id may be among those of ``some``: a bit map of hashed ids, of a bounded size, is broadcast.
 
-    return sets.select("node", "sketch").mapInPandas(run, "node bigint, band int, key bigint")
+    It only spares the shuffle rows that can't join; ids that meet in a bit pass.
+    """
+    bits, word = 1 << 15, 1 << 15  # a map row holds 32,768 bits
+    wanted = 16 * some.count()
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+    place = F.pmod(F.xxhash64("doc"), F.lit(bits))
+    maps = some.select(place.alias("_h")).groupBy((F.col("_h") / word).cast("int").alias("_m")).agg(F.bitmap_construct_agg(F.col("_h") % word).alias("_bits"))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_h % {word}) / 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = texts.withColumn("_h", place).withColumn("_m", (F.col("_h") / word).cast("int"))
+    hit = F.expr("shiftright(_byte, cast(_h % 8 as int)) & 1") == 1
+    return marked.join(F.broadcast(maps), "_m").withColumn("_byte", byte).where(hit).drop("_h", "_m", "_bits", "_byte")
+
+
+def full_sets(docs: DataFrame, some: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of ``some`` (node, doc, set_key): the full shingle sets as sorted 64-bit hashes."""
+
+    def start() -> Callable[..., list[tuple]]:
+        shingle, seen = Shingler(words), set()
+
+        def each(node: int, key: bytes, text: str) -> list[tuple]:
+            if node in seen:  # a repeated row
+                return []
+            found = shingle(text).tobytes()
+            if xxhash.xxh3_128_digest(found) != bytes(key):
+                return []
+            seen.add(node)
+            return [(node, found)]
+
+        return each
+
+    texts = thinned(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("_text")), some)
+    return map_rows(some.join(texts.hint("merge"), "doc").select("node", "set_key", "_text"), start, "node bigint, shingles binary")
+
+
+def residues(spokes: DataFrame, full: DataFrame) -> DataFrame:
+    """(centre, node, salts, n, n_c, shared, rest): the sizes of a set and its centre, how much they share, and what the set has besides."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [np.frombuffer(x, np.int64) for x in pdf["f_node"]]
+            theirs = [np.frombuffer(x, np.int64) for x in pdf["f_centre"]]
+            rest = [x[~np.isin(x, c)] for x, c in zip(own, theirs)]
+            n, n_c = np.array([len(x) for x in own], np.int64), np.array([len(x) for x in theirs], np.int64)
+            yield pdf[["centre", "node", "salts"]].assign(n=n, n_c=n_c, shared=n - np.array([len(x) for x in rest], np.int64), rest=rest)
+
+    centres = salted(spokes.groupBy("centre").agg(F.max("salts").alias("salts"))).join(full.select(F.col("node").alias("centre"), F.col("shingles").alias("f_centre")).hint("merge"), "centre")
+    of_node = spokes.join(full.select("node", F.col("shingles").alias("f_node")).hint("merge"), "node").withColumn("salt", own_salt())
+    both = of_node.join(centres.hint("merge"), ["centre", "salt"])
+    return both.select("centre", "node", "salts", "f_node", "f_centre").mapInPandas(run, "centre bigint, node bigint, salts int, n bigint, n_c bigint, shared bigint, rest array<bigint>")
+
+
+def linked(percent: int) -> Column:
+    """Whether a residue row's set and centre link: 100 * intersection >= percent * union."""
+    return F.expr(f"{100 + percent} * shared >= {percent} * (n + n_c)")
 
 
 def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int, slack: float = 0.17) -> DataFrame:
     """The pairs (a, b) whose sizes allow the similarity and whose likelihood estimate isn't more than ``slack`` (five deviations) below it."""
     floor = percent / 100 - slack
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -162,128 +260,113 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / np.log(1.05)).cast("int")
 
 
-def residues(spokes: DataFrame, full: DataFrame) -> DataFrame:
-    """(centre, node, comp, n, shared, rest): a set's size, its elements shared with its centre by number, and those that it hasn't in common."""
-    side = lambda c: full.select(F.col("node").alias(c), F.col("shingles").alias(f"f_{c}"))
+def open_members(near: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
+    """The residue rows of those centres whose sets lie in several components, with ``comp`` and ``asks`` (not in the centre's commonest component)."""
+    placed = scratch.table(near.join(whole.select("node", F.col("component").alias("comp")).hint("merge"), "node"))
+    sizes = placed.groupBy("centre", "comp").agg(F.count("*").alias("_n"), F.max("salts").alias("salts"))
+    main = sizes.groupBy("centre").agg(F.max(F.struct("_n", "comp"))["comp"].alias("_main"), F.count("*").alias("_parts"), F.max("salts").alias("salts"))
+    held = salted(main.where("_parts > 1").drop("_parts"))
+    return placed.withColumn("salt", own_salt()).join(held.hint("merge"), ["centre", "salt"]).withColumn("asks", F.col("comp") != F.col("_main")).drop("salt", "_main")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [np.frombuffer(x, np.int64) for x in pdf["f_node"]]
-            rest = [x[~np.isin(x, np.frombuffer(c, np.int64))] for x, c in zip(own, pdf["f_centre"])]
-            n = np.array([len(x) for x in own], np.int64)
-            yield pdf[["centre", "node", "comp"]].assign(n=n, shared=n - np.array([len(x) for x in rest], np.int64), rest=rest)
-
-    both = spokes.join(side("node").hint("merge"), "node").join(side("centre").hint("merge"), "centre")
-    return both.select("centre", "node", "comp", "f_node", "f_centre").mapInPandas(run, "centre bigint, node bigint, comp bigint, n bigint, shared bigint, rest array<bigint>")
 
+def open_pairs(members: DataFrame, percent: int, most: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of one centre, in different components, that can still be links, and new spokes (node, centre, salts).
 
-def open_pairs(spokes: DataFrame, full: DataFrame, percent: int, most: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of spokes (centre, node, comp) of one centre, in different components, that can still be links, and new spokes.
+    Seen from the centre, a set of n elements misses m of the centre's n_c and has r others. Two sets then share
+    n_c - m_x - m_y + D elements, where D counts what both miss and what both have besides, so they link exactly if
+    (100 + p) D >= w_x + w_y - (100 - p) n_c with w = 100 m + p r. As D is at most min(m_x, m_y) plus the common elements
+    outside, a pair is either near enough by its sizes alone, which needs a set shorter than its centre and is found by
+    classes of size, or has an element outside the centre in common; there only the rarest elements of a set have to be
+    looked at, as many as leave too few for a link. The bounds are exact: no link is passed over.
 
-    Two spokes have in common at most what the smaller number of them shares with the centre, plus what they share outside
-    it. So a link needs either enough inside the centre, which the sizes tell (sizes are joined by class), or a common
-    element outside it; there only the rarest elements of a set have to be looked at, as many as leave too few for a link.
-    The bounds are exact: a large group whose members differ by edits of their own costs its size, and no link is passed over.
-
-    Of the sets that share an element, up to ``SMALL`` are paired. More become spokes (node, centre) of the one among them
-    that is nearest to the old centre, to be compared with it first and paired in a later call; if pairing them all takes at
-    most ``most`` pairs, they are paired now. A pair meets once a centre, at the first element that both look at.
+    Sets that share such an element form a group. Once pairing all groups takes at most ``most`` pairs they are paired; until
+    then only groups of up to ``SMALL`` are, and the sets of a larger one become spokes of the one nearest to the old centre.
     """
     p, q = percent, 100 + percent
-    apart = spokes.groupBy("centre").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("centre")
-    held = materialize(residues(spokes.join(apart.hint("shuffle_hash"), "centre"), full))
-    sizes = held.groupBy("centre", "comp").agg(F.count("*").alias("_n"))
-    main = sizes.groupBy("centre").agg(F.max(F.struct("_n", "comp"))["comp"].alias("_main"))
-    members = held.join(main.hint("shuffle_hash"), "centre").withColumn("asks", F.col("comp") != F.col("_main")).drop("_main")
-    small = members.select("centre", "node", "comp", "n", "shared", "asks")
-    low, high = F.ceil(F.col("n") * p / 100).cast("bigint"), F.floor(F.col("shared") * q / p - F.col("n")).cast("bigint")
-    asked = small.where("asks").select("centre", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"), low.alias("_low"), high.alias("_high")).where("_low >= 1 and _low <= _high")
-    asked = asked.withColumn("_class", F.explode(F.sequence(_size_class(F.col("_low")), _size_class(F.col("_high")))))
-    others = small.select("centre", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("shared").alias("_sb"), _size_class(F.col("n")).alias("_class"))
-    inside = asked.join(others.hint("merge"), ["centre", "_class"]).where(f"_ca != _cb and _nb between _low and _high and _sb * {q} >= {p} * (_na + _nb)").select("a", "b")
-    elements = members.select("centre", "node", "comp", "n", "shared", "asks", F.size("rest").alias("_r"), F.explode("rest").alias("e"))
+    members = members.withColumn("m", F.col("n_c") - F.col("shared")).withColumn("r", F.col("n") - F.col("shared"))
+    members = members.withColumn("w", 100 * F.col("m") + p * F.col("r"))
+    x = members.where("asks").select("centre", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"), F.col("m").alias("_ma"), F.col("w").alias("_wa"), "n_c")
+    y = members.where(f"m > r or w > {100 - p} * n_c").select("centre", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("m").alias("_mb"), F.col("w").alias("_wb"), _size_class(F.col("n")).alias("_class"))
+    x = x.withColumn("_low", F.ceil(F.col("_na") * p / 100)).withColumn("_high", F.floor(F.least(F.col("_na") * 100 / p, F.col("n_c") - (F.col("_wa") - (100 - p) * F.col("n_c")) / p)))
+    x = x.where("_low >= 1 and _low <= _high").withColumn("_class", F.explode(F.sequence(_size_class(F.col("_low")), _size_class(F.col("_high")))))
+    enough = f"_ca != _cb and {q} * least(_ma, _mb) >= _wa + _wb - {100 - p} * n_c"
+    inside = x.join(y.hint("merge"), ["centre", "_class"]).where(enough).select("a", "b")
+
+    elements = members.select("centre", "node", "comp", "asks", "n", "n_c", "shared", F.explode("rest").alias("e"))
     common = elements.groupBy("centre", "e").agg(F.count("*").alias("_f"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("centre", "e", "_f")
     known = elements.join(common.hint("merge"), ["centre", "e"])
     of_set = Window.partitionBy("centre", "node")
-    ranked = known.withColumn("_at", F.row_number().over(of_set.orderBy("_f", "e"))).withColumn("_k", F.count("*").over(of_set))
+    ranked = known.withColumn("_at", F.row_number().over(of_set.orderBy("_f", "e"))).withColumn("rs", F.count("*").over(of_set))
     missing = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("shared"), F.lit(1))  # least number of common elements outside the centre
-    prefix = materialize(ranked.where(F.col("_at") <= F.col("_k") - missing + 1).select("centre", "e", "node", "comp", "n", "asks", "_r"))
-    groups = prefix.groupBy("centre", "e").agg(F.count("*").alias("_s"), F.sum(F.col("asks").cast("bigint")).alias("_a"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct("_r", "node"))["node"].alias("hub"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_f"))
-    groups = materialize(groups.where("_lo != _hi").dropDuplicates(["centre", "hub", "_s", "_f"]).select("centre", "e", "_s", "_a", "hub"))  # elements of one edit have one group
-    cost = groups.where(F.col("_s") > SMALL).agg(F.sum(F.col("_a").cast("double") * F.col("_s"))).first()[0] or 0
-    last = cost <= most
-    paired = prefix.join((groups if last else groups.where(F.col("_s") <= SMALL)).hint("shuffle_hash"), ["centre", "e"])
-    earlier = Window.partitionBy("centre", "node").orderBy("e").rowsBetween(Window.unboundedPreceding, -1)
-    paired = paired.select("centre", "e", "node", "comp", "n", "asks", F.collect_list("e").over(earlier).alias("_before"))
-    x = paired.where("asks").select("centre", "e", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"), F.col("_before").alias("_xs"))
-    y = paired.select("centre", "e", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("asks").alias("_yasks"), F.col("_before").alias("_ys"))
-    once = f"_ca != _cb and (a < b or not _yasks) and 100 * least(_na, _nb) >= {p} * greatest(_na, _nb) and not arrays_overlap(_xs, _ys)"
+    prefix = ranked.where(F.col("_at") <= F.col("rs") - missing + 1)
+    prefix = scratch.table(prefix.select("centre", "e", "node", "comp", "asks", "rs", "n_c", (F.col("n_c") - F.col("shared")).alias("m"), (F.col("n") - F.col("shared")).alias("r")))
+    fold = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_print")
+    groups = prefix.groupBy("centre", "e").agg(
+        F.count("*").alias("_s"), F.sum(F.col("asks").cast("bigint")).alias("_a"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct("r", "node"))["node"].alias("hub"), fold
+    )
+    groups = scratch.table(groups.where("_lo != _hi").dropDuplicates(["centre", "hub", "_s", "_print"]).select("centre", "e", "_s", "_a", "hub"))  # elements of one edit have one group
+    last = (groups.agg(F.sum(F.col("_a").cast("double") * F.col("_s"))).first()[0] or 0) <= most
+    paired = prefix.join((groups if last else groups.where(F.col("_s") <= SMALL)).select("centre", "e").hint("shuffle_hash"), ["centre", "e"])
+    weight = (100 * F.col("m") + p * F.col("r")).alias
+    x = paired.where("asks").select("centre", "e", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("m").alias("_ma"), F.col("rs").alias("_ra"), weight("_wa"), "n_c")
+    y = paired.select("centre", "e", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("m").alias("_mb"), F.col("rs").alias("_rb"), weight("_wb"), F.col("asks").alias("_yasks"))
+    once = f"_ca != _cb and (a < b or not _yasks) and {q} * (least(_ma, _mb) + least(_ra, _rb)) >= _wa + _wb - {100 - p} * n_c"
     outside = x.join(y.hint("merge"), ["centre", "e"]).where(once).select("a", "b")
-    both = inside.unionByName(outside)
-    further = groups.where(F.lit(not last) & (F.col("_s") > SMALL))
-    spread = prefix.join(further.hint("shuffle_hash"), ["centre", "e"]).where("node != hub").select("node", F.col("hub").alias("centre")).distinct()
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), spread
+    further = groups.where(F.lit(not last) & (F.col("_s") > SMALL)).select("centre", "e", "hub", F.ceil(F.col("_s") / A_SALT).cast("int").alias("salts"))
+    spread = prefix.join(further.hint("shuffle_hash"), ["centre", "e"]).where("node != hub").groupBy("node", F.col("hub").alias("centre")).agg(F.max("salts").alias("salts"))
+    most_salts = spread.groupBy("centre").agg(F.max("salts").alias("salts"))
+    spokes = spread.drop("salts").join(most_salts.hint("merge"), "centre").select("node", "centre", "salts")
+    return inside.unionByName(outside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), spokes
+
+
+def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """``whole`` (node, component; without the latter each node is one) after the links (a, b) between its nodes; work is on the components that a link touches."""
+    if "component" not in whole.columns:
+        found = connected_components(links, "a", "b").select("node", F.col("component").alias("_root"))
+        return whole.join(found.hint("merge"), "node", "left").select("node", F.coalesce("_root", "node").alias("component"))
+    of = lambda c: whole.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    between = links.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+    found = connected_components(between, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_root"))
+    return whole.join(found.hint("merge"), "component", "left").select("node", F.coalesce("_root", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles, component_id (the smallest id reachable by links) and kept (it is that one).
-
-    Documents link at ``100 * intersection >= percent * union`` of their word shingles. Equal sets are one node from the
-    start, so exact copies of any number cost one row each. Each bucket of equal band keys first compares its members with
-    one of them only, that which shares the most buckets overall; components are formed; then those pairs of one centre are
-    compared that lie in different components and that ``open_pairs`` can't rule out, level by level around new centres, so
-    a large group costs about its size and loses no link. Pairs are sifted by the likelihood estimate and then confirmed on full sets. Documents without words link with nothing. Rows that
-    repeat an id count as one document with the links of all its texts. An empty table gives no row.
+    """One row a document: id, n_shingles, component_id (the smallest id reachable by links) and kept (it is that one); besides
+    text_key (xxhash64 of the text) and component_text (the text_key of the class's least row by id and text_key).
+
+    Documents link at ``100 * intersection >= percent * union`` of their word shingles. Equal sets are one numbered node from
+    the start, so exact copies of any number cost one row each. Every set of a bucket of equal band keys is compared in full
+    with the bucket's centre; components are formed; then those pairs of one centre are sifted by the likelihood estimate and
+    confirmed on full sets that lie in different components and that ``open_pairs`` can't rule out, around new centres until
+    all that is left can be paired. So a large group costs about its size and no link is lost but those that no band shows.
+    Documents without words link with nothing. Rows are documents of their own even if they repeat an id. A row without an id
+    links with nothing either: its component_id is null and it is kept. An empty table gives no row.
     """
-    marks = materialize(sketches(docs, words, id_col, text_col).withColumnRenamed(id_col, "doc"))
-    sets = materialize(marks.where("set_key is not null").groupBy("set_key").agg(F.min("doc").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")))
-    bands = band_rows(sets)
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("_n")).where("_n > 1")
-    rows = materialize(bands.join(shared.hint("shuffle_hash"), ["band", "key"]).select("node", "band", "key", "_n"))
-    score = rows.groupBy("node").agg(F.sum("_n").alias("_score"))
-    scored = rows.join(score.hint("shuffle_hash"), "node")
-    centre = scored.groupBy("band", "key").agg(F.max(F.struct("_score", "node"))["node"].alias("centre"))
-    some = sets.join(score.select("node").hint("merge"), "node", "left_semi")
-    full = materialize(full_sets(docs, some.select("node", "set_key"), words, id_col, text_col))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = materialize(likely_pairs(pairs, some, percent))
-        return materialize(confirmed_pairs(likely, full, percent))
-
-    spoke = materialize(rows.join(centre.hint("shuffle_hash"), ["band", "key"]).where("node != centre").select("node", "centre").distinct())
-    first = links(spoke.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    edges, tested, most = first, spoke, PAIRS_A_SET * sets.count()
-    whole = materialize(connected_components(edges, "a", "b"))
-    for level in range(LEVELS):
-        placed = spoke.join(whole.hint("merge"), "node", "left").select("centre", "node", F.coalesce("component", "node").alias("comp"))
-        pairs, spread = open_pairs(placed, full, percent, math.inf if level == LEVELS - 1 else most)
-        spoke = materialize(spread)
-        asked = pairs.unionByName(spoke.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))).distinct()
-        known = tested.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        more = links(asked.join(known.hint("merge"), ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            whole = materialize(connected_components(edges, "a", "b"))
-        if spoke.isEmpty():  # also if all pairs were affordable
+    scratch = Scratch(docs.sparkSession)
+    marks = scratch.table(sketches(docs, words, id_col, text_col))
+    sets = scratch.table(distinct_sets(marks))
+    rows = scratch.table(bucket_rows(sets))
+    spokes = scratch.table(star_spokes(rows))
+    some = scratch.table(sets.join(rows.select("node").distinct().hint("merge"), "node", "left_semi"))
+    full = scratch.table(full_sets(docs, some.select("node", "doc", "set_key"), words, id_col, text_col))
+    near = scratch.table(residues(spokes, full))
+    whole, most, edges = some.select("node"), PAIRS_A_SET * sets.count(), near.where(linked(percent)).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    while True:
+        whole = scratch.table(merged(whole, edges))
+        members = scratch.table(open_members(near, whole, scratch))
+        pairs, spread = open_pairs(members, percent, most, scratch)
+        spokes = scratch.table(spread)
+        likely = scratch.table(likely_pairs(pairs, some, percent))
+        edges = scratch.table(confirmed_pairs(likely, full, percent))
+        if spokes.isEmpty():
             break
-        tested = tested.unionByName(spoke)
-    class_of = sets.select("set_key", "node").join(whole.select("node", "component").hint("merge"), "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    joined = marks.join(class_of.hint("merge"), "set_key", "left")
-    out = joined.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
-
-
-def full_sets(docs: DataFrame, some: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles): the full shingle sets of the nodes, once each, as sorted 64-bit hashes."""
-
-    def start() -> Callable[..., list[tuple]]:
-        shingle = Shingler(words)
-
-        def each(node: int, key: bytes, text: str) -> list[tuple]:
-            found = shingle(text)
-            return [(node, found.tobytes())] if xxhash.xxh3_128_digest(found.tobytes()) == bytes(key) else []
-
-        return each
-
-    texts = docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("_text"))
-    return map_rows(some.join(texts.hint("merge"), "node").select("node", "set_key", "_text"), start, "node bigint, shingles binary")
+        near = scratch.table(residues(spokes, full))
+        edges = edges.unionByName(near.where(linked(percent)).select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    whole = scratch.table(merged(whole, edges))
+    named = sets.select("node", "set_key", "doc", "text_key").join(whole.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min(F.struct("doc", "text_key")).alias("_least"))
+    class_of = scratch.table(named.join(least.hint("merge"), "component").select("set_key", F.col("_least.doc").alias("component_id"), F.col("_least.text_key").alias("component_text")))
+    scratch.drop_others(marks, class_of)
+    joined = marks.drop("sketch").join(class_of.hint("merge"), "set_key", "left")
+    kept = F.col("doc").eqNullSafe(F.coalesce("component_id", "doc")).alias("kept")
+    return joined.select(F.col("doc").alias(id_col), "n_shingles", F.coalesce("component_id", "doc").alias("component_id"), kept, "text_key", F.coalesce("component_text", "text_key").alias("component_text"))

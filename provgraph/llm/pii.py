@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.llm.common import add_columns, map_rows
+from provgraph.llm.common import add_columns, map_rows, unused
 from provgraph.session import materialize
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
@@ -290,6 +290,7 @@ def mask_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         return each
 
-    masked = add_columns(docs, text_col, start, "__masked string")
-    new = {text_col: F.col("__masked")} | ({"n_chars": F.length("__masked").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    mark = unused(docs, "_masked")
+    masked = add_columns(docs, text_col, start, f"{mark} string")
+    new = {text_col: F.col(mark)} | ({"n_chars": F.length(mark).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return masked.withColumns(new).select(*docs.columns)

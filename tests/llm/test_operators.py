@@ -164,6 +164,14 @@ def test_near_duplicates(spark, docs, empty):
     assert all(x.kept == (x.doc_id == x.component_id) for x in out) and neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_without_id_large_and_repeated_ids(spark):
+    a, big = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty a b c d", 1 << 60
+    rows = [(None, a), (big + 1, a), (big + 3, a + " e"), (None, a), (7, "quite another text of some words here"), (7, a), (7, a), (big + 1, a)]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 80).collect()
+    found = sorted((x.doc_id or 0, x.component_id or 0, x.kept) for x in out)
+    assert found == [(0, 0, True)] * 2 + [(7, 7, True)] * 3 + [(big + 1, 7, False)] * 2 + [(big + 3, 7, False)]
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 1 << 63, 900, dtype=np.uint64), r.integers(0, 1 << 63, 500, dtype=np.uint64)
