@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Audit event names and the action each stands for.
@@ -16,6 +16,7 @@ EVENT_ACTION = {
     "EVENT_MODIFY_FILE_ATTRIBUTES": "write", "EVENT_RENAME": "write", "EVENT_UNLINK": "write", "EVENT_CREATE_OBJECT": "write",
     "EVENT_ACCEPT": "send", "EVENT_BIND": "send",
 }
+# Risks, codes, default names, extensions of programs, tactics and what joins two of them.
 ACTION_RISK = {"execute": 1.0, "mmap": 0.8, "write": 0.6, "read": 0.2, "clone": 0.9}
 OTHER_RISK = 0.1
 NODE_CODE = {"process": "MP", "file": "MF", "socket": "SO"}
@@ -51,9 +52,11 @@ def object_type(kind: Column) -> Column:
 
 
 def ref_uuid(reference: Column) -> Column:
-    """The id of a reference in JSON: a plain string, or an object whose first value is the id."""
-    inner = F.element_at(F.map_values(F.from_json(reference, "map<string,string>")), 1)
-    return F.coalesce(inner, F.nullif(F.regexp_replace(reference, '^"|"$', ""), F.lit("")))
+    """The id of a reference in JSON: a plain string, or an object whose first string value is the id; null if it has none."""
+    values = F.map_values(F.from_json(reference, "map<string,variant>"))
+    inner = F.get(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), F.lit(0)).cast("string")
+    plain = F.nullif(F.regexp_replace(reference, '^"|"$', ""), F.lit(""))
+    return F.when(F.startswith(F.ltrim(reference), F.lit("{")), inner).otherwise(plain)
 
 
 def clean_entity_type(raw: Column) -> Column:
@@ -112,7 +115,7 @@ def privilege_score(needs: Column) -> Column:
 
 
 def fallback_name(kind: Column) -> Column:
-    return lookup(clean_entity_type(kind), DEFAULT_NAME, "unknown")
+    return lookup(clean_entity_type(kind), DEFAULT_NAME, "unknown_entity")
 
 
 def action_risk(action: Column, weights: Mapping[str, float] = ACTION_RISK) -> Column:
@@ -136,3 +139,23 @@ def tactic_rank(tactics: Column, order: list[str] = TACTICS) -> Column:
     """The first place in ``order`` of any of a row's tactics, from 0; 99 if there is none."""
     places = F.transform(tactics, lambda t: F.array_position(F.array(*map(F.lit, order)), t))
     return F.coalesce((F.array_min(F.filter(places, lambda p: p > 0)) - 1).cast("int"), F.lit(99))
+
+
+def to_env_codes(edges: DataFrame, src: str = "src_type", dst: str = "dst_type", code: str = "code") -> DataFrame:
+    """Edges with their node types and code in the validator's terms: process, file and socket as MP, MF and SO (others SO), codes by the table, others as they are."""
+    kind = lambda c: lookup(F.col(c), NODE_CODE, "SO")
+    return edges.withColumns({src: kind(src), dst: kind(dst), code: F.coalesce(lookup(F.col(code), EDGE_CODE), code)})
+
+
+def edges_by_label(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph_id, actorID, actor_type, objectID, object, action, timestamp): edges (graph_id, src, dst, type, event_order, timestamp) by the labels of their nodes (graph_id, node, label, type).
+
+    Nodes of one label merge; a node that isn't listed, or without a label, goes by its id. An absent type is process for a
+    source and file for a target. The order is event_order, else timestamp, else 0.
+    """
+    end = lambda c: nodes.select("graph_id", F.col("node").alias(c), F.col("label").alias(f"_{c}_l"), F.col("type").alias(f"_{c}_t")).hint("merge")
+    both = edges.join(end("src"), ["graph_id", "src"], "left").join(end("dst"), ["graph_id", "dst"], "left")
+    order = F.coalesce(F.col("event_order").cast("string"), F.col("timestamp").cast("string"), F.lit("0"))
+    kind = lambda c, default: F.coalesce(lookup(F.coalesce(F.col(c), F.lit(default)), NODE_CODE), F.col(c))
+    code = F.coalesce(lookup(F.upper("type"), EDGE_CODE), F.col("type"))
+    return both.select("graph_id", F.coalesce("_src_l", "src").alias("actorID"), kind("_src_t", "process").alias("actor_type"), F.coalesce("_dst_l", "dst").alias("objectID"), kind("_dst_t", "file").alias("object"), code.alias("action"), order.alias("timestamp"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from provgraph.functions.names import TACTICS, tactic_rank
+from provgraph.functions.names import TACTICS, bridge_hint, tactic_rank
 from provgraph.operators.evaluate import cosine
 from provgraph.session import materialize
 
@@ -61,6 +61,14 @@ def score_transitions(chain: DataFrame, vectors: DataFrame, contexts: DataFrame,
     return blended.select("chain_id", "pos", "src", "dst", "score", (F.col("score") >= threshold).alias("kept"))
 
 
+def hint_bridges(transitions: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Transitions (chain_id, pos, src, dst, ...) with ``bridge_hint``, the entity that joins the ends' first tactics (contexts: id, tactics, capabilities)."""
+    side = lambda c: contexts.select(F.col("id").alias(c), F.get("tactics", F.lit(0)).alias(f"_{c}_t"), F.col("capabilities").alias(f"_{c}_c")).hint("merge")
+    both = transitions.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    caps = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    return both.select(*transitions.columns, bridge_hint(F.col("_src_t"), F.col("_dst_t"), caps("_src_c"), caps("_dst_c")).alias("bridge_hint"))
+
+
 def order_chain(items: DataFrame, max_len: int = 8, order: list[str] = TACTICS) -> DataFrame:
     """(actor, pos, item): an actor's items (actor, item, tactics, kb_pos) by tactic, then by their place in the table; ``max_len`` at most."""
     by = Window.partitionBy("actor").orderBy(tactic_rank(F.col("tactics"), order), "kb_pos")

@@ -65,6 +65,22 @@ def class_report(scores: DataFrame) -> DataFrame:
     return c.select("class", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(div(2 * p * r, p + r), 6).alias("f1"), "support")
 
 
+def class_averages(report: DataFrame) -> DataFrame:
+    """(class, precision, recall, f1, support) rows ``accuracy`` (its value in every column), ``macro avg`` and ``weighted avg`` of a ``class_report``; null without rows."""
+    total = F.sum("support")
+    weighted = lambda c: F.sum(F.col(c) * F.col("support")) / F.nullif(total, F.lit(0))
+    names = ["precision", "recall", "f1"]
+    sums = report.agg(total.alias("support"), weighted("recall").alias("accuracy"), *(F.avg(c).alias(f"m_{c}") for c in names), *(weighted(c).alias(f"w_{c}") for c in names))
+    row = lambda name, cells: F.struct(F.lit(name).alias("class"), *(F.round(F.col(cell), 6).alias(c) for c, cell in zip(names, cells)), "support")
+    rows = [row("accuracy", ["accuracy"] * 3), row("macro avg", [f"m_{c}" for c in names]), row("weighted avg", [f"w_{c}" for c in names])]
+    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def confidence_gap(scores: DataFrame, prob: str = "prob") -> DataFrame:
+    """(gap): the mean score of label 1 less that of label 0; null where one is absent."""
+    return scores.agg(F.round(F.avg(F.when(F.col("label") == 1, F.col(prob))) - F.avg(F.when(F.col("label") == 0, F.col(prob))), 6).alias("gap"))
+
+
 def class_confidence(scores: DataFrame, prob: str = "prob") -> DataFrame:
     """(label, mean, std, min, max) of the scores by true class; std is the population's."""
     return scores.groupBy("label").agg(*(F.round(f(prob), 6).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))))
@@ -120,8 +136,19 @@ def class_means(features: DataFrame, names: Sequence[str], label: str = "label")
     return long.groupBy("feature").agg(*(F.round(F.avg(F.when(F.col(label) == i, F.col("x"))), 6).alias(f"mean_{i}") for i in (0, 1)))
 
 
-def nearest_in_group(items: DataFrame, candidates: DataFrame, k: int = 1) -> DataFrame:
-    """(id, candidate, sim, rank): the best cosine neighbours of an item with its group; tables (id, vec, grp). Joined by group."""
-    c = candidates.select(F.col("id").alias("candidate"), F.col("vec").alias("_v"), "grp")
-    pairs = items.join(c, "grp").where("id != candidate").select("id", "candidate", F.round(cosine(F.col("vec"), F.col("_v")), 6).alias("sim"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "candidate"))).where(F.col("rank") <= k)
+def nearest_in_group(items: DataFrame, candidates: DataFrame, k: int = 1, exclude: DataFrame | None = None, blocks: int = 16) -> DataFrame:
+    """(id, candidate, sim, rank): the best cosine neighbours of an item with its group; tables (id, vec, grp).
+
+    ``exclude`` (id, candidate) holds pairs that may not be named, such as what a chain has already. A group's candidates are
+    dealt into ``blocks``; each block gives its own best k and these meet by item, so a large group is many tasks of
+    (items x candidates / blocks) comparisons, and no task sees all of them. Ties go to the smaller candidate.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int").alias("_block")
+    c = candidates.select(F.col("id").alias("candidate"), F.col("vec").alias("_v"), "grp", block("id"))
+    asked = items.select("id", "vec", "grp", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    pairs = asked.join(c.hint("shuffle_hash"), ["grp", "_block"]).where("id != candidate").select("id", "candidate", "_block", F.round(cosine(F.col("vec"), F.col("_v")), 6).alias("sim"))
+    if exclude is not None:
+        pairs = pairs.join(exclude.select("id", "candidate").hint("merge"), ["id", "candidate"], "left_anti")
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("sim"), "candidate"))
+    top = pairs.withColumn("rank", best("id", "_block")).where(F.col("rank") <= k).drop("_block")
+    return top.withColumn("rank", best("id")).where(F.col("rank") <= k)

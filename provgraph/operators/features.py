@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from provgraph.functions.names import action_risk, lookup
 # Buckets of node types (5 is unknown) and of actions.
 NODE_BUCKET = {"MP": 0, "TP": 1, "process": 1, "thread": 1, "MF": 2, "TF": 3, "file": 3, "module": 3, "SO": 4, "network": 4, "socket": 4, "ip": 4}
 ACTION_BUCKET = {"WF": 0, "WR": 0, "write": 0, "RF": 1, "RD": 1, "RCV": 1, "read": 1, "EX": 2, "execute": 2, "clone": 2, "ST": 3, "mmap": 3, "send": 3, "FR": 4, "load": 4, "LOAD": 4, "IJ": 2, "inject": 2}
+# The tactics that a whole chain has.
 REQUIRED_TACTICS = ["initial-access", "execution", "persistence", "defense-evasion", "command-and-control", "exfiltration"]
 
 
@@ -95,6 +98,13 @@ def clustering_coefficient(edges: DataFrame) -> DataFrame:
     return joined.groupBy("graph_id").agg(F.round(F.when(F.count("*") > 2, F.avg("c")).otherwise(0.0), 6).alias("clustering"))
 
 
+def stage_hubs(edges: DataFrame, k: int = 1) -> DataFrame:
+    """(graph_id, stage, node, rank, score): the k nodes of largest degree in each stage of edges (graph_id, stage, src, dst), ties by name."""
+    degree = edges.select("graph_id", "stage", F.explode(F.array("src", "dst")).alias("node")).groupBy("graph_id", "stage", "node").agg(F.count("*").alias("score"))
+    top = Window.partitionBy("graph_id", "stage").orderBy(F.desc("score"), "node")
+    return degree.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("graph_id", "stage", "node", "rank", "score")
+
+
 def hub_nodes(edges: DataFrame, k: int = 1, by: str = "degree") -> DataFrame:
     """(graph_id, node, rank): the k nodes of largest degree (or out_deg), ties by name."""
     top = Window.partitionBy("graph_id").orderBy(F.desc(by), "node")
@@ -121,11 +131,11 @@ def risk_impact(edges: DataFrame) -> DataFrame:
     return edges.groupBy("graph_id").agg(F.round(F.least(F.avg(action_risk(F.col("action"))), F.lit(1.0)), 6).alias("impact"))
 
 
-def surface_features(edges: DataFrame) -> DataFrame:
-    """(graph_id, n_nodes, n_edges, node type shares, action shares)."""
+def surface_features(edges: DataFrame, codes: Sequence[str] = ("read", "write", "execute", "clone", "send", "mmap")) -> DataFrame:
+    """(graph_id, n_nodes, n_edges, 3 node type shares, a share for each of the six codes)."""
     nodes = sides(edges).groupBy("graph_id", "node").agg(F.min_by("type", F.struct("edge_id", -F.col("out"))).alias("type"))
     shares = nodes.groupBy("graph_id").agg(F.count("*").alias("n_nodes"), *(F.round(F.count_if(F.col("type") == t) / F.count("*"), 6).alias(f"share_{t}") for t in ("process", "file", "socket")))
-    acts = edges.groupBy("graph_id").agg(F.count("*").alias("n_edges"), *(F.round(F.count_if(F.col("action") == a) / F.count("*"), 6).alias(f"share_{a}") for a in ("read", "write", "execute", "clone", "send")))
+    acts = edges.groupBy("graph_id").agg(F.count("*").alias("n_edges"), *(F.round(F.count_if(F.col("action") == a) / F.count("*"), 6).alias(f"share_{a}") for a in codes))
     return shares.join(acts, "graph_id")
 
 
@@ -140,7 +150,73 @@ def tactic_coverage(chain: DataFrame, required: list[str] = REQUIRED_TACTICS) ->
     return chain.groupBy("graph_id").agg(F.round(F.count_distinct(F.when(F.col("tactic").isin(required), F.col("tactic"))) / len(required), 6).alias("coverage"))
 
 
-def graph_quality_score(parts: DataFrame) -> DataFrame:
-    """Parts (coverage, connectivity, validity, novelty, depth, transition, stage_validity) with total: weights .25 .2 .25 .05 .1 .1 .05."""
-    weights = {"coverage": 0.25, "connectivity": 0.2, "validity": 0.25, "novelty": 0.05, "depth": 0.1, "transition": 0.1, "stage_validity": 0.05}
-    return parts.withColumn("total", F.round(sum(F.col(c) * w for c, w in weights.items()), 6))
+def label_novelty(nodes: DataFrame, references: DataFrame, max_refs: int = 10) -> DataFrame:
+    """(graph_id, novelty): 1 - the mean Jaccard similarity of a graph's labels with each of the first ``max_refs`` reference graphs; 0.5 without any.
+
+    Tables are (graph_id, label). Common labels are counted by a join on the label, so nothing is collected; a pair without
+    one has similarity 0. The bound on references is the reference's own.
+    """
+    own, ref = nodes.select("graph_id", "label").distinct(), references.select("graph_id", "label").distinct()
+    first = ref.select("graph_id").distinct().orderBy("graph_id").limit(max_refs)
+    ref = ref.join(F.broadcast(first), "graph_id").select(F.col("graph_id").alias("_ref"), "label")
+    sizes, ref_sizes = own.groupBy("graph_id").agg(F.count("*").alias("_a")), ref.groupBy("_ref").agg(F.count("*").alias("_b"))
+    common = own.join(ref.hint("merge"), "label").groupBy("graph_id", "_ref").agg(F.count("*").alias("_c"))
+    alike = common.join(sizes.hint("merge"), "graph_id").join(F.broadcast(ref_sizes), "_ref").groupBy("graph_id").agg(F.sum(F.col("_c") / (F.col("_a") + F.col("_b") - F.col("_c"))).alias("_s"))
+    n = first.agg(F.count("*").alias("_n"))
+    mean = F.coalesce("_s", F.lit(0.0)) / F.col("_n")
+    return sizes.join(alike.hint("merge"), "graph_id", "left").crossJoin(F.broadcast(n)).select("graph_id", F.round(F.when(F.col("_n") > 0, 1 - mean).otherwise(0.5), 6).alias("novelty"))
+
+
+def mean_transition_quality(transitions: DataFrame) -> DataFrame:
+    """(graph_id, value): the mean of a graph's scores (graph_id, score) that aren't null; 0.5 without any."""
+    return transitions.groupBy("graph_id").agg(F.round(F.coalesce(F.avg("score"), F.lit(0.5)), 6).alias("value"))
+
+
+def stage_validity_ratio(reports: DataFrame) -> DataFrame:
+    """(graph_id, value): the share of a graph's stage reports (graph_id, valid) that are valid; 0.5 without any (all null)."""
+    return reports.groupBy("graph_id").agg(F.round(F.coalesce(F.avg(F.col("valid").cast("int")), F.lit(0.5)), 6).alias("value"))
+
+
+def mask_validity(edges: DataFrame) -> DataFrame:
+    """(graph_id, validity): the share of edges (graph_id, legal) that the action mask allows."""
+    return edges.groupBy("graph_id").agg(F.round(F.avg(F.coalesce("legal", F.lit(False)).cast("int")), 6).alias("validity"))
+
+
+def graph_structure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, n_nodes, unique_labels, isolated, bridge_edges) of nodes (graph_id, node, label) and edges (graph_id, src, dst, is_bridge)."""
+    used = edges.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("_used", F.lit(1))
+    listed = nodes.join(used.hint("merge"), ["graph_id", "node"], "left").groupBy("graph_id").agg(F.count("*").alias("n_nodes"), F.count_distinct("label").alias("unique_labels"), F.count_if(F.col("_used").isNull()).alias("isolated"))
+    bridges = edges.groupBy("graph_id").agg(F.count_if("is_bridge").alias("_b"))
+    return listed.join(bridges.hint("merge"), "graph_id", "left").select("graph_id", "n_nodes", "unique_labels", "isolated", F.coalesce("_b", F.lit(0)).alias("bridge_edges"))
+
+
+def node_role(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """Nodes with ``role``.
+
+    Without edges, for assembled graphs (graph_id, node, is_bridge, is_hub): bridge, hub, then input, output and executable
+    artifacts by what the id holds, else internal. With edges (graph_id, src, dst), for sampled graphs (graph_id, node, type):
+    the node of most edges out is the hub (ties by name), other processes are internal, the rest input if nothing goes out of
+    them, else output.
+    """
+    if edges is None:
+        holds = lambda part: F.contains("node", F.lit(part))
+        yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+        role = F.when(yes("is_bridge"), "bridge").when(yes("is_hub") | holds("__p0_"), "hub").when(holds("__fin"), "input_artifact").when(holds("__fh"), "output_artifact").when(holds("__exec"), "executable_artifact").otherwise("internal")
+        return nodes.withColumn("role", role)
+    out = edges.groupBy("graph_id", F.col("src").alias("node")).agg(F.count("*").alias("_out"))
+    degree = nodes.join(out.hint("merge"), ["graph_id", "node"], "left").withColumn("_out", F.coalesce("_out", F.lit(0)))
+    hub = degree.groupBy("graph_id").agg(F.min_by("node", F.struct(-F.col("_out"), "node")).alias("_hub"))
+    role = F.when(F.col("node") == F.col("_hub"), "hub").when(F.col("type") == "process", "internal").when(F.col("_out") == 0, "input").otherwise("output")
+    return degree.join(hub.hint("merge"), "graph_id").withColumn("role", role).select(*nodes.columns, "role")
+
+
+# Weights of the quality score and of its macro and micro blends.
+QUALITY = {"coverage": 0.25, "connectivity": 0.2, "validity": 0.25, "novelty": 0.05, "depth": 0.1, "transition": 0.1, "stage_validity": 0.05}
+MACRO = {"coverage": 0.45, "transition": 0.35, "novelty": 0.15, "stage_validity": 0.05}
+MICRO = {"validity": 0.35, "connectivity": 0.25, "depth": 0.2, "stage_validity": 0.2}
+
+
+def graph_quality_score(parts: DataFrame, weights: Mapping[str, float] = QUALITY) -> DataFrame:
+    """Parts (coverage, connectivity, validity, novelty, depth, transition, stage_validity) with total, macro and micro, each a weighted sum. A null part makes its sums null."""
+    blend = lambda table: F.round(sum(F.col(c) * w for c, w in table.items()), 6)
+    return parts.withColumns({"total": blend(weights), "macro": blend(MACRO), "micro": blend(MICRO)})

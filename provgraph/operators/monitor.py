@@ -39,19 +39,24 @@ def converged(steps: DataFrame, n: int = 12, f1: float = 0.75, std: float = 0.04
 
 
 def running_best(steps: DataFrame) -> DataFrame:
-    """(run_id, step, best_f1, best_combined, is_new_best) so far."""
+    """(run_id, step, best_f1, best_miss_rate, best_combined, is_new_best) so far."""
     before = F.max("combined").over(_run().rowsBetween(Window.unboundedPreceding, -1))
     up = _run().rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select("run_id", "step", F.max("f1").over(up).alias("best_f1"), F.max("combined").over(up).alias("best_combined"), (before.isNull() | (F.col("combined") > before)).alias("is_new_best"))
+    return steps.select("run_id", "step", F.max("f1").over(up).alias("best_f1"), F.min("miss_rate").over(up).alias("best_miss_rate"), F.max("combined").over(up).alias("best_combined"), (before.isNull() | (F.col("combined") > before)).alias("is_new_best"))
+
+
+def _plateau_flag(is_new: Column, n: int = 15, std: float = 0.10) -> Column:
+    """Over rows with ``_at``, the running number of a step."""
+    since = F.col("_at") - F.max(F.when(is_new, F.col("_at"))).over(_run().rowsBetween(Window.unboundedPreceding, 0))
+    flat = (F.count("*").over(_last(n)) == n) & (F.round(F.stddev_samp("reward").over(_last(n)), 9) < std)
+    return flat & (since >= n)
 
 
 def plateau(steps: DataFrame, n: int = 15, std: float = 0.10) -> DataFrame:
     """Steps with ``flag``: reward deviation below ``std`` over n steps, and n steps or more without a new best combined score."""
-    best = steps.join(running_best(steps).select("run_id", "step", "is_new_best"), ["run_id", "step"])
-    place = best.withColumn("_at", F.row_number().over(_run()))
-    since = F.col("_at") - F.max(F.when(F.col("is_new_best"), F.col("_at"))).over(_run().rowsBetween(Window.unboundedPreceding, 0))
-    flat = (F.count("*").over(_last(n)) == n) & (F.round(F.stddev_samp("reward").over(_last(n)), 9) < std)
-    return place.select("run_id", "step", F.coalesce(flat & (since >= n), F.lit(False)).alias("flag"))
+    before = F.max("combined").over(_run().rowsBetween(Window.unboundedPreceding, -1))
+    placed = steps.withColumns({"_at": F.row_number().over(_run()), "_new": before.isNull() | (F.col("combined") > before)})
+    return placed.select("run_id", "step", F.coalesce(_plateau_flag(F.col("_new"), n, std), F.lit(False)).alias("flag"))
 
 
 def run_length(condition: Column) -> Column:
@@ -60,24 +65,35 @@ def run_length(condition: Column) -> Column:
     return F.count("*").over(up) - F.coalesce(F.max(F.when(~condition, F.col("_at"))).over(up), F.lit(0))
 
 
+def _degraded_flag(miss: float = 0.80, n: int = 15, low_f1: float = 0.05, m: int = 20) -> Column:
+    bad = run_length(F.col("miss_rate") > miss) >= n
+    return bad | (run_length((F.col("f1") < low_f1) & (F.col("_at") > m)) >= m)
+
+
 def degraded(steps: DataFrame, miss: float = 0.80, n: int = 15, low_f1: float = 0.05, m: int = 20) -> DataFrame:
     """Steps with ``flag``: miss rate above ``miss`` for n steps in a row, or F1 below ``low_f1`` for m in a row counted after step m."""
-    placed = steps.withColumn("_at", F.row_number().over(_run()))
-    bad = run_length(F.col("miss_rate") > miss) >= n
-    weak = run_length((F.col("f1") < low_f1) & (F.col("_at") > m)) >= m
-    return placed.select("run_id", "step", (bad | weak).alias("flag"))
+    return steps.withColumn("_at", F.row_number().over(_run())).select("run_id", "step", _degraded_flag(miss, n, low_f1, m).alias("flag"))
 
 
 def stop_status(steps: DataFrame) -> DataFrame:
-    """(run_id, step, reason): the first step that stops a run; FAILURE before CONVERGED before PLATEAU."""
-    flags = degraded(steps).withColumnRenamed("flag", "_d").join(converged(steps).withColumnRenamed("flag", "_c"), ["run_id", "step"]).join(plateau(steps).withColumnRenamed("flag", "_p"), ["run_id", "step"])
+    """(run_id, step, reason): the first step that stops a run; FAILURE before CONVERGED before PLATEAU.
+
+    All flags are windows over one ordering of the runs, so the steps are shuffled once and nothing is joined.
+    """
+    before = F.max("combined").over(_run().rowsBetween(Window.unboundedPreceding, -1))
+    placed = steps.withColumns({"_at": F.row_number().over(_run()), "_new": before.isNull() | (F.col("combined") > before)})
+    flagged = placed.withColumns({"_d": _degraded_flag(), "_c": F.coalesce(converged_flag(), F.lit(False)), "_p": F.coalesce(_plateau_flag(F.col("_new")), F.lit(False))})
     reason = F.when(F.col("_d"), "FAILURE").when(F.col("_c"), "CONVERGED").when(F.col("_p"), "PLATEAU")
-    return flags.withColumn("reason", reason).where("reason is not null").groupBy("run_id").agg(F.min_by("reason", "step").alias("reason"), F.min("step").alias("step"))
+    return flagged.withColumn("reason", reason).where("reason is not null").groupBy("run_id").agg(F.min_by("reason", "step").alias("reason"), F.min("step").alias("step"))
 
 
 def episode_summary(steps: DataFrame) -> DataFrame:
-    """(run_id, episode, calls, misses, miss_rate, mean_f1)."""
-    return steps.groupBy("run_id", "episode").agg(F.count("*").alias("calls"), F.sum("fn").alias("misses"), F.round(F.sum("fn") / (F.sum("fn") + F.sum("tp") + 1e-9), 6).alias("miss_rate"), F.round(F.avg("f1"), 6).alias("mean_f1"))
+    """(run_id, episode, calls, misses, miss_rate, mean_f1, mean_reward, detection, total_tp, total_fp): ``detection`` is precision + recall - 2 misses, of the episode's counts, + its mean reward."""
+    tp, fp, fn = (F.sum(c) for c in ("tp", "fp", "fn"))
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    rows = steps.groupBy("run_id", "episode").agg(F.count("*").alias("calls"), fn.alias("misses"), F.round(fn / (fn + tp + 1e-9), 6).alias("miss_rate"), F.round(F.avg("f1"), 6).alias("mean_f1"), F.avg("reward").alias("_r"), tp.alias("total_tp"), fp.alias("total_fp"))
+    score = share(F.col("total_tp"), F.col("total_tp") + F.col("total_fp")) + share(F.col("total_tp"), F.col("total_tp") + F.col("misses")) - 2 * F.col("misses") + F.col("_r")
+    return rows.withColumns({"mean_reward": F.round("_r", 6), "detection": F.round(score, 6)}).drop("_r")
 
 
 def arm_posteriors(outcomes: DataFrame) -> DataFrame:
@@ -91,3 +107,11 @@ def hard_samples(scores: DataFrame, k: int = 500) -> DataFrame:
     missed = scores.where("label = 1 and prob < 0.5").select("sample_id", F.round(1 - 2 * F.abs(F.col("prob") - 0.5), 6).alias("priority"))
     top = missed.orderBy(F.desc("priority"), "sample_id").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("priority"), "sample_id")))
+
+
+def f1_curves(series: DataFrame, prefix: str = "") -> tuple[DataFrame, DataFrame]:
+    """curves (run_id, episode, f1) of the runs whose name starts with ``prefix``, episodes numbered from 1, and (run_id, last_f1)."""
+    name = F.element_at(F.split("run_id", "/"), -1)
+    rows = series.where(F.startswith(name, F.lit(prefix))).where("f1 is not null")
+    curve = rows.select("run_id", F.row_number().over(Window.partitionBy("run_id").orderBy("episode")).alias("episode"), "f1")
+    return curve, rows.groupBy("run_id").agg(F.max_by("f1", "episode").alias("last_f1"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provgraph.functions.names import clean_entity_type, is_executable, name_extension, normalize_tool
+from provgraph.functions.names import clean_entity_type, fallback_name, is_executable, name_extension, normalize_tool
+from provgraph.operators.features import graph_structure
+from provgraph.operators.ranking import numbered
 
 PROCESS, FILES, SOCKET = ["MP", "TP"], ["MF", "SF", "TF"], ["SO"]
 ALL = PROCESS + FILES + SOCKET
@@ -140,18 +142,97 @@ def semantic_violations(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", "edge_id", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 
 
+# Tactics that need network activity, and those that need a file.
+NETWORK_TACTICS = ["command-and-control", "exfiltration", "lateral-movement"]
+ARTIFACT_TACTICS = ["persistence", "credential-access", "collection"]
+
+
 def check_stage_semantics(stages: DataFrame) -> DataFrame:
-    """Stages (graph_id, stage, tactic, edge_types, node_types) with ``issues`` and ``valid``."""
-    tactic, edge_types, node_types = F.col("tactic"), F.col("edge_types"), F.col("node_types")
-    missing = F.lit(False)
-    for name, codes in TACTIC_EDGES.items():
-        missing = missing | ((tactic == name) & ~F.arrays_overlap(edge_types, F.array(*map(F.lit, codes))))
-    wide = tactic.isin("command-and-control", "exfiltration", "lateral-movement") & ~F.array_contains(node_types, "socket") & ~F.arrays_overlap(edge_types, F.array(F.lit("ST"), F.lit("RCV")))
-    artifact = tactic.isin("persistence", "credential-access", "collection") & ~F.array_contains(node_types, "file")
-    issues = F.array_compact(F.array(F.when(missing, "missing expected edge"), F.when(wide, "expected network activity"), F.when(artifact, "expected file artifact")))
+    """Stages (graph_id, stage, tactic, edge_types, node_types) with ``issues``, codes of what a tactic lacks, and ``valid``.
+
+    ``no_edge``: none of the tactic's edge codes; ``no_network``: a tactic over the network without socket node or network
+    code; ``no_file``: a tactic that leaves artifacts without a file node. Other tactics have no issues.
+    """
+    tactic, codes, kinds = F.col("tactic"), F.col("edge_types"), F.col("node_types")
+    any_of = lambda column, values: F.arrays_overlap(column, F.array(*map(F.lit, values)))
+    wanted = F.element_at(F.create_map(*(x for name, listed in TACTIC_EDGES.items() for x in (F.lit(name), F.array(*map(F.lit, listed))))), tactic)
+    rules = [
+        ("no_edge", wanted.isNotNull() & ~F.arrays_overlap(codes, wanted)),
+        ("no_network", tactic.isin(NETWORK_TACTICS) & ~any_of(kinds, ["socket"]) & ~any_of(codes, ["ST", "RCV"])),
+        ("no_file", tactic.isin(ARTIFACT_TACTICS) & ~any_of(kinds, ["file"])),
+    ]
+    issues = F.array_compact(F.array(*(F.when(broken, name) for name, broken in rules)))
     return stages.withColumn("issues", issues).withColumn("valid", F.size("issues") == 0)
 
 
+def validate_graphs(nodes: DataFrame, edges: DataFrame, threshold: float = 0.30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Kept edges, stats (as ``graph_validity``, a graph a row) and violations (graph_id, kind, n).
+
+    Nodes are (graph_id, node_idx, type), edges (graph_id, src, verb, dst, ...) over all stages. An edge to an index that isn't
+    listed is removed as ``out_of_bounds``, another that breaks a type rule under its ``SRC-VERB->DST``. A node listed twice
+    counts with the least of its types.
+    """
+    types = nodes.groupBy("graph_id", "node_idx").agg(F.min("type").alias("type"))
+    end = lambda c: types.select("graph_id", F.col("node_idx").alias(c), F.col("type").alias(f"_{c}")).hint("merge")
+    typed = edges.join(end("src"), ["graph_id", "src"], "left").join(end("dst"), ["graph_id", "dst"], "left")
+    lost = F.col("_src").isNull() | F.col("_dst").isNull()
+    triple = F.concat(clean_entity_type(F.col("_src")), F.lit("-"), "verb", F.lit("->"), clean_entity_type(F.col("_dst")))
+    marked = typed.withColumn("_kind", F.when(lost, "out_of_bounds").when(~type_rule_ok(F.col("_src"), F.col("verb"), F.col("_dst")), triple))
+    counted = marked.groupBy("graph_id").agg(F.count("*").alias("total"), F.count("_kind").alias("removed"))
+    rate = F.col("removed") / F.col("total")
+    stats = counted.select("graph_id", "total", "removed", (F.col("total") - F.col("removed")).alias("remaining"), F.round(rate, 6).alias("rate"), (rate <= threshold).alias("graph_valid"))
+    violations = marked.where("_kind is not null").groupBy("graph_id", F.col("_kind").alias("kind")).agg(F.count("*").alias("n"))
+    return marked.where("_kind is null").select(edges.columns), stats, violations
+
+
+def quality_gate(nodes: DataFrame, edges: DataFrame, chain: DataFrame) -> DataFrame:
+    """(graph_id, issues, ok) of nodes (graph_id, node, label, type), edges (graph_id, edge_id, src, dst, code, is_bridge) and chain (graph_id, tactic).
+
+    Issues: ``few_tactics`` (under 3), ``repeated_labels`` (distinct labels under half the nodes), ``writes_dominate`` (WF over
+    half the edges), ``isolated_nodes``, ``semantic`` (any row of ``semantic_violations``). A graph without nodes has no row.
+    """
+    structure = graph_structure(nodes, edges)
+    tactics = chain.groupBy("graph_id").agg(F.count_distinct("tactic").alias("_t"))
+    codes = edges.groupBy("graph_id").agg(F.count("*").alias("_e"), F.count_if(F.col("code") == "WF").alias("_w"))
+    end = lambda c, *cols: nodes.select("graph_id", F.col("node").alias(c), *cols).hint("merge")
+    typed = edges.join(end("src", F.col("type").alias("src_type")), ["graph_id", "src"]).join(end("dst", F.col("type").alias("dst_type"), F.col("label").alias("dst_label")), ["graph_id", "dst"])
+    broken = semantic_violations(typed).groupBy("graph_id").agg(F.count("*").alias("_v"))
+    joined = structure
+    for part in (tactics, codes, broken):
+        joined = joined.join(part.hint("merge"), "graph_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    rules = [
+        ("few_tactics", n("_t") < 3), ("repeated_labels", F.col("unique_labels") < 0.5 * F.col("n_nodes")), ("writes_dominate", n("_w") > 0.5 * n("_e")),
+        ("isolated_nodes", F.col("isolated") > 0), ("semantic", n("_v") > 0),
+    ]
+    issues = F.array_compact(F.array(*(F.when(bad, name) for name, bad in rules)))
+    return joined.select("graph_id", issues.alias("issues"), (F.size(issues) == 0).alias("ok"))
+
+
+def node_name_consistent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (graph_id, node, type, name) with ``ok`` and the name to use: it must pass the tool rules with the verb of every edge out (target unknown) and, as target of an unknown tool, of every edge in; else the type's default name.
+
+    Verbs are counted once a node. A node without a name is left alone: its name stays null and ok is true.
+    """
+    verbs = edges.select("graph_id", F.col("src").alias("node"), "verb", F.lit(True).alias("_out")).unionByName(edges.select("graph_id", F.col("dst").alias("node"), "verb", F.lit(False).alias("_out"))).distinct()
+    joined = nodes.select("graph_id", "node", "name").join(verbs.hint("merge"), ["graph_id", "node"])
+    fits = F.when(F.col("_out"), tool_rule_ok(F.col("name"), F.col("verb"), F.lit("unknown"))).otherwise(tool_rule_ok(F.lit("unknown"), F.col("verb"), F.col("name")))
+    bad = joined.where(F.col("name").isNotNull() & ~fits).select("graph_id", "node").distinct().withColumn("_bad", F.lit(True))
+    marked = nodes.join(bad.hint("merge"), ["graph_id", "node"], "left")
+    return marked.withColumns({"ok": F.col("_bad").isNull(), "name": F.when(F.col("_bad").isNull(), F.col("name")).otherwise(fallback_name(F.col("type")))}).select(*nodes.columns, "ok")
+
+
+def prune_named_edges(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (graph_id, node_idx, name, ...) with a name, numbered again in the old order, and the edges (graph_id, src, dst, verb, ...) between them whose names pass the tool rules."""
+    named = nodes.where("name is not null and name != ''")
+    kept = numbered(named, ["node_idx"], ["graph_id"], "_new")
+    mapping = kept.select("graph_id", F.col("node_idx").alias("old_idx"), F.col("_new").cast("int").alias("new_idx"), "name")
+    end = lambda c: mapping.select("graph_id", F.col("old_idx").alias(c), F.col("new_idx").alias(f"_{c}"), F.col("name").alias(f"_{c}_name")).hint("merge")
+    both = edges.join(end("src"), ["graph_id", "src"]).join(end("dst"), ["graph_id", "dst"])
+    fine = both.where(tool_rule_ok(F.col("_src_name"), F.col("verb"), F.col("_dst_name"))).withColumns({"src": F.col("_src"), "dst": F.col("_dst")})
+    return kept.withColumn("node_idx", F.col("_new").cast("int")).select(nodes.columns), fine.select(edges.columns)
+
+
 def filter_allowed_triples(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     """Edges whose (src_type, verb, dst_type) is in the table."""
     return edges.join(allowed.select("src_type", "verb", "dst_type"), ["src_type", "verb", "dst_type"], "left_semi")

@@ -54,7 +54,7 @@ ORACLES["a4_importance"] = with_views("select r.graph_id, r.node, round(0.4", "s
 SHARE = "round(count(*) filter ({c}) / count(*), 6) as share_{v}"
 ORACLES["g6_surface_features"] = with_views(
     f"select a.*, b.* exclude (graph_id) from (select graph_id, count(*) as n_nodes, {', '.join(SHARE.format(c=f'type = {v!r}', v=v) for v in ('process', 'file', 'socket'))} from (select graph_id, node, arg_min(type, edge_id * 2 + 1 - o) as type from {SM} group by all) group by graph_id) a "
-    f"join (select graph_id, count(*) as n_edges, {', '.join(SHARE.format(c=f'action = {v!r}', v=v) for v in ('read', 'write', 'execute', 'clone', 'send'))} from small_graphs group by graph_id) b on a.graph_id = b.graph_id",
+    f"join (select graph_id, count(*) as n_edges, {', '.join(SHARE.format(c=f'action = {v!r}', v=v) for v in ('read', 'write', 'execute', 'clone', 'send', 'mmap'))} from small_graphs group by graph_id) b on a.graph_id = b.graph_id",
     "small_graphs",
 )
 

@@ -211,11 +211,13 @@ _add("c10_pair_negatives", "scores", lambda d: C.pair_negatives(d.where("label =
 _add("c11_split_groups", "mix_edges", lambda d: C.split_groups(d.select("graph_id", "edge_id"), "graph_id").select("edge_id", "split"), f"select edge_id, case when r <= floor(n * (2 / 3)) then 'train' else 'test' end as split from mix_edges join (select graph_id, row_number() over (order by {DRAW.format(k='graph_id')}, graph_id) as r, count(*) over () as n from (select distinct graph_id from mix_edges)) using (graph_id)")
 _add("c12_sample_edges", "ev_edges", lambda d: C.sample_edges(d, 0.6).select("graph_id", "edge_id"), f"select graph_id, edge_id from (select *, row_number() over (partition by graph_id order by {DRAW.format(k='edge_id')}, edge_id) as r, count(*) over (partition by graph_id) as n from ev_edges) where r <= greatest(1, floor(n * 0.6))")
 _add("c13_sample_weighted", "ev_edges", lambda d: C.sample_weighted(d.withColumn("w", N.action_risk(F.col("action"))), "graph_id", "edge_id", "w", 20).select("graph_id", "edge_id"), f"select graph_id, edge_id from (select graph_id, edge_id, row_number() over (partition by graph_id order by round(ln((cast('0x' || substring({DRAW.format(k='edge_id')}, 1, 8) as bigint) + 0.5) / 4294967296.0) / cast({RISK} as double), 9) desc, edge_id) as r from ev_edges) where r <= 20")
+EVEN = "(select graph_id, count(*) as e, unnest([0.0::double, 0.5, 1.0]) as camo_ratio, graph_id || '__camo' || cast(camo_ratio as varchar) as sample_id from small_graphs where cast(graph_id as int) % 2 = 0 group by graph_id)"
 _add(
-    "c7_mix_in_noise", "small_graphs", lambda d: C.mix_in_noise(d.where("cast(graph_id as int) % 5 = 0"), d.where("cast(graph_id as int) % 5 = 1"), [0.0, 0.5, 1.0]),
-    """select sample_id, camo_ratio, edge_id, 'own' as origin from (select graph_id, edge_id from small_graphs where cast(graph_id as int) % 5 = 0) join (select graph_id, count(*) as e, unnest([0.0::double, 0.5, 1.0]) as camo_ratio, graph_id || '__camo' || cast(camo_ratio as varchar) as sample_id from small_graphs where cast(graph_id as int) % 5 = 0 group by graph_id) using (graph_id)
-    union all select sample_id, camo_ratio, p.edge_id, 'noise' from (select *, unnest(range(1, cast(round_even(e * camo_ratio, 0) as int) + 1)) as slot from (select graph_id, count(*) as e, unnest([0.0::double, 0.5, 1.0]) as camo_ratio, graph_id || '__camo' || cast(camo_ratio as varchar) as sample_id from small_graphs where cast(graph_id as int) % 5 = 0 group by graph_id)) s
-    join (select edge_id, row_number() over (order by edge_id) - 1 as i, count(*) over () as n from small_graphs where cast(graph_id as int) % 5 = 1) p on p.i = cast('0x' || substring(md5(concat_ws('|', '0', sample_id, cast(slot as varchar))), 1, 8) as bigint) % p.n""",
+    "c7_mix_in_noise", "small_graphs", lambda d: C.mix_in_noise(d.where("cast(graph_id as int) % 2 = 0"), d.where("cast(graph_id as int) % 2 = 1"), [0.0, 0.5, 1.0]),
+    f"""select sample_id, camo_ratio, edge_id, 'own' as origin from (select graph_id, edge_id from small_graphs) join {EVEN} using (graph_id)
+    union all select sample_id, camo_ratio, p.edge_id, 'noise' from (select *, unnest(range(0, cast(round_even(e * camo_ratio, 0) as int))) as slot from {EVEN}) s
+    join (select edge_id, row_number() over (order by {DRAW.format(k='edge_id')}, edge_id) - 1 as i, count(*) over () as n from small_graphs where cast(graph_id as int) % 2 = 1) p
+    on p.i = (cast('0x' || substring({DRAW.format(k='sample_id')}, 1, 8) as bigint) + slot) % p.n""",
 )
 
 # Evaluation.
@@ -265,8 +267,8 @@ _add("w4_plateau", "steps", W.plateau, f"select * from {FLAT15}")
 BAD = "(select run_id, step, step - coalesce(max(case when not miss_rate > 0.80 then step end) over up, 0) >= 15 or step - coalesce(max(case when not (f1 < 0.05 and step > 20) then step end) over up, 0) >= 20 as flag from steps window up as (partition by run_id order by step))"
 _add("w5_degraded", "steps", W.degraded, f"select * from {BAD}")
 _add("w6_stop_status", "steps", W.stop_status, f"select run_id, arg_min(reason, step) as reason, min(step) as step from (select run_id, step, case when d.flag then 'FAILURE' when c.flag then 'CONVERGED' when p.flag then 'PLATEAU' end as reason from {BAD} d join (select run_id, step, {CONV} as flag from steps window {W12}) c using (run_id, step) join {FLAT15} p using (run_id, step)) where reason is not null group by run_id")
-_add("w7_running_best", "steps", W.running_best, f"select run_id, step, max(f1) over up as best_f1, max(combined) over up as best_combined, is_new as is_new_best from {BEST} window up as (partition by run_id order by step)")
-_add("w8_episode_summary", "steps", W.episode_summary, "select run_id, episode, count(*) as calls, cast(sum(fn) as bigint) as misses, round(sum(fn) / (sum(fn) + sum(tp) + 1e-9), 6) as miss_rate, round(avg(f1), 6) as mean_f1 from steps group by run_id, episode")
+_add("w7_running_best", "steps", lambda d: W.running_best(d).drop("best_miss_rate"), f"select run_id, step, max(f1) over up as best_f1, max(combined) over up as best_combined, is_new as is_new_best from {BEST} window up as (partition by run_id order by step)")
+_add("w8_episode_summary", "steps", lambda d: W.episode_summary(d).select("run_id", "episode", "calls", "misses", "miss_rate", "mean_f1"), "select run_id, episode, count(*) as calls, cast(sum(fn) as bigint) as misses, round(sum(fn) / (sum(fn) + sum(tp) + 1e-9), 6) as miss_rate, round(avg(f1), 6) as mean_f1 from steps group by run_id, episode")
 _add("w9_arm_posteriors", "steps", lambda d: W.arm_posteriors(d.select((F.col("step") % 3).alias("arm"), F.col("tp").alias("success"))), "select step % 3 as arm, 1 + count(*) filter (tp = 1) as alpha, 1 + count(*) filter (tp = 0) as beta, round((1 + count(*) filter (tp = 1)) / (2 + count(*)), 6) as mean from steps group by 1")
 _add("w10_hard_samples", "scores", lambda d: W.hard_samples(d, 50).withColumn("rank", F.col("rank").cast("bigint")), "select * from (select sample_id, round(1 - 2 * abs(prob - 0.5), 6) as priority, row_number() over (order by round(1 - 2 * abs(prob - 0.5), 6) desc, sample_id) as rank from scores where label = 1 and prob < 0.5) where rank <= 50")
 

@@ -6,7 +6,7 @@ Bad records give no row, unless a reader says otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provgraph.functions.names import map_event_action, object_type, ref_uuid
@@ -110,11 +110,11 @@ def read_verdicts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return good, marked.where(F.size("_missing") > 0).select("file", F.concat(F.lit("missing "), F.array_join("_missing", ", ")).alias("reason"))
 
 
-def read_bundles(spark: SparkSession, path: str, families: list[str] | None = None, variants: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """samples, nodes and edges of nested JSON bundles; a bundle that can't be read, or without nodes or edges, gives no row."""
+def read_bundles(spark: SparkSession, path: str, families: list[str] | None = None, variants: list[str] | None = None, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """samples, nodes and edges of nested JSON bundles, one a file, or one a line with ``lines``; a bundle that can't be read, or without nodes or edges, gives no row."""
     node, edge = "id:string,label:string,type:string,stage:string,role:string", "id:string,source:string,target:string,type:string,event_order:int,is_bridge:boolean"
     schema = f"graph_id string, apt string, variant_type string, label string, nodes array<struct<{node}>>, edges array<struct<{edge}>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True).where("size(nodes) > 0 and size(edges) > 0")
+    rows = spark.read.schema(schema).json(path, multiLine=not lines).where("size(nodes) > 0 and size(edges) > 0")
     for column, kept in (("apt", families), ("variant_type", variants)):
         if kept:
             rows = rows.where(F.col(column).isin(kept))
@@ -136,3 +136,98 @@ def read_dot_edges(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     found = lines.where(F.col("line").rlike(node) & ~F.col("line").contains("->") & ~F.col("line").startswith("digraph")).withColumn("id", F.regexp_extract("line", node, 1))
     listed = found.select("graph_id", name("id").alias("node"), F.struct(F.coalesce(attr("label"), "id").alias("label"), F.coalesce(attr("type"), bare, F.lit("")).alias("type")).alias("x"), "pos")
     return listed.groupBy("graph_id", "node").agg(F.max_by("x", "pos").alias("x")).select("graph_id", "node", "x.*"), edges
+
+
+VERBS = ["RD", "WR", "EX", "UK", "CD", "FR", "IJ", "ST", "RF"]  # fixed values, as the entity types below
+ENTITIES = ["MP", "TP", "MF", "SF", "TF", "SO"]
+
+
+def _graph_blocks(blocks: DataFrame, staged: bool) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of (graph_id, text), where a text is N, N node lines, M, and M lines ``src dst VERB[-s..]``."""
+    clean = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))), lambda x: x != "")
+    rows = blocks.select("graph_id", clean.alias("_l")).withColumn("_n", F.element_at("_l", 1).try_cast("int")).where("_n is not null and _n >= 0")
+    nodes = rows.select("graph_id", F.posexplode(F.slice("_l", F.lit(2), F.col("_n"))).alias("node_idx", "name"))
+    lines = rows.select("graph_id", F.posexplode(F.slice("_l", F.col("_n") + 3, F.greatest(F.size("_l"), F.lit(1)))).alias("edge_idx", "line"))
+    form = r"^(\d+)\s+(\d+)\s+([A-Z]{2})(?:-([0-9-]+))?$" if staged else r"^(\d+)\s+(\d+)\s+([A-Za-z_]+)(?:-([0-9-]+))?$"
+    part = lambda i: F.regexp_extract("line", form, i)
+    stages = F.transform(F.filter(F.split(part(4), "-"), lambda x: x.rlike("^[1-4]$")), lambda x: x.cast("int"))
+    every = F.array(*map(F.lit, (1, 2, 3, 4)))
+    found = lines.where(F.col("line").rlike(form)).select("graph_id", "edge_idx", part(1).cast("int").alias("src_idx"), part(2).cast("int").alias("dst_idx"), part(3).alias("verb"), F.when(part(4) == "", every).otherwise(F.array_distinct(stages)).alias("_s"))
+    end = lambda c: nodes.select("graph_id", F.col("node_idx").alias(f"{c}_idx"), F.col("name").alias(c)).hint("merge")
+    named = found.join(end("src"), ["graph_id", "src_idx"], "left").join(end("dst"), ["graph_id", "dst_idx"], "left")
+    columns = ["graph_id", "edge_idx", "src_idx", "dst_idx", "src", "dst", "verb"]
+    return nodes, named.select(*columns, F.explode("_s").alias("stage")) if staged else named.select(*columns)
+
+
+def read_graph_text(spark: SparkSession, path: str, staged: bool = False) -> tuple[DataFrame, DataFrame]:
+    """nodes (graph_id, node_idx, name) and edges (graph_id, edge_idx, src_idx, dst_idx, src, dst, verb), a graph a file.
+
+    ``staged`` adds a row for each stage of the suffix, for all four without one; stages outside 1 to 4 are ignored, and
+    only verbs of two capitals count. An index without a node has a null name. A file without a number first gives no row.
+    """
+    return _graph_blocks(spark.read.text(path, wholetext=True).select(_stem().alias("graph_id"), F.col("value").alias("text")), staged)
+
+
+def read_graph_blocks(spark: SparkSession, path: str, staged: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Like ``read_graph_text`` for files that hold many graphs, each after a line ``#i``; a graph is named by file and i."""
+    parts = spark.read.text(path, wholetext=True).select(_stem().alias("_f"), F.explode(F.split("value", r"(?m)^(?=#\d+\s*$)")).alias("_b"))
+    named = parts.where(F.col("_b").rlike(r"^#\d+")).select(F.concat_ws("#", "_f", F.regexp_extract("_b", r"^#(\d+)", 1)).alias("graph_id"), F.regexp_replace("_b", r"^#\d+\s*", "").alias("text"))
+    return _graph_blocks(named, staged)
+
+
+def read_token_graphs(spark: SparkSession, path: str, max_node: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes (graph_id, node_idx, type) and edges (graph_id, edge_idx, src_idx, dst_idx, verb), a graph a line.
+
+    Entity tokens, marked with ``*`` or not, come first; the last one is dropped unless there are exactly ``max_node``
+    (None: unless none is marked, as such a line has been cut already). The other tokens are read by threes; a stage suffix is cut,
+    and triples without two numbers and a known verb give no edge. A graph is named by file and line number from 0.
+    """
+    lines = _lines(spark, path).where(F.trim("value") != "")
+    name = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    numbered = lines.withColumn("_i", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
+    tokens = numbered.select(F.concat_ws("#", name, F.col("_i").cast("string")).alias("graph_id"), F.split(F.trim("value"), r"\s+").alias("_t"))
+    bare = lambda x: F.regexp_replace(x, r"^\*+", "")
+    rows = tokens.withColumn("_e", F.filter("_t", lambda x: bare(x).isin(ENTITIES))).withColumn("_o", F.filter("_t", lambda x: ~bare(x).isin(ENTITIES)))
+    marked = F.exists("_e", lambda x: F.startswith(x, F.lit("*")))
+    whole = F.size("_e") == max_node if max_node is not None else ~marked
+    nodes = rows.select("graph_id", F.posexplode(F.when(whole | (F.size("_e") == 0), F.col("_e")).otherwise(F.slice("_e", F.lit(1), F.size("_e") - 1))).alias("node_idx", "_x")).select("graph_id", "node_idx", bare(F.col("_x")).alias("type"))
+    at = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_o") - 3, F.lit(0))), lambda i: (i % 3 == 0) & (i + 2 < F.size("_o")))
+    triple = rows.select("graph_id", "_o", F.posexplode(at).alias("edge_idx", "_at"))
+    get = lambda k: F.get("_o", F.col("_at") + k)
+    edges = triple.select("graph_id", "edge_idx", get(0).try_cast("int").alias("src_idx"), get(1).try_cast("int").alias("dst_idx"), F.split_part(get(2), F.lit("-"), F.lit(1)).alias("verb"))
+    return nodes, edges.where(F.col("verb").isin(VERBS) & F.col("src_idx").isNotNull() & F.col("dst_idx").isNotNull())
+
+
+def graph_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graphs, mean_nodes, mean_edges) over the graphs that have a node."""
+    n, e = nodes.groupBy("graph_id").agg(F.count("*").alias("_n")), edges.groupBy("graph_id").agg(F.count("*").alias("_e"))
+    return n.join(e, "graph_id", "left").agg(F.count("*").alias("graphs"), F.round(F.avg("_n"), 6).alias("mean_nodes"), F.round(F.avg(F.coalesce("_e", F.lit(0))), 6).alias("mean_edges"))
+
+
+def read_attack_kb(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """techniques, actors and relationships of a knowledge-base bundle (one JSON object with ``objects``); ``pos`` is the place in it.
+
+    Techniques (id, tid, name, description, tactics, platforms, permissions, impact_types, data_sources, pos) are those neither
+    revoked nor deprecated that have an id of the source ``mitre-attack``; of several such ids the last counts.
+    """
+    strings = ["x_mitre_platforms", "x_mitre_permissions_required", "x_mitre_impact_type", "x_mitre_data_sources"]
+    fields = ["type:string", "id:string", "name:string", "description:string", "revoked:boolean", "x_mitre_deprecated:boolean", "relationship_type:string", "source_ref:string", "target_ref:string"]
+    fields += ["external_references:array<struct<source_name:string,external_id:string>>", "kill_chain_phases:array<struct<phase_name:string>>", *(f"{c}:array<string>" for c in strings)]
+    rows = spark.read.schema(f"objects array<struct<{','.join(fields)}>>").json(path, multiLine=True).select(F.posexplode("objects").alias("pos", "o")).select("pos", "o.*")
+    live = (F.col("type") == "attack-pattern") & ~F.coalesce("revoked", F.lit(False)) & ~F.coalesce("x_mitre_deprecated", F.lit(False))
+    own = F.filter("external_references", lambda r: r.source_name == "mitre-attack")
+    named = rows.where(live).withColumn("tid", F.when(F.size(own) > 0, F.element_at(own, -1).external_id)).where("tid is not null and tid != ''")
+    phases = F.transform("kill_chain_phases", lambda p: p.phase_name).alias("tactics")
+    techniques = named.select("id", "tid", "name", "description", phases, *(F.col(c).alias(to) for c, to in zip(strings, ("platforms", "permissions", "impact_types", "data_sources"))), "pos")
+    actors = rows.where("type = 'intrusion-set'").select("id", "name", "pos")
+    links = rows.where("type = 'relationship'").select(F.col("source_ref").alias("source"), F.col("target_ref").alias("target"), F.col("relationship_type").alias("kind"), "pos")
+    return techniques, actors, links
+
+
+def read_instance_library(spark: SparkSession, path: str) -> DataFrame:
+    """(technique_id, os, entity_type, name) of JSON lines ``{"stage-key": "technique-os", TYPE: [names]}``; repeats stay, an absent type gives no row."""
+    rows = spark.read.schema("`stage-key` string, " + ", ".join(f"{t} array<string>" for t in ENTITIES)).json(path).where("`stage-key` is not null")
+    key = r"^(.*)-([^-]*)$"
+    listed = F.explode(F.array(*(F.struct(F.lit(t).alias("entity_type"), F.col(t).alias("names")) for t in ENTITIES))).alias("x")
+    parts = rows.select(F.regexp_extract("stage-key", key, 1).alias("technique_id"), F.regexp_extract("stage-key", key, 2).alias("os"), listed)
+    return parts.select("technique_id", "os", "x.entity_type", F.explode("x.names").alias("name"))
