@@ -6,23 +6,24 @@ placeholders, and their references and expanded token counts are recorded in ord
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: A content part: units are pixels (width, height), seconds or pages by kind.
 PART = "struct<kind:string, text:string, uri:string, width:int, height:int, seconds:double, pages:int>"
+KINDS = ["image", "audio", "document"]
 IMAGE_PATCH, AUDIO_TOKENS_A_SECOND, DOCUMENT_TOKENS_A_PAGE = 28, 25, 512
 
 
 def escape(text: Column) -> Column:
-    """A text in which no control string can begin: every backslash is doubled, then every ``<|`` becomes ``<\\|``."""
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
+    """A text in which no control string can begin, nor end up by putting texts together: every backslash is doubled, then every ``<`` becomes ``<\\``."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("<\\"))
 
 
 def unescape(text: Column) -> Column:
     """The text that ``escape`` was given."""
-    return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
+    return F.replace(F.replace(text, F.lit("<\\"), F.lit("<")), F.lit("\\\\"), F.lit("\\"))
 
 
 def _patches(side: Column) -> Column:
@@ -50,40 +51,65 @@ def text_part(text: Column) -> Column:
 
 def visit(part: Column) -> Column:
     """A part as it stands in the output: escaped text, or a placeholder such as ``<|image|>``; a part of no known kind is text."""
-    kind = F.when(part.kind.isin("image", "audio", "document"), part.kind)
+    kind = F.when(part.kind.isin(*KINDS), part.kind)
     return F.when(kind.isNotNull(), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part.text, F.lit(""))))
 
 
-def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts") -> DataFrame:
-    """One row a conversation: conv, ``formatted``, ``attachments`` (kind, uri, tokens, in order) and ``attachment_tokens``.
+def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", loss_role: str = "assistant") -> DataFrame:
+    """One row a conversation: conv, ``formatted``, ``attachments`` (kind, uri, tokens, in order), ``attachment_tokens`` and ``loss_spans``.
 
     Turns are ordered by turn, then role, then parts, so ties and repeated rows have one order. Null roles and texts are
-    empty, null parts are none. A conversation's output is one string by definition; conversations are dealt by their id.
+    empty, null parts are none. ``loss_spans`` (start, end, in code points of ``formatted``) are the bodies of the turns of
+    ``loss_role``; their places come from a running sum within the conversation. A conversation's output is one string by
+    definition; conversations are dealt by their id. An empty table gives no row.
     """
-    part_list = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>"))
-    row = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), part_list.cast(f"array<{PART}>").alias("parts"))
-    sorted_turns = F.array_sort(F.collect_list(row))
-    talk = turns.groupBy(conv).agg(sorted_turns.alias("_turns"))
-    one = lambda t: F.concat(F.lit(START), escape(t.role), F.lit(SEP), F.array_join(F.transform(t.parts, visit), ""), F.lit(END))
-    attached = F.filter(F.flatten(F.transform("_turns", lambda t: t.parts)), lambda p: p.kind.isin("image", "audio", "document"))
-    listed = F.transform(attached, lambda p: F.struct(p.kind.alias("kind"), p.uri.alias("uri"), part_tokens(p).alias("tokens")))
+    part_list = F.coalesce(F.col(parts), F.array().cast(f"array<{PART}>")).cast(f"array<{PART}>")
+    rows = turns.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.coalesce(F.col(role), F.lit("")).alias("_role"), part_list.alias("_parts"))
+    head = F.concat(F.lit(START), escape(F.col("_role")), F.lit(SEP))
+    said = rows.withColumn("_head", head).withColumn("_body", F.array_join(F.transform("_parts", visit), ""))
+    size = F.length("_head") + F.length("_body") + len(END)
+    before = Window.partitionBy("_conv").orderBy("_turn", "_role", "_parts").rowsBetween(Window.unboundedPreceding, -1)
+    placed = said.withColumn("_at", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    start = F.col("_at") + F.length("_head")
+    span = F.when(F.col("_role") == loss_role, F.struct(start.alias("start"), (start + F.length("_body")).alias("end")))
+    attached = F.transform(F.filter("_parts", lambda p: p.kind.isin(*KINDS)), lambda p: F.struct(p.kind.alias("kind"), p.uri.alias("uri"), part_tokens(p).alias("tokens")))
+    piece = F.struct("_at", F.concat("_head", "_body", F.lit(END)).alias("piece"), span.alias("span"), attached.alias("attached"))
+    talk = placed.groupBy("_conv").agg(F.array_sort(F.collect_list(piece)).alias("_turns"))
+    listed = F.flatten(F.transform("_turns", lambda t: t.attached))
     return talk.select(
-        conv, F.array_join(F.transform("_turns", one), "").alias("formatted"), listed.alias("attachments"), F.aggregate(listed, F.lit(0).cast("bigint"), lambda n, a: n + a.tokens).alias("attachment_tokens")
+        F.col("_conv").alias(conv),
+        F.array_join(F.transform("_turns", lambda t: t.piece), "").alias("formatted"),
+        listed.alias("attachments"),
+        F.aggregate(listed, F.lit(0).cast("bigint"), lambda n, a: n + a.tokens).alias("attachment_tokens"),
+        F.array_compact(F.transform("_turns", lambda t: t.span)).alias("loss_spans"),
     )
 
 
 def parse_conversations(formatted: DataFrame, conv: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
-    """(conv, messages, loss_text) read back from ``formatted``: role and text of every turn, and the text under the loss mask.
+    """``formatted`` and ``messages`` (role, text, parts) and ``loss_text`` read back from it: every turn, and the text under the loss mask.
 
-    Placeholders stay in the text as they are.
+    As a text never holds a bare ``<``, what looks like a placeholder is one: ``parts`` (kind, text) has a part for each, with
+    the texts between them, and the n-th goes with the n-th of ``attachments``. Neighbouring text parts come back as one;
+    ``text`` is all text parts together.
     """
     pieces = F.slice(F.split("formatted", START.replace("|", r"\|")), 2, 1 << 30)
+    parts_type = "array<struct<kind:string,text:string>>"
+
+    def typed(found: Column, at: Column) -> Column:
+        """The parts in what follows one ``<|`` of a body, or comes before the first."""
+        text = lambda t: F.when(t != "", F.array(F.struct(F.lit("text").alias("kind"), unescape(t).alias("text")))).otherwise(F.array().cast(parts_type))
+        kind = F.substring_index(found, "|>", 1)
+        placeholder = F.array(F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("text")))
+        return F.when(at == 0, text(found)).otherwise(F.concat(placeholder, text(F.substring(found, F.length(kind) + 3, F.length(found)))))
 
     def message(piece: Column) -> Column:
         halves = F.split(piece, SEP.replace("|", r"\|"), 2)
-        body = F.element_at(halves, 2)
-        return F.struct(unescape(F.element_at(halves, 1)).alias("role"), unescape(F.substring(body, F.lit(1), F.length(body) - len(END))).alias("text"))
+        body = F.get(halves, F.lit(1))
+        found = F.split(F.substring(body, F.lit(1), F.length(body) - len(END)), r"<\|")
+        return F.struct(unescape(F.get(halves, F.lit(0))).alias("role"), F.flatten(F.transform(found, typed)).alias("parts"))
 
     read = formatted.withColumn("messages", F.transform(pieces, message))
+    whole = lambda m: F.array_join(F.transform(m.parts, lambda p: F.coalesce(p.text, F.lit(""))), "")
+    read = read.withColumn("messages", F.transform("messages", lambda m: F.struct(m.role.alias("role"), whole(m).alias("text"), m.parts.alias("parts"))))
     under = F.transform(F.filter("messages", lambda m: m.role == loss_role), lambda m: m.text)
     return read.withColumn("loss_text", F.array_join(under, ""))

@@ -50,6 +50,7 @@ def op7_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
         "attachment_tokens",
+        F.size("loss_spans").cast("bigint").alias("n_loss_spans"),
     )
 
 
@@ -74,8 +75,8 @@ select conv_id, count(*) as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
   sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn, role, text)) as loss_sha256,
-  cast(sum(length(replace(replace(role, '\\', '\\\\'), '<|', '<\\|')) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + {len(chat.START + chat.SEP + chat.END)}) as bigint) as formatted_chars,
-  cast(0 as bigint) as attachment_tokens
+  cast(sum(length(replace(replace(role, '\\', '\\\\'), '<', '<\\')) + length(replace(replace(text, '\\', '\\\\'), '<', '<\\')) + {len(chat.START + chat.SEP + chat.END)}) as bigint) as formatted_chars,
+  cast(0 as bigint) as attachment_tokens, count(*) filter (role = 'assistant') as n_loss_spans
 from said group by conv_id"""
 
 QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_robust_pruned_graph, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op8_weak_supervision, op9_subword_softmax, op10_url_ngrams)}
