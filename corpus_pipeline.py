@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie in the compression bands."""
-    return quality.filter_quality(docs)
+    """Documents that pass the base rules and lie in the compression bands, which the good ones of the labels table set."""
+    return quality.filter_quality(docs, quality.fit_bands(docs, read_table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

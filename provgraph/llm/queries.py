@@ -13,7 +13,8 @@ CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.compression_quality(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.compression_quality(docs, quality.fit_bands(docs, read_table(spark, sf_dir, "labels")))
 
 
 def op2_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

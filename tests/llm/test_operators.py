@@ -47,6 +47,30 @@ def test_quality(docs, empty):
     assert quality.filter_quality(docs).columns == docs.columns
 
 
+def test_compression_against_plain_python(docs):
+    """The verdict by the definition: whole text and every chunk in the band for its length."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3, write_content_size=False).compress
+    limits = lambda n: next((low, high) for least, low, high in reversed(quality.BANDS) if n >= least)
+    fits = lambda raw: limits(len(raw))[0] <= len(press(raw)) / len(raw) <= limits(len(raw))[1]
+    for r in quality.compression_quality(docs).collect():
+        raw = texts()[r.doc_id].encode()
+        chunks = [raw[i : i + 4096] for i in range(0, len(raw), 4096)]
+        bad = sum(len(c) for c in chunks if not fits(c))
+        assert r.kept == (not r.base_failed and (not raw or fits(raw) and bad <= 0.3 * len(raw)))
+
+
+def test_bands_decide(spark):
+    """Fitted on labels of even ids: of odd ones labelled bad that pass the base rules half are rejected, of good ones two in a hundred at most."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    bands = quality.fit_bands(docs, labels.where("doc_id % 2 = 0"))
+    got = quality.compression_quality(docs.join(labels.where("doc_id % 2 = 1").select("doc_id"), "doc_id"), bands).join(labels, "doc_id").where("not base_failed")
+    share = {r.quality: r.kept for r in got.selectExpr("quality", "cast(kept as int) as kept").groupBy("quality").avg("kept").withColumnRenamed("avg(kept)", "kept").collect()}
+    assert share[0] <= 0.5 and share[1] >= 0.98, share
+    assert quality.fit_bands(docs.limit(0), labels.limit(0))[-1][1:] == quality.BANDS[-1][1:]
+
+
 def test_bpe_and_packing(docs, empty):
     for chunk in (bpe.CHUNK, 1024):
         out = {r.doc_id: r for r in bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, chunk=chunk).collect()}
