@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import pickle
 import re
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,21 +15,35 @@ from pyspark.sql import functions as F
 
 from provgraph.llm.common import add_columns, map_rows, unused
 
-#: Hash buckets, width of an embedding, byte lengths of subwords.
-BUCKETS, WIDTH, SHORT, LONG = 1 << 16, 16, 2, 4
+#: Hash buckets, width of an embedding, byte lengths of subwords, bytes of a text hashed at a time.
+BUCKETS, WIDTH, SHORT, LONG, BLOCK = 1 << 16, 16, 2, 5, 1 << 20
 #: A-Z in small letters, other ASCII characters than letters as spaces; bytes of other scripts stay.
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+_MIX = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393], np.uint32)
 
 
 def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_LETTERS).split()
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word and of its byte n-grams, its ends marked."""
-    marked = b"<" + word + b">"
-    found = [zlib.crc32(marked[i : i + n]) & (BUCKETS - 1) for n in range(SHORT, LONG + 1) for i in range(len(marked) - n + 1)]
-    return [*found, zlib.crc32(marked + b"#") & (BUCKETS - 1)]
+def subwords(words: Sequence[bytes]) -> Iterator[np.ndarray]:
+    """Buckets of the byte n-grams of 2 to 5 of the words, a word's ends being spaces, in blocks; no n-gram goes over a space.
+
+    Multiplicative hashes over all places of a block at once.
+    """
+    line = b" " + b" ".join(words) + b" "
+    for at in range(0, len(line) - 1, BLOCK):
+        part = np.frombuffer(line[at : at + BLOCK + LONG - 1], np.uint8)
+        inner, hashed, fine = part == 32, part * _MIX[0], np.ones(len(part), bool)
+        for n in range(2, LONG + 1):
+            size = min(len(part) - n + 1, BLOCK)
+            if size <= 0:
+                break
+            hashed = hashed[: len(part) - n + 1] + part[n - 1 :] * _MIX[n - 1]
+            if n > 2:
+                fine = fine[: len(part) - n + 1] & ~inner[n - 2 : len(part) - 1]
+            found = hashed[:size][fine[:size]]
+            yield ((found ^ (found >> np.uint32(15))) * np.uint32(2246822519) + np.uint32(n * 40503)) >> np.uint32(16)
 
 
 def has_letter(text: str | None) -> bool:
@@ -38,13 +52,25 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class LanguageModel:
-    """langs in order; a bucket's logits (embedding times softmax weights), bias, temperature, and the least accepted score."""
+    """langs in order; a bucket's logits (embedding times softmax weights) with a last column for what is no language, bias,
+    temperature, and the least accepted score. What training found on its kept texts: share of right answers, of texts rejected, of noise rejected."""
 
     langs: list[str]
     logits: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
+    right: float = 0.0
+    rejected: float = 0.0
+    noise_rejected: float = 0.0
+
+    def mean(self, words: Sequence[bytes]) -> np.ndarray:
+        """The mean logits of the words' subwords."""
+        total, count = np.zeros(self.logits.shape[1]), 0
+        for found in subwords(words):
+            total += self.logits[found].sum(0, dtype=np.float64)
+            count += len(found)
+        return total / max(count, 1)
 
     def chances(self, mean: np.ndarray) -> np.ndarray:
         z = (mean + self.bias) / self.temperature
@@ -62,21 +88,27 @@ def _segments(words: Sequence[bytes], rng: np.random.Generator) -> list[Sequence
     return out
 
 
+def noise(words: Sequence[bytes], rng: np.random.Generator) -> list[Sequence[bytes]]:
+    """Texts in no language of about the words' lengths: their letters shuffled all over, random small letters, encoded bytes."""
+    lengths = [len(w) for w in words[:400]]
+    cuts = np.cumsum(lengths)[:-1]
+    letters = np.frombuffer(b"".join(words[:400]), np.uint8)
+    dealt = lambda x: [p.tobytes() for p in np.split(x, cuts)]
+    encoded = base64.b64encode(rng.integers(0, 256, max(8, len(letters) // 2), dtype=np.uint8).tobytes())
+    return [dealt(rng.permutation(letters)), dealt(rng.integers(97, 123, len(letters)).astype(np.uint8)), words_of(encoded.decode())]
+
+
 def train(rows: Sequence[tuple[str, str]], epochs: int = 6, rate: float = 0.5, held: int = 5, seed: int = 1) -> LanguageModel:
-    """A model of (text, lang). Every ``held``-th text is kept from the descent and sets temperature and rejection.
+    """A model of (text, lang), with one more class of generated noise. Every ``held``-th text is kept from the descent and sets temperature and rejection.
 
-    The temperature is the one of greatest likelihood on the kept texts; the least score lets at most one in a thousand of
-    their right answers be rejected, and is never above one half.
+    The temperature is the one of greatest likelihood on the kept texts, their parts and noise made from them. The least score
+    is the one that rejects 99 in a hundred noise texts, unless more than one in a thousand right answers on kept texts are below it.
     """
     langs = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(seed)
-    known: dict[bytes, np.ndarray] = {}
 
     def bag(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        for w in words:
-            if w not in known:
-                known[w] = np.array(subwords(w), np.int32)
-        at, counts = np.unique(np.concatenate([known[w] for w in words]), return_counts=True)
+        at, counts = np.unique(np.concatenate(list(subwords(words))), return_counts=True)
         return at, counts.astype(np.float32)
 
     fit, kept = [], []
@@ -85,8 +117,9 @@ def train(rows: Sequence[tuple[str, str]], epochs: int = 6, rate: float = 0.5, h
         if words:
             (kept if i % held == 0 else fit).append((words, langs.index(lang)))
     table = (rng.random((BUCKETS, WIDTH), np.float32) - 0.5) / WIDTH
-    weights, bias = np.zeros((WIDTH, len(langs)), np.float32), np.zeros(len(langs), np.float32)
+    weights, bias = np.zeros((WIDTH, len(langs) + 1), np.float32), np.zeros(len(langs) + 1, np.float32)
     bags = [(*bag(part), y) for words, y in fit for part in _segments(words, rng)]
+    bags += [(*bag(part), len(langs)) for words, _ in fit for made in noise(words, rng) for part in _segments(made, rng)[:2]]
     steps = epochs * max(1, len(bags))
     for step in range(epochs * len(bags)):
         if step % len(bags) == 0:
@@ -103,15 +136,22 @@ def train(rows: Sequence[tuple[str, str]], epochs: int = 6, rate: float = 0.5, h
         weights -= pace * np.outer(mean, off)
         bias -= pace * 0.1 * off
         table[at] -= pace * share[:, None] * back * min(len(at), 64)
-    model = LanguageModel(langs, table @ weights, bias)
+    model = LanguageModel(langs, (table @ weights).astype(np.float32), bias)
     if kept:
-        means = np.array([(lambda at, c: (c[:, None] * model.logits[at]).sum(0) / c.sum())(*bag(words)) for words, _ in kept])
+        whole = np.array([model.mean(words) for words, _ in kept])
         aim = np.array([y for _, y in kept])
-        rated = {t: -np.log(np.clip(LanguageModel(langs, model.logits, bias, t).chances(means)[np.arange(len(aim)), aim], 1e-9, 1)).mean() for t in np.geomspace(0.1, 10, 41)}
+        parts = [(model.mean(part), y) for words, y in kept for part in _segments(words, rng)[1:]]
+        made = np.array([model.mean(part) for words, _ in kept for text in noise(words, rng) for part in _segments(text, rng)[:2]])
+        means = np.concatenate([whole, *([np.array([m for m, _ in parts])] if parts else []), made])
+        target = np.concatenate([aim, np.array([y for _, y in parts], int), np.full(len(made), len(langs))])
+        rated = {t: -np.log(np.clip(LanguageModel(langs, model.logits, bias, t).chances(means)[np.arange(len(target)), target], 1e-9, 1)).mean() for t in np.geomspace(0.01, 100, 121)}
         model.temperature = float(min(rated, key=rated.get))
-        chances = model.chances(means)
+        chances = model.chances(whole)[:, :-1]
         right = chances.argmax(1) == aim
-        model.least = min(0.5, float(np.quantile(chances.max(1)[right], 0.001))) if right.any() else 0.0
+        strange = model.chances(made)[:, :-1].max(1)
+        model.least = min(float(np.quantile(strange, 0.99)), float(np.quantile(chances.max(1)[right], 0.001))) if right.any() else 0.0
+        model.right, model.rejected = float(right.mean()), float((chances.max(1) < model.least).mean())
+        model.noise_rejected = float((strange < model.least).mean())
     return model
 
 
@@ -151,36 +191,14 @@ def fit_languages(docs: DataFrame, most: int = 2000, a_language: int = 300, long
     return pickle.loads(found[0]["model"]) if found else None
 
 
-def predictor(model: LanguageModel | None, most: int = 400_000) -> Callable[[], Callable[[str | None], tuple[str, float, bool]]]:
+def predictor(model: LanguageModel | None) -> Callable[[], Callable[[str | None], tuple[str, float, bool]]]:
     """Starts text -> (lang, score, rejected). Null texts, texts without a letter, and all texts without a model are ``und``, 0, rejected."""
 
     def start() -> Callable[[str | None], tuple[str, float, bool]]:
-        places: dict[bytes, int] = {}
-        sums = np.zeros((1024, len(model.langs) + 1)) if model else np.zeros((0, 1))
-
-        def place(word: bytes) -> int:
-            nonlocal sums
-            found = subwords(word)
-            at = len(places)
-            if at == len(sums):
-                sums = np.concatenate([sums, np.zeros_like(sums)])
-            sums[at, :-1] = model.logits[found].sum(0)
-            sums[at, -1] = len(found)
-            places[word] = at
-            return at
-
         def each(text: str | None) -> tuple[str, float, bool]:
             if model is None or not has_letter(text):
                 return "und", 0.0, True
-            words = words_of(text)
-            if len(places) > most:
-                places.clear()
-            total = np.zeros(len(model.langs) + 1)
-            for lo in range(0, len(words), 65_536):
-                part = words[lo : lo + 65_536]
-                at = [places[w] if w in places else place(w) for w in part]
-                total += sums[at].sum(0)
-            chances = model.chances(total[:-1] / max(total[-1], 1))
+            chances = model.chances(model.mean(words_of(text)))[:-1]
             best = int(chances.argmax())
             score = float(chances[best])
             return model.langs[best], score, score < model.least

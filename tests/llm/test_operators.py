@@ -283,6 +283,34 @@ def test_languages(spark, docs, empty):
     assert langid.identify_languages(docs, None).where("lang_pred != 'und'").count() == 0
 
 
+def test_languages_held_out_and_noise(spark):
+    """On the given documents: held-out accuracy, hardly a real text rejected, noise rejected; repeated rows and null ids alike."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_languages(table)
+    assert model.right >= 0.98 and model.rejected <= 0.01 and model.noise_rejected >= 0.9 and 0.01 < model.temperature < 100
+    got = langid.identify_languages(table, model).join(table.select("doc_id", "lang"), "doc_id").where("held_out and lang_pred != 'und'")
+    assert got.selectExpr("avg(cast(lang_pred = lang as double)) as a").first().a >= 0.98
+    r = random.Random(11)
+    strange = [(None, "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=400)), "x") for _ in range(20)]
+    made = langid.identify_languages(spark.createDataFrame(strange + strange[:5], "doc_id bigint, text string, _rejected string"), model).collect()
+    assert len(made) == 25 and sum(x.rejected for x in made) >= 20 and not any(x.held_out for x in made)
+    assert langid.filter_languages(spark.createDataFrame(strange, "doc_id bigint, text string, _rejected string"), model).columns == ["doc_id", "text", "_rejected"]
+
+
+def test_subwords_against_a_plain_loop():
+    """Every n-gram once, none over a space, blocks or not."""
+    words = langid.words_of("The café's 12 naïve Zürich x bb ccc 中文 end")
+    line = b" " + b" ".join(words) + b" "
+    count = sum(1 for n in range(langid.SHORT, langid.LONG + 1) for i in range(len(line) - n + 1) if b" " not in line[i + 1 : i + n - 1])
+    whole = np.concatenate(list(langid.subwords(words)))
+    assert len(whole) == count and whole.max() < langid.BUCKETS
+    held, langid.BLOCK = langid.BLOCK, 7
+    try:
+        assert sorted(np.concatenate(list(langid.subwords(words))).tolist()) == sorted(whole.tolist())
+    finally:
+        langid.BLOCK = held
+
+
 def test_urls(spark):
     cases = [
         ("https://A.Example.NET/en/1?x", "a.example.net", "/en/1", "example.net/en/", "allow"), ("http://x.net/a#b", "x.net", "/a", "net/", "block"), ("http://x.net", "x.net", "", None, None),
