@@ -5,17 +5,19 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Callable, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.llm.common import add_columns, map_rows, unused
 from provgraph.session import materialize
 
-KINDS = ["email", "ip", "card", "phone", "secret"]
+KINDS = ["email", "ip", "card", "phone", "secret", "id"]
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -65,61 +67,107 @@ def base_spans(text: str) -> list[Span]:
 
 # Word lists and formats of the labelers (fixed values).
 SECRET_WORDS = ["password", "passwd", "pwd", "passphrase", "token", "secret", "api_key", "apikey", "api-key", "access_key", "private_key", "credential", "bearer", "auth"]
+PHONE_WORDS = ["phone", "telephone", "tel", "mobile", "cell", "fax", "whatsapp"]
+ID_WORDS = ["ssn", "passport", "iban", "account", "acct", "licence", "license", "tax-id", "national-id", "member-id", "patient", "policy"]
 PLAIN_WORDS = ["page", "pages", "year", "isbn", "issn", "version", "figure", "fig", "chapter", "section", "vol", "volume", "issue", "table", "http", "https", "www", "doi", "commit", "sha1", "sha256", "md5"]
 _FORMAT = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z-]{20,}|xox[abp]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}")
 _HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
 _NUMERIC = re.compile(r"[0-9.,:/%+\-]+")
-_TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;]+")
+_TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;]{8,}")
 _ASSIGNED = re.compile(r"[A-Za-z_-]+[=:]")
 LABELERS = ["format", "hexadecimal", "gazetteer", "assignment", "mixture", "variety"]
-_SECRET_WORD = re.compile("|".join(map(re.escape, SECRET_WORDS)), re.IGNORECASE)
-CONTEXT, FEATURES = 24, 11 + 64
+#: What a word of the gazetteer makes of a span that stands after it.
+KIND_OF = {w: 4 for w in SECRET_WORDS} | {w: 3 for w in PHONE_WORDS} | {w: 5 for w in ID_WORDS}
+_NAMED = re.compile("|".join(map(re.escape, KIND_OF)), re.IGNORECASE)
+CONTEXT, FEATURES = 24, 13 + 64
 
 
 def candidates(text: str, taken: Sequence[Span]) -> list[tuple[int, int]]:
-    """Tokens of at least 8 characters, without a leading ``name=``, that overlap no span taken: all with a digit, and those for which the gazetteer or the assignment labeler votes."""
-    out, ends = [], sorted((s, e) for s, _, e in taken)
-    at = 0
+    """Tokens of at least 8 characters, without a leading ``name=``, that overlap no span taken: all with a digit, and those for which the assignment labeler votes, or the gazetteer for a secret."""
+    names = _names_in(text)
+    if not names and "=" not in text and ":" not in text and not _DIGIT.search(text):
+        return []
+    out, ends, at = [], sorted((s, e) for s, _, e in taken), 0
     for m in _TOKEN.finditer(text):
-        start, end = m.start(), m.end()
-        if end - start < 8:
-            continue
+        start, end = m.span()
         lead = _ASSIGNED.match(text, start, end)
         start = lead.end() if lead and lead.end() < end else start
         while end > start and text[end - 1] in ".:!?":
             end -= 1
         while at < len(ends) and ends[at][1] <= start:
             at += 1
-        if end - start >= 8 and not (at < len(ends) and ends[at][0] < end) and (_DIGIT.search(text, start, end) or wanted(text, start)):
+        if end - start < 8 or at < len(ends) and ends[at][0] < end:
+            continue
+        if _DIGIT.search(text, start, end) or _sign_before(text, start) or _near(names, start) and wanted(text, start):
             out.append((start, end))
     return out
 
 
+def _sign_before(text: str, start: int) -> bool:
+    """Whether the assignment labeler votes for a token at ``start``."""
+    at, least = start - 1, max(0, start - CONTEXT)
+    while at >= least and text[at] in "\"' ":
+        at -= 1
+    return at >= least and text[at] in "=:"
+
+
+def _names_in(text: str) -> list[int]:
+    """Where words of the gazetteer end in a text, sorted."""
+    low, ends = text.lower(), []
+    if len(low) != len(text):
+        return [m.end() for m in _NAMED.finditer(text)]
+    for word in KIND_OF:
+        at = low.find(word)
+        while at >= 0:
+            ends.append(at + len(word))
+            at = low.find(word, at + 1)
+    return sorted(ends)
+
+
+def _near(ends: Sequence[int], start: int) -> bool:
+    """Whether one of the sorted places lies in the context before ``start``."""
+    k = bisect_right(ends, start)
+    return k > 0 and ends[k - 1] > start - CONTEXT
+
+
 def wanted(text: str, start: int) -> bool:
-    """Whether what stands before ``start`` makes the gazetteer or the assignment labeler vote for a token there."""
+    """Whether what stands before ``start`` makes the gazetteer vote for a secret there, or the assignment labeler for anything."""
     before = text[max(0, start - CONTEXT) : start]
-    return assigned(before) or bool(_SECRET_WORD.search(before)) and named(before) == 1
+    return assigned(before) or named(before) == 1 and kind_after(before) == 4
 
 
 def assigned(before: str) -> bool:
     return before.rstrip("\"' ").endswith(("=", ":"))
 
 
+def _near_words(before: str) -> list[str]:
+    return re.split(r"[^a-z0-9_-]+", before.lower())
+
+
 def named(before: str) -> int:
     """The gazetteer's vote."""
-    near = re.split(r"[^a-z0-9_-]+", before.lower())
-    return 1 if any(w in near for w in SECRET_WORDS) else 0 if any(w in near for w in PLAIN_WORDS) else -1
+    near = _near_words(before)
+    return 1 if any(w in KIND_OF for w in near) else 0 if any(w in PLAIN_WORDS for w in near) else -1
+
+
+def kind_after(before: str) -> int:
+    """The kind of an accepted span: that of the last gazetteer word before it, else a secret."""
+    return next((KIND_OF[w] for w in reversed(_near_words(before)) if w in KIND_OF), 4)
 
 
 def votes(value: str, before: str) -> list[int]:
-    """A vote of each labeler: 1 for, 0 against, -1 none."""
+    """A vote of each labeler: 1 for, 0 against, -1 none. After a word for a phone or an id the last two look at the digits instead."""
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))
+    kind, digits, numeric = kind_after(before), sum(map(str.isdigit, value)), _NUMERIC.fullmatch(value)
+    by_sign = 1 if assigned(before) else -1
+    if kind != 4:
+        return [-1, -1, 1, by_sign, 1 if 7 <= digits <= 15 else 0, 1 if digits >= 0.6 * len(value) else 0]
     return [
         1 if _FORMAT.fullmatch(value) else -1,
-        1 if _HEX.fullmatch(value) and not value.isdigit() else 0 if _NUMERIC.fullmatch(value) else -1,
+        1 if _HEX.fullmatch(value) and not value.isdigit() else 0 if numeric else -1,
         named(before),
-        1 if assigned(before) else -1,
-        1 if switches >= 4 else 0 if switches <= 1 else -1,
+        by_sign,
+        0 if numeric or switches <= 1 else 1 if switches >= 4 else -1,
         1 if len(value) >= 16 and len(set(value)) >= 8 else 0 if len(value) < 12 else -1,
     ]
 
@@ -133,7 +181,8 @@ def features(value: str, before: str) -> list[float]:
     count = lambda f: sum(map(f, value)) / n
     shape = [1.0, np.log(n) - 2.8, count(str.isdigit), count(str.isupper), count(lambda c: c in "0123456789abcdef"), count(lambda c: not c.isalnum()), sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:])) / n, len(set(value)) / n]
     by_name, by_sign = named(before) == 1, assigned(before)
-    return [*map(float, shape), float(by_name), float(by_sign), float(by_name and by_sign), *hashed]
+    kind = kind_after(before)
+    return [*map(float, shape), float(by_name), float(by_sign), float(by_name and by_sign), float(kind == 3), float(kind == 5), *hashed]
 
 
 def pattern_of(cast: Sequence[int]) -> int:
@@ -197,17 +246,18 @@ def train_spans(feats: np.ndarray, aim: np.ndarray, steps: int = 400, rate: floa
     return SpanModel(weights)
 
 
-def _scan(text: str | None) -> tuple[list[Span], list[tuple[int, int]], list[int], list[float]]:
-    """Base spans, candidates, their vote patterns and their features, one after the other."""
+def _scan(text: str | None) -> tuple[list[Span], list[Span], list[int], list[float]]:
+    """Base spans, candidates as spans of the kind they would be, their vote patterns and their features, one after the other."""
     text = text or ""
     base = base_spans(text)
     found = candidates(text, base)
-    codes, feats = [], []
+    codes, feats, spans = [], [], []
     for start, end in found:
         value, before = text[start:end], text[max(0, start - CONTEXT) : start]
+        spans.append((start, kind_after(before), end))
         codes.append(pattern_of(votes(value, before)))
         feats += features(value, before)
-    return base, found, codes, feats
+    return base, spans, codes, feats
 
 
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,22 +275,34 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def fit_spans(scanned: DataFrame, sample: int = 20_000) -> SpanModel | None:
     """The span classifier. Reliabilities come from the vote patterns of every candidate in the table; the classifier is
-    fitted on at most ``sample`` candidates, those of least hash, with the patterns' chances as labels. None without candidates."""
+    fitted in one task on at most ``sample`` candidates, those of least hash, with the patterns' chances as labels. None without candidates.
+
+    Candidates are counted first, so only the share of hashes that can be among the least leaves its task (half as many
+    again as are wanted).
+    """
     counts = {r.code: r["n"] for r in scanned.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n")).collect()}  # at most 3^6 rows
     if not counts:
         return None
     chance, _ = reliabilities(counts)
-    one = scanned.where(F.size("codes") > 0).select("doc_id", F.posexplode("codes").alias("at", "code"), "feats")
-    drawn = one.select("code", F.slice("feats", F.col("at") * FEATURES + 1, F.lit(FEATURES)).alias("x"), F.xxhash64("doc_id", "at").alias("_h"))
-    rows = drawn.orderBy("_h").limit(sample).select("code", "x").collect()
-    return train_spans(np.array([r.x for r in rows]), np.array([chance[r.code] for r in rows]))
+    ceiling = min(int(1.5 * (sample + 100) / sum(counts.values()) * 2**64), 2**64 - 1) - 2**63
+    one = scanned.where(F.size("codes") > 0).select("doc_id", F.posexplode("codes").alias("at", "code"), "feats").withColumn("_h", F.xxhash64("doc_id", "at")).where(F.col("_h") <= ceiling)
+    drawn = one.select("code", F.slice("feats", F.col("at") * FEATURES + 1, F.lit(FEATURES)).alias("x"), "_h", "doc_id", "at")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        if len(rows):
+            yield pd.DataFrame({"weights": [train_spans(np.stack(rows["x"]).astype(float), rows["code"].map(chance).to_numpy(float)).weights.tolist()]})
+
+    found = drawn.orderBy("_h", "doc_id", "at").limit(sample).select("code", "x").coalesce(1).mapInPandas(fit, "weights array<double>").collect()
+    return SpanModel(np.array(found[0]["weights"])) if found else None
 
 
 def added_spans(found: Sequence[int], feats: Sequence[float], model: SpanModel | None) -> list[Span]:
+    """The candidates (start, kind, end, one after the other) that the model accepts."""
     if model is None or not len(found):
         return []
     yes = model.accepts(np.asarray(feats, float).reshape(-1, FEATURES))
-    return [(found[2 * i], 4, found[2 * i + 1]) for i in range(len(yes)) if yes[i]]
+    return [tuple(found[3 * i : 3 * i + 3]) for i in range(len(yes)) if yes[i]]
 
 
 def written(spans: Sequence[Span]) -> str:
@@ -248,7 +310,7 @@ def written(spans: Sequence[Span]) -> str:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, counts of the four base kinds, base_sha256 of the base spans, and all spans, n_secret among them.
+    """One row a document: id, counts of the four base kinds, base_sha256 of the base spans, all spans, and how many phones, secrets and ids the classifier added.
 
     Spans are ``kind:start:end`` in code points, by start and then kind. Null and empty texts have none. The texts are read
     once; what is written in between is spans and candidates only.
@@ -261,11 +323,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             spans = list(zip(base[::3], base[1::3], base[2::3]))
             counts = [sum(k == kind for _, k, _ in spans) for kind in range(4)]
             more = added_spans(found, feats, model)
-            return [(doc, *counts, hashlib.sha256(written(spans).encode()).hexdigest(), written(sorted(spans + more)), len(more))]
+            return [(doc, *counts, hashlib.sha256(written(spans).encode()).hexdigest(), written(sorted(spans + more)), *(sum(k == kind for _, k, _ in more) for kind in (3, 4, 5)))]
 
         return each
 
-    out = f"{id_col} bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_secret bigint"
+    out = f"{id_col} bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_more_phone bigint, n_secret bigint, n_id bigint"
     return map_rows(scanned.select("doc_id", "base", "found", "feats"), start, out)
 
 
