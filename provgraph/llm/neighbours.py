@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from provgraph.session import materialize
 
@@ -121,71 +124,94 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec): rows with an id whose vector has only finite components, not all zero, and the commonest length; equal rows once."""
-    v = F.col(vec_col).cast("array<float>")
+    """(vec_id, vec): one row an id whose vector has only finite components, not all zero, and the commonest length; of several vectors of an id the least counts.
+
+    Vectors stay in the precision that they came with: doubles as doubles, all else as floats.
+    """
+    wide = isinstance(getattr(vectors.schema[vec_col].dataType, "elementType", None), DoubleType)
+    v = F.col(vec_col).cast("array<double>" if wide else "array<float>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), v.alias("vec")).where("vec_id is not null and vec is not null and size(vec) > 0").where(fine.alias("f"))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("vec")).where("vec_id is not null and vec is not null and size(vec) > 0").where(fine.alias("f"))
     common = rows.groupBy(F.size("vec").alias("_d")).count().orderBy(F.desc("count"), "_d").first()
-    return rows.where(F.size("vec") == (common["_d"] if common else 0)).distinct()
+    return rows.where(F.size("vec") == (common["_d"] if common else 0)).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+
+
+def _numbers(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy())
+
+
+def _lifted(flat: np.ndarray, top: float) -> np.ndarray:
+    """Points with one more coordinate that brings all to one length, so that the largest inner product is the least distance."""
+    flat = flat.astype(np.float32)
+    lift = np.sqrt(np.maximum(0, top - (flat.astype(float) ** 2).sum(1))).astype(np.float32)
+    return np.column_stack([flat, lift])
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = 8192, query_block: int = 4096, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = 32_768, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its ``k`` best others by inner product.
 
     Equal vectors are one point that carries its k + 1 smallest ids, so copies neither crowd a graph nor get lost. Points
-    are dealt by hash into shards of about ``shard_rows``; largest inner product becomes least distance by one added
-    coordinate. Every shard's graph is built once and written; blocks of queries search every shard, and the shards'
-    answers meet by query. Scores are inner products of the original vectors in double precision; ties go to the smaller
-    id. Recall, not exactness, is what a graph gives: the tests hold it to 0.9 against brute force. Null, zero and
-    non-finite vectors, and those of another length than most, take no part. No usable row: no result.
+    are dealt by hash into shards of about ``shard_rows``, which should be as many as a task's memory takes (at 64
+    dimensions about 1 kB a point): a search costs about the logarithm of a shard, so few large ones cost the least. Every shard's
+    graph is built once and written; it moves once more, to the task that its queries stream through in batches, and the
+    shards' answers meet by query. Scores are inner products of the original vectors in double precision; ties go to the
+    smaller id. Recall, not exactness, is what a graph gives: the tests hold it to 0.9 against brute force. Null, zero and
+    non-finite vectors, those of another length than most, and rows without an id take no part. No usable row: no result.
     """
     rows = materialize(usable(vectors, id_col, vec_col))
+    kind = rows.schema["vec"].dataType.simpleString()
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("_n") <= k + 1)
     points = materialize(ranked.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     count, top = points.agg(F.count("*"), F.max(norm)).first()
-    shards = max(1, -(-count // shard_rows))
-    top = top or 0.0
+    shards, top = max(1, -(-count // shard_rows)), top or 0.0
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = np.stack(pdf["vec"]).astype(np.float32)
-        lift = np.sqrt(np.maximum(0, top - (flat.astype(float) ** 2).sum(1))).astype(np.float32)
-        graph, entry = build_graph(np.column_stack([flat, lift]))
-        return pd.DataFrame({"shard": pdf["shard"], "place": np.arange(len(pdf)), "entry": entry, "ids": pdf["ids"], "vec": pdf["vec"], "lift": lift, "edges": list(graph)})
+        graph, entry = build_graph(_lifted(_numbers(pdf["vec"]), top))
+        return pd.DataFrame({"shard": pdf["shard"], "place": np.arange(len(pdf)), "entry": entry, "ids": pdf["ids"], "vec": pdf["vec"], "edges": list(graph)})
 
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
-    graphs = materialize(
-        dealt.repartition(max(shards, 2), "shard").groupBy("shard").applyInPandas(build, "shard int, place int, entry int, ids array<bigint>, vec array<float>, lift float, edges array<int>")
-    )
+    graphs = materialize(dealt.repartition(max(shards, 2), "shard").groupBy("shard").applyInPandas(build, f"shard int, place int, entry int, ids array<bigint>, vec {kind}, edges array<int>"))
     asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // query_block))
     each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    questions = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.col("vec_id").alias("query_id"), "vec", each_shard)
-
-    def search(graph: pd.DataFrame, query: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if len(graph) and len(query):
-            graph = graph.sort_values("place")
-            flat, edges = np.stack(graph["vec"]).astype(np.float32), np.stack(graph["edges"]).astype(np.int32)
-            lifted = np.column_stack([flat, graph["lift"].to_numpy(np.float32)])
-            exact, ids = flat.astype(float), graph["ids"].tolist()
-            for lo in range(0, len(query), BATCH):
-                part = query.iloc[lo : lo + BATCH]
-                ask = np.stack(part["vec"]).astype(np.float32)
-                found, _ = beam_search(lifted, edges, int(graph["entry"].iloc[0]), np.column_stack([ask, np.zeros(len(ask), np.float32)]), SEARCH_BEAM)
-                for query_id, vector, near in zip(part["query_id"].tolist(), ask.astype(float), found):
-                    near = near[near >= 0]
-                    scores = (exact[near] * vector).sum(1)
-                    best = sorted(((-s, i) for s, p in zip(scores.tolist(), near.tolist()) for i in ids[p] if i != query_id))[:k]
-                    out["query_id"] += [query_id] * len(best)
-                    out["vec_id"] += [i for _, i in best]
-                    out["score"] += [-s for s, _ in best]
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    held = graphs.select("shard", "place", "entry", "ids", "vec", "lift", "edges", each_block)
-    keys = ["shard", "block"]
-    tasks = shards * blocks
-    found = held.repartition(max(tasks, 2), *keys).groupBy(*keys).cogroup(questions.repartition(max(tasks, 2), *keys).groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+    questions = asked.select(each_shard, F.col("vec_id").alias("query_id"), "vec")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by shard, its graph first and then its queries; one graph is held at a time."""
+        now, held, exact, lifted, edges, ids, entry = -1, [], None, None, None, None, 0
+        for batch in batches:
+            out = {"query_id": [], "vec_id": [], "score": []}
+            for shard, part in batch.groupby("shard", sort=True):
+                if shard != now:
+                    now, held, exact = shard, [], None
+                is_point = part["query_id"].isna().to_numpy()
+                if is_point.any():
+                    held.append(part[is_point])
+                query = part[~is_point]
+                if not len(query) or not held and exact is None:
+                    continue
+                if exact is None:
+                    graph = pd.concat(held)
+                    held = []
+                    flat = _numbers(graph["vec"])
+                    exact, lifted, edges, ids, entry = flat.astype(float), _lifted(flat, top), np.stack(graph["edges"]).astype(np.int32), graph["ids"].tolist(), int(graph["entry"].iloc[0])
+                for lo in range(0, len(query), BATCH):
+                    some = query.iloc[lo : lo + BATCH]
+                    ask = _numbers(some["vec"])
+                    found, _ = beam_search(lifted, edges, entry, np.column_stack([ask.astype(np.float32), np.zeros(len(ask), np.float32)]), SEARCH_BEAM)
+                    for query_id, vector, near in zip(some["query_id"].tolist(), ask.astype(float), found):
+                        near = near[near >= 0]
+                        scores = (exact[near] * vector).sum(1)
+                        best = sorted(((-s, i) for s, p in zip(scores.tolist(), near.tolist()) for i in ids[p] if i != int(query_id)))[:k]
+                        out["query_id"] += [int(query_id)] * len(best)
+                        out["vec_id"] += [i for _, i in best]
+                        out["score"] += [-s for s, _ in best]
+            yield pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    null = lambda t: F.lit(None).cast(t)
+    held = graphs.select("shard", F.lit(0).alias("_kind"), "place", null("string").alias("query_id"), "entry", "ids", "vec", "edges")
+    asks = questions.select("shard", F.lit(1).alias("_kind"), F.lit(0).alias("place"), F.col("query_id").cast("string"), null("int").alias("entry"), null("array<bigint>").alias("ids"), "vec", null("array<int>").alias("edges"))
+    dealt = held.unionByName(asks).repartition(max(shards, 2), "shard").sortWithinPartitions("shard", "_kind", "place")
+    found = dealt.mapInPandas(search, "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -244,6 +244,34 @@ def test_neighbours(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_neighbours_recall_on_the_given_vectors(spark):
+    """Queries one in 50 of the given table against all rows, over several shards; the least recall allowed is 0.9."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    got = defaultdict(set)
+    for x in neighbours.nearest(table, every=50, shard_rows=700).collect():
+        got[x.query_id].add(x.vec_id)
+    rows = {r.vec_id: np.array(r.embedding, float) for r in table.collect() if r.embedding is not None and None not in r.embedding}
+    rows = {i: v for i, v in rows.items() if np.isfinite(v).all() and v.any()}
+    ids, matrix = np.array(sorted(rows)), np.stack([rows[i] for i in sorted(rows)])
+    hits = total = 0
+    for q in ids[ids % 50 == 0]:
+        scores = matrix @ rows[q]
+        best = [i for i in ids[np.lexsort((ids, -scores))] if i != q][:20]
+        hits, total = hits + len(got[q] & set(best)), total + 20
+    assert hits / total >= 0.9
+
+
+def test_neighbours_edge_cases(spark):
+    """Doubles are scored as they came, ids are large or repeated, ties go to the smaller id, an empty table gives nothing."""
+    big = 1 << 60
+    rows = [(0, [1.0, 1e-9]), (big, [1.0, 0.0]), (big + 20, [1.0, 0.0]), (big + 40, [0.5, 0.0]), (big + 40, [9.0, 0.0]), (None, [1.0, 1.0]), (7, None), (8, [0.0, 0.0])]
+    table = spark.createDataFrame(rows + rows[:2], "vec_id bigint, embedding array<double>")
+    got = [(x["rank"], x.vec_id, x.score) for x in neighbours.nearest(table, every=1 << 50).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(1, big, 1.0), (2, big + 20, 1.0), (3, big + 40, 0.5)]
+    assert [x.score for x in neighbours.nearest(table.where("vec_id in (0, 7)").unionByName(spark.createDataFrame([(20, [1.0, 1.0])], table.schema))).where("query_id = 0").collect()] == [1.0 + 1e-9]
+    assert neighbours.nearest(table.limit(0)).count() == 0 and neighbours.nearest(table.where("vec_id = 8")).count() == 0
+
+
 def test_personal_data(spark, docs, empty):
     rows = [(1, "mail a.b@c.de, ip 10.0.0.1 999.1.1.1 card 4111 1111 1111 1111 call +1 (212) 555-0100"), (2, None), (3, "")]
     rows += [(10 + i, f"set password={'%018x' % (i * 7919 + 10**20)} now, page 20{10 + i} of version 1.2.{i}.7") for i in range(40)]
