@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,90 +41,156 @@ def best_fit(lengths: Counter, capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], left: Counter, room: int, most: int, budget: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room`` with at most ``budget`` waste, fullest first, among those that a search of ``most`` steps sees.
+@dataclass(frozen=True)
+class Effort:
+    """How far the search goes; None anywhere is no bound. ``EXACT`` has none, so its packings are optimal.
 
-    ``sizes`` runs downwards. A filling to which any remaining piece could still be added is dominated and left out.
+    ``bins`` are the numbers of most wasteful bins that are taken apart at a time, one after the other until one try succeeds;
+    ``nodes`` bounds the fillings tried in a search, ``steps`` those enumerated around one largest piece, ``ways`` those kept of them.
     """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
 
-    def grow(at: int, space: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal steps
+    bins: tuple[int | None, ...] = (48, 96)
+    nodes: int | None = 3000
+    steps: int | None = 400
+    ways: int | None = 4
+
+
+EXACT = Effort((None,), None, None, None)
+
+
+def least_bins(lengths: Counter, capacity: int) -> int:
+    """Martello and Toth's second bound: for each size up to half a bin, pieces too long to share a bin with it, and what of the shorter ones doesn't fit beside the halves."""
+    counts = np.zeros(capacity + 2, np.int64)
+    for n, c in lengths.items():
+        counts[n] += c
+    upto, total, half = np.cumsum(counts), np.cumsum(counts * np.arange(capacity + 2)), capacity // 2
+    small = np.arange(half + 1)
+    alone, n = upto[-1] - upto[capacity - small], upto[capacity - small] - upto[half]
+    beside = n * capacity - (total[capacity - small] - total[half])
+    rest = total[half] - np.where(small > 0, total[small - 1], 0)
+    bound = alone + n + np.maximum(0, -(-(rest - beside) // capacity))
+    return max(int(bound.max()), int(-(-total[-1] // capacity)))
+
+
+def dominates(other: Sequence[int], filling: Sequence[int]) -> bool:
+    """Whether the pieces of ``filling`` fit into the places of the pieces of ``other``, several in one place or one each: then ``other`` is at least as good."""
+    places = sorted(other)
+
+    def put(at: int) -> bool:
+        if at == len(filling):
+            return True
+        tried = set()
+        for i, place in enumerate(places):
+            if place >= filling[at] and place not in tried:
+                tried.add(place)
+                places[i] -= filling[at]
+                done = put(at + 1)
+                places[i] += filling[at]
+                if done:
+                    return True
+        return False
+
+    return sum(filling) <= sum(other) and put(0)
+
+
+def fillings(left: Counter, room: int, budget: int, effort: Effort) -> list[tuple[int, ...]]:
+    """Undominated ways to fill ``room`` from ``left`` with at most ``budget`` waste, fullest first.
+
+    Pieces of a filling run downwards; one to which another piece could still be added is dominated by that, and so is any
+    whose pieces fit into the places of another's.
+    """
+    sizes = sorted((s for s in left if left[s] and s <= room), reverse=True)
+    found: list[tuple[int, ...]] = []
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    steps = 0
+    while stack and (effort.steps is None or steps < effort.steps):
+        at, space, chosen = stack.pop()
         steps += 1
         used = Counter(chosen)
         fits = [i for i in range(at, len(sizes)) if sizes[i] <= space and left[sizes[i]] > used[sizes[i]]]
-        if not fits:
-            smaller_fits = any(s <= space and left[s] > used[s] for s in reversed(sizes))
-            if space <= budget and not smaller_fits:
-                found.append((space, chosen))
-            return space == 0 or steps >= most
-        return any(grow(i, space - sizes[i], (*chosen, sizes[i])) for i in fits) or steps >= most
-
-    grow(0, room, ())
-    return [chosen for _, chosen in sorted(dict.fromkeys(found))][:3]
+        if not fits and space <= budget and not any(s <= space and left[s] > used[s] for s in sizes[:at]):
+            found.append(chosen)
+            if space == 0 and effort.ways is not None and len(found) >= effort.ways:
+                break
+        stack += [(i, space - sizes[i], (*chosen, sizes[i])) for i in reversed(fits)]
+    found.sort(key=lambda f: (-sum(f), len(f)))
+    kept: list[tuple[int, ...]] = []
+    for filling in found:
+        if not any((effort.ways is None or len(other) + len(filling) <= 24) and dominates(other, filling) for other in kept):
+            kept.append(filling)
+        if effort.ways is not None and len(kept) == effort.ways:
+            break
+    return kept
 
 
-def search(lengths: Counter, capacity: int, bins: int, steps: int, width: int) -> list[list[int]] | None:
-    """At most ``bins`` bins for all of ``lengths``, or None if the search of ``steps`` nodes finds none.
+def search(lengths: Counter, capacity: int, bins: int, effort: Effort) -> list[list[int]] | None:
+    """At most ``bins`` bins for all of ``lengths``, or None: with ``EXACT`` there are none, else the search may have been cut.
 
     Depth first: a node fills a bin around the largest piece left. A branch ends where the waste so far is more than
-    ``bins`` bins can have.
+    ``bins`` bins can have, or where what is left needs more bins than there are by ``least_bins``.
     """
     allowed = bins * capacity - sum(n * c for n, c in lengths.items())
-    left, sizes = Counter(lengths), sorted(lengths, reverse=True)
+    left = Counter(lengths)
 
-    def options(waste: int) -> list[tuple[int, ...]] | None:
-        largest = next((s for s in sizes if left[s]), None)
+    def options(waste: int, open_bins: int) -> list[tuple[int, ...]] | None:
+        largest = max((s for s in left if left[s]), default=None)
         if largest is None:
             return None
+        if least_bins(+left, capacity) > open_bins:
+            return []
         left[largest] -= 1
-        around = fillings([s for s in sizes if s <= capacity - largest and left[s]], left, capacity - largest, width, allowed - waste)
+        around = fillings(left, capacity - largest, allowed - waste, effort)
         left[largest] += 1
         return [(largest, *f) for f in around]
 
+    if allowed < 0:
+        return None
     path: list[tuple[tuple[int, ...], int, list[tuple[int, ...]]]] = []
-    waste, open_ways = 0, options(0) if allowed >= 0 else []
-    for _ in range(steps):
-        if open_ways is None:
+    waste, ways, nodes = 0, options(0, bins), 0
+    while effort.nodes is None or nodes < effort.nodes:
+        nodes += 1
+        if ways is None:
             return [list(filled) for filled, _, _ in path]
-        if open_ways:
-            filled = open_ways[0]
-            path.append((filled, waste, open_ways[1:]))
+        if ways:
+            filled = ways[0]
+            path.append((filled, waste, ways[1:]))
             left.subtract(filled)
             waste += capacity - sum(filled)
-            open_ways = options(waste)
+            ways = options(waste, bins - len(path))
         elif path:
-            filled, waste, open_ways = path.pop()
+            filled, waste, ways = path.pop()
             left.update(filled)
         else:
             return None
     return None
 
 
-def complete_bins(lengths: Counter, capacity: int, bins_at_once: int = 48, steps: int = 3000, width: int = 200) -> list[list[int]]:
+def complete_bins(lengths: Counter, capacity: int, effort: Effort = Effort()) -> list[list[int]]:
     """Bins of lengths, as few as the search finds; ``capacity`` bounds each.
 
-    The incumbent is the best-fit solution. While it uses more bins than the total length demands, its most wasteful bins
+    The incumbent is the best-fit solution. While it uses more bins than ``least_bins`` demands, its most wasteful bins
     are taken apart and searched for a solution with one bin less; the bins that best fit filled stay.
     """
-    incumbent = best_fit(lengths, capacity)
-    least = -(-sum(n * c for n, c in lengths.items()) // capacity)
+    incumbent, least = best_fit(lengths, capacity), least_bins(lengths, capacity)
     while len(incumbent) > least:
         incumbent.sort(key=sum)
-        loose, rest = incumbent[:bins_at_once], incumbent[bins_at_once:]
-        better = search(Counter(x for b in loose for x in b), capacity, len(loose) - 1, steps, width)
-        if better is None:
+        for n in effort.bins:
+            loose, rest = incumbent[:n], incumbent[n:] if n is not None else []
+            better = search(Counter(x for b in loose for x in b), capacity, len(loose) - 1, effort)
+            if better is not None:
+                incumbent = better + rest
+                break
+        else:
             break
-        incumbent = better + rest
     return incumbent
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, block: int = 20_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, block: int = 20_000, effort: Effort = Effort()) -> DataFrame:
     """``pieces`` (with ``length``) and their ``sequence_id`` and ``offset``.
 
     Pieces are dealt by hash into blocks of about ``block``, whose lengths follow the same law; a block leaves less than
     one sequence partly filled more than the whole would. Order within a block is by length downwards, then id and piece.
+    How far the search goes is the parameter ``effort``; past its bounds best fit's bins stay, so a packing is always whole.
     """
     blocks = max(1, -(-pieces.count() // block))
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -136,7 +204,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, block: int = 20_000
             at.reverse()
         base = int(pdf["block"].iloc[0]) << 32
         sequence, offset = [0] * len(pdf), [0] * len(pdf)
-        for number, filled in enumerate(complete_bins(Counter(pdf["length"].tolist()), capacity)):
+        for number, filled in enumerate(complete_bins(Counter(pdf["length"].tolist()), capacity, effort)):
             place = 0
             for length in filled:
                 at = rows[length].pop()

@@ -119,6 +119,43 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.complete_bins(Counter({44: 1, 24: 2, 22: 1, 21: 1, 17: 1, 8: 2, 6: 2}), 61)) == 3
 
 
+def fewest(items, capacity):
+    """The optimum over all orders, by subsets: (bins, fill of the last)."""
+    best = [(0, capacity)] + [(len(items) + 1, 0)] * ((1 << len(items)) - 1)
+    for subset in range(1, 1 << len(items)):
+        for i, item in enumerate(items):
+            if subset >> i & 1:
+                n, fill = best[subset ^ (1 << i)]
+                best[subset] = min(best[subset], (n, fill + item) if fill + item <= capacity else (n + 1, item))
+    return best[-1][0]
+
+
+def test_packing_against_exhaustive_search():
+    """Exactly without bounds, and with the usual ones on instances of this size; the lower bound never is above."""
+    r = random.Random(21)
+    for trial in range(200):
+        capacity = r.choice([20, 50, 100, 2048])
+        items = [r.randrange(capacity // 5, capacity // 2) for _ in range(10)] if trial % 2 else [r.randrange(1, capacity + 1) for _ in range(r.randrange(1, 10))]
+        lengths, least = Counter(items), fewest(items, capacity)
+        assert packing.least_bins(lengths, capacity) <= least
+        for effort in (packing.EXACT, packing.Effort()):
+            bins = packing.complete_bins(lengths, capacity, effort)
+            assert Counter(x for b in bins for x in b) == lengths and all(sum(b) <= capacity for b in bins) and len(bins) == least
+    assert packing.dominates((6,), (3, 3)) and packing.dominates((5, 4), (4, 4)) and not packing.dominates((5, 4), (6, 1)) and not packing.dominates((3, 3), (6,))
+
+
+def test_special_token_in_a_text(spark):
+    """As the tokenizers library has it, an added token's content inside a text is that token."""
+    import tokenizers
+
+    own = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    said = {1: "hi <|endoftext|> x", 2: "plain text", 3: None, 4: "<|endoftext|>" * 3}
+    out = packing.pack_documents(spark.createDataFrame([(i, t, "c") for i, t in said.items()], "doc_id bigint, text string, block string"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
+    for r in out:
+        ids = [*own.encode(said[r.doc_id] or "", add_special_tokens=False).ids, 0]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def test_sharding(docs, empty):
     rows = sharding.shard_documents(docs, 3).collect()
     shard, slots = defaultdict(set), defaultdict(list)
