@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -26,59 +27,71 @@ def boundaries(pattern: str) -> Callable[[str], list[int]]:
     return lambda text: [m.end() for m in find(text) if not text[m.end() - 1].isspace()]
 
 
-def chunks_of(texts: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``texts`` (with ``row_id`` and ``text``) as rows (chunk, part) in place of ``text``, dealt evenly: chunk k is [k * chunk, (k + 1) * chunk + overlap)."""
-    number = F.sequence(F.lit(0), F.ceil(F.length("text") / chunk).cast("int") - 1)
-    part = lambda k: F.substring("text", k * chunk + 1, F.lit(chunk + overlap))
-    cut = texts.withColumn("_c", F.explode(F.transform(number, lambda k: F.struct(k.alias("chunk"), part(k).alias("part"))))).drop("text")
-    return cut.select("*", "_c.chunk", "_c.part").drop("_c").repartition("row_id", "chunk")
+def chunks_of(texts: DataFrame, id_col: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``texts`` (row_id, id, text) as rows (row_id, id, chunk, part), dealt evenly: chunk k is [k * chunk, (k + 1) * chunk + overlap)."""
+
+    def begin() -> Callable[..., list[tuple]]:
+        return lambda row, doc, text: [(row, doc, k, text[k * chunk : (k + 1) * chunk + overlap]) for k in range(-(-len(text) // chunk))]
+
+    cut = map_rows(texts.select("row_id", id_col, "text"), begin, f"row_id bigint, {id_col} bigint, chunk int, part string")
+    return cut.repartition("row_id", "chunk")
 
 
 def chunk_edges(chunks: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(row_id, chunk, head, tail): the boundaries of each chunk in the overlaps with the one before and the one after, as places in the whole text.
+    """(row_id, chunk, head, tail, lone): the boundaries of each chunk in the overlaps with the one before and the one after, and its first lone space, as places in the whole text.
 
-    The last few characters of a chunk are left out, for there a contraction may be cut.
+    The last few characters of a chunk are left out, for there a contraction may be cut. A lone space between two other
+    characters starts a pre-token whatever stands before, so that place is a boundary even if the chunk is out of step.
     """
 
     def begin() -> Callable[..., list[tuple]]:
-        find = boundaries(pattern)
+        find, lone = boundaries(pattern), re.compile(r"(?<=\S) (?=\S)")
 
         def each(row: int, number: int, part: str) -> list[tuple]:
             start, ends = number * chunk, find(part)
             sure = [e for e in ends if e <= len(part) - UNSURE]
-            return [(row, number, [start + e for e in sure if e < overlap], [start + e for e in sure if e >= chunk])]
+            alone = lone.search(part, 0, min(chunk, len(part) - UNSURE)) if number else None
+            return [(row, number, [start + e for e in sure if e < overlap], [start + e for e in sure if e >= chunk], start + alone.start() if alone else None)]
 
         return each
 
-    return map_rows(chunks.select("row_id", "chunk", "part"), begin, "row_id bigint, chunk int, head array<bigint>, tail array<bigint>")
+    return map_rows(chunks.select("row_id", "chunk", "part"), begin, "row_id bigint, chunk int, head array<bigint>, tail array<bigint>, lone bigint")
 
 
-def stitched(edges: DataFrame) -> DataFrame:
-    """(row_id, chunk, piece, start, stop, alone): the piece that each chunk lies in, and its span between proven cuts.
+def stitched(edges: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(row_id, chunk, piece, lo, hi, alone): which span of each chunk belongs to which piece; a piece goes from one proven cut to the next.
 
-    A place that ends a pre-token in two neighbouring chunks is a cut once the chunk before is known to be in step; from
-    there on both agree, and the piece up to the next cut lies in its chunk (``alone``). Where an overlap has no such place
-    (one run of characters), the last piece goes on through all further chunks; its ``stop`` is null.
+    A place that ends a pre-token in two neighbouring chunks is a cut if the chunk before is in step; where an overlap has
+    no such place (one run of characters), the next lone space is a cut, and the chunks after it are in step again. A piece that its
+    chunk holds whole is ``alone``; another one is put together from the chunks that it goes through. ``hi`` is null at the end.
     """
     order = Window.partitionBy("row_id").orderBy("chunk")
-    met = edges.withColumn("_cut", F.array_min(F.array_intersect(F.lag("tail").over(order), "head")))
-    proven = met.withColumn("_in_step", F.min(F.when((F.col("chunk") == 0) | F.col("_cut").isNotNull(), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    of_row = Window.partitionBy("row_id")
-    placed = proven.withColumn("_last", F.max(F.when(F.col("_in_step"), F.col("chunk"))).over(of_row)).withColumn("_end", F.max("chunk").over(of_row))
-    stop = F.when(F.lead("_in_step").over(order), F.lead("_cut").over(order))
-    alone = (F.col("chunk") < F.col("_last")) | (F.col("_last") == F.col("_end"))
-    return placed.select("row_id", "chunk", F.least("chunk", "_last").alias("piece"), F.when(F.col("_in_step"), F.coalesce("_cut", F.lit(0))).alias("start"), stop.alias("stop"), alone.alias("alone"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("chunk").cast("bigint") * chunk
+    met = edges.withColumn("_met", F.array_min(F.array_intersect(F.lag("tail").over(order), "head")))
+    based = F.max(F.when((F.col("chunk") == 0) | F.col("lone").isNotNull(), F.col("chunk"))).over(so_far)
+    apart = F.coalesce(F.max(F.when((F.col("chunk") > 0) & F.col("_met").isNull(), F.col("chunk"))).over(so_far), F.lit(-1))
+    stepped = met.withColumn("_step", based >= apart).withColumn("_before", F.coalesce(F.lag("_step").over(order), F.lit(False)))
+    cut = F.when(F.col("chunk") == 0, F.lit(0).cast("bigint")).when(F.col("_met").isNotNull() & F.col("_before"), F.col("_met")).otherwise(F.col("lone"))
+    placed = stepped.withColumn("_cut", F.when(F.col("_step"), cut)).withColumn("_piece", F.max(F.when(F.col("_step"), F.col("chunk"))).over(so_far))
+    next_cut, last = F.lead("_cut").over(order), F.lead("chunk").over(order).isNull()
+    placed = placed.withColumns({"_next": next_cut, "_last": last, "_alone": F.col("_step") & (last | F.coalesce(next_cut <= start + chunk + overlap, F.lit(False)))})
+    placed = placed.withColumns({"_earlier": F.lag("_piece").over(order), "_whole": F.coalesce(F.lag("_alone").over(order), F.lit(False))})
+    stop = F.when(~F.col("_last"), start + chunk)
+    span = lambda piece, lo, hi, alone: F.struct(piece.alias("piece"), lo.alias("lo"), hi.alias("hi"), alone.alias("alone"))
+    own = F.when(F.col("_step"), span(F.col("_piece"), F.col("_cut"), F.when(F.col("_alone"), F.col("_next")).otherwise(stop), F.col("_alone"))).otherwise(span(F.col("_piece"), start, stop, F.lit(False)))
+    lead = F.when(F.col("_step") & (F.col("chunk") > 0) & ~F.col("_whole"), span(F.col("_earlier"), start, F.col("_cut"), F.lit(False)))
+    return placed.select("row_id", "chunk", F.explode(F.array_compact(F.array(own, lead))).alias("_x")).select("row_id", "chunk", "_x.*")
 
 
 def pieces_of(chunks: DataFrame, spans: DataFrame, id_col: str, chunk: int = CHUNK) -> DataFrame:
-    """(row_id, id, piece, text): the text of each piece, cut from its chunk, or joined from the chunks that a last piece goes through."""
+    """(row_id, id, piece, text): the text of each piece, cut from its chunk, or put together from the chunks that it goes through."""
     placed = chunks.join(spans.hint("merge"), ["row_id", "chunk"])
-    first = (F.coalesce(F.col("start") - F.col("chunk").cast("bigint") * chunk, F.lit(0)) + 1).cast("int")
-    length = F.coalesce(F.col("stop") - F.col("start"), F.lit(2**31 - 1)).cast("int")
-    alone = placed.where("alone").select("row_id", id_col, "piece", F.substring("part", first, length).alias("text"))
-    through = placed.where("not alone").select("row_id", id_col, "piece", "chunk", F.substring("part", first, F.lit(chunk + 1) - first).alias("part"))
-    joined = through.groupBy("row_id", "piece").agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("_p"))
-    return alone.unionByName(joined.select("row_id", id_col, "piece", F.array_join("_p.part", "").alias("text")))
+    first = (F.col("lo") - F.col("chunk").cast("bigint") * chunk + 1).cast("int")
+    length = F.coalesce(F.col("hi") - F.col("lo"), F.lit(2**31 - 1)).cast("int")
+    cut = placed.select("row_id", id_col, "piece", "chunk", "alone", F.substring("part", first, length).alias("text"))
+    through = cut.where("not alone").groupBy("row_id", "piece").agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("_p"))
+    return cut.where("alone").select("row_id", id_col, "piece", "text").unionByName(through.select("row_id", id_col, "piece", F.array_join("_p.text", "").alias("text")))
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -117,9 +130,9 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     out = f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     size = F.length(F.coalesce(F.col(text_col), F.lit("")))
     brief = map_rows(docs.where(size <= chunk).select(id_col, text_col), short, out)
-    long = docs.where(size > chunk).select(F.monotonically_increasing_id().alias("row_id"), id_col, F.col(text_col).alias("text"))
-    chunks = materialize(chunks_of(long, chunk))
-    pieces = pieces_of(chunks, stitched(chunk_edges(chunks, pattern, chunk)), id_col, chunk)
+    long = docs.where(size > chunk).select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).alias("text"))
+    chunks = materialize(chunks_of(long, id_col, chunk))
+    pieces = pieces_of(chunks, stitched(chunk_edges(chunks, pattern, chunk), chunk), id_col, chunk)
     ids = map_rows(pieces.select("row_id", id_col, "piece", "text"), coded, f"row_id bigint, {id_col} bigint, piece int, ids binary")
     whole = ids.groupBy("row_id").agg(F.first(id_col).alias(id_col), F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("_p"))
     return brief.unionByName(map_rows(whole.select(id_col, F.col("_p.ids").alias("ids")), digester, out))

@@ -119,6 +119,23 @@ def test_bin_completion_beats_best_fit():
     assert len(packing.complete_bins(Counter({44: 1, 24: 2, 22: 1, 21: 1, 17: 1, 8: 2, 6: 2}), 61)) == 3
 
 
+def test_long_runs_are_cut_again_after_them(spark):
+    """Ids of texts with runs that no overlap can cut are the library's, and what follows a run is many pieces again."""
+    r = random.Random(22)
+    word = lambda: "".join(r.choices("abcdefghij0123456789.,'é中", k=r.randrange(1, 9)))
+    prose = lambda n: r.choice([" ", "  ", "\n", " "]).join(word() for _ in range(n))
+    said = [prose(900) + "x" * 3000 + prose(900), "1" * 5000, "7" * 2500 + " " + prose(600), " ".join(["y" * 1500] * 9), " " * 4000 + prose(50), prose(400) + "-" * 1100 + prose(400) + "9" * 2100 + " " + prose(300)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(said)] + [(None, said[0]), (0, said[0])], "doc_id bigint, text string")
+    out = bpe.encode_decode(table, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, chunk=1024).collect()
+    assert len(out) == len(said) + 2
+    for row in out:
+        ids = ENCODE(said[row.doc_id or 0])
+        assert (row.n_tokens, row.ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest()) and row.decoded_sha256 == hashlib.sha256(said[row.doc_id or 0].encode()).hexdigest()
+    long = spark.createDataFrame([(0, 0, said[0])], "row_id bigint, doc_id bigint, text string")
+    edges = bpe.chunk_edges(bpe.chunks_of(long, "doc_id", 1024), public_tokenizers.PATTERN, 1024)
+    assert bpe.stitched(edges, 1024).where(f"piece > {said[0].index('xxx') // 1024 + 3}").select("piece").distinct().count() >= 3
+
+
 def fewest(items, capacity):
     """The optimum over all orders, by subsets: (bins, fill of the last)."""
     best = [(0, capacity)] + [(len(items) + 1, 0)] * ((1 << len(items)) - 1)
