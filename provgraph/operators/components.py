@@ -1,49 +1,41 @@
-"""Connected components of an undirected edge table, by contraction."""
+"""Connected components of an undirected edge table, by alternating stars."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.session import materialize
+from provgraph.session import Scratch
 
 
-def _to_roots(parents: DataFrame) -> DataFrame:
-    """Pointer jumping: (node, parent) with parents of parents until every parent is a root."""
-    while True:
-        up = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-        jumped = materialize(
-            parents.join(up, parents.parent == up["_n"], "left").select("node", F.coalesce("_p", "parent").alias("parent"), (F.coalesce("_p", "parent") != F.col("parent")).alias("_moved"))
-        )
-        parents = jumped.select("node", "parent")
-        if jumped.where("_moved").isEmpty():
-            return parents
+def _mark(links: DataFrame) -> tuple:
+    """Count and order-free digest of the links; equal for equal sets."""
+    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): every node of an edge with the smallest node of its component.
 
-    Nodes may be of any orderable type (a struct too). Each round hangs every node below its smallest neighbour, jumps
-    to the roots and replaces the edges by edges between roots; at least half the nodes vanish a round. Work is grouped
-    minima and equi joins on written tables, never a collected graph. Edges with a null end and loops link nothing;
-    an empty table gives no row.
+    Nodes may be of any orderable type (a struct too). A round links every larger neighbour of a node to the node's smallest
+    neighbour (large star), then every smaller one (small star), until nothing changes: then each component is a star around its smallest node.
+    A round is two grouped minima and two equi joins, written once; the minima combine before the shuffle, and a hub's links
+    are only joined, so they can be split. Nothing is collected but a count and a digest a round. Edges with a null end and
+    loops link nothing; an empty table gives no row.
     """
     a, b = F.col(src), F.col(dst)
-    live = materialize(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
-    maps: list[DataFrame] = []
-    while not live.isEmpty():
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"))
-        roots = _to_roots(near.select("node", F.least("node", "_least").alias("parent")))
-        maps.append(roots)
-        end = lambda c: roots.select(F.col("node").alias(f"_n{c}"), F.col("parent").alias(f"_p{c}"))
-        live = materialize(
-            live.join(end("a"), F.col("a") == F.col("_na")).join(end("b"), F.col("b") == F.col("_nb")).where("_pa != _pb").select(F.least("_pa", "_pb").alias("a"), F.greatest("_pa", "_pb").alias("b")).distinct()
-        )
-    if not maps:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = maps[-1]
-    for earlier in reversed(maps[:-1]):
-        last = out.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-        out = earlier.join(last, earlier.parent == last["_n"], "left").select("node", F.coalesce("_p", "parent").alias("parent"))
-    return out.select("node", F.col("parent").alias("component"))
+    scratch = Scratch(edges.sparkSession)
+    live = scratch.table(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
+    before, now = None, _mark(live)
+    while now != before:
+        both = live.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(live.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_u"), F.least("u", "_m").alias("_m"))
+        large = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("_u")).select(F.col("v").alias("hi"), F.col("_m").alias("lo")).distinct()
+        root = large.groupBy("hi").agg(F.min("lo").alias("_r")).select(F.col("hi").alias("_h"), "_r")
+        small = large.join(root.hint("merge"), F.col("hi") == F.col("_h"))
+        linked = small.where("lo != _r").select(F.col("lo").alias("hi"), F.col("_r").alias("lo")).unionByName(small.where("lo = _r").select("hi", "lo"))
+        step = scratch.table(linked.distinct())
+        before, now = now, _mark(step)
+        scratch.drop(live)
+        live = step
+    stars = live.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    return stars.unionByName(live.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

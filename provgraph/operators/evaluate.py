@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provgraph.operators.ranking import running_totals
+
 
 def threshold_predict(scores: DataFrame, threshold: float = 0.5, prob: str = "prob") -> DataFrame:
     """Scores with ``pred``; a null score is skipped (null)."""
@@ -34,13 +36,12 @@ def binary_metrics(counts: DataFrame, mode: str = "eps") -> DataFrame:
 def roc_auc(scores: DataFrame, by: Sequence[str] = (), prob: str = "prob") -> DataFrame:
     """(by..., auc): ties count half; null unless both classes are there.
 
-    Rows are first counted by distinct score; the running count is over those counts. Its window is by the keys, so where a
-    key has very many distinct scores, round them first.
+    Rows are first counted by distinct score; the running count over those counts goes by ranges of scores, so neither one
+    key nor a whole table without keys is one task.
     """
     groups = scores.where(F.col(prob).isNotNull()).groupBy(*by, prob).agg(F.count_if(F.col("label") == 1).alias("_p"), F.count_if(F.col("label") == 0).alias("_q"))
-    key = [F.col(c) for c in by] or [F.lit(0)]
-    below = F.coalesce(F.sum("_q").over(Window.partitionBy(*key).orderBy(prob).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = groups.withColumn("_w", F.col("_p") * (below + F.col("_q") / 2)).groupBy(*by).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
+    below = running_totals(groups, ["_q"], prob, by)
+    won = below.withColumn("_w", F.col("_p") * (F.col("before__q") + F.col("_q") / 2)).groupBy(*by).agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_q").alias("_q"))
     return won.select(*by, F.round(F.when((F.col("_p") > 0) & (F.col("_q") > 0), F.col("_w") / (F.col("_p") * F.col("_q"))), 6).alias("auc"))
 
 
@@ -108,15 +109,16 @@ def mean_pool(vectors: DataFrame, by: str = "graph_id") -> DataFrame:
 def sliced_wasserstein(current: DataFrame, reference: DataFrame) -> DataFrame:
     """(dim, distance): first Wasserstein distance of two samples (vec) in every dimension; their mean is the drift.
 
-    Values are counted by dimension first; the running shares are windows by dimension.
+    Values are counted by dimension first; the running shares go by ranges of a dimension's values, so a dimension is many
+    tasks. A dimension that one sample lacks has a null distance.
     """
     both = current.select("vec", F.lit(1).alias("_c")).unionByName(reference.select("vec", F.lit(0).alias("_c")))
-    values = both.select("_c", F.posexplode("vec").alias("dim", "x")).groupBy("dim", "x").agg(F.sum("_c").alias("_a"), F.sum(1 - F.col("_c")).alias("_b"))
-    w = Window.partitionBy("dim")
-    run = w.orderBy("x")
-    share = lambda c: F.sum(c).over(run.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(c).over(w)
-    step = F.abs(share("_a") - share("_b")) * (F.lead(F.col("x").cast("double")).over(run) - F.col("x").cast("double"))
-    return values.withColumn("_s", step).groupBy("dim").agg(F.round(F.coalesce(F.sum("_s"), F.lit(0.0)), 6).alias("distance"))
+    values = both.select("_c", F.posexplode("vec").alias("dim", "x")).where("x is not null").groupBy("dim", "x").agg(F.sum("_c").alias("_a"), F.sum(1 - F.col("_c")).alias("_b"))
+    total = values.groupBy("dim").agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
+    run = running_totals(values, ["_a", "_b"], "x", ["dim"]).join(total, "dim")
+    share = lambda c, n: (F.col(f"before_{c}") + F.col(c)) / F.nullif(F.col(n), F.lit(0))
+    step = F.abs(share("_a", "_na") - share("_b", "_nb")) * (F.col("next_x").cast("double") - F.col("x").cast("double"))
+    return run.withColumn("_s", step).groupBy("dim").agg(F.round(F.when((F.max("_na") > 0) & (F.max("_nb") > 0), F.coalesce(F.sum("_s"), F.lit(0.0))), 6).alias("distance"))
 
 
 def drift_flag(distances: DataFrame, tau: float = 0.5) -> DataFrame:

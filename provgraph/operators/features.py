@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provgraph.functions.names import action_risk, lookup
+from provgraph.operators.ranking import numbered
 
 # Buckets of node types (5 is unknown) and of actions.
 NODE_BUCKET = {"MP": 0, "TP": 1, "process": 1, "thread": 1, "MF": 2, "TF": 3, "file": 3, "module": 3, "SO": 4, "network": 4, "socket": 4, "ip": 4}
@@ -25,7 +26,8 @@ def sides(edges: DataFrame) -> DataFrame:
 def node_degrees(edges: DataFrame) -> DataFrame:
     """(graph_id, node, in_deg, out_deg, degree, max_degree) over the multigraph."""
     each = sides(edges).groupBy("graph_id", "node").agg(F.sum(1 - F.col("out")).alias("in_deg"), F.sum("out").alias("out_deg"), F.count("*").alias("degree"))
-    return each.withColumn("max_degree", F.max("degree").over(Window.partitionBy("graph_id")))
+    most = each.groupBy("graph_id").agg(F.max("degree").alias("max_degree"))
+    return each.join(most, "graph_id")
 
 
 def _shares() -> list[Column]:
@@ -47,7 +49,8 @@ def node_features(edges: DataFrame) -> DataFrame:
     each = sides(edges).groupBy("graph_id", "node").agg(
         F.min_by("type", F.struct("edge_id", -F.col("out"))).alias("type"), F.array(*_shares()).alias("freq"), F.sum(1 - F.col("out")).alias("in_deg"), F.sum("out").alias("out_deg"), F.count("*").alias("degree")
     )
-    most = F.greatest(F.max("degree").over(Window.partitionBy("graph_id")), F.lit(1))
+    most = F.greatest("_most", F.lit(1))
+    each = each.join(each.groupBy("graph_id").agg(F.max("degree").alias("_most")), "graph_id")
     bucket = lookup(F.trim("type"), NODE_BUCKET, 5)
     hot = F.array(*(F.when(bucket == i, 1.0).otherwise(0.0) for i in range(6)))
     return each.select("graph_id", "node", F.concat(hot, "freq", F.array(*(F.col(c) / most for c in ("degree", "in_deg", "out_deg"))), F.array_repeat(F.lit(0.0), 16)).alias("features"))
@@ -56,7 +59,7 @@ def node_features(edges: DataFrame) -> DataFrame:
 def index_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (graph_id, node, idx by first appearance) and edges (graph_id, edge_id, src_idx, dst_idx)."""
     first = sides(edges).groupBy("graph_id", "node").agg(F.min(F.struct("edge_id", -F.col("out"))).alias("_first"))
-    nodes = first.select("graph_id", "node", (F.row_number().over(Window.partitionBy("graph_id").orderBy("_first", "node")) - 1).alias("idx"))
+    nodes = numbered(first, ["_first", "node"], ["graph_id"], "_i").select("graph_id", "node", F.col("_i").cast("int").alias("idx"))
     end = lambda c, to: nodes.select("graph_id", F.col("node").alias(c), F.col("idx").alias(to))
     indexed = edges.select("graph_id", "edge_id", "actorID", "objectID").join(end("actorID", "src_idx"), ["graph_id", "actorID"]).join(end("objectID", "dst_idx"), ["graph_id", "objectID"])
     return nodes, indexed.select("graph_id", "edge_id", "src_idx", "dst_idx")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.operators.components import connected_components
+from provgraph.operators.ranking import numbered
 from provgraph.session import materialize
 
 
@@ -13,31 +14,39 @@ def endpoints(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.col("src").alias("node")).unionByName(edges.select("graph_id", F.col("dst").alias("node")))
 
 
+def with_total(rows: DataFrame, total: Column, name: str, by: str = "graph_id") -> DataFrame:
+    """``rows`` with an aggregate of their graph: a grouped value joined back, so that a large graph's rows stay spread over tasks."""
+    return rows.join(rows.groupBy(F.col(by).alias("_of")).agg(total.alias(name)), F.col(by) == F.col("_of")).drop("_of")
+
+
 def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, node, centrality): edges in and out over n - 1; 1 in a graph of one node."""
     deg = endpoints(edges).groupBy("graph_id", "node").agg(F.count("*").alias("_d"))
-    n = F.count("*").over(Window.partitionBy("graph_id"))
-    joined = nodes.join(deg, ["graph_id", "node"], "left")
-    return joined.select("graph_id", "node", F.round(F.when(n > 1, F.coalesce("_d", F.lit(0)) / (n - 1)).otherwise(1.0), 6).alias("centrality"))
+    joined = with_total(nodes.select("graph_id", "node"), F.count("*"), "_n").join(deg, ["graph_id", "node"], "left")
+    return joined.select("graph_id", "node", F.round(F.when(F.col("_n") > 1, F.coalesce("_d", F.lit(0)) / (F.col("_n") - 1)).otherwise(1.0), 6).alias("centrality"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut: int = 5) -> DataFrame:
     """(graph_id, node, rank) after fixed rounds; several edges count, and nodes without edges out keep their mass to themselves.
 
-    Edges are grouped by pair with their weight once; a round is one join and one grouped sum, and every ``cut`` rounds the
-    ranks are written, so plans stay short and lost executors cost few rounds.
+    Edges are grouped by pair with their weight once. Weights are dealt by source and nodes by name into the same number of
+    partitions and kept, so of a round only what the nodes give is shuffled, summed by target before it is; every ``cut`` rounds the ranks
+    are written, so plans stay short and lost executors cost few rounds.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = edges.groupBy("graph_id", "src").agg(F.count("*").alias("_o"))
-    weighted = materialize(edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("_m")).join(out, ["graph_id", "src"]).select("graph_id", "src", "dst", (F.col("_m") / F.col("_o")).alias("_w")))
-    n = F.count("*").over(Window.partitionBy("graph_id"))
-    base = materialize(nodes.select("graph_id", "node", (1.0 / n).alias("_one")))
+    weights = materialize(edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("_m")).join(out, ["graph_id", "src"]).select("graph_id", "src", "dst", (F.col("_m") / F.col("_o")).alias("_w")))
+    one = materialize(with_total(nodes.select("graph_id", "node"), F.count("*"), "_n").select("graph_id", "node", (1.0 / F.col("_n")).alias("_one")))
+    weighted, base = weights.repartition(parts, "graph_id", "src").persist(), one.repartition(parts, "graph_id", "node").persist()
     ranks = base.select("graph_id", "node", F.col("_one").alias("rank"))
     for i in range(iterations):
-        given = weighted.join(ranks.select("graph_id", F.col("node").alias("src"), "rank"), ["graph_id", "src"])
+        given = weighted.join(ranks.select("graph_id", F.col("node").alias("src"), "rank").hint("shuffle_hash"), ["graph_id", "src"])
         got = given.groupBy("graph_id", F.col("dst").alias("node")).agg(F.sum(F.col("_w") * F.col("rank")).alias("_got"))
-        ranks = base.join(got, ["graph_id", "node"], "left").select("graph_id", "node", ((1 - damping) * F.col("_one") + damping * F.coalesce("_got", F.lit(0.0))).alias("rank"))
-        if (i + 1) % cut == 0:
+        ranks = base.join(got.hint("shuffle_hash"), ["graph_id", "node"], "left").select("graph_id", "node", ((1 - damping) * F.col("_one") + damping * F.coalesce("_got", F.lit(0.0))).alias("rank"))
+        if (i + 1) % cut == 0 or i + 1 == iterations:
             ranks = materialize(ranks)
+    weighted.unpersist()
+    base.unpersist()
     return ranks
 
 
@@ -49,11 +58,10 @@ def stage_coverage(edges: DataFrame) -> DataFrame:
 
 def importance(nodes: DataFrame, edges: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
     """(graph_id, node, importance): PageRank times n, degree centrality, and stage coverage over the largest; halves round up (by 1e-9)."""
-    w = Window.partitionBy("graph_id")
-    joined = pagerank(nodes, edges).join(degree_centrality(nodes, edges), ["graph_id", "node"]).join(stage_coverage(edges), ["graph_id", "node"], "left")
-    stages = F.coalesce("n_stages", F.lit(0))
-    cover = stages / F.greatest(F.max(stages).over(w), F.lit(1))
-    return joined.select("graph_id", "node", F.round(weights[0] * F.col("rank") * F.count("*").over(w) + weights[1] * F.col("centrality") + weights[2] * cover + 1e-9, 6).alias("importance"))
+    joined = pagerank(nodes, edges).join(degree_centrality(nodes, edges), ["graph_id", "node"]).join(stage_coverage(edges), ["graph_id", "node"], "left").withColumn("_s", F.coalesce("n_stages", F.lit(0)))
+    total = joined.groupBy("graph_id").agg(F.count("*").alias("_n"), F.greatest(F.max("_s"), F.lit(1)).alias("_most"))
+    score = weights[0] * F.col("rank") * F.col("_n") + weights[1] * F.col("centrality") + weights[2] * (F.col("_s") / F.col("_most"))
+    return joined.join(total, "graph_id").select("graph_id", "node", F.round(score + 1e-9, 6).alias("importance"))
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, k: int = 3, directed: bool = False) -> DataFrame:
@@ -81,9 +89,8 @@ def weak_components(edges: DataFrame) -> DataFrame:
 
 def compress_recent(edges: DataFrame, ratio: float, floor: int = 50, order: str = "edge_id") -> DataFrame:
     """A graph's newest max(floor, E * ratio) edges; graphs of up to ``floor`` edges stay whole."""
-    by = Window.partitionBy("graph_id")
-    counted = edges.withColumn("_e", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy(F.desc(order))))
-    return counted.where(F.col("_r") <= F.greatest(F.lit(floor), F.floor(F.col("_e") * ratio))).drop("_e", "_r")
+    ranked = with_total(numbered(edges, [F.desc(order)], ["graph_id"], "_r"), F.count("*"), "_e")
+    return ranked.where(F.col("_r") < F.greatest(F.lit(floor), F.floor(F.col("_e") * ratio))).drop("_e", "_r")
 
 
 def compression_report(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.operators.evaluate import dot
+from provgraph.operators.ranking import numbered
 
 LAYERS = {"linear": [], "mlp": [32], "deep": [64, 32]}
 
@@ -19,10 +20,10 @@ def pool_top_nodes(vectors: DataFrame, attention: DataFrame, ratio: float = 0.5,
     that start at it; weights are scaled to 1, and where their sum isn't positive the mean is plain. Ties go by node.
     """
     weight = attention.groupBy("graph_id", F.col("src").alias("node")).agg(F.sum("weight").alias("_w"))
-    by = Window.partitionBy("graph_id")
     joined = vectors.join(weight, ["graph_id", "node"], "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
-    ranked = joined.withColumn("_n", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy(F.desc("_w"), "node")))
-    kept = ranked.where(F.col("_r") <= F.least("_n", F.greatest(F.lit(k_min), F.ceil(F.col("_n") * ratio))))
+    sizes = vectors.groupBy("graph_id").agg(F.count("*").alias("_n"))
+    ranked = numbered(joined, [F.desc("_w"), "node"], ["graph_id"], "_r").join(sizes, "graph_id")
+    kept = ranked.where(F.col("_r") < F.least("_n", F.greatest(F.lit(k_min), F.ceil(F.col("_n") * ratio))))
     long = kept.select("graph_id", "_w", F.posexplode("vec").alias("dim", "x"))
     total = F.sum("_w")
     mean = F.when(total > 0, F.sum(F.col("_w") * F.col("x").cast("double")) / total).otherwise(F.avg(F.col("x").cast("double")))

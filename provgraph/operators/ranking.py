@@ -27,3 +27,23 @@ def numbered(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     return local.join(before.hint("shuffle_hash"), same).select(*df.columns, (F.col("_ahead") + F.col("_in_place")).alias(name))
+
+
+def running_totals(df: DataFrame, values: Sequence[str], order: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``before_{v}``, the sum of each value over the earlier rows in ``order`` within ``by``, and ``next_{order}``, the order of the row that follows (null for the last).
+
+    ``order`` is distinct within ``by`` and not null. Dealt by range as in ``numbered``: a row's total is that within its
+    part plus the parts' before it, and what follows a part's last row is the first of the next part.
+    """
+    keys = [F.col(c) for c in by]
+    placed = materialize(df.repartitionByRange(*keys, order).withColumn("_in_part", F.spark_partition_id()))
+    parts = placed.groupBy("_in_part", *by).agg(F.min(order).alias("_first"), *(F.sum(v).alias(f"_sum_{v}") for v in values))
+    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_in_part")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = parts.select(F.col("_in_part").alias("_of_part"), *(F.col(c).alias(f"_of_{c}") for c in by), F.lead("_first").over(across).alias("_then"), *(F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_ahead_{v}") for v in values))
+    within = Window.partitionBy("_in_part", *keys).orderBy(order)
+    local = placed.select("*", F.lead(order).over(within).alias("_next"), *(F.coalesce(F.sum(v).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_here_{v}") for v in values))
+    same = F.col("_in_part") == F.col("_of_part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return local.join(ahead.hint("shuffle_hash"), same).select(*df.columns, F.coalesce("_next", "_then").alias(f"next_{order}"), *((F.col(f"_here_{v}") + F.col(f"_ahead_{v}")).alias(f"before_{v}") for v in values))

@@ -21,9 +21,9 @@ def uniform(seed: int, *keys: str) -> Column:
 
 def sample_edges(edges: DataFrame, rate: float, seed: int = 0) -> DataFrame:
     """max(1, floor(E * rate)) edges of every graph, without replacement."""
-    by = Window.partitionBy("graph_id")
-    counted = edges.withColumn("_e", F.count("*").over(by)).withColumn("_r", F.row_number().over(by.orderBy(draw(seed, "edge_id"), "edge_id")))
-    return counted.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_e") * rate))).drop("_e", "_r")
+    sizes = edges.groupBy(F.col("graph_id").alias("_of")).agg(F.count("*").alias("_e"))
+    ranked = numbered(edges.withColumn("_draw", draw(seed, "edge_id")), ["_draw", "edge_id"], ["graph_id"], "_r").join(sizes, F.col("graph_id").eqNullSafe(F.col("_of")))
+    return ranked.where(F.col("_r") < F.greatest(F.lit(1), F.floor(F.col("_e") * rate))).select(edges.columns)
 
 
 def drawn_number(seed: int, *keys: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.functions.names import clean_entity_type, fallback_name, is_executable, name_extension, normalize_tool
@@ -90,9 +90,9 @@ def drop_dangling_nodes(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame,
     """
     ends = edges.select("graph_id", F.col("src").alias("node_idx")).unionByName(edges.select("graph_id", F.col("dst").alias("node_idx"))).distinct()
     used = nodes.join(ends, ["graph_id", "node_idx"], "left_semi")
-    numbered = used.withColumn("new_idx", F.row_number().over(Window.partitionBy("graph_id").orderBy("node_idx")) - 1)
-    mapping = numbered.select("graph_id", F.col("node_idx").alias("old_idx"), "new_idx")
-    return numbered.drop("node_idx").withColumnRenamed("new_idx", "node_idx"), remap_ids(edges, mapping), mapping
+    again = numbered(used, ["node_idx"], ["graph_id"], "_i").withColumn("new_idx", F.col("_i").cast("int")).drop("_i")
+    mapping = again.select("graph_id", F.col("node_idx").alias("old_idx"), "new_idx")
+    return again.drop("node_idx").withColumnRenamed("new_idx", "node_idx"), remap_ids(edges, mapping), mapping
 
 
 def remap_ids(edges: DataFrame, mapping: DataFrame) -> DataFrame:
