@@ -1,7 +1,7 @@
 """Ordered chains of techniques and ordered-pattern rules.
 
 A chain is a table (chain_id, pos, item); vectors are (id, vec); contexts are (id, sets, privilege, impact) where ``sets`` is
-an array of string arrays.
+an array of string arrays. Rows with a null key match nothing and empty tables give no rows, unless an operator says otherwise.
 """
 
 from __future__ import annotations
@@ -185,7 +185,7 @@ def match_sequences(edges: DataFrame, rules: DataFrame, blocks: int | None = Non
     several; each block is followed from every state, and only its end states are chained by (graph, stage, rule).
     """
     wants = rules.groupBy("rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "triple"))), lambda x: x["triple"]).alias("_want"))
-    of_rule = rules.select("rule", "triple").distinct().join(wants, "rule")
+    of_rule = rules.select("rule", "triple").distinct().join(wants.hint("merge"), "rule")
     taken = edges.select("graph_id", "stage", F.col("edge_id").cast("bigint").alias("edge_id"), "triple").join(F.broadcast(of_rule), "triple").select("graph_id", "stage", "rule", "_want", "edge_id", "triple")
     order = ["graph_id", "stage", "rule", "edge_id", "triple"]
     dealt = taken.repartitionByRange(blocks, *order) if blocks else taken.repartitionByRange(*order)
@@ -197,7 +197,7 @@ def match_sequences(edges: DataFrame, rules: DataFrame, blocks: int | None = Non
     starts = runs.mapInArrow(_chained, StructType([*fields.fields[:3], *StructType.fromDDL("_starts array<struct<_block:int,_from:int,_base:bigint>>").fields]))
     each = starts.select(*(F.col(c).alias(f"_{c}") for c in order[:3]), F.explode("_starts").alias("_s")).select("_graph_id", "_stage", "_rule", F.col("_s._block").alias("_at"), "_s._from", "_s._base")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in order[:3]]
-    hits = traced.where("not _end").join(each, [*same, F.col("_block") == F.col("_at")])
+    hits = traced.where("not _end").join(each.hint("merge"), [*same, F.col("_block") == F.col("_at")])
     step, number = F.get("_step", F.col("_from")), F.get("_no", F.col("_from")) + F.col("_base") + 1
     passes = hits.select(*order[:3], number.alias("match_no"), step.alias("_hit"), "edge_id", F.size("_step").alias("_len")).where("_hit > 0")
     full = passes.groupBy(*order[:3], "match_no").agg(F.array_sort(F.collect_list(F.struct("_hit", "edge_id"))).alias("_e"), F.first("_len").alias("_len")).where(F.size("_e") == F.col("_len"))
@@ -207,27 +207,44 @@ def match_sequences(edges: DataFrame, rules: DataFrame, blocks: int | None = Non
 def rule_coverage(matches: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph_id, stage, coverage): share of a stage's nodes that matched edges touch; edges have (graph_id, stage, edge_id, src, dst)."""
     hit = matches.select("graph_id", "stage", F.explode("edge_ids").alias("edge_id")).distinct().withColumn("_hit", F.lit(1))
-    ends = edges.join(hit, ["graph_id", "stage", "edge_id"], "left").select("graph_id", "stage", F.explode(F.array("src", "dst")).alias("node"), F.coalesce("_hit", F.lit(0)).alias("_hit"))
+    ends = edges.join(hit.hint("merge"), ["graph_id", "stage", "edge_id"], "left").select("graph_id", "stage", F.explode(F.array("src", "dst")).alias("node"), F.coalesce("_hit", F.lit(0)).alias("_hit"))
     nodes = ends.groupBy("graph_id", "stage", "node").agg(F.max("_hit").alias("_hit"))
     return nodes.groupBy("graph_id", "stage").agg(F.round(F.avg("_hit"), 6).alias("coverage"))
 
 
-def similar_subsequences(items: DataFrame, chains: DataFrame, max_len: int = 3, k: int = 1, alpha: float = 0.65) -> DataFrame:
+def similar_subsequences(items: DataFrame, chains: DataFrame, max_len: int = 3, k: int = 1, alpha: float = 0.65, contexts: DataFrame | None = None, blocks: int = 16) -> DataFrame:
     """(item, actor, seq, sim, rank): runs of 2 to ``max_len`` neighbours in other actors' chains that hold an item's tactic, nearest first.
 
     Items are (item, actor, tactic, vec), chains (actor, pos, item, tactic, vec). ``sim`` is alpha * cosine with the run's mean
-    vector + (1 - alpha) * the largest cosine with one of its members. Joined by tactic.
+    vector + (1 - alpha) * the largest similarity with one of its members: the hybrid one with ``contexts`` (id, sets, privilege,
+    impact), else and where an end has none the cosine. A tactic's runs are dealt into ``blocks``, each gives its best k, and these meet
+    by item, so a common tactic is many tasks. Nulls in tactic or vec match nothing; empty tables give no row.
     """
+    if contexts is not None:
+        known = contexts.select(F.col("id").alias("item"), F.struct("sets", "privilege", "impact").alias("_ctx"))
+        items, chains = items.join(known.hint("merge"), "item", "left"), chains.join(known.hint("merge"), "item", "left")
+    own = [F.col("_ctx")] if contexts is not None else []
     by = Window.partitionBy("actor").orderBy("pos")
-    ahead = F.collect_list(F.struct("item", "tactic", "vec")).over(by.rowsBetween(0, max_len - 1))
-    runs = chains.select("actor", "pos", ahead.alias("_a")).withColumn("_n", F.explode(F.sequence(F.lit(2), F.lit(max_len)))).where(F.size("_a") >= F.col("_n"))
-    runs = runs.select(F.col("actor").alias("other"), F.slice("_a", F.lit(1), F.col("_n")).alias("_r"))
-    zeros = F.transform(F.element_at("_r", 1)["vec"], lambda x: F.lit(0.0))
+    ahead = F.collect_list(F.struct("item", "tactic", "vec", *own)).over(by.rowsBetween(0, max_len - 1))
+    runs = chains.where("vec is not null").select("actor", "pos", ahead.alias("_a")).withColumn("_n", F.explode(F.sequence(F.lit(2), F.lit(max_len)))).where(F.size("_a") >= F.col("_n"))
+    runs = runs.select(F.col("actor").alias("other"), F.slice("_a", F.lit(1), F.col("_n")).alias("_r"), F.pmod(F.xxhash64("actor", "pos", "_n"), F.lit(blocks)).cast("int").alias("_block"))
+    zeros = F.transform(F.get("_r", F.lit(0))["vec"], lambda x: F.lit(0.0))
     total = F.aggregate("_r", zeros, lambda s, x: F.zip_with(s, x["vec"], lambda p, q: p + q.cast("double")))
     runs = runs.withColumn("_mean", F.transform(total, lambda x: x / F.size("_r"))).withColumn("tactic", F.explode(F.array_distinct(F.transform("_r", lambda x: x["tactic"]))))
-    pairs = items.select("item", "actor", "tactic", "vec").join(runs, "tactic").where("actor != other")
-    nearest = F.array_max(F.transform("_r", lambda x: cosine(F.col("vec"), x["vec"])))
+    asked = items.select("item", "actor", "tactic", "vec", *(c.alias("_own") for c in own), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    pairs = asked.join(runs.hint("shuffle_hash"), ["tactic", "_block"]).where("actor != other")
+
+    def alike(x: Column) -> Column:
+        near = cosine(F.col("vec"), x["vec"])
+        if contexts is None:
+            return near
+        a, b = F.col("_own"), x["_ctx"]
+        context = context_similarity(a["sets"], b["sets"], a["privilege"], b["privilege"], a["impact"], b["impact"])
+        return F.coalesce(0.65 * near + 0.35 * context, near)
+
+    nearest = F.array_max(F.transform("_r", alike))
     seq = F.array_join(F.transform("_r", lambda x: x["item"].cast("string")), ">")
-    scored = pairs.select("item", F.col("other").alias("actor"), seq.alias("seq"), F.round(alpha * cosine(F.col("vec"), F.col("_mean")) + (1 - alpha) * nearest, 6).alias("sim"))
-    best = Window.partitionBy("item").orderBy(F.desc("sim"), "actor", "seq")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    scored = pairs.select("item", F.col("other").alias("actor"), seq.alias("seq"), "_block", F.round(alpha * cosine(F.col("vec"), F.col("_mean")) + (1 - alpha) * nearest, 6).alias("sim"))
+    best = lambda *keys: F.row_number().over(Window.partitionBy("item", *keys).orderBy(F.desc("sim"), "actor", "seq"))
+    top = scored.withColumn("rank", best("_block")).where(F.col("rank") <= k).drop("_block")
+    return top.withColumn("rank", best()).where(F.col("rank") <= k).select("item", "actor", "seq", "sim", "rank")

@@ -1,4 +1,7 @@
-"""Ordered windows per run: rolling confusion, convergence, plateaus, stops. Columns: run_id, step and metrics."""
+"""Ordered windows per run: rolling confusion, convergence, plateaus, stops. Columns: run_id, step and metrics.
+
+Steps of a run are distinct; a null metric takes no part in means and deviations and meets no bound. Empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Vectors on graphs: pooling, neighbour means, edge scores, outliers, and classifiers on pooled features."""
+"""Vectors on graphs: pooling, neighbour means, edge scores, outliers, and classifiers on pooled features.
+
+Vectors of a graph have one length; rows with a null key join nothing, null components are left out of means, and empty
+tables give no rows, or a null where a single row is returned.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +42,7 @@ def aggregate_neighbors(edges: DataFrame, vectors: DataFrame, normalize: bool =
     packed = means.groupBy("graph_id", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("_m"))
     own = F.transform("vec", lambda x: x.cast("double"))
     both = F.concat(own, F.coalesce("_m", F.transform("vec", lambda x: F.lit(0.0))))
-    out = vectors.join(packed, ["graph_id", "node"], "left").select("graph_id", "node", both.alias("vec"))
+    out = vectors.join(packed.hint("merge"), ["graph_id", "node"], "left").select("graph_id", "node", both.alias("vec"))
     if normalize:
         norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
         out = out.withColumn("_norm", norm).select("graph_id", "node", F.transform("vec", lambda x: x / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0)).alias("vec"))

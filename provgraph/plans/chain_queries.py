@@ -89,7 +89,7 @@ _add(
     "select actorID as chain_id, action as tactic, min(edge_id) as item from ev_edges group by all",
 )
 _items = lambda d: d.select(F.col("id").alias("item"), F.col("grp").alias("actor"), F.col("id").alias("pos"), F.concat(F.lit("t"), (F.col("id") % 5).cast("string")).alias("tactic"), "vec")
-_add("t11_similar_subsequences", "vectors", lambda d: T.similar_subsequences(_items(d).where("item % 20 = 0"), _items(d)))
+_add("t11_similar_subsequences", "vectors", lambda d: T.similar_subsequences(_items(d), _items(d)))
 
 # Ordered patterns: a read followed by an execute, per daily graph.
 _triples = lambda d: d.select("graph_id", F.lit(1).alias("stage"), "edge_id", F.col("action").alias("triple"), F.col("actorID").alias("src"), F.col("objectID").alias("dst"))

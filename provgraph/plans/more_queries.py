@@ -330,3 +330,13 @@ _add(
     """select graph_id, round(avg(case when mad > 0 and 0.6745 * d / mad > 3.5 then 1 else 0 end), 6) as ratio from (select *, median(d) over (partition by graph_id) as mad from (select graph_id, abs(x - median(x) over (partition by graph_id)) as d from
       (select graph_id, id, round(sqrt(sum((x - m) * (x - m))), 9) as x from (select *, avg(x) over (partition by graph_id, dim) as m from (select grp as graph_id, id, unnest(range(1, len(vec) + 1)) as dim, cast(vec[dim] as double) as x from vectors)) group by graph_id, id))) group by graph_id""",
 )
+
+# Over whole tables: every name from n0 to n47 is listed for every graph, used or not.
+_listed = lambda d: d.select("graph_id").distinct().select("graph_id", F.explode(F.sequence(F.lit(0), F.lit(47))).alias("node_idx"))
+_add("g12_share_of_all_names", "small_graphs", lambda d: G.connected_ratio(_listed(d).select("graph_id", F.concat(F.lit("n"), F.col("node_idx").cast("string")).alias("node")), d), f"select graph_id, round(count(distinct node) / 48, 6) as connectivity from {SM} group by graph_id")
+_add("v4_unused_names", "small_graphs", lambda d: V.drop_dangling_nodes(_listed(d), _numbered(d))[2], f"select graph_id, k as old_idx, cast(row_number() over (partition by graph_id order by k) - 1 as int) as new_idx from {NODES}")
+_add(
+    "j1_all_declarations", "small_graphs", lambda d: J.attach_node_types(_linked(d), d.select(F.col("actorID").alias("uuid"), F.concat("actor_type", F.lit("_"), "action").alias("type"), F.col("edge_id").alias("pos"))).select("edge_id", "actor_type", "object"),
+    """select e.edge_id, a.t as actor_type, coalesce(b.t, 'file') as object from small_graphs e join (select actorID, arg_max(actor_type || '_' || action, edge_id) as t from small_graphs group by actorID) a on a.actorID = e.actorID
+      left join (select actorID, arg_max(actor_type || '_' || action, edge_id) as t from small_graphs group by actorID) b on b.actorID = e.objectID""",
+)

@@ -39,10 +39,14 @@ def _nodes(ends: DataFrame) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per day: the hub, and the graph's size, density and risk."""
-    edges = view(spark, sf_dir, "ev_edges")
-    hub = G.hub_nodes(edges).select("graph_id", F.col("node").alias("hub"), F.col("score").alias("hub_degree"))
-    return G.graph_state(edges).join(G.risk_impact(edges), "graph_id").join(hub, "graph_id")
+    """Per day: the hub, and the graph's size, density and risk. One reading of the edges: a row a node, then a row a graph."""
+    risk = F.when(F.col("out") == 1, N.action_risk(F.col("action")))
+    nodes = G.sides(view(spark, sf_dir, "ev_edges")).groupBy("graph_id", "node").agg(F.count("*").alias("_d"), F.sum("out").alias("_o"), F.sum(risk).alias("_r"))
+    n, e = F.count("*"), F.sum("_o")
+    return nodes.groupBy("graph_id").agg(
+        n.alias("n_nodes"), e.alias("n_edges"), F.round(e / (n + 1e-9), 6).alias("density"), F.round(F.least(F.sum("_r") / e, F.lit(1.0)), 6).alias("impact"),
+        F.min_by("node", F.struct(-F.col("_d"), "node")).alias("hub"), F.max("_d").alias("hub_degree"),
+    )
 
 
 SIDES = "(select graph_id, actorID as node, actor_type as type, 1 as o, edge_id, action from {v} union all select graph_id, objectID, object, 0, edge_id, action from {v})"

@@ -26,3 +26,40 @@ def test_matches_over_blocks(spark):
     for blocks in (16, None):
         found = [(*x[:4], tuple(x.edge_ids)) for x in T.match_sequences(table, steps, blocks).collect()]
         assert len(found) == len(expected) and set(found) == expected
+
+
+def test_similar_subsequences(spark):
+    """Against a plain loop, with and without contexts."""
+    r = random.Random(31)
+    rows = [(f"a{i % 4}", i, f"i{i}", r.choice("xyz"), [r.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    table = spark.createDataFrame(rows, "actor string, pos int, item string, tactic string, vec array<double>")
+    told = {f"i{i}": ([[r.choice("pq")], [r.choice("st")]], r.choice([0.0, 0.5]), r.random() < 0.5) for i in range(0, 60, 2)}
+    contexts = spark.createDataFrame([(i, *c) for i, c in told.items()], "id string, sets array<array<string>>, privilege double, impact boolean")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    cos = lambda a, b: dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5)
+
+    def hybrid(i, j, a, b, use):
+        if not use or i not in told or j not in told:
+            return cos(a, b)
+        (s, p, m), (t, q, n) = told[i], told[j]
+        parts = [len(set(x) & set(y)) / len(set(x) | set(y)) for x, y in zip(s, t)] + [1 - abs(p - q), float(m == n)]
+        return 0.65 * cos(a, b) + 0.35 * sum(parts) / len(parts)
+
+    for use in (False, True):
+        expected = {}
+        for actor, _, item, tactic, vec in rows:
+            found = []
+            for other in {x[0] for x in rows} - {actor}:
+                chain = [x for x in rows if x[0] == other]
+                for n in (2, 3):
+                    for run in (chain[k : k + n] for k in range(len(chain) - n + 1)):
+                        if tactic in {x[3] for x in run}:
+                            mean = [sum(x[4][d] for x in run) / n for d in range(3)]
+                            sim = round(0.65 * cos(vec, mean) + 0.35 * max(hybrid(item, x[2], vec, x[4], use) for x in run), 6)
+                            found.append((-sim, other, ">".join(x[2] for x in run)))
+            expected[item] = [(a, s, -sim) for sim, a, s in sorted(found)[:2]]
+        got = {}
+        for x in T.similar_subsequences(table.select("item", "actor", "tactic", "vec"), table, k=2, contexts=contexts if use else None).orderBy("item", "rank").collect():
+            got.setdefault(x.item, []).append((x.actor, x.seq, x.sim))
+        assert {i: [(a, s) for a, s, _ in v] for i, v in got.items()} == {i: [(a, s) for a, s, _ in v] for i, v in expected.items()}
+        assert all(abs(p[2] - q[2]) < 2e-6 for i in got for p, q in zip(got[i], expected[i]))
