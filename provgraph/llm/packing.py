@@ -190,7 +190,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, block: int = 20_000
 
     Pieces are dealt by hash into blocks of about ``block``, whose lengths follow the same law; a block leaves less than
     one sequence partly filled more than the whole would. Order within a block is by length downwards, then id and piece.
-    How far the search goes is the parameter ``effort``; past its bounds best fit's bins stay, so a packing is always whole.
+    Rows without an id are packed too. How far the search goes is the parameter ``effort``; past its bounds best fit's bins stay, so a packing is always whole.
     """
     blocks = max(1, -(-pieces.count() // block))
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -212,8 +212,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, block: int = 20_000
                 place += length
         return pdf[keys].assign(sequence_id=sequence, offset=offset)
 
-    dealt = pieces.select(*keys, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).alias("block"))
-    return dealt.groupBy("block").applyInPandas(pack, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    name = F.col("doc_id").cast("string").alias("doc_id")  # a null among numbers would make them floats
+    dealt = pieces.select(name, *keys[1:], F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).alias("block"))
+    packed = dealt.groupBy("block").applyInPandas(pack, "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = SEQUENCE, end: int = 0) -> DataFrame:

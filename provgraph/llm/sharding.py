@@ -30,7 +30,8 @@ def assign_groups(groups: DataFrame, shards: int, fine: int = 1000, block: int =
     A group above 1/``fine`` of a mean shard is large: there are at most ``shards * fine`` of those whatever the input, and
     one heap places them exactly. The rest is dealt by hash into blocks of about ``block`` groups; every block runs the same
     rule on its own heap, which starts with the block's share of the large groups' loads, so that all blocks together fill
-    the shards evenly. Within a block the loads end apart by about its smallest group.
+    the shards evenly. Within a block the loads end apart by at most its largest small group, which is at most 1/``fine`` of a
+    mean shard (in practice by about its smallest), so two shards' loads differ by at most that sum over the blocks.
     """
     spark = groups.sparkSession
     total, count = groups.agg(F.sum("bytes"), F.count("*")).first()

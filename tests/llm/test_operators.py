@@ -166,8 +166,10 @@ def test_special_token_in_a_text(spark):
     import tokenizers
 
     own = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    said = {1: "hi <|endoftext|> x", 2: "plain text", 3: None, 4: "<|endoftext|>" * 3}
+    big = (1 << 60) + 1
+    said = {1: "hi <|endoftext|> x", 2: "plain text", 3: None, big: "<|endoftext|>" * 3, None: "a row without an id"}
     out = packing.pack_documents(spark.createDataFrame([(i, t, "c") for i, t in said.items()], "doc_id bigint, text string, block string"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).collect()
+    assert {r.doc_id for r in out} == set(said)
     for r in out:
         ids = [*own.encode(said[r.doc_id] or "", add_special_tokens=False).ids, 0]
         assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
