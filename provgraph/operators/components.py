@@ -26,10 +26,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     scratch = Scratch(edges.sparkSession)
     live = scratch.table(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct())
     before, now = None, _mark(live)
-    while now != before:
+    while now != before and now[0]:
         both = live.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(live.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select(F.col("u").alias("_u"), F.least("u", "_m").alias("_m"))
-        large = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("_u")).select(F.col("v").alias("hi"), F.col("_m").alias("lo")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("_u")).select(F.col("v").alias("hi"), F.col("_m").alias("lo"))
         root = large.groupBy("hi").agg(F.min("lo").alias("_r")).select(F.col("hi").alias("_h"), "_r")
         small = large.join(root.hint("merge"), F.col("hi") == F.col("_h"))
         linked = small.where("lo != _r").select(F.col("lo").alias("hi"), F.col("_r").alias("lo")).unionByName(small.where("lo = _r").select("hi", "lo"))
