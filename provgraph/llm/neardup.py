@@ -324,6 +324,8 @@ def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
     if "component" not in whole.columns:
         found = connected_components(links, "a", "b").select("node", F.col("component").alias("_root"))
         return whole.join(found.hint("merge"), "node", "left").select("node", F.coalesce("_root", "node").alias("component"))
+    if links.isEmpty():
+        return whole
     of = lambda c: whole.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     between = links.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
     found = connected_components(between, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_root"))
