@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provgraph.llm.common import map_rows
-from provgraph.operators.components import connected_components
+from provgraph.operators.components import contracted_components
 from provgraph.session import Scratch
 
 #: Registers a document, base and rate of the exponential law, and the greatest register (two bytes).
@@ -322,13 +322,13 @@ def open_pairs(members: DataFrame, percent: int, most: float, scratch: Scratch)
 def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
     """``whole`` (node, component; without the latter each node is one) after the links (a, b) between its nodes; work is on the components that a link touches."""
     if "component" not in whole.columns:
-        found = connected_components(links, "a", "b").select("node", F.col("component").alias("_root"))
+        found = contracted_components(links, "a", "b").select("node", F.col("component").alias("_root"))
         return whole.join(found.hint("merge"), "node", "left").select("node", F.coalesce("_root", "node").alias("component"))
     if links.isEmpty():
         return whole
     of = lambda c: whole.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
     between = links.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
-    found = connected_components(between, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_root"))
+    found = contracted_components(between, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("_root"))
     return whole.join(found.hint("merge"), "component", "left").select("node", F.coalesce("_root", "component").alias("component"))
 
 
