@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provgraph.llm import bpe, chat, langid, neardup, neighbours, packing, pii, quality, sharding, urls
+from provgraph.llm import bpe, chat, langid, neardup, neighbours, packing, pii, quality, sharding, trie, urls
 from provgraph.session import read_table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -68,6 +68,10 @@ def op10_url_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op11_euler_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_prefixes(read_table(spark, sf_dir, "conversations")).drop("enter_behind")
+
+
 OP7_SQL = f"""
 with said as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -80,5 +84,36 @@ select conv_id, count(*) as n_turns,
   cast(0 as bigint) as attachment_tokens, count(*) filter (role = 'assistant') as n_loss_spans
 from said group by conv_id"""
 
-QUERIES = {f.__name__: f for f in (op1_compression_bands, op2_robust_pruned_graph, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op8_weak_supervision, op9_subword_softmax, op10_url_ngrams)}
-ORACLES = {"op7_typed_parts": OP7_SQL}
+#: The checksum's table is made by its rule: eight steps for each byte.
+OP11_SQL = """
+with steps as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+own as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+counted as (select conv_id, count(*) as n from own group by conv_id),
+taken as (
+  select conv_id, n, conv_id - conv_id % 5 as source,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 9 as h
+  from counted, steps),
+turns as (
+  select c.conv_id, o.pos as depth, o.role, o.text from taken c join own o on o.conv_id = c.source and o.pos <= c.h
+  union all
+  select o.conv_id, o.pos - c.h + least(c.h, coalesce(s.n, 0)), o.role, o.text
+  from own o join taken c on c.conv_id = o.conv_id left join counted s on s.conv_id = c.source where o.pos > c.h),
+paths as (
+  select conv_id, depth, list({'role': role, 'text': text}) over (partition by conv_id order by depth) as path, strlen(text) as bytes from turns
+  union all select conv_id, 0, [], 0 from counted),
+lengths as (select conv_id, max(depth) as depth from paths group by conv_id),
+nodes as (select path, min(conv_id) as conv_id, any_value(depth) as depth, count(*) as n_convs, any_value(bytes) as bytes from paths group by path),
+children as (select list_slice(path, 1, depth - 1) as path, count(*) as n from nodes where depth > 0 group by 1),
+marked as (select n.*, coalesce(c.n, 0) as n_children from nodes n left join children c on c.path = n.path),
+above as (select unnest(range(depth + 1)) as top, path, n_children, (n_convs - 1) * bytes as saved from marked),
+below as (select list_slice(path, 1, top) as path, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved from above group by 1),
+ends as (select p.path, string_agg(cast(p.conv_id as varchar), ',' order by p.conv_id) as ids from paths p join lengths l on l.conv_id = p.conv_id and l.depth = p.depth group by p.path)
+select m.conv_id, m.depth, u.conv_id as parent_conv_id, m.n_convs, m.n_children, b.n_leaves, cast(b.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from marked m join below b on b.path = m.path left join ends e on e.path = m.path left join nodes u on m.depth > 0 and u.path = list_slice(m.path, 1, m.depth - 1)"""
+
+_ALL = (op1_compression_bands, op2_robust_pruned_graph, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op8_weak_supervision, op9_subword_softmax, op10_url_ngrams, op11_euler_tour)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op7_typed_parts": OP7_SQL, "op11_euler_tour": OP11_SQL}
