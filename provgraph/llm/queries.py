@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provgraph.llm import bpe, chat, langid, neardup, neighbours, packing, pii, quality, sharding, trie, urls
+from provgraph.llm import bpe, chat, langid, neardup, negatives, neighbours, packing, pii, quality, sharding, trie, urls, warc
 from provgraph.session import read_table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -72,6 +72,14 @@ def op11_euler_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.shared_prefixes(read_table(spark, sf_dir, "conversations")).drop("enter_behind")
 
 
+def op12_bond_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_segment_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(read_table(spark, sf_dir, "pages")).drop("damage")
+
+
 OP7_SQL = f"""
 with said as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -114,6 +122,28 @@ ends as (select p.path, string_agg(cast(p.conv_id as varchar), ',' order by p.co
 select m.conv_id, m.depth, u.conv_id as parent_conv_id, m.n_convs, m.n_children, b.n_leaves, cast(b.saved as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
 from marked m join below b on b.path = m.path left join ends e on e.path = m.path left join nodes u on m.depth > 0 and u.path = list_slice(m.path, 1, m.depth - 1)"""
 
-_ALL = (op1_compression_bands, op2_robust_pruned_graph, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op8_weak_supervision, op9_subword_softmax, op10_url_ngrams, op11_euler_tour)
+OP12_SQL = """
+with used as (
+  select row_number() over () as row, vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+scored as (
+  select a.row, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from used a join used b on a.vec_id % 100 = 0 and a.vec_id != b.vec_id and len(a.v) = len(b.v)),
+positives as (
+  select row, anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by row order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id, cast(row_number() over (partition by p.row, p.positive_id order by s.score desc, s.vec_id) as integer) as rank, s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scored s on s.row = p.row and not s.same and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+qualify rank <= 5"""
+
+OP13_SQL = """
+select page_id, cast(coalesce(strlen(html), 0) as bigint) as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+  case when strlen(html) >= 1000 and page_id < max(page_id) over same then 'revisit' else 'response' end as record_type,
+  case when strlen(html) >= 1000 and page_id < max(page_id) over same then max(page_id) over same end as refers_to
+from pages window same as (partition by html)"""
+
+_ALL = (op1_compression_bands, op2_robust_pruned_graph, op3_setsketch, op4_bin_completion, op5_longest_first, op6_chunked_bpe, op7_typed_parts, op8_weak_supervision, op9_subword_softmax, op10_url_ngrams, op11_euler_tour, op12_bond_scan, op13_segment_reassembly)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op7_typed_parts": OP7_SQL, "op11_euler_tour": OP11_SQL}
+ORACLES = {"op7_typed_parts": OP7_SQL, "op11_euler_tour": OP11_SQL, "op12_bond_scan": OP12_SQL, "op13_segment_reassembly": OP13_SQL}
