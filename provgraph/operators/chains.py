@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField, StructType
 
 from provgraph.functions.names import TACTICS, bridge_hint, tactic_rank
 from provgraph.operators.evaluate import cosine
-from provgraph.session import materialize
+from provgraph.session import Scratch, materialize
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -81,19 +81,36 @@ def one_per_tactic(chain: DataFrame) -> DataFrame:
     return chain.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
-def fill_missing_tactics(chain: DataFrame, candidates: DataFrame, essential: Sequence[str], max_len: int = 10) -> DataFrame:
+def fill_missing_tactics(chain: DataFrame, candidates: DataFrame, essential: Sequence[str], max_len: int = 10, block_rows: int = 4096) -> DataFrame:
     """Chain (chain_id, pos, item, tactic, vec) with, for each essential tactic that it lacks, the candidate (item, tactic, vec) nearest to its last item.
 
     Tactics are filled in the given order; each time the item just added is the new last one. A chain of ``max_len`` takes
-    no more. One round a tactic, each a join by tactic and a minimum.
+    no more. Nearness is the cosine to 9 places, ties go to the smaller item; a chain whose last item has no vector takes the
+    smallest item. Candidates without an item or vector are not offered, and a chain without any offered stays as it is.
+
+    One round a tactic. Its candidates are dealt by hash into blocks of about ``block_rows``, numbered over all blocks of a
+    tactic, and every open chain meets each block in a task of its own; a block gives one candidate a chain, so what meets by chain is
+    one row a block and no task holds all candidates of a tactic. Each round's chains are written.
     """
-    for tactic in essential:
+    scratch = Scratch(chain.sparkSession)
+    chain = scratch.table(chain.select("chain_id", "pos", "item", "tactic", "vec"))
+    offers = scratch.table(candidates.where("item is not null and vec is not null").where(F.col("tactic").isin(list(essential))).select(F.col("item").alias("_item"), F.col("tactic").alias("_of"), F.col("vec").alias("_cvec")))
+    sizes = {r["_of"]: r["count"] for r in offers.groupBy("_of").count().collect()}  # one row an essential tactic
+    for tactic in dict.fromkeys(essential):
+        blocks = -(-sizes.get(tactic, 0) // block_rows)
+        if not blocks:
+            continue
         state = chain.groupBy("chain_id").agg(F.count("*").alias("_n"), F.max_by("vec", "pos").alias("_vec"), F.max("pos").alias("_last"), F.count_if(F.col("tactic") == tactic).alias("_has"))
-        open_chains = state.where((F.col("_has") == 0) & (F.col("_n") < max_len))
-        offered = candidates.where(F.col("tactic") == tactic).select(F.col("item").alias("_item"), "tactic", F.col("vec").alias("_cvec"))
-        pairs = open_chains.withColumn("tactic", F.lit(tactic)).join(offered, "tactic")
-        best = pairs.groupBy("chain_id").agg(F.min_by(F.struct("_item", "_cvec", "_last"), F.struct(-F.round(cosine(F.col("_vec"), F.col("_cvec")), 9), "_item")).alias("_b"))
-        chain = chain.unionByName(best.select("chain_id", (F.col("_b._last") + 1).alias("pos"), F.col("_b._item").alias("item"), F.lit(tactic).alias("tactic"), F.col("_b._cvec").alias("vec")))
+        open_chains = state.where((F.col("_has") == 0) & (F.col("_n") < max_len)).select("chain_id", "_vec", "_last", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+        dealt = offers.where(F.col("_of") == tactic).select("_item", "_cvec", F.pmod(F.xxhash64("_item"), F.lit(blocks)).cast("int").alias("_block"))
+        pairs = open_chains.join(dealt.hint("shuffle_hash"), "_block")
+        nearest = F.struct((-F.round(cosine(F.col("_vec"), F.col("_cvec")), 9)).alias("_far"), "_item")
+        best = pairs.groupBy("chain_id").agg(F.min_by(F.struct("_item", "_cvec", "_last"), nearest).alias("_b"))
+        added = best.select("chain_id", (F.col("_b._last") + 1).alias("pos"), F.col("_b._item").alias("item"), F.lit(tactic).alias("tactic"), F.col("_b._cvec").alias("vec"))
+        step = scratch.table(chain.unionByName(added))
+        scratch.drop(chain)
+        chain = step
+    scratch.drop(offers)
     return chain
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provgraph.session import Scratch, materialize
+from provgraph.session import Scratch
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -41,14 +41,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return stars.unionByName(live.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
-def _to_roots(parents: DataFrame) -> DataFrame:
+def to_roots(parents: DataFrame, scratch: Scratch) -> DataFrame:
     """Pointer jumping: (node, parent) with parents of parents until every parent is a root."""
+    held = None
     while True:
         up = parents.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
-        jumped = materialize(
+        jumped = scratch.table(
             parents.join(up, parents.parent == up["_n"], "left").select("node", F.coalesce("_p", "parent").alias("parent"), (F.coalesce("_p", "parent") != F.col("parent")).alias("_moved"))
         )
-        parents = jumped.select("node", "parent")
+        if held is not None:
+            scratch.drop(held)
+        held, parents = jumped, jumped.select("node", "parent")
         if jumped.where("_moved").isEmpty():
             return parents
 
@@ -58,25 +61,30 @@ def contracted_components(edges: DataFrame, src: str = "src", dst: str = "dst")
 
     Nodes may be of any orderable type (a struct too). Each round hangs every node below its smallest neighbour, jumps
     to the roots and replaces the edges by edges between roots; at least half the nodes vanish a round. Work is grouped
-    minima and equi joins on written tables, never a collected graph. Edges with a null end and loops link nothing;
-    an empty table gives no row.
+    minima and equi joins on written tables, never a collected graph; all but the last table are removed again. Edges with a
+    null end and loops link nothing; an empty table gives no row.
     """
     a, b = F.col(src), F.col(dst)
-    live = materialize(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
+    scratch = Scratch(edges.sparkSession)
+    live = scratch.table(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct())
     maps: list[DataFrame] = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("_least"))
-        roots = _to_roots(near.select("node", F.least("node", "_least").alias("parent")))
+        roots = to_roots(near.select("node", F.least("node", "_least").alias("parent")), scratch)
         maps.append(roots)
         end = lambda c: roots.select(F.col("node").alias(f"_n{c}"), F.col("parent").alias(f"_p{c}"))
-        live = materialize(
+        step = scratch.table(
             live.join(end("a"), F.col("a") == F.col("_na")).join(end("b"), F.col("b") == F.col("_nb")).where("_pa != _pb").select(F.least("_pa", "_pb").alias("a"), F.greatest("_pa", "_pb").alias("b")).distinct()
         )
+        scratch.drop(live)
+        live = step
     if not maps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[-1]
     for earlier in reversed(maps[:-1]):
         last = out.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
         out = earlier.join(last, earlier.parent == last["_n"], "left").select("node", F.coalesce("_p", "parent").alias("parent"))
-    return out.select("node", F.col("parent").alias("component"))
+    found = scratch.table(out.select("node", F.col("parent").alias("component")))
+    scratch.drop_others(found)
+    return found

@@ -1,124 +1,237 @@
-"""Causal depth and cut vertices: linear graph searches inside a task, one graph at a time, with a bound on the graph's size."""
+"""Causal depth and cut vertices of graphs of any size: strong components, peeling by levels, spanning trees and Euler tours as rounds of joins.
+
+All graphs of a table go through the same rounds together; a round is a few joins of written tables, keyed by node, so neither a
+large graph nor a hub is one task's work. Tables that no later round reads are removed.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provgraph.operators.components import contracted_components, to_roots
+from provgraph.operators.ranking import running_totals
+from provgraph.operators.tours import list_sums, subtree_sums
+from provgraph.session import Scratch
+
+#: Positions that one step of ``range_extremes`` sums up.
+FAN = 16
+
+
+def _numbers(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(graph_id, node, id) with ids from 1 on, near for the nodes of a graph, and distinct (graph_id, s, d) between them; rows with a null don't count."""
+    simple = scratch.table(edges.where("graph_id is not null and src is not null and dst is not null").select("graph_id", "src", "dst").distinct())
+    ends = simple.select("graph_id", F.col("src").alias("node")).unionByName(simple.select("graph_id", F.col("dst").alias("node"))).distinct()
+    nodes = scratch.table(ends.repartitionByRange("graph_id", "node").sortWithinPartitions("graph_id", "node").withColumn("id", F.monotonically_increasing_id() + 1))
+    side = lambda c, name: nodes.select("graph_id", F.col("node").alias(c), F.col("id").alias(name)).hint("merge")
+    return nodes, scratch.table(simple.join(side("src", "s"), ["graph_id", "src"]).join(side("dst", "d"), ["graph_id", "dst"]).select("graph_id", "s", "d"))
+
+
+def _trimmed(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The links (s, d) without those that no cycle can hold: again and again those go whose source has no link in or whose target has none out."""
+    size = links.count()
+    while size:
+        fed, feeding = links.select(F.col("d").alias("s")).distinct(), links.select(F.col("s").alias("d")).distinct()
+        kept = scratch.table(links.join(fed.hint("merge"), "s", "left_semi").join(feeding.hint("merge"), "d", "left_semi").select("s", "d"))
+        before, size = size, kept.count()
+        scratch.drop(links)
+        links = kept
+        if size == before:
+            break
+    return links
+
+
+def strong_components(links: DataFrame) -> DataFrame:
+    """(node, component): every node of a directed cycle of links (s, d; bigint) with the largest node of its strongly connected component.
+
+    Forward-backward search for all components at once: links that can't lie on a cycle are trimmed; then every node takes the largest node
+    that reaches it as its colour, which is the same for a whole component; from each node that is its own colour a search
+    backwards within the colour finds its component. Links of found nodes and between colours go, and it starts again with what is left;
+    each turn finds one component a colour at least. A search takes as many rounds as its longest shortest path.
+    """
+    scratch, found = Scratch(links.sparkSession), []
+    live = _trimmed(scratch.table(links.where("s != d").select("s", "d").distinct()), scratch)
+    while not live.isEmpty():
+        colours = scratch.table(live.select(F.col("s").alias("node")).distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")))
+        while not colours.where("moved").isEmpty():
+            news = live.join(colours.where("moved").select(F.col("node").alias("s"), "colour").hint("merge"), "s").groupBy(F.col("d").alias("_node")).agg(F.max("colour").alias("_colour"))
+            larger = F.coalesce(F.col("_colour") > F.col("colour"), F.lit(False))
+            step = scratch.table(colours.join(news.hint("merge"), F.col("node") == F.col("_node"), "left").select("node", F.when(larger, F.col("_colour")).otherwise(F.col("colour")).alias("colour"), larger.alias("moved")))
+            scratch.drop(colours)
+            colours = step
+        of = lambda c: colours.select(F.col("node").alias(c), F.col("colour").alias(f"_{c}")).hint("merge")
+        same = scratch.table(live.join(of("s"), "s").join(of("d"), "d").where("_s = _d").select("s", "d", F.col("_s").alias("colour")))
+        scratch.drop(live)
+        front = scratch.table(colours.where("node = colour").select("node", "colour"))
+        reached = front
+        while not front.isEmpty():
+            back = same.join(front.select(F.col("node").alias("d")).hint("merge"), "d", "left_semi").select(F.col("s").alias("node"), "colour").distinct()
+            front = scratch.table(back.join(reached.select("node").hint("merge"), "node", "left_anti"))
+            reached = reached.unionByName(front)
+        done = scratch.table(reached.select("node", F.col("colour").alias("component")))
+        found.append(done)
+        left = lambda c: done.select(F.col("node").alias(c)).hint("merge")
+        live = _trimmed(scratch.table(same.join(left("s"), "s", "left_anti").join(left("d"), "d", "left_anti").select("s", "d")), scratch)
+    if not found:
+        return links.select(F.col("s").alias("node"), F.col("d").alias("component")).limit(0)
+    result = scratch.table(reduce(DataFrame.unionByName, found))
+    scratch.drop_others(result)
+    return result
+
+
+def longest_paths(links: DataFrame) -> DataFrame:
+    """(graph_id, depth): most edges on a path of acyclic links (graph_id, s, d), for graphs with any.
+
+    Level by level the links go whose source has no link in: a graph lasts as many rounds as its longest path has edges.
+    """
+    scratch, levels = Scratch(links.sparkSession), []
+    live = scratch.table(links.select("graph_id", "s", "d").distinct())
+    while not live.isEmpty():
+        levels.append(scratch.table(live.groupBy("graph_id").agg(F.lit(1).alias("level"))))
+        step = scratch.table(live.join(live.select(F.col("d").alias("s")).distinct().hint("merge"), "s", "left_semi").select("graph_id", "s", "d"))
+        scratch.drop(live)
+        live = step
+    if not levels:
+        return links.groupBy("graph_id").agg(F.count("*").alias("depth"))
+    result = scratch.table(reduce(DataFrame.unionByName, levels).groupBy("graph_id").agg(F.count("*").alias("depth")))
+    scratch.drop_others(result)
+    return result
+
+
+def causal_depth(edges: DataFrame) -> DataFrame:
+    """(graph_id, depth, depth_ratio) of edges (graph_id, src, dst): the longest path, in edges, between strongly connected components, and that over the number of nodes.
+
+    Repeated edges count once, a loop makes its node one of the graph; edges with a null don't count, and a graph without others has no row.
+    """
+    scratch = Scratch(edges.sparkSession)
+    nodes, links = _numbers(edges, scratch)
+    parts = strong_components(links.select("s", "d"))
+    end = lambda c: parts.select(F.col("node").alias(f"_n{c}"), F.col("component").alias(f"_c{c}")).hint("merge")
+    merged = links.join(end("s"), F.col("s") == F.col("_ns"), "left").join(end("d"), F.col("d") == F.col("_nd"), "left")
+    depths = longest_paths(merged.select("graph_id", F.coalesce("_cs", "s").alias("s"), F.coalesce("_cd", "d").alias("d")).where("s != d"))
+    sizes = nodes.groupBy("graph_id").agg(F.count("*").alias("_n"))
+    depth = F.coalesce("depth", F.lit(0)).cast("bigint")
+    out = scratch.table(sizes.join(depths.hint("merge"), "graph_id", "left").select("graph_id", depth.alias("depth"), F.round(depth / F.col("_n"), 6).alias("depth_ratio")))
+    scratch.drop_others(out)
+    return out
+
+
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """The links (a, b, e; e distinct) of a spanning forest: in every round each component takes its link of least e, components that links join become one, and links inside go. At least half the components vanish a round."""
+    scratch, chosen = Scratch(links.sparkSession), []
+    live = scratch.table(links.where("a != b").select("a", "b", "e"))
+    while not live.isEmpty():
+        both = live.select("a", "b", "e").unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
+        pick = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("e", "b")).alias("_p")).select("node", "_p.e", F.col("_p.b").alias("to")))
+        chosen.append(pick.select("e").distinct())
+        other = pick.select(F.col("node").alias("_to"), F.col("e").alias("_e")).hint("merge")
+        hung = pick.join(other, F.col("to") == F.col("_to")).select("node", F.when((F.col("e") == F.col("_e")) & (F.col("node") < F.col("to")), F.col("node")).otherwise(F.col("to")).alias("parent"))
+        roots = to_roots(hung, scratch)
+        end = lambda c: roots.select(F.col("node").alias(f"_n{c}"), F.col("parent").alias(f"_p{c}")).hint("merge")
+        moved = live.join(end("a"), F.col("a") == F.col("_na")).join(end("b"), F.col("b") == F.col("_nb")).where("_pa != _pb")
+        step = scratch.table(moved.groupBy(F.least("_pa", "_pb").alias("a"), F.greatest("_pa", "_pb").alias("b")).agg(F.min("e").alias("e")))
+        scratch.drop(live)
+        live = step
+    if not chosen:
+        return live
+    result = scratch.table(links.select("a", "b", "e").join(reduce(DataFrame.unionByName, chosen).distinct().hint("merge"), "e", "left_semi").select("a", "b", "e"))
+    scratch.drop_others(result)
+    return result
+
+
+def rooted(forest: DataFrame) -> DataFrame:
+    """(node, parent) of a forest of links (a, b, e): each tree hangs from its smallest node, which has the parent 0; nodes are numbers from 1 on.
+
+    Each link is two arcs. What follows an arc is the next of the arcs that leave its target, going round after its twin, which makes one
+    tour of each tree; cut at the root and ranked, it meets each link's arc away from the root first.
+    """
+    scratch = Scratch(forest.sparkSession)
+    out = scratch.table(forest.select(F.inline(F.array(F.struct((F.col("e") * 2).alias("arc"), F.col("a").alias("tail")), F.struct((F.col("e") * 2 + 1).alias("arc"), F.col("b").alias("tail"))))))
+    trees = scratch.table(contracted_components(forest, "a", "b"))
+    first = out.groupBy(F.col("tail").alias("_of")).agg(F.min("arc").alias("_first"))
+    turned = running_totals(out, [], "arc", ["tail"]).join(first.hint("merge"), F.col("tail") == F.col("_of")).join(trees.hint("merge"), F.col("tail") == F.col("node"))
+    twin = F.col("arc").bitwiseXOR(F.lit(1))
+    arcs = turned.select(twin.alias("arc"), F.coalesce("next_arc", F.when(F.col("node") != F.col("component"), F.col("_first"))).alias("next"), F.lit(1).cast("bigint").alias("left"))
+    ranks = scratch.table(list_sums(arcs, ["left"]).join(out.hint("merge"), "arc"))
+    ahead, back = (ranks.where(F.col("arc") % 2 == k).select(F.floor(F.col("arc") / 2).cast("bigint").alias("e"), F.col("left").alias(f"_l{k}"), F.col("tail").alias(f"_t{k}")) for k in (0, 1))
+    down = F.col("_l0") > F.col("_l1")
+    hung = ahead.join(back.hint("merge"), "e").select(F.when(down, F.col("_t1")).otherwise(F.col("_t0")).alias("node"), F.when(down, F.col("_t0")).otherwise(F.col("_t1")).alias("parent"))
+    result = scratch.table(hung.unionByName(trees.where("node = component").select("node", F.lit(0).cast("bigint").alias("parent"))))
+    scratch.drop_others(result)
+    return result
+
+
+def range_extremes(values: DataFrame, queries: DataFrame, fan: int = FAN) -> DataFrame:
+    """(id, low, high): least ``low`` and greatest ``high`` of the values (pos, low, high; one a place from 0 on) at the places from ``first`` to ``last`` of each query (id, first, last).
+
+    A query that spans less than two blocks of ``fan`` places looks them up; a longer one looks up what sticks out of its whole blocks and asks
+    for the rest one level up, where a block is one place. So a level has a ``fan``-th of the places, short queries end
+    at once, and none looks up more than 2 ``fan`` places a level.
+    """
+    scratch, parts = Scratch(queries.sparkSession), []
+    values, queries = scratch.table(values.select("pos", "low", "high")), scratch.table(queries.select("id", "first", "last"))
+    while not queries.isEmpty():
+        block = lambda c: F.floor(F.col(c) / fan).cast("bigint")
+        far = F.col("last") - F.col("first") >= 2 * fan
+        head, tail = F.sequence("first", block("first") * fan + fan - 1), F.sequence(block("last") * fan, "last")
+        asked = queries.select("id", F.explode(F.when(far, F.concat(head, tail)).otherwise(F.sequence("first", "last"))).alias("_pos"))
+        met = asked.join(values.hint("merge"), F.col("_pos") == F.col("pos"))
+        parts.append(scratch.table(met.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))))
+        queries = scratch.table(queries.where(far).select("id", (block("first") + 1).alias("first"), (block("last") - 1).alias("last")).where("first <= last"))
+        values = scratch.table(values.groupBy(block("pos").alias("pos")).agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    if not parts:
+        return queries.select("id", F.col("first").alias("low"), F.col("last").alias("high"))
+    result = scratch.table(reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    scratch.drop_others(result)
+    return result
+
+
+def cut_vertices(links: DataFrame) -> DataFrame:
+    """(node): the nodes of undirected links (a, b; numbers from 1 on, a < b, distinct) that split their component when they go.
+
+    Tarjan and Vishkin: a spanning forest is rooted and numbered by Euler tours. A tree link is named by its lower node. Two tree links
+    lie in one block if a link outside the forest joins their lower nodes and neither is below the other, or if one follows the
+    other and a link outside the forest leads from below the lower one to outside of what lies below the upper one; components of these relations are the blocks, and a
+    node that tree links of several blocks meet in is a cut vertex. What a subtree's links reach is a range of the numbers, from ``range_extremes``.
+    """
+    scratch = Scratch(links.sparkSession)
+    named = scratch.table(links.select("a", "b").withColumn("e", F.monotonically_increasing_id()))
+    if named.isEmpty():
+        return named.select(F.col("a").alias("node"))
+    forest = spanning_forest(named)
+    tree = rooted(forest)
+    above = F.lit(None).cast("bigint")
+    whole = tree.unionByName(tree.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("node"), above.alias("parent")))
+    placed = scratch.table(subtree_sums(whole).join(tree.hint("merge"), "node").select("node", "parent", F.col("behind").alias("pos"), "size"))
+    at = lambda c: placed.select(F.col("node").alias(c), F.col("pos").alias(f"_p{c}"), F.col("size").alias(f"_s{c}")).hint("merge")
+    beside = scratch.table(named.join(forest.select("e").hint("merge"), "e", "left_anti").join(at("a"), "a").join(at("b"), "b").select("a", "b", "_pa", "_sa", "_pb", "_sb"))
+    reach = placed.select("pos", F.col("pos").alias("_to")).unionByName(beside.select(F.col("_pa").alias("pos"), F.col("_pb").alias("_to"))).unionByName(beside.select(F.col("_pb").alias("pos"), F.col("_pa").alias("_to")))
+    values = reach.groupBy("pos").agg(F.min("_to").alias("low"), F.max("_to").alias("high"))
+    spans = placed.where("parent > 0").select(F.col("node").alias("id"), (F.col("pos") - F.col("size") + 1).alias("first"), F.col("pos").alias("last"))
+    extremes = range_extremes(values, spans)
+    upper = placed.select(F.col("node").alias("_up"), F.col("pos").alias("_pos"), F.col("size").alias("_size"), F.col("parent").alias("_over")).hint("merge")
+    leaving = placed.where("parent > 0").select("node", "parent").join(extremes.hint("merge"), F.col("node") == F.col("id")).join(upper, F.col("parent") == F.col("_up"))
+    leaving = leaving.where("_over > 0 and (low <= _pos - _size or high > _pos)").select(F.col("node").alias("a"), F.col("parent").alias("b"))
+    apart = beside.where("not (_pb > _pa - _sa and _pb <= _pa) and not (_pa > _pb - _sb and _pa <= _pb)").select("a", "b")
+    blocks = contracted_components(apart.unionByName(leaving), "a", "b").select(F.col("node").alias("_node"), F.col("component").alias("_block"))
+    lower = placed.where("parent > 0").join(blocks.hint("merge"), F.col("node") == F.col("_node"), "left").select("node", "parent", F.coalesce("_block", "node").alias("block"))
+    met = lower.select("node", "block").unionByName(lower.select(F.col("parent").alias("node"), "block"))
+    result = scratch.table(met.groupBy("node").agg(F.min("block").alias("_lo"), F.max("block").alias("_hi")).where("_lo != _hi").select("node"))
+    scratch.drop_others(result)
+    return result
+
+
+def articulation_count(edges: DataFrame) -> DataFrame:
+    """(graph_id, articulation): how many nodes split their undirected component when they go, for each graph of edges (graph_id, src, dst).
 
-def _neighbours(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and targets of each node's edges."""
-    order = np.argsort(src, kind="stable")
-    return np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), dst[order]
-
-
-def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
-    """The number of each node's strongly connected component; an edge between two leads to the smaller number."""
-    at, to = _neighbours(n, src, dst)
-    low, index, part = np.zeros(n, np.int64), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    place, count, met = at[:-1].copy(), 0, 0
-    for root in range(n):
-        if index[root] >= 0:
-            continue
-        path, open_nodes = [root], [root]
-        index[root] = low[root] = met
-        met += 1
-        while path:
-            u = path[-1]
-            if place[u] < at[u + 1]:
-                v = to[place[u]]
-                place[u] += 1
-                if index[v] < 0:
-                    index[v] = low[v] = met
-                    met += 1
-                    path.append(v)
-                    open_nodes.append(v)
-                elif part[v] < 0:
-                    low[u] = min(low[u], index[v])
-                continue
-            path.pop()
-            if path:
-                low[path[-1]] = min(low[path[-1]], low[u])
-            if low[u] == index[u]:
-                while True:
-                    v = open_nodes.pop()
-                    part[v] = count
-                    if v == u:
-                        break
-                count += 1
-    return part
-
-
-def longest_path(n: int, src: np.ndarray, dst: np.ndarray) -> int:
-    """Most edges on a path through the components' acyclic graph."""
-    part = strong_components(n, src, dst)
-    a, b = part[src], part[dst]
-    far = np.zeros(part.max() + 1, np.int64)
-    between = a != b
-    for u, v in sorted(set(zip(a[between].tolist(), b[between].tolist()))):  # targets have smaller numbers, so they are done
-        far[u] = max(far[u], far[v] + 1)
-    return int(far.max())
-
-
-def cut_vertices(n: int, src: np.ndarray, dst: np.ndarray) -> int:
-    """How many nodes split their undirected component when they go."""
-    pairs = {(min(a, b), max(a, b)) for a, b in zip(src.tolist(), dst.tolist()) if a != b}
-    if n <= 2 or not pairs:
-        return 0
-    ends = np.array(sorted(pairs))
-    at, to = _neighbours(n, np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]]))
-    index, low, parent, place = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64), at[:-1].copy()
-    cut, met = np.zeros(n, bool), 0
-    for root in range(n):
-        if index[root] >= 0:
-            continue
-        path, below_root = [root], 0
-        index[root] = low[root] = met
-        met += 1
-        while path:
-            u = path[-1]
-            if place[u] < at[u + 1]:
-                v = to[place[u]]
-                place[u] += 1
-                if index[v] < 0:
-                    parent[v] = u
-                    index[v] = low[v] = met
-                    met += 1
-                    path.append(v)
-                elif v != parent[u]:
-                    low[u] = min(low[u], index[v])
-                continue
-            path.pop()
-            if path:
-                p = path[-1]
-                low[p] = min(low[p], low[u])
-                below_root += p == root
-                cut[p] |= p != root and low[u] >= index[p]
-        cut[root] = below_root > 1
-    return int(cut.sum())
-
-
-def depth_and_cuts(edges: DataFrame, max_edges: int = 200_000) -> DataFrame:
-    """(graph_id, depth, depth_ratio, articulation, skipped) of edges (graph_id, src, dst).
-
-    ``depth`` is the longest path, in edges, between the strongly connected components, ``depth_ratio`` that over the number of
-    nodes, ``articulation`` the number of cut vertices of the undirected graph. A graph of more than ``max_edges`` distinct
-    edges is not searched: it has nulls and ``skipped`` true. Edges with a null end don't count.
+    Directions, loops and repeated edges don't matter; edges with a null don't count, and a graph without others has no row.
     """
-    simple = edges.where("src is not null and dst is not null").select("graph_id", "src", "dst").distinct()
-    sizes = simple.groupBy("graph_id").agg(F.count("*").alias("_e"))
-    sized = simple.join(sizes.hint("merge"), "graph_id")
-    out = f"graph_id {dict(edges.dtypes)['graph_id']}, depth bigint, depth_ratio double, articulation bigint, skipped boolean"
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, names = pd.factorize(pd.concat([pdf["src"], pdf["dst"]]))
-        src, dst = codes[: len(pdf)], codes[len(pdf) :]
-        depth = longest_path(len(names), src, dst)
-        return pd.DataFrame({"graph_id": [pdf["graph_id"].iloc[0]], "depth": [depth], "depth_ratio": [round(depth / len(names), 6)], "articulation": [cut_vertices(len(names), src, dst)], "skipped": [False]})
-
-    found = sized.where(F.col("_e") <= max_edges).groupBy("graph_id").applyInPandas(search, out)
-    null = lambda kind: F.lit(None).cast(kind)
-    large = sizes.where(F.col("_e") > max_edges).select("graph_id", null("bigint").alias("depth"), null("double").alias("depth_ratio"), null("bigint").alias("articulation"), F.lit(True).alias("skipped"))
-    return found.unionByName(large)
+    scratch = Scratch(edges.sparkSession)
+    nodes, links = _numbers(edges, scratch)
+    cuts = cut_vertices(links.where("s != d").select(F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b")).distinct())
+    marked = nodes.join(cuts.select(F.col("node").alias("_cut")).hint("merge"), F.col("id") == F.col("_cut"), "left")
+    out = scratch.table(marked.groupBy("graph_id").agg(F.count("_cut").alias("articulation")))
+    scratch.drop_others(out)
+    return out

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.operators.evaluate import dot
-from provgraph.operators.ranking import numbered
+from provgraph.operators.ranking import exact_quantile, numbered
+from provgraph.session import Scratch
 
 LAYERS = {"linear": [], "mlp": [32], "deep": [64, 32]}
 
@@ -75,12 +76,17 @@ def anomaly_ratio(values: DataFrame, z: float = 3.5) -> DataFrame:
     """(graph_id, ratio): share of a graph's values that are outliers by the robust z-score 0.6745 |x - median| / MAD.
 
     Values are (graph_id, x), say the distance of a node's vector from the graph's mean. Without spread nothing is an outlier.
+    Both medians are exact and found by ranks over ranges, so a large graph's values never meet in one task.
     """
-    middle = values.groupBy("graph_id").agg(F.median("x").alias("_med"))
-    off = values.join(middle, "graph_id").select("graph_id", F.abs(F.col("x") - F.col("_med")).alias("_d"))
-    spread = off.groupBy("graph_id").agg(F.median("_d").alias("_mad"))
+    scratch = Scratch(values.sparkSession)
+    held = scratch.table(values.select("graph_id", "x"))
+    middle = scratch.table(exact_quantile(held, "x", 0.5, ["graph_id"], "_med"))
+    off = scratch.table(held.join(middle, "graph_id").select("graph_id", F.abs(F.col("x") - F.col("_med")).alias("_d")))
+    spread = scratch.table(exact_quantile(off, "_d", 0.5, ["graph_id"], "_mad"))
     score = F.when(F.col("_mad") > 0, 0.6745 * F.col("_d") / F.col("_mad")).otherwise(0.0)
-    return off.join(spread, "graph_id").groupBy("graph_id").agg(F.round(F.avg((score > z).cast("int")), 6).alias("ratio"))
+    result = scratch.table(off.join(spread, "graph_id").groupBy("graph_id").agg(F.round(F.avg((score > z).cast("int")), 6).alias("ratio")))
+    scratch.drop_others(result)
+    return result
 
 
 def metric_deltas(base: DataFrame, after: DataFrame, names: Sequence[str] = ("f1", "recall", "fn_rate"), by: str = "grp") -> DataFrame:

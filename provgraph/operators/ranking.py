@@ -47,3 +47,24 @@ def running_totals(df: DataFrame, values: Sequence[str], order: str, by: Sequenc
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     return local.join(ahead.hint("shuffle_hash"), same).select(*df.columns, F.coalesce("_next", "_then").alias(f"next_{order}"), *((F.col(f"_here_{v}") + F.col(f"_ahead_{v}")).alias(f"before_{v}") for v in values))
+
+
+def exact_quantile(df: DataFrame, value: str, share: float = 0.5, by: Sequence[str] = (), name: str = "quantile") -> DataFrame:
+    """(by, name): the exact quantile of ``value`` within ``by``, between two values by their distance from its place, as Spark's ``percentile`` gives it.
+
+    Equal values are counted first, then dealt by range: running totals tell which values hold the two places around share * (n - 1), so a large
+    group is many tasks and a common value one row. Null values and nulls in ``by`` don't count; a group without values has no row.
+    """
+    keys = list(by)
+    held = df.where(" and ".join(f"{c} is not null" for c in [*keys, value])).groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_rows"))
+    placed = running_totals(held, ["_rows"], "_value", keys)
+    total = held.groupBy(*(F.col(c).alias(f"_of_{c}") for c in keys)).agg(F.sum("_rows").alias("_total"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"_of_{c}"))
+    at = share * (F.col("_total") - 1)
+    here = lambda place: (F.col("before__rows") <= place) & (F.col("before__rows") + F.col("_rows") > place)
+    found = placed.join(total.hint("merge") if keys else F.broadcast(total), same).where(here(F.floor(at)) | here(F.ceil(at)))
+    double = F.col("_value").cast("double")
+    low, high, part = F.max(F.when(here(F.floor(at)), double)), F.max(F.when(here(F.ceil(at)), double)), F.max(at - F.floor(at))
+    return found.groupBy(*keys).agg(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(name))

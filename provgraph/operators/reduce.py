@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provgraph.operators.graph import endpoints, importance, k_hop
 from provgraph.operators.ranking import numbered
-from provgraph.session import materialize
+from provgraph.session import Scratch, materialize
 
 
 def prune_graph(nodes: DataFrame, edges: DataFrame, target: int = 150, stage: int = 1, min_cov: float = 0.6, hops: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -77,26 +79,38 @@ def bfs_order(edges: DataFrame, start: DataFrame) -> DataFrame:
     return seen
 
 
-def chain_depth(edges: DataFrame, max_sources: int | None = 50, longest: int = 64) -> DataFrame:
+def chain_depth(edges: DataFrame, max_sources: int | None = 50) -> DataFrame:
     """(graph_id, chain_depth): over nodes without edges in, the mean number of steps to the farthest node that each reaches, over 6 and at most 1.
 
-    ``max_sources`` takes the sources of least md5 (None: all); a graph without sources has 0. The search keeps (source,
-    node) pairs and ends when no pair is new, or after ``longest`` steps, from where the result is 1 in any case.
+    ``max_sources`` takes the sources of least md5 (None: all); a graph without sources has 0. All sources are searched at once:
+    a source is one bit of a 63-bit word, a node holds the words of the sources that have reached it and that did so in the last
+    round. A round ors what its neighbours pass on, which combines before it is shuffled, so it writes one row a node and word, not
+    one a source and node. The search ends when no node gets a new source.
     """
+    scratch, keys = Scratch(edges.sparkSession), ["graph_id", "node", "word"]
     every = edges.select("graph_id").distinct()
     ends = edges.select("graph_id", F.col("src").alias("node")).distinct()
     sources = ends.join(edges.select("graph_id", F.col("dst").alias("node")).distinct().hint("merge"), ["graph_id", "node"], "left_anti")
+    sources = numbered(sources, [F.md5(F.col("node").cast("string")), "node"], ["graph_id"], "_n")
     if max_sources is not None:
-        drawn = Window.partitionBy("graph_id").orderBy(F.md5(F.col("node").cast("string")), "node")
-        sources = sources.withColumn("_r", F.row_number().over(drawn)).where(F.col("_r") <= max_sources).drop("_r")
-    step = materialize(edges.select("graph_id", F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
-    front = materialize(sources.select("graph_id", F.col("node").alias("source"), "node", F.lit(0).alias("hop")))
-    seen, keys = front, ["graph_id", "source", "node"]
-    for hop in range(1, longest + 1):
-        new = front.join(step.hint("merge"), ["graph_id", "node"]).select("graph_id", "source", F.col("next").alias("node")).distinct()
-        front = materialize(new.join(seen.select(*keys).hint("merge"), keys, "left_anti").withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
+        sources = sources.where(F.col("_n") < max_sources)
+    step = scratch.table(edges.select("graph_id", F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+    bit = F.expr("shiftleft(1L, cast(_n % 63 as int))")
+    state = scratch.table(sources.select("graph_id", "node", F.floor(F.col("_n") / 63).cast("int").alias("word"), bit.alias("seen"), bit.alias("new")))
+    total, alive = scratch.table(sources.groupBy("graph_id").agg(F.count("*").alias("_sources"))), []
+    while True:
+        given = state.where("new != 0").join(step.hint("merge"), ["graph_id", "node"]).groupBy("graph_id", F.col("next").alias("node"), "word").agg(F.bit_or("new").alias("_got"))
+        old, got = F.coalesce("seen", F.lit(0).cast("bigint")), F.coalesce("_got", F.lit(0).cast("bigint"))
+        after = scratch.table(state.drop("new").join(given.hint("merge"), keys, "full").select(*keys, old.bitwiseOR(got).alias("seen"), got.bitwiseAND(F.bitwise_not(old)).alias("new")))
+        scratch.drop(state)
+        state = after
+        fresh = scratch.table(state.where("new != 0").groupBy("graph_id", "word").agg(F.bit_or("new").alias("_new")))
+        if fresh.isEmpty():
             break
-        seen = seen.unionByName(front)
-    far = seen.groupBy("graph_id", "source").agg(F.max("hop").alias("_far")).groupBy("graph_id").agg(F.avg("_far").alias("_mean"))
-    return every.join(far, "graph_id", "left").select("graph_id", F.round(F.least(F.coalesce(F.col("_mean"), F.lit(0.0)) / 6, F.lit(1.0)), 6).alias("chain_depth"))
+        alive.append(fresh.select("graph_id", F.bit_count("_new").cast("bigint").alias("_steps")))  # a source has news in each round up to its farthest node
+    far = F.coalesce("_steps", F.lit(0)) / F.col("_sources")
+    steps = (reduce(DataFrame.unionByName, alive) if alive else total.select("graph_id", F.lit(0).cast("bigint").alias("_steps"))).groupBy("graph_id").agg(F.sum("_steps").alias("_steps"))
+    means = total.join(steps.hint("merge"), "graph_id", "left").select("graph_id", far.alias("_mean"))
+    result = scratch.table(every.join(means.hint("merge"), "graph_id", "left").select("graph_id", F.round(F.least(F.coalesce(F.col("_mean"), F.lit(0.0)) / 6, F.lit(1.0)), 6).alias("chain_depth")))
+    scratch.drop_others(result)
+    return result

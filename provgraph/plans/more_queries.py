@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from provgraph.functions import names as N
 from provgraph.operators import corpora as K
-from provgraph.operators import depth as H
 from provgraph.operators import evaluate as M
 from provgraph.operators import features as G
 from provgraph.operators import graph as A
@@ -152,7 +151,6 @@ _put("j3_lookup_with_parent", "dims as (select * from (select actorID as key, co
 # Graph measures.
 _ends = lambda d: d.select("graph_id", F.col("actorID").alias("src"), F.col("objectID").alias("dst"))
 _staged = lambda d: d.select("graph_id", (F.col("edge_id") % 4 + 1).cast("int").alias("stage"), "edge_id", F.col("actorID").alias("src"), F.col("objectID").alias("dst"))
-_add("g10_g11_depth_and_cuts", "small_graphs", lambda d: H.depth_and_cuts(_ends(d)))
 _add(
     "g14_chain_depth", "small_graphs", lambda d: B.chain_depth(_ends(d), None),
     """select a.graph_id, round(least(coalesce(m, 0) / 6, 1), 6) as chain_depth from (select distinct graph_id from small_graphs) a left join (select graph_id, avg(far) as m from (select graph_id, source, max(hop) as far from (select graph_id, source, node, min(hop) as hop from reach group by all) group by all) group by graph_id) x on x.graph_id = a.graph_id""",

@@ -63,3 +63,27 @@ def test_similar_subsequences(spark):
             got.setdefault(x.item, []).append((x.actor, x.seq, x.sim))
         assert {i: [(a, s) for a, s, _ in v] for i, v in got.items()} == {i: [(a, s) for a, s, _ in v] for i, v in expected.items()}
         assert all(abs(p[2] - q[2]) < 2e-6 for i in got for p, q in zip(got[i], expected[i]))
+
+
+def test_fill_missing_tactics(spark):
+    """10,000 candidates of one tactic over many blocks, ties, chains without a vector and full chains, against a plain loop with its moving anchor."""
+    r = random.Random(13)
+    point = lambda: [round(r.gauss(0, 1), 2) for _ in range(3)]
+    offered = [(f"c{i:05}", "x", point()) for i in range(10_000)] + [(f"t{i}", "x", [1.0, 0.0, 0.0]) for i in range(20)] + [(f"y{i}", "y", point()) for i in range(30)] + [("null", "y", None), (None, "y", [1.0, 1.0, 1.0])]
+    chains = {"one": [("a", "w", [2.0, 0.0, 0.0])], "full": [(f"f{i}", "w", point()) for i in range(4)], "has": [("h", "x", point()), ("i", "w", point())], "blank": [("b", "w", None)]} | {f"k{i}": [(f"k{i}", "w", point())] for i in range(25)}
+    rows = [(c, p, *item) for c, items in chains.items() for p, item in enumerate(items)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    near = lambda a, b: 0.0 if a is None else -round(dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5), 9)
+    for essential in (["x", "y", "z"], ["y", "x"]):
+        expected = {c: list(items) for c, items in chains.items()}
+        for tactic in essential:
+            for items in expected.values():
+                found = [x for x in offered if x[1] == tactic and x[0] is not None and x[2] is not None]
+                if len(items) < 4 and found and tactic not in {x[1] for x in items}:
+                    items.append(min(found, key=lambda x: (near(items[-1][2], x[2]), x[0])))
+        table = spark.createDataFrame(rows, "chain_id string, pos int, item string, tactic string, vec array<double>")
+        got = T.fill_missing_tactics(table, spark.createDataFrame(offered, "item string, tactic string, vec array<double>"), essential, 4, 700)
+        told = {}
+        for x in got.orderBy("chain_id", "pos").collect():
+            told.setdefault(x.chain_id, []).append((x["item"], x.tactic))
+        assert told == {c: [x[:2] for x in items] for c, items in expected.items()}

@@ -75,9 +75,7 @@ def test_depth_and_cuts(edges, rows):
             rest = nodes - {v}
             cuts += len(nodes) > 2 and len({min(reach(left, u)) for u in rest}) > whole - (not any(v in p and p[0] != p[1] for p in pairs))
         expected[g] = (max(far(part[u]) for u in nodes), cuts)
-    got = {r.graph_id: (r.depth, r.articulation) for r in H.depth_and_cuts(edges).collect()}
-    assert got == expected
-    assert all(r.skipped and r.depth is None for r in H.depth_and_cuts(edges, 0).collect())
+    assert {r.graph_id: (r.depth, r.articulation) for r in H.causal_depth(edges).join(H.articulation_count(edges), "graph_id").collect()} == expected
 
 
 def test_bfs_order(edges, rows):

@@ -12,8 +12,11 @@ from provgraph.streaming import streams as X
 
 
 def _run(stream, name, mode="append"):
+    # else timers of processing time keep the query going without data
+    stream.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    assert query.awaitTermination(120)
+    stream.sparkSession.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     return stream.sparkSession.table(name)
 
 
@@ -71,13 +74,61 @@ def test_hard_samples(spark, parts, tmp_path):
 
 
 def test_drift(spark, parts, tmp_path):
-    rows = [([float(i % 5), float(i)],) for i in range(40)]
-    stream, batch = parts("vectors", "vec array<double>", rows[:20], rows[20:])
-    reference = spark.createDataFrame(rows[:10], "vec array<double>")
-    X.stream_drift(stream, reference, str(tmp_path / "drift"), str(tmp_path / "c4"), 5.0).awaitTermination()
-    got = _rows(spark.read.parquet(str(tmp_path / "drift")).select("batch", "n", "distance", "drifted"))
-    first, second = (M.drift_flag(M.sliced_wasserstein(spark.createDataFrame(rows[a:b], "vec array<double>"), reference), 5.0).first() for a, b in ((0, 20), (20, 40)))
-    assert got == [(0, 20, first.distance, first.drifted), (1, 20, second.distance, second.drifted)] and first.drifted != second.drifted
+    """Within the bound that comes with it, for each batch and for all so far, over a restart, and with small summaries."""
+    import random
+
+    r = random.Random(21)
+    rows = [([r.gauss(0, 1), float(i % 5), None],) for i in range(400)] + [([r.gauss(2, 1), float(i % 7), 1.0],) for i in range(400)] + [([r.gauss(-9, 3), 100.0, 2.0],) for _ in range(90)] + [(None,)]
+    stream, batch = parts("vectors", "vec array<double>", rows[:400], rows[400:800], rows[800:])
+    reference = spark.createDataFrame([([r.gauss(0, 1), float(i % 5), 1.0],) for i in range(3000)], "vec array<double>")
+    for _ in range(2):
+        X.stream_drift(stream, reference, str(tmp_path / "drift"), str(tmp_path / "c4"), 0.5, 16).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "drift" / "result")).orderBy("batch").collect()
+    assert [x.batch for x in got] == [0, 1, 2] and [x.n for x in got] == [400, 400, 90] and [x.so_far_n for x in got] == [400, 800, 890]
+    for x, (a, b) in zip(got, ((0, 400), (400, 800), (800, 891))):
+        exact = lambda part: M.drift_flag(M.sliced_wasserstein(spark.createDataFrame(part, "vec array<double>"), reference), 0.5).first()
+        one, every = exact(rows[a:b]), exact(rows[:b])
+        assert abs(x.distance - one.distance) <= x.bound + 2e-6 and x.drifted == one.drifted and abs(x.so_far - every.distance) <= x.bound + 0.2
+        assert x.bound < 0.2 + x.distance / 4
+    assert {x.drifted for x in got} == {True, False}
+    assert spark.read.parquet(str(tmp_path / "drift" / "so_far" / "batch=2")).count() <= 3 * (2 * 16 + 2 * 24 + 2) and len(list((tmp_path / "drift" / "so_far").glob("batch=*"))) <= 3
+
+
+def test_summaries_merge(spark):
+    """Merged parts are the whole, and the bound holds in every dimension."""
+    import random
+
+    from provgraph.operators import drift as D
+
+    r = random.Random(22)
+    sample = lambda n, mean: [([r.gauss(mean, 1), r.choice([0.0, 5.0]), r.random() ** 4 * 50],) for _ in range(n)]
+    reference, current = (spark.createDataFrame(x, "vec array<double>") for x in (sample(2000, 0), sample(700, 0.4)))
+    edges = D.bin_edges(reference, 32)
+    assert all(x.edges == sorted(set(x.edges)) and len(x.edges) <= 2 * 32 + 2 * 24 + 1 for x in edges.collect()) and D.bin_edges(reference.limit(0)).count() == 0
+    whole, halves = D.summary(current, edges), [D.summary(current.where(f"vec[0] {op} 0.3"), edges) for op in ("<", ">=")]
+    exactly = lambda df: sorted((x.dim, x.bin, x.n, round(x.total, 6), x.low, x.high) for x in df.collect())
+    assert exactly(D.merged_summaries(*halves)) == exactly(whole)
+    exact = {x.dim: x.distance for x in M.sliced_wasserstein(current, reference).collect()}
+    for x in D.summary_distance(whole, D.summary(reference, edges)).collect():
+        assert abs(x.distance - exact[x.dim]) <= x.bound + 1e-6 and x.bound < 0.9
+
+
+def test_state_expires(parts):
+    """A key without rows for longer than ``idle`` loses its state and starts anew; one with rows in every batch keeps it."""
+    from datetime import timedelta
+
+    steps = [(k, i, 1, 0, 0) for i, k in enumerate(["kept", "gone"] * 3)]
+    later = [[("kept", 10 + b, 1, 0, 0)] for b in range(3)]
+    stream, _ = parts("idle", "run_id string, step int, tp int, fp int, fn int", steps, *later, [("kept", 20, 1, 0, 0), ("gone", 20, 1, 0, 0)])
+    got = {(x.run_id, x.step): x.tp for x in _run(X.stream_rolling_confusion(stream, 20, timedelta(milliseconds=1)), "x2idle").collect()}
+    assert got["gone", 20] == 1 and got["gone", 5] == 3
+    stream, _ = parts("idle2", "run_id string, step int, tp int, fp int, fn int", steps, *later, [("kept", 20, 1, 0, 0), ("gone", 20, 1, 0, 0)])
+    got = {(x.run_id, x.step): x.tp for x in _run(X.stream_rolling_confusion(stream, 20), "x2kept").collect()}
+    assert got["gone", 20] == 4 and got["kept", 20] == 7
+    edges = [[("a", i) for i in range(10)] + [("b", 1)], [("b", 2)], [("b", 3)], [("a", 99), ("b", 4)]]
+    stream, _ = parts("graphs", "graph_id string, edge_id int", *edges)
+    got = [(x.graph_id, x.live) for x in _run(X.stream_bounded_graph(stream, idle=timedelta(milliseconds=1)), "x5idle", "update").collect()]
+    assert ("a", 10) in got and ("a", 1) in got
 
 
 def test_bounded_graph(parts):
