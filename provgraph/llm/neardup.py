@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.llm.common import map_rows
@@ -19,16 +19,18 @@ REGISTERS, BASE, RATE, LAST = 128, 1.001, 20.0, 65_534
 #: 32 bands of 4 registers: a pair at similarity 0.8 misses every band once in 2e7.
 ROWS = 4
 BANDS = REGISTERS // ROWS
-#: Groups of sets that share an element outside their centre are paired as soon as all of them together take at most so many
-#: pairs a distinct set of the input; until then groups of more than ``SMALL`` get centres of their own.
-SMALL, PAIRS_A_SET = 8, 2
-#: Sets compared with a copy of their centre; a centre of more is copied under several salts.
-A_SALT = 500
+#: Buckets of up to so many sets are compared pair by pair, larger ones around centres.
+SMALL = 16
+#: Keys of more registers for the sets of large buckets that a centre doesn't settle: 384 draws of 12 of the registers. A pair at
+#: similarity 0.8 shares none of them once in 4000 (0.82: 30,000), one at 0.42 shares one once in 90, one at 0.3 once in 5000.
+FINE_ROWS, FINE_BANDS = 12, 384
 #: Most bits of the map of candidate ids that thins the texts before they are shuffled (4 MB; fuller maps only thin less).
 MOST_BITS = 1 << 25
 _RNG = np.random.default_rng(20210711)
 _MULT = (_RNG.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
+_FINE = np.stack([_RNG.choice(REGISTERS, FINE_ROWS, replace=False) for _ in range(FINE_BANDS)], 1)
+_WEIGHTS = _RNG.integers(1, 1 << 62, FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _finish(x: np.ndarray) -> np.ndarray:
@@ -136,30 +138,45 @@ def band_rows(sets: DataFrame) -> DataFrame:
     return sets.select("node", "sketch").mapInPandas(run, "node bigint, key bigint")
 
 
-def bucket_rows(sets: DataFrame) -> DataFrame:
+def fine_rows(sets: DataFrame) -> DataFrame:
+    """(node, key): for each draw of ``FINE_ROWS`` registers one 64-bit key."""
+    numbers = np.arange(1, FINE_BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 500):
+                some = pdf.iloc[lo : lo + 500]
+                held = np.frombuffer(b"".join(some["sketch"]), "<u2").reshape(-1, REGISTERS).astype(np.uint64)
+                total = np.zeros((len(some), FINE_BANDS), np.uint64)
+                for places, weight in zip(_FINE, _WEIGHTS):
+                    total += held[:, places] * weight
+                yield pd.DataFrame({"node": np.repeat(some["node"].to_numpy(), FINE_BANDS), "key": _finish(total + numbers).view(np.int64).ravel()})
+
+    return sets.select("node", "sketch").mapInPandas(run, "node bigint, key bigint")
+
+
+def bucket_rows(bands: DataFrame) -> DataFrame:
     """(node, key, size) of the buckets that hold more than one set."""
-    bands = band_rows(sets)
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return bands.join(shared.hint("shuffle_hash"), "key").select("node", "key", "size")
 
 
-def star_spokes(rows: DataFrame) -> DataFrame:
-    """(node, centre, salts): every set of a bucket with the bucket's centre, the set that shares the most buckets overall."""
-    score = rows.groupBy("node").agg(F.sum("size").alias("_score"))
-    scored = rows.join(score.hint("shuffle_hash"), "node")
-    of_key = scored.groupBy("key", "size").agg(F.max(F.struct("_score", "node"))["node"].alias("centre"))
-    salts = of_key.groupBy("centre").agg(F.ceil(F.sum("size") / (8 * A_SALT)).alias("salts"))  # a set meets its centre in several buckets
-    keyed = of_key.select("key", "centre").join(salts.hint("shuffle_hash"), "centre")
-    return rows.select("node", "key").join(keyed.hint("merge"), "key").where("node != centre").select("node", "centre", F.col("salts").cast("int").alias("salts")).distinct()
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with a < b."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def salted(copies: DataFrame) -> DataFrame:
-    """Rows with ``salts`` once for each salt from 0 on."""
-    return copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+def pairs_within(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of each bucket (node, key, comp) that lie in different components; for buckets of a bounded size."""
+    both = "flatten(transform(_all, (x, i) -> transform(filter(slice(_all, i + 2, size(_all)), y -> y.comp != x.comp), y -> struct(x.node as a, y.node as b))))"
+    return rows.groupBy("key").agg(F.collect_list(F.struct("node", "comp")).alias("_all")).select(F.inline(F.expr(both)))
 
 
-def own_salt() -> Column:
-    return F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt")
+def star_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of every set of a bucket (node, key, size) with the bucket's centre, the set that shares the most buckets overall."""
+    score = rows.groupBy("node").agg(F.sum("size").alias("_score"))
+    of_key = rows.join(score.hint("shuffle_hash"), "node").groupBy("key").agg(F.max(F.struct("_score", "node"))["node"].alias("b"))
+    return rows.select(F.col("node").alias("a"), "key").join(of_key.hint("merge"), "key").select("a", "b")
 
 
 def thinned(texts: DataFrame, some: DataFrame) -> DataFrame:
@@ -180,7 +197,7 @@ def thinned(texts: DataFrame, some: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, some: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of ``some`` (node, doc, set_key): the full shingle sets as sorted 64-bit hashes."""
+    """(node, shingles) of ``some`` (node, doc, text_key, set_key): the full shingle sets as sorted 64-bit hashes."""
 
     def start() -> Callable[..., list[tuple]]:
         shingle, seen = Shingler(words), set()
@@ -196,30 +213,8 @@ def full_sets(docs: DataFrame, some: DataFrame, words: int, id_col: str, text_co
 
         return each
 
-    texts = thinned(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("_text")), some)
-    return map_rows(some.join(texts.hint("merge"), "doc").select("node", "set_key", "_text"), start, "node bigint, shingles binary")
-
-
-def residues(spokes: DataFrame, full: DataFrame) -> DataFrame:
-    """(centre, node, salts, n, n_c, shared, rest): the sizes of a set and its centre, how much they share, and what the set has besides."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [np.frombuffer(x, np.int64) for x in pdf["f_node"]]
-            theirs = [np.frombuffer(x, np.int64) for x in pdf["f_centre"]]
-            rest = [x[~np.isin(x, c)] for x, c in zip(own, theirs)]
-            n, n_c = np.array([len(x) for x in own], np.int64), np.array([len(x) for x in theirs], np.int64)
-            yield pdf[["centre", "node", "salts"]].assign(n=n, n_c=n_c, shared=n - np.array([len(x) for x in rest], np.int64), rest=rest)
-
-    centres = salted(spokes.groupBy("centre").agg(F.max("salts").alias("salts"))).join(full.select(F.col("node").alias("centre"), F.col("shingles").alias("f_centre")).hint("merge"), "centre")
-    of_node = spokes.join(full.select("node", F.col("shingles").alias("f_node")).hint("merge"), "node").withColumn("salt", own_salt())
-    both = of_node.join(centres.hint("merge"), ["centre", "salt"])
-    return both.select("centre", "node", "salts", "f_node", "f_centre").mapInPandas(run, "centre bigint, node bigint, salts int, n bigint, n_c bigint, shared bigint, rest array<bigint>")
-
-
-def linked(percent: int) -> Column:
-    """Whether a residue row's set and centre link: 100 * intersection >= percent * union."""
-    return F.expr(f"{100 + percent} * shared >= {percent} * (n + n_c)")
+    texts = thinned(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("_text")), some)
+    return map_rows(some.join(texts.hint("merge"), ["doc", "text_key"]).select("node", "set_key", "_text"), start, "node bigint, shingles binary")
 
 
 def likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int, slack: float = 0.17) -> DataFrame:
@@ -255,68 +250,18 @@ def confirmed_pairs(pairs: DataFrame, full: DataFrame, percent: int) -> DataFram
     return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "f_a", "f_b").mapInPandas(run, "a bigint, b bigint")
 
 
-def _size_class(n: Column) -> Column:
-    """Class of a set size; a class spans five hundredths."""
-    return F.floor(F.log(n.cast("double")) / np.log(1.05)).cast("int")
+def open_rows(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """(node, key, comp, size): the rows of those buckets whose sets lie in several components."""
+    placed = rows.select("node", "key").join(whole.select("node", F.col("component").alias("comp")).hint("merge"), "node")
+    mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key", "size")
+    return placed.join(mixed.hint("shuffle_hash"), "key").select("node", "key", "comp", "size")
 
 
-def open_members(near: DataFrame, whole: DataFrame, scratch: Scratch) -> DataFrame:
-    """The residue rows of those centres whose sets lie in several components, with ``comp`` and ``asks`` (not in the centre's commonest component)."""
-    placed = scratch.table(near.join(whole.select("node", F.col("component").alias("comp")).hint("merge"), "node"))
-    sizes = placed.groupBy("centre", "comp").agg(F.count("*").alias("_n"), F.max("salts").alias("salts"))
-    main = sizes.groupBy("centre").agg(F.max(F.struct("_n", "comp"))["comp"].alias("_main"), F.count("*").alias("_parts"), F.max("salts").alias("salts"))
-    held = salted(main.where("_parts > 1").drop("_parts"))
-    return placed.withColumn("salt", own_salt()).join(held.hint("merge"), ["centre", "salt"]).withColumn("asks", F.col("comp") != F.col("_main")).drop("salt", "_main")
-
-
-def open_pairs(members: DataFrame, percent: int, most: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of one centre, in different components, that can still be links, and new spokes (node, centre, salts).
-
-    Seen from the centre, a set of n elements misses m of the centre's n_c and has r others. Two sets then share
-    n_c - m_x - m_y + D elements, where D counts what both miss and what both have besides, so they link exactly if
-    (100 + p) D >= w_x + w_y - (100 - p) n_c with w = 100 m + p r. As D is at most min(m_x, m_y) plus the common elements
-    outside, a pair is either near enough by its sizes alone, which needs a set shorter than its centre and is found by
-    classes of size, or has an element outside the centre in common; there only the rarest elements of a set have to be
-    looked at, as many as leave too few for a link. The bounds are exact: no link is passed over.
-
-    Sets that share such an element form a group. Once pairing all groups takes at most ``most`` pairs they are paired; until
-    then only groups of up to ``SMALL`` are, and the sets of a larger one become spokes of the one nearest to the old centre.
-    """
-    p, q = percent, 100 + percent
-    members = members.withColumn("m", F.col("n_c") - F.col("shared")).withColumn("r", F.col("n") - F.col("shared"))
-    members = members.withColumn("w", 100 * F.col("m") + p * F.col("r"))
-    x = members.where("asks").select("centre", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"), F.col("m").alias("_ma"), F.col("w").alias("_wa"), "n_c")
-    y = members.where(f"m > r or w > {100 - p} * n_c").select("centre", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("m").alias("_mb"), F.col("w").alias("_wb"), _size_class(F.col("n")).alias("_class"))
-    x = x.withColumn("_low", F.ceil(F.col("_na") * p / 100)).withColumn("_high", F.floor(F.least(F.col("_na") * 100 / p, F.col("n_c") - (F.col("_wa") - (100 - p) * F.col("n_c")) / p)))
-    x = x.where("_low >= 1 and _low <= _high").withColumn("_class", F.explode(F.sequence(_size_class(F.col("_low")), _size_class(F.col("_high")))))
-    enough = f"_ca != _cb and {q} * least(_ma, _mb) >= _wa + _wb - {100 - p} * n_c"
-    inside = x.join(y.hint("merge"), ["centre", "_class"]).where(enough).select("a", "b")
-
-    elements = members.select("centre", "node", "comp", "asks", "n", "n_c", "shared", F.explode("rest").alias("e"))
-    common = elements.groupBy("centre", "e").agg(F.count("*").alias("_f"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("centre", "e", "_f")
-    known = elements.join(common.hint("merge"), ["centre", "e"])
-    of_set = Window.partitionBy("centre", "node")
-    ranked = known.withColumn("_at", F.row_number().over(of_set.orderBy("_f", "e"))).withColumn("rs", F.count("*").over(of_set))
-    missing = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("shared"), F.lit(1))  # least number of common elements outside the centre
-    prefix = ranked.where(F.col("_at") <= F.col("rs") - missing + 1)
-    prefix = scratch.table(prefix.select("centre", "e", "node", "comp", "asks", "rs", "n_c", (F.col("n_c") - F.col("shared")).alias("m"), (F.col("n") - F.col("shared")).alias("r")))
-    fold = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_print")
-    groups = prefix.groupBy("centre", "e").agg(
-        F.count("*").alias("_s"), F.sum(F.col("asks").cast("bigint")).alias("_a"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(F.struct("r", "node"))["node"].alias("hub"), fold
-    )
-    groups = scratch.table(groups.where("_lo != _hi").dropDuplicates(["centre", "hub", "_s", "_print"]).select("centre", "e", "_s", "_a", "hub"))  # elements of one edit have one group
-    last = (groups.agg(F.sum(F.col("_a").cast("double") * F.col("_s"))).first()[0] or 0) <= most
-    paired = prefix.join((groups if last else groups.where(F.col("_s") <= SMALL)).select("centre", "e").hint("shuffle_hash"), ["centre", "e"])
-    weight = (100 * F.col("m") + p * F.col("r")).alias
-    x = paired.where("asks").select("centre", "e", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("m").alias("_ma"), F.col("rs").alias("_ra"), weight("_wa"), "n_c")
-    y = paired.select("centre", "e", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("m").alias("_mb"), F.col("rs").alias("_rb"), weight("_wb"), F.col("asks").alias("_yasks"))
-    once = f"_ca != _cb and (a < b or not _yasks) and {q} * (least(_ma, _mb) + least(_ra, _rb)) >= _wa + _wb - {100 - p} * n_c"
-    outside = x.join(y.hint("merge"), ["centre", "e"]).where(once).select("a", "b")
-    further = groups.where(F.lit(not last) & (F.col("_s") > SMALL)).select("centre", "e", "hub", F.ceil(F.col("_s") / A_SALT).cast("int").alias("salts"))
-    spread = prefix.join(further.hint("shuffle_hash"), ["centre", "e"]).where("node != hub").groupBy("node", F.col("hub").alias("centre")).agg(F.max("salts").alias("salts"))
-    most_salts = spread.groupBy("centre").agg(F.max("salts").alias("salts"))
-    spokes = spread.drop("salts").join(most_salts.hint("merge"), "centre").select("node", "centre", "salts")
-    return inside.unionByName(outside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), spokes
+def with_centres(rows: DataFrame, about: int) -> DataFrame:
+    """``rows`` (node, key, comp, size) with ``is_centre`` for the one set of largest hash in each bucket and ``about`` - 1 more by hash."""
+    drawn = F.xxhash64("node", "key")
+    first = rows.groupBy("key").agg(F.max(F.struct(drawn.alias("_h"), "node"))["node"].alias("_first"))
+    return rows.join(first.hint("shuffle_hash"), "key").select("node", "key", "comp", "size", ((F.col("node") == F.col("_first")) | (F.pmod(drawn, F.col("size")) < about - 1)).alias("is_centre"))
 
 
 def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
@@ -337,34 +282,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     text_key (xxhash64 of the text) and component_text (the text_key of the class's least row by id and text_key).
 
     Documents link at ``100 * intersection >= percent * union`` of their word shingles. Equal sets are one numbered node from
-    the start, so exact copies of any number cost one row each. Every set of a bucket of equal band keys is compared in full
-    with the bucket's centre; components are formed; then those pairs of one centre are sifted by the likelihood estimate and
-    confirmed on full sets that lie in different components and that ``open_pairs`` can't rule out, around new centres until
-    all that is left can be paired. So a large group costs about its size and no link is lost but those that no band shows.
+    the start, so exact copies of any number cost one row each. Pairs that are compared pass the likelihood estimate on their
+    sketches first and are then confirmed on full sets. In small buckets of equal band keys all sets are compared, in large ones all with one centre, which
+    settles groups of near copies. The sets of large buckets that still lie in several components get keys of more
+    registers, which part what is only alike from what may link. In those buckets small ones are again compared in full; a large one gets
+    centres, one in the first round and twice as many in each further one, which are compared with every set of another component and then leave it.
+
+    So the rounds end: in each, every bucket that is left is finished or loses a centre, after about log2 of its size rounds all are gone, and
+    no pair is compared twice. Texts cut from one template cost about a row for each of their keys. No link is lost but those that no key shows.
     Documents without words link with nothing. Rows are documents of their own even if they repeat an id. A row without an id
     links with nothing either: its component_id is null and it is kept. An empty table gives no row.
     """
     scratch = Scratch(docs.sparkSession)
     marks = scratch.table(sketches(docs, words, id_col, text_col))
     sets = scratch.table(distinct_sets(marks))
-    rows = scratch.table(bucket_rows(sets))
-    spokes = scratch.table(star_spokes(rows))
+    rows = scratch.table(bucket_rows(band_rows(sets)))
     some = scratch.table(sets.join(rows.select("node").distinct().hint("merge"), "node", "left_semi"))
-    full = scratch.table(full_sets(docs, some.select("node", "doc", "set_key"), words, id_col, text_col))
-    near = scratch.table(residues(spokes, full))
-    whole, most, edges = some.select("node"), PAIRS_A_SET * sets.count(), near.where(linked(percent)).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    full = scratch.table(full_sets(docs, some.select("node", "doc", "text_key", "set_key"), words, id_col, text_col))
+    wide = rows.where(F.col("size") > SMALL)
+    seen = scratch.table(ordered(pairs_within(rows.where(F.col("size") <= SMALL).withColumn("comp", F.col("node"))).unionByName(star_pairs(wide))))
+    likely = scratch.table(likely_pairs(seen, some, percent))
+    whole = scratch.table(merged(some.select("node"), confirmed_pairs(likely, full, percent)))
+    unsettled = scratch.table(some.join(open_rows(wide, whole).select("node").distinct().hint("merge"), "node", "left_semi"))
+    rows, about = scratch.table(bucket_rows(fine_rows(unsettled))), 1
     while True:
-        whole = scratch.table(merged(whole, edges))
-        members = scratch.table(open_members(near, whole, scratch))
-        pairs, spread = open_pairs(members, percent, most, scratch)
-        spokes = scratch.table(spread)
-        likely = scratch.table(likely_pairs(pairs, some, percent))
-        edges = scratch.table(confirmed_pairs(likely, full, percent))
-        if spokes.isEmpty():
+        held = scratch.table(open_rows(rows, whole))
+        if held.isEmpty():
             break
-        near = scratch.table(residues(spokes, full))
-        edges = edges.unionByName(near.where(linked(percent)).select(F.col("node").alias("a"), F.col("centre").alias("b")))
-    whole = scratch.table(merged(whole, edges))
+        told = scratch.table(with_centres(held.where(F.col("size") > SMALL), about))
+        centres = told.where("is_centre").select(F.col("node").alias("b"), "key", F.col("comp").alias("_comp"))
+        spokes = told.join(centres.hint("merge"), "key").where("comp != _comp").select(F.col("node").alias("a"), "b")
+        new = scratch.table(ordered(pairs_within(held.where(F.col("size") <= SMALL)).unionByName(spokes)).join(seen.hint("merge"), ["a", "b"], "left_anti"))
+        likely = scratch.table(likely_pairs(new, some, percent))
+        whole = scratch.table(merged(whole, scratch.table(confirmed_pairs(likely, full, percent))))
+        rows, seen, about = told.where("not is_centre"), seen.unionByName(new), 2 * about
     named = sets.select("node", "set_key", "doc", "text_key").join(whole.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min(F.struct("doc", "text_key")).alias("_least"))
     class_of = scratch.table(named.join(least.hint("merge"), "component").select("set_key", F.col("_least.doc").alias("component_id"), F.col("_least.text_key").alias("component_text")))
