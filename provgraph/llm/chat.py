@@ -85,8 +85,15 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
     )
 
 
-def parse_conversations(formatted: DataFrame, conv: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
-    """``formatted`` and ``messages`` (role, text, parts) and ``loss_text`` read back from it: every turn, and the text under the loss mask.
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """What the spans (start, end) cut out of the output, one after the other, without placeholders and unescaped."""
+    cut = F.array_join(F.transform(spans, lambda s: F.substring(formatted, s.start + 1, s.end - s.start)), "")
+    return unescape(F.regexp_replace(cut, r"<\|[a-z]+\|>", ""))
+
+
+def parse_conversations(formatted: DataFrame) -> DataFrame:
+    """``formatted`` and ``messages`` (role, text, parts) and ``loss_text`` read back from it: every turn, and the text under the loss mask,
+    which is what ``loss_spans`` cut out of the output and nothing else.
 
     As a text never holds a bare ``<``, what looks like a placeholder is one: ``parts`` (kind, text) has a part for each, with
     the texts between them, and the n-th goes with the n-th of ``attachments``. Neighbouring text parts come back as one;
@@ -111,5 +118,4 @@ def parse_conversations(formatted: DataFrame, conv: str = "conv_id", loss_role:
     read = formatted.withColumn("messages", F.transform(pieces, message))
     whole = lambda m: F.array_join(F.transform(m.parts, lambda p: F.coalesce(p.text, F.lit(""))), "")
     read = read.withColumn("messages", F.transform("messages", lambda m: F.struct(m.role.alias("role"), whole(m).alias("text"), m.parts.alias("parts"))))
-    under = F.transform(F.filter("messages", lambda m: m.role == loss_role), lambda m: m.text)
-    return read.withColumn("loss_text", F.array_join(under, ""))
+    return read.withColumn("loss_text", masked_text(F.col("formatted"), F.col("loss_spans")))
