@@ -74,6 +74,8 @@ _FORMAT = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0
 _HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
 _NUMERIC = re.compile(r"[0-9.,:/%+\-]+")
 _TOKEN = re.compile(r"[^\s\"'<>()\[\]{},;]{8,}")
+_SHORT = re.compile(r"[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"'<>()\[\]{},;]{4,})")
+_LETTERS = re.compile(r"[A-Za-z]+")
 _ASSIGNED = re.compile(r"[A-Za-z_-]+[=:]")
 LABELERS = ["format", "hexadecimal", "gazetteer", "assignment", "mixture", "variety"]
 #: What a word of the gazetteer makes of a span that stands after it.
@@ -83,7 +85,8 @@ CONTEXT, FEATURES = 24, 13 + 64
 
 
 def candidates(text: str, taken: Sequence[Span]) -> list[tuple[int, int]]:
-    """Tokens of at least 8 characters, without a leading ``name=``, that overlap no span taken: all with a digit, and those for which the assignment labeler votes, or the gazetteer for a secret."""
+    """Tokens of at least 8 characters, without a leading ``name=``, that overlap no span taken: all with a digit, and those for which the
+    assignment labeler votes, or the gazetteer for a secret. Of shorter ones those of 4 characters or more, not letters alone, that a secret's name and a sign stand right before."""
     names = _names_in(text)
     if not names and "=" not in text and ":" not in text and not _DIGIT.search(text):
         return []
@@ -100,7 +103,21 @@ def candidates(text: str, taken: Sequence[Span]) -> list[tuple[int, int]]:
             continue
         if _DIGIT.search(text, start, end) or _sign_before(text, start) or _near(names, start) and wanted(text, start):
             out.append((start, end))
-    return out
+    return sorted([*out, *_short_secrets(text, names, taken)]) if names else out
+
+
+def _short_secrets(text: str, names: Sequence[int], taken: Sequence[Span]) -> list[tuple[int, int]]:
+    out: dict[int, int] = {}
+    for at in names:
+        m = _SHORT.match(text, at)
+        if m:
+            start, end = m.span(1)
+            while end > start and text[end - 1] in ".:!?":
+                end -= 1
+            short = 4 <= end - start < 8 and not _LETTERS.fullmatch(text, start, end) and kind_after(text[max(0, start - CONTEXT) : start]) == 4
+            if short and not any(s < end and start < e for s, _, e in taken):
+                out[start] = end
+    return list(out.items())
 
 
 def _sign_before(text: str, start: int) -> bool:
@@ -160,6 +177,8 @@ def votes(value: str, before: str) -> list[int]:
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(value, value[1:]))
     kind, digits, numeric = kind_after(before), sum(map(str.isdigit, value)), _NUMERIC.fullmatch(value)
     by_sign = 1 if assigned(before) else -1
+    if kind == 4 and len(value) < 8:  # too short for what the last two look at
+        return [-1, -1, named(before), by_sign, -1, -1]
     if kind != 4:
         return [-1, -1, 1, by_sign, 1 if 7 <= digits <= 15 else 0, 1 if digits >= 0.6 * len(value) else 0]
     return [
