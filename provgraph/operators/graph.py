@@ -26,28 +26,39 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("graph_id", "node", F.round(F.when(F.col("_n") > 1, F.coalesce("_d", F.lit(0)) / (F.col("_n") - 1)).otherwise(1.0), 6).alias("centrality"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut: int = 5) -> DataFrame:
+def salted_sources(weights: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (graph_id, src, dst, ...) with ``_salt``, which deals a source of more than ``hub`` edges over as many parts of about that size, and (graph_id, src, _salts) of those sources."""
+    sizes = weights.groupBy("graph_id", "src").agg(F.ceil(F.count("*") / hub).cast("int").alias("_salts")).where("_salts > 1")
+    marked = weights.join(sizes.hint("merge"), ["graph_id", "src"], "left")
+    return marked.withColumn("_salt", F.pmod(F.xxhash64("dst"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts"), sizes
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 20, damping: float = 0.85, cut: int = 5, hub: int = 50_000) -> DataFrame:
     """(graph_id, node, rank) after fixed rounds; several edges count, and nodes without edges out keep their mass to themselves.
 
     Edges are grouped by pair with their weight once. Weights are dealt by source and nodes by name into the same number of
     partitions and kept, so of a round only what the nodes give is shuffled, summed by target before it is; every ``cut`` rounds the ranks
-    are written, so plans stay short and lost executors cost few rounds.
+    are written, so plans stay short and lost executors cost few rounds. A source of more than ``hub`` edges is split: its
+    edges lie in several parts, each of which gets a copy of its rank; what a target gets is combined in its own part first, so neither kind of hub is one task.
     """
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = edges.groupBy("graph_id", "src").agg(F.count("*").alias("_o"))
-    weights = materialize(edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("_m")).join(out, ["graph_id", "src"]).select("graph_id", "src", "dst", (F.col("_m") / F.col("_o")).alias("_w")))
-    one = materialize(with_total(nodes.select("graph_id", "node"), F.count("*"), "_n").select("graph_id", "node", (1.0 / F.col("_n")).alias("_one")))
-    weighted, base = weights.repartition(parts, "graph_id", "src").persist(), one.repartition(parts, "graph_id", "node").persist()
-    ranks = base.select("graph_id", "node", F.col("_one").alias("rank"))
+    weights = edges.groupBy("graph_id", "src", "dst").agg(F.count("*").alias("_m")).join(out, ["graph_id", "src"]).select("graph_id", "src", "dst", (F.col("_m") / F.col("_o")).alias("_w"))
+    weights, split = salted_sources(materialize(weights), hub)
+    weights, split = materialize(weights), split.select("graph_id", F.col("src").alias("node"), "_salts")
+    one = with_total(nodes.select("graph_id", "node"), F.count("*"), "_n").join(split.hint("merge"), ["graph_id", "node"], "left")
+    one = materialize(one.select("graph_id", "node", (1.0 / F.col("_n")).alias("_one"), F.coalesce("_salts", F.lit(1)).alias("_salts")))
+    weighted, base = weights.repartition(parts, "graph_id", "src", "_salt").persist(), one.repartition(parts, "graph_id", "node").persist()
+    ranks = base.select("graph_id", "node", "_salts", F.col("_one").alias("rank"))
     for i in range(iterations):
-        given = weighted.join(ranks.select("graph_id", F.col("node").alias("src"), "rank").hint("shuffle_hash"), ["graph_id", "src"])
-        got = given.groupBy("graph_id", F.col("dst").alias("node")).agg(F.sum(F.col("_w") * F.col("rank")).alias("_got"))
-        ranks = base.join(got.hint("shuffle_hash"), ["graph_id", "node"], "left").select("graph_id", "node", ((1 - damping) * F.col("_one") + damping * F.coalesce("_got", F.lit(0.0))).alias("rank"))
+        given = ranks.select("graph_id", F.col("node").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"))
+        got = weighted.join(given.hint("shuffle_hash"), ["graph_id", "src", "_salt"]).groupBy("graph_id", F.col("dst").alias("node")).agg(F.sum(F.col("_w") * F.col("rank")).alias("_got"))
+        ranks = base.join(got.hint("shuffle_hash"), ["graph_id", "node"], "left").select("graph_id", "node", "_salts", ((1 - damping) * F.col("_one") + damping * F.coalesce("_got", F.lit(0.0))).alias("rank"))
         if (i + 1) % cut == 0 or i + 1 == iterations:
             ranks = materialize(ranks)
     weighted.unpersist()
     base.unpersist()
-    return ranks
+    return ranks.select("graph_id", "node", "rank")
 
 
 def stage_coverage(edges: DataFrame) -> DataFrame:

@@ -11,13 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the session's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) is a temporary folder taken, once a session.
+    Only where that setting is absent and the session runs in one process is a temporary folder taken, once a session; on a
+    cluster executors couldn't see each other's files in one, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="provgraph-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

@@ -142,12 +142,47 @@ VERBS = ["RD", "WR", "EX", "UK", "CD", "FR", "IJ", "ST", "RF"]  # fixed values,
 ENTITIES = ["MP", "TP", "MF", "SF", "TF", "SO"]
 
 
+def _placed_lines(spark: SparkSession, path: str, mark: str | None = None) -> DataFrame:
+    """(graph_id, k, line): the lines that aren't blank, numbered from 1 within a file, or within the part of it that a line of the
+    form ``mark`` (with a number) starts; such a part is named by file and number, and what comes before the first is left out.
+
+    A large file is read in splits. A line's number is its number within its split plus the lines of the splits before, and
+    its mark the last one in its split or before it, so that what meets over splits is one row a split.
+    """
+    read = spark.read.text(path)
+    name = F.col("graph_id").cast("string") if "graph_id" in read.columns else _stem()
+    placed = read.select(
+        name.alias("_f"), F.trim(F.regexp_replace("value", "\r", "")).alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_n")
+    ).where("line != ''")
+    within = Window.partitionBy("_file", "_split").orderBy("_n")
+    started = F.when(F.col("line").rlike(mark), F.struct(F.col("_i").alias("at"), F.regexp_extract("line", mark, 1).alias("no"))) if mark else F.lit(None).cast("struct<at:int,no:string>")
+    local = placed.withColumn("_i", F.row_number().over(within)).withColumn("_own", started)
+    local = local.withColumn("_mark", F.last("_own", True).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    splits = local.groupBy("_file", "_split").agg(F.count("*").alias("_lines"), F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("_i"))).alias("_last"))
+    earlier = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+    carried = F.last(F.when(F.col("_last").isNotNull(), F.struct((F.col("_before") + F.col("_last.at")).alias("at"), F.col("_last.no").alias("no"))), True).over(earlier)
+    ahead = ahead.withColumn("_carried", carried).select(F.col("_file").alias("_of_file"), F.col("_split").alias("_of_split"), "_before", "_carried")
+    joined = local.join(ahead.hint("merge"), (F.col("_file") == F.col("_of_file")) & (F.col("_split") == F.col("_of_split")))
+    at = F.col("_before") + F.col("_i")
+    if mark is None:
+        return joined.select(F.col("_f").alias("graph_id"), at.alias("k"), "line")
+    here = F.coalesce(F.when(F.col("_mark").isNotNull(), F.struct((F.col("_before") + F.col("_mark.at")).alias("at"), F.col("_mark.no").alias("no"))), F.col("_carried"))
+    return joined.withColumn("_here", here).where("_here is not null and _own is null").select(F.concat_ws("#", "_f", "_here.no").alias("graph_id"), (at - F.col("_here.at")).alias("k"), "line")
+
+
 def _graph_blocks(blocks: DataFrame, staged: bool) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of (graph_id, text), where a text is N, N node lines, M, and M lines ``src dst VERB[-s..]``."""
     clean = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", ""))), lambda x: x != "")
-    rows = blocks.select("graph_id", clean.alias("_l")).withColumn("_n", F.element_at("_l", 1).try_cast("int")).where("_n is not null and _n >= 0")
-    nodes = rows.select("graph_id", F.posexplode(F.slice("_l", F.lit(2), F.col("_n"))).alias("node_idx", "name"))
-    lines = rows.select("graph_id", F.posexplode(F.slice("_l", F.col("_n") + 3, F.greatest(F.size("_l"), F.lit(1)))).alias("edge_idx", "line"))
+    return _graph_lines(blocks.select("graph_id", F.posexplode(clean).alias("_k", "line")).select("graph_id", (F.col("_k") + 1).alias("k"), "line"), staged)
+
+
+def _graph_lines(lines: DataFrame, staged: bool) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of numbered lines (graph_id, k, line): N, N node lines, M, and M lines ``src dst VERB[-s..]``."""
+    sizes = lines.where("k = 1").select("graph_id", F.col("line").try_cast("int").alias("_n")).where("_n >= 0")
+    known = lines.join(sizes.hint("merge"), "graph_id")
+    nodes = known.where("k > 1 and k <= _n + 1").select("graph_id", (F.col("k") - 2).cast("int").alias("node_idx"), F.col("line").alias("name"))
+    lines = known.where("k >= _n + 3").select("graph_id", (F.col("k") - F.col("_n") - 3).cast("int").alias("edge_idx"), "line")
     form = r"^(\d+)\s+(\d+)\s+([A-Z]{2})(?:-([0-9-]+))?$" if staged else r"^(\d+)\s+(\d+)\s+([A-Za-z_]+)(?:-([0-9-]+))?$"
     part = lambda i: F.regexp_extract("line", form, i)
     stages = F.transform(F.filter(F.split(part(4), "-"), lambda x: x.rlike("^[1-4]$")), lambda x: x.cast("int"))
@@ -164,15 +199,14 @@ def read_graph_text(spark: SparkSession, path: str, staged: bool = False) -> tup
 
     ``staged`` adds a row for each stage of the suffix, for all four without one; stages outside 1 to 4 are ignored, and
     only verbs of two capitals count. An index without a node has a null name. A file without a number first gives no row.
+    A graph is named by its file, or by the folder ``graph_id=...`` that it lies in, as ``write_graph_text`` leaves it. Files are read in splits.
     """
-    return _graph_blocks(spark.read.text(path, wholetext=True).select(_stem().alias("graph_id"), F.col("value").alias("text")), staged)
+    return _graph_lines(_placed_lines(spark, path), staged)
 
 
 def read_graph_blocks(spark: SparkSession, path: str, staged: bool = False) -> tuple[DataFrame, DataFrame]:
     """Like ``read_graph_text`` for files that hold many graphs, each after a line ``#i``; a graph is named by file and i."""
-    parts = spark.read.text(path, wholetext=True).select(_stem().alias("_f"), F.explode(F.split("value", r"(?m)^(?=#\d+\s*$)")).alias("_b"))
-    named = parts.where(F.col("_b").rlike(r"^#\d+")).select(F.concat_ws("#", "_f", F.regexp_extract("_b", r"^#(\d+)", 1)).alias("graph_id"), F.regexp_replace("_b", r"^#\d+\s*", "").alias("text"))
-    return _graph_blocks(named, staged)
+    return _graph_lines(_placed_lines(spark, path, r"^#(\d+)$"), staged)
 
 
 def read_token_graphs(spark: SparkSession, path: str, max_node: int | None = None) -> tuple[DataFrame, DataFrame]:

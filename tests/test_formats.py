@@ -156,3 +156,36 @@ def test_manifest_and_report(spark, tmp_path):
     page = spark.read.text(str(tmp_path / "r" / "text"), wholetext=True).where("graph_id = 'g'").first().value
     assert page.strip().split("\n") == ["# g", "- total: 0.5000", "- novelty: 0.2500", "## Chain", "1. T1 (execution) -> score=0.5000, bridge=file", "2. T2 (impact)", "## Removed", "- T9: weak"]
     assert spark.read.json(str(tmp_path / "r" / "json")).where("graph_id = 'h'").select(F.size("chain"), F.size("removed")).first() == (0, 0)
+
+
+def test_graph_text_in_splits(spark, tmp_path):
+    """Files read in splits of 1 kB give the rows of files read in one, whatever falls on a border; blank lines, carriage returns and text before the first block included."""
+    import random
+    import re
+
+    r = random.Random(3)
+    block = lambda n, m: "\n".join([str(n), *(f"node {i} {'x' * r.randrange(30)}" for i in range(n)), "", f"{m}\r", *(f"{r.randrange(n)} {r.randrange(n)} FR-{r.randrange(1, 6)}" + "\n" * r.randrange(3) for _ in range(m))]) + "\n"
+    for folder, texts in {"one": {"a.txt": block(300, 700), "b.txt": block(2, 3), "c.txt": "no graph\n"}, "many": {"d.txt": "lead\n" + "".join(f"#{i}\n" + block(r.randrange(1, 60), r.randrange(90)) for i in range(40)), "e.txt": "#7\n" + block(500, 400), "f.txt": "none\n"}}.items():
+        (tmp_path / folder).mkdir()
+        for name, text in texts.items():
+            (tmp_path / folder / name).write_bytes(text.encode())
+    read = {"one": S.read_graph_text, "many": S.read_graph_blocks}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for folder, reader in read.items():
+        for staged in (False, True):
+            whole = [_rows(x) for x in reader(spark, str(tmp_path / folder), staged)]
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+            split = [_rows(x) for x in reader(spark, str(tmp_path / folder), staged)]
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            links = [m for f in (tmp_path / folder).iterdir() for m in re.findall(r"^\d+ \d+ FR-(\d)$", f.read_text(), re.M)]
+            assert whole == split and len(whole[0]) > 300 and len(whole[1]) == sum(not staged or m != "5" for m in links) > 500
+    nodes, edges = S.read_graph_blocks(spark, str(tmp_path / "many"))
+    assert nodes.where("graph_id = 'e#7'").count() == 500 and edges.where("graph_id = 'e#7'").count() == 400 and nodes.select("graph_id").distinct().count() == 41
+
+
+def test_graph_text_written_and_read(spark, tmp_path):
+    """What the writer leaves a folder a graph is read back under the graphs' names."""
+    rows = [(g, i, f"n{i % 5}", "process", f"n{i % 3}", "file", "read") for g in ("g", "h") for i in range(9)]
+    K.write_graph_text(spark.createDataFrame(rows, EDGES), str(tmp_path / "out"))
+    nodes, edges = S.read_graph_text(spark, str(tmp_path / "out"))
+    assert _rows(edges.select("graph_id", "edge_idx", "src", "dst", "verb")) == sorted((g, i, s, d, v) for g, i, s, _, d, _, v in rows) and nodes.count() == 10
