@@ -21,15 +21,19 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 #: Buckets of up to so many sets are compared pair by pair, larger ones around centres.
 SMALL = 16
-#: Keys of more registers for the sets of large buckets that a centre doesn't settle: 384 draws of 12 of the registers. A pair at
-#: similarity 0.8 shares none of them once in 4000 (0.82: 30,000), one at 0.42 shares one once in 90, one at 0.3 once in 5000.
-FINE_ROWS, FINE_BANDS = 12, 384
+#: For the sets of large buckets that a centre doesn't settle: keys of 16 out of 1024 registers, 384 draws. A pair at similarity
+#: 0.8 shares none of them about once in 20,000, one at 0.6 shares one once in 10, at 0.5 once in 170, at 0.42 once in 2800.
+FINE_REGISTERS, FINE_ROWS, FINE_BANDS = 1024, 16, 384
+#: Centres of a large bucket in the first round of such keys; each further round has so many times more.
+CENTRES = 16
 #: Most bits of the map of candidate ids that thins the texts before they are shuffled (4 MB; fuller maps only thin less).
 MOST_BITS = 1 << 25
 _RNG = np.random.default_rng(20210711)
 _MULT = (_RNG.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
-_FINE = np.stack([_RNG.choice(REGISTERS, FINE_ROWS, replace=False) for _ in range(FINE_BANDS)], 1)
+_FINE_MULT = (_RNG.integers(1, 1 << 31, FINE_REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_FINE_PLUS = _RNG.integers(0, 1 << 32, FINE_REGISTERS, dtype=np.uint32)
+_FINE = np.stack([_RNG.choice(FINE_REGISTERS, FINE_ROWS, replace=False) for _ in range(FINE_BANDS)], 1)
 _WEIGHTS = _RNG.integers(1, 1 << 62, FINE_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -68,12 +72,12 @@ class Shingler:
         return np.unique(_finish(total))
 
 
-def minima(hashes: np.ndarray, block: int = 4096) -> np.ndarray:
+def minima(hashes: np.ndarray, block: int = 4096, mult: np.ndarray = _MULT, plus: np.ndarray = _PLUS) -> np.ndarray:
     """For each register the least of its own 32-bit hash over the elements; the minima of a union are the minima of the minima."""
     low = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
+    least = np.full(len(mult), 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), block):
-        np.minimum(least, (_MULT[:, None] * low[None, at : at + block] + _PLUS[:, None]).min(1), out=least)
+        np.minimum(least, (mult[:, None] * low[None, at : at + block] + plus[:, None]).min(1), out=least)
     return least
 
 
@@ -138,21 +142,21 @@ def band_rows(sets: DataFrame) -> DataFrame:
     return sets.select("node", "sketch").mapInPandas(run, "node bigint, key bigint")
 
 
-def fine_rows(sets: DataFrame) -> DataFrame:
-    """(node, key): for each draw of ``FINE_ROWS`` registers one 64-bit key."""
+def fine_rows(full: DataFrame) -> DataFrame:
+    """(node, key) of full sets (node, shingles): for each draw of ``FINE_ROWS`` of a longer sketch's registers one 64-bit key."""
     numbers = np.arange(1, FINE_BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 500):
                 some = pdf.iloc[lo : lo + 500]
-                held = np.frombuffer(b"".join(some["sketch"]), "<u2").reshape(-1, REGISTERS).astype(np.uint64)
+                held = np.stack([registers(minima(np.frombuffer(x, np.uint64), 512, _FINE_MULT, _FINE_PLUS)) for x in some["shingles"]]).astype(np.uint64)
                 total = np.zeros((len(some), FINE_BANDS), np.uint64)
                 for places, weight in zip(_FINE, _WEIGHTS):
                     total += held[:, places] * weight
                 yield pd.DataFrame({"node": np.repeat(some["node"].to_numpy(), FINE_BANDS), "key": _finish(total + numbers).view(np.int64).ravel()})
 
-    return sets.select("node", "sketch").mapInPandas(run, "node bigint, key bigint")
+    return full.select("node", "shingles").mapInPandas(run, "node bigint, key bigint")
 
 
 def bucket_rows(bands: DataFrame) -> DataFrame:
@@ -173,10 +177,11 @@ def pairs_within(rows: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of every set of a bucket (node, key, size) with the bucket's centre, the set that shares the most buckets overall."""
+    """(a, b): every set of the buckets (node, key, size) with one centre, that which shares the most buckets among the centres of its own buckets; a bucket's centre is the set that shares the most."""
     score = rows.groupBy("node").agg(F.sum("size").alias("_score"))
-    of_key = rows.join(score.hint("shuffle_hash"), "node").groupBy("key").agg(F.max(F.struct("_score", "node"))["node"].alias("b"))
-    return rows.select(F.col("node").alias("a"), "key").join(of_key.hint("merge"), "key").select("a", "b")
+    scored = rows.join(score.hint("shuffle_hash"), "node")
+    of_key = scored.groupBy("key").agg(F.max(F.struct("_score", "node")).alias("_centre"))
+    return rows.select("node", "key").join(of_key.hint("merge"), "key").groupBy(F.col("node").alias("a")).agg(F.max("_centre")["node"].alias("b"))
 
 
 def thinned(texts: DataFrame, some: DataFrame) -> DataFrame:
@@ -283,12 +288,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     Documents link at ``100 * intersection >= percent * union`` of their word shingles. Equal sets are one numbered node from
     the start, so exact copies of any number cost one row each. Pairs that are compared pass the likelihood estimate on their
-    sketches first and are then confirmed on full sets. In small buckets of equal band keys all sets are compared, in large ones all with one centre, which
-    settles groups of near copies. The sets of large buckets that still lie in several components get keys of more
+    sketches first and are then confirmed on full sets. In small buckets of equal band keys all sets are compared; the sets of large ones with one centre each, which
+    settles groups of near copies. The sets of large buckets that still lie in several components get longer sketches and keys of more
     registers, which part what is only alike from what may link. In those buckets small ones are again compared in full; a large one gets
-    centres, one in the first round and twice as many in each further one, which are compared with every set of another component and then leave it.
+    centres, ``CENTRES`` in the first round and so many times more in each further one, which are compared with every set of another component and then leave it.
 
-    So the rounds end: in each, every bucket that is left is finished or loses a centre, after about log2 of its size rounds all are gone, and
+    So the rounds end: in each, every bucket that is left is finished or loses a centre, after about log16 of its size rounds all are gone, and
     no pair is compared twice. Texts cut from one template cost about a row for each of their keys. No link is lost but those that no key shows.
     Documents without words link with nothing. Rows are documents of their own even if they repeat an id. A row without an id
     links with nothing either: its component_id is null and it is kept. An empty table gives no row.
@@ -301,10 +306,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     full = scratch.table(full_sets(docs, some.select("node", "doc", "text_key", "set_key"), words, id_col, text_col))
     wide = rows.where(F.col("size") > SMALL)
     seen = scratch.table(ordered(pairs_within(rows.where(F.col("size") <= SMALL).withColumn("comp", F.col("node"))).unionByName(star_pairs(wide))))
-    likely = scratch.table(likely_pairs(seen, some, percent))
-    whole = scratch.table(merged(some.select("node"), confirmed_pairs(likely, full, percent)))
-    unsettled = scratch.table(some.join(open_rows(wide, whole).select("node").distinct().hint("merge"), "node", "left_semi"))
-    rows, about = scratch.table(bucket_rows(fine_rows(unsettled))), 1
+    whole = scratch.table(merged(some.select("node"), confirmed_pairs(likely_pairs(seen, some, percent), full, percent)))
+    unsettled = scratch.table(full.join(open_rows(wide, whole).select("node").distinct().hint("merge"), "node", "left_semi"))
+    rows, about = scratch.table(bucket_rows(fine_rows(unsettled))), CENTRES
     while True:
         held = scratch.table(open_rows(rows, whole))
         if held.isEmpty():
@@ -313,9 +317,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         centres = told.where("is_centre").select(F.col("node").alias("b"), "key", F.col("comp").alias("_comp"))
         spokes = told.join(centres.hint("merge"), "key").where("comp != _comp").select(F.col("node").alias("a"), "b")
         new = scratch.table(ordered(pairs_within(held.where(F.col("size") <= SMALL)).unionByName(spokes)).join(seen.hint("merge"), ["a", "b"], "left_anti"))
-        likely = scratch.table(likely_pairs(new, some, percent))
-        whole = scratch.table(merged(whole, scratch.table(confirmed_pairs(likely, full, percent))))
-        rows, seen, about = told.where("not is_centre"), seen.unionByName(new), 2 * about
+        whole = scratch.table(merged(whole, scratch.table(confirmed_pairs(likely_pairs(new, some, percent), full, percent))))
+        rows, seen, about = told.where("not is_centre"), seen.unionByName(new), CENTRES * about
     named = sets.select("node", "set_key", "doc", "text_key").join(whole.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min(F.struct("doc", "text_key")).alias("_least"))
     class_of = scratch.table(named.join(least.hint("merge"), "component").select("set_key", F.col("_least.doc").alias("component_id"), F.col("_least.text_key").alias("component_text")))
