@@ -1,8 +1,11 @@
 """Work in proportion to the input where keys are common: hubs, copies and large groups."""
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from provgraph.operators import corpora as K
+from provgraph.operators import evaluate as M
 
 
 def shuffled(spark):
@@ -19,3 +22,23 @@ def test_sample_bfs_at_a_hub(spark):
     got = K.sample_bfs(edges, seeds, 62, 30).groupBy("sample_id").agg(F.count_distinct("edge_id").alias("n"), F.max("hop").alias("hop")).collect()
     assert len(got) == 2000 and {(x.n, x.hop) for x in got} == {(62, 3)}
     assert shuffled(spark) - before < 100e6
+
+
+def test_nearest_of_a_large_group(spark):
+    """30,000 candidates of one group, 20 copies of each vector: as by Spark's own cosine on a few items, and each of 30,000 items is answered in one go."""
+    r = np.random.default_rng(3)
+    distinct = r.normal(size=(1500, 16)).astype("f4").tolist()
+    rows = [(i, distinct[i % 1500], 0) for i in range(30_000)] + [(30_000, None, 0), (30_001, [float("nan")] * 16, 0), (30_002, [0.0] * 16, 0), (30_003, [1.0], 0), (30_004, [1.0, None], 0)]
+    table = spark.createDataFrame(rows, "id int, vec array<float>, grp int").repartition(4)
+    few = table.where("id % 7500 = 3 or id >= 30000")
+    not_these = few.selectExpr("id", "id + 1500 as candidate")
+    pairs = few.selectExpr("id", "vec as a").crossJoin(table.selectExpr("id as candidate", "vec as b")).where("id != candidate").join(not_these, ["id", "candidate"], "left_anti")
+    scored = pairs.select("id", "candidate", F.round(M.cosine(F.col("a"), F.col("b")), 6).alias("sim"))
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "candidate"))
+    want = scored.withColumn("rank", best).where("rank <= 3")
+    before = shuffled(spark)
+    got = M.nearest_in_group(few, table, 3, not_these)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    every = M.nearest_in_group(table.where("id < 30000"), table, 2)
+    assert every.groupBy("rank").count().collect() and every.where("id % 1500 != candidate % 1500 and candidate < 30000").count() == 0
+    assert shuffled(spark) - before < 200e6
