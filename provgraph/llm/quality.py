@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provgraph.llm.common import add_columns, map_rows, unused
+from provgraph.llm.neardup import thinned
 
 #: (from so many UTF-8 bytes on, least ratio, greatest ratio): shorter texts compress worse, so both limits fall with length.
 #: Below the least a text repeats itself, above the greatest it is noise or encoded data. Under 128 bytes the ratio says nothing.
@@ -97,29 +98,31 @@ def _judge(bands: Sequence[tuple[int, float, float]]) -> Callable[[str | None],
     return each
 
 
-def fit_bands(docs: DataFrame, labels: DataFrame, sample: int = 20_000, least: int = 40, share: float = 0.002, margin: float = 0.03, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, float, float]]:
-    """Bands by length from texts labelled good (``labels``: doc_id, quality 1) that pass the base rules.
+def fit_bands(docs: DataFrame, labels: DataFrame, least: int = 40, share: float = 0.002, margin: float = 0.03, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, float, float]]:
+    """Bands by length from all texts labelled good (``labels``: doc_id, quality 1) that pass the base rules.
 
     Lengths are in classes of half an octave from 128 bytes on. A class with ``least`` texts or more goes from the ``share``
-    quantile of their ratios to the 1 - ``share`` quantile, widened by ``margin`` of each; any other has the fixed bands. At most
-    ``sample`` labelled texts are looked at, those whose ids have the least hashes; the table is read once for them.
+    quantile of their ratios to the 1 - ``share`` quantile, widened by ``margin`` of each; any other has the fixed bands. The table
+    is read once: texts whose ids can't be labelled good are passed over by a bit map of hashed ids (``thinned``), the others are compressed where they
+    lie, and only (id, class, ratio) is shuffled to meet the labels. Quantiles are ranks over all these rows, to within a 10,000th of them.
     """
-    chosen = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id").select("text")
+    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc")).distinct()
+    texts = thinned(docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text")).where("text is not null and doc is not null"), good)
 
     def start() -> Callable[..., list[tuple]]:
         press = _press()
 
-        def each(text: str) -> list[tuple]:
+        def each(doc: int, text: str) -> list[tuple]:
             raw = text.encode()
             if len(raw) < 128 or base_rules(raw, text)[-1]:
                 return []
-            return [(int(2 * math.log2(len(raw))), len(press(raw)) / len(raw))]
+            return [(doc, int(2 * math.log2(len(raw))), len(press(raw)) / len(raw))]
 
         return each
 
     quantiles = F.percentile_approx("ratio", F.array(F.lit(share), F.lit(1 - share)), 10_000)
-    found = {r["class"]: r for r in map_rows(texts, start, "class int, ratio double").groupBy("class").agg(F.count("*").alias("n"), quantiles.alias("q")).collect()}  # one row a half octave
+    rated = map_rows(texts.select("doc", "text"), start, "doc bigint, class int, ratio double").join(good.hint("merge"), "doc", "left_semi")
+    found = {r["class"]: r for r in rated.groupBy("class").agg(F.count("*").alias("n"), quantiles.alias("q")).collect()}  # one row a half octave
     bands = [BANDS[0]]
     for c in range(14, max([*found, 28]) + 1):
         low, high = next((low, high) for size, low, high in reversed(BANDS) if 2 ** (c / 2) >= size)

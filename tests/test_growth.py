@@ -42,3 +42,27 @@ def test_nearest_of_a_large_group(spark):
     every = M.nearest_in_group(table.where("id < 30000"), table, 2)
     assert every.groupBy("rank").count().collect() and every.where("id % 1500 != candidate % 1500 and candidate < 30000").count() == 0
     assert shuffled(spark) - before < 200e6
+
+
+def test_bands_use_every_label(spark):
+    """30,000 labelled texts of one length: the bands are those of all of them (before, 20,000 were looked at)."""
+    import zstandard
+
+    from provgraph.llm import quality
+
+    r = np.random.default_rng(4)
+    words = [f"w{n:x}" for n in r.permutation(4000)]
+    texts = [" ".join(words[i] for i in r.integers(0, 40 + n % 400, 60)) for n in range(30_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    labels = spark.range(30_000).selectExpr("id as doc_id", "case when id % 10 < 9 then 1 else 0 end as quality")
+    bands = quality.fit_bands(docs, labels)
+    ratios = {}
+    for n, text in enumerate(texts):
+        raw = text.encode()
+        if n % 10 < 9 and not quality.base_rules(raw, text)[-1]:
+            ratios.setdefault(int(2 * np.log2(len(raw))), []).append(len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(raw)) / len(raw))
+    c, held = max(ratios.items(), key=lambda x: len(x[1]))
+    held.sort()
+    _, low, high = next(b for b in bands if b[0] == int(np.ceil(2 ** (c / 2))))
+    at = lambda x, bound: abs(np.searchsorted(held, x) - bound * len(held)) <= 2e-4 * len(held) + held.count(x) + 3
+    assert len(held) > 20_000 and at(low / 0.97, 0.002) and at(high / 1.03, 0.998)
