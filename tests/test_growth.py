@@ -66,3 +66,14 @@ def test_bands_use_every_label(spark):
     _, low, high = next(b for b in bands if b[0] == int(np.ceil(2 ** (c / 2))))
     at = lambda x, bound: abs(np.searchsorted(held, x) - bound * len(held)) <= 2e-4 * len(held) + held.count(x) + 3
     assert len(held) > 20_000 and at(low / 0.97, 0.002) and at(high / 1.03, 0.998)
+
+
+def test_components_of_near_nodes_take_few_rounds(spark, monkeypatch):
+    """50 paths of 100 nodes: tasks join up most links before the rounds, of which few are left."""
+    from provgraph.operators import components
+
+    written, table = [], components.Scratch.table
+    monkeypatch.setattr(components.Scratch, "table", lambda self, df: written.append(1) or table(self, df))
+    links = spark.range(5000).where("id % 100 > 0").selectExpr("struct(id div 100 as g, id % 100 as n) as src", "struct(id div 100 as g, id % 100 - 1 as n) as dst")
+    got = components.connected_components(links).selectExpr("node.g = component.g and component.n = 0 as ok").groupBy("ok").count().collect()
+    assert [tuple(x) for x in got] == [(True, 5000)] and len(written) <= 4
