@@ -142,3 +142,25 @@ def test_pagerank_with_a_hub(spark):
     salted, sizes = A.salted_sources(edges.distinct(), 25)
     sizes = sorted(r["count"] for r in salted.repartition(8, "graph_id", "src", "_salt").groupBy(F.spark_partition_id()).count().collect())
     assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_chain_depth_of_large_graphs(spark):
+    """By rounds as within tasks: levels skipped, cycles, nulls, and more levels than are looked at."""
+    rng = random.Random(12)
+    edges = [("layers", f"{k}-{rng.randrange(40)}", f"{k + 1}-{rng.randrange(40)}") for k in range(5) for _ in range(60)]
+    edges += [("skips", f"{k}-{rng.randrange(40)}", f"{k + rng.choice((1, 1, 1, 2))}-{rng.randrange(40)}") for k in range(5) for _ in range(50)]
+    edges += [("cycle", "a", "b"), ("cycle", "b", "c"), ("cycle", "c", "b"), ("cycle", "x", "y"), ("cycle", "c", "y"), ("path", "0", "1"), *(("path", f"{i}", f"{i + 1}") for i in range(8))]
+    edges += [("null", None, "b"), ("null", "a", None), ("null", "c", "b"), (None, "a", "b"), ("loop", "a", "a")]
+    table = spark.createDataFrame(edges, "graph_id string, src string, dst string")
+    told = lambda **options: sorted(map(str, B.chain_depth(table, **options).collect()))
+    assert told(max_sources=None) == told(max_sources=None, held=0) == told(max_sources=None, held=0, rounds=2) == told(max_sources=None, held=0, rounds=0)
+    assert told(max_sources=4) == told(max_sources=4, held=30)
+
+
+def test_chain_depth_by_levels(spark, monkeypatch):
+    """600 sources that all reach the same nodes, by paths of one length: levels tell their depths without a search a source."""
+    edges = [("layers", f"{k}-{i}", f"{k + 1}-{j}") for k, n in enumerate((600, 60, 6)) for i in range(n) for j in {i % 6, i % (n // 10 or 1)}]
+    edges += [("layers", "0-0", "leaf"), ("layers", "1-3", "end"), ("ends early", "a", "b")]
+    monkeypatch.setattr(B, "_searched", lambda *_: 1 / 0)
+    got = B.chain_depth(spark.createDataFrame(edges, "graph_id string, src string, dst string"), None, held=0).collect()
+    assert {r.graph_id: r.chain_depth for r in got} == {"layers": 0.5, "ends early": 0.166667}
