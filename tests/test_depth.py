@@ -164,3 +164,14 @@ def test_chain_depth_by_levels(spark, monkeypatch):
     monkeypatch.setattr(B, "_searched", lambda *_: 1 / 0)
     got = B.chain_depth(spark.createDataFrame(edges, "graph_id string, src string, dst string"), None, held=0).collect()
     assert {r.graph_id: r.chain_depth for r in got} == {"layers": 0.5, "ends early": 0.166667}
+
+
+def test_articulation_within_tasks_and_by_rounds(spark, monkeypatch):
+    """Small graphs take no round; the counts are those of a linear search either way."""
+    rng = random.Random(21)
+    edges = [(f"g{g}", str(rng.randrange(30)), str(rng.randrange(30))) for g in range(12) for _ in range(10 + 3 * g)] + [("loop", "a", "a"), ("null", None, "b"), (None, "a", "b"), ("path", "a", "b"), ("path", "b", "c")]
+    table = spark.createDataFrame(edges, "graph_id string, src string, dst string")
+    want = linear(edges)[1]
+    assert {r.graph_id: r.articulation for r in H.articulation_count(table, held=30).collect()} == want
+    monkeypatch.setattr(H, "cut_vertices", lambda *_: 1 / 0)
+    assert {r.graph_id: r.articulation for r in H.articulation_count(table).collect()} == want
