@@ -175,3 +175,16 @@ def test_articulation_within_tasks_and_by_rounds(spark, monkeypatch):
     assert {r.graph_id: r.articulation for r in H.articulation_count(table, held=30).collect()} == want
     monkeypatch.setattr(H, "cut_vertices", lambda *_: 1 / 0)
     assert {r.graph_id: r.articulation for r in H.articulation_count(table).collect()} == want
+
+
+def test_pagerank_within_tasks_and_by_rounds(spark, monkeypatch):
+    """Small graphs take no round; ranks are the same, with repeated edges, loops, nulls, nodes that aren't listed and nodes without edges."""
+    rng = random.Random(23)
+    edges = [(f"g{g}", rng.randrange(30), rng.randrange(30)) for g in range(8) for _ in range(10 + 5 * g)] + [("g1", 3, 3), ("g1", None, 4), ("g1", 4, None), (None, 1, 2), ("g2", 99, 1), ("g2", 1, 99)]
+    nodes = [(f"g{g}", k) for g in range(8) for k in range(30 + g)] + [("alone", 1), ("alone", 2), (None, 1), ("g1", None)]
+    edges, nodes = spark.createDataFrame(edges, "graph_id string, src int, dst int"), spark.createDataFrame(nodes, "graph_id string, node int")
+    told = lambda **options: {(r.graph_id, r.node): r["rank"] for r in A.pagerank(nodes, edges, **options).collect()}
+    want, some = told(held=0), told(held=60)
+    monkeypatch.setattr(A, "_rounds", lambda *_: 1 / 0)
+    found = told()
+    assert set(found) == set(want) == set(some) and all(abs(found[k] - want[k]) < 1e-12 and abs(some[k] - want[k]) < 1e-12 for k in want)
