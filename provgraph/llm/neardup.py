@@ -28,6 +28,10 @@ FINE_REGISTERS, FINE_ROWS, FINE_BANDS = 1024, 16, 384
 CENTRES = 16
 #: Most bits of the map of candidate ids that thins the texts before they are shuffled (4 MB; fuller maps only thin less).
 MOST_BITS = 1 << 25
+#: Shingles that a task looks at together where it tells which of them several components have.
+PART = 1 << 20
+#: Words of 64 bits of the map of a set's common shingles.
+WORDS = 16
 _RNG = np.random.default_rng(20210711)
 _MULT = (_RNG.integers(1, 1 << 31, REGISTERS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -170,10 +174,24 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
 
 
-def pairs_within(rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of each bucket (node, key, comp) that lie in different components; for buckets of a bounded size."""
-    both = "flatten(transform(_all, (x, i) -> transform(filter(slice(_all, i + 2, size(_all)), y -> y.comp != x.comp), y -> struct(x.node as a, y.node as b))))"
-    return rows.groupBy("key").agg(F.collect_list(F.struct("node", "comp")).alias("_all")).select(F.inline(F.expr(both)))
+def may_link(a: str, b: str, percent: int) -> str:
+    """Whether sets of two components can have 100 * intersection >= percent * union, from ``n``, ``most`` and ``bits`` of ``common_shingles``.
+
+    The intersection is at most the smaller ``most``. What only one of the sets has is at least the n - most of both and one
+    shingle for each bit in which their maps differ. No pair that links is left out.
+    """
+    differ = " + ".join(f"bit_count({a}bits.w{i} ^ {b}bits.w{i})" for i in range(WORDS))
+    apart = f"{100 + percent} * ({a}n - {a}most + {b}n - {b}most + {differ}) <= {100 - percent} * ({a}n + {b}n)"
+    return f"{100 + percent} * least({a}most, {b}most) >= {percent} * ({a}n + {b}n) and {apart}"
+
+
+def pairs_within(rows: DataFrame, percent: int = 0) -> DataFrame:
+    """The pairs (a, b) of each bucket (node, key, comp) that lie in different components, with (n, most, bits) only those that may link; for buckets of a bounded size."""
+    may, held = "", ["node", "comp"]
+    if "most" in rows.columns:
+        may, held = f" and {may_link('x.', 'y.', percent)}", [*held, "n", "most", "bits"]
+    both = f"flatten(transform(_all, (x, i) -> transform(filter(slice(_all, i + 2, size(_all)), y -> y.comp != x.comp{may}), y -> struct(x.node as a, y.node as b))))"
+    return rows.groupBy("key").agg(F.collect_list(F.struct(*held)).alias("_all")).select(F.inline(F.expr(both)))
 
 
 def star_pairs(rows: DataFrame) -> DataFrame:
@@ -255,18 +273,74 @@ def confirmed_pairs(pairs: DataFrame, full: DataFrame, percent: int) -> DataFram
     return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "f_a", "f_b").mapInPandas(run, "a bigint, b bigint")
 
 
-def open_rows(rows: DataFrame, whole: DataFrame) -> DataFrame:
-    """(node, key, comp, size): the rows of those buckets whose sets lie in several components."""
-    placed = rows.select("node", "key").join(whole.select("node", F.col("component").alias("comp")).hint("merge"), "node")
-    mixed = placed.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key", "size")
-    return placed.join(mixed.hint("shuffle_hash"), "key").select("node", "key", "comp", "size")
+def open_rows(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows (node, key) of those buckets whose sets lie in several components, with what ``placed`` (node, comp, ...) says of them and the bucket's size; sets that aren't in ``placed`` go."""
+    met = rows.select("node", "key").join(placed.hint("merge"), "node")
+    mixed = met.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key", "size")
+    return met.join(mixed.hint("shuffle_hash"), "key")
+
+
+def common_shingles(sets: DataFrame, parts: int) -> DataFrame:
+    """(node, most, bits): how many of each set's shingles (node, comp, shingles) some set of another component has too, and those as a map of hashed places; for sets with any.
+
+    Sets are cut by the hash ranges of their shingles into ``parts``; a part sees the components of all its shingles, and counts are added up.
+    """
+
+    words = [f"w{i}" for i in range(WORDS)]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+        for pdf in batches:
+            rows = []
+            for node, comp, held in zip(pdf["node"], pdf["comp"], pdf["shingles"]):
+                found = np.frombuffer(held, np.uint64)
+                ends = [0, *np.searchsorted(found, edges), len(found)]
+                rows += [(node, comp, part, found[lo:hi].tobytes()) for part, (lo, hi) in enumerate(zip(ends, ends[1:])) if hi > lo]
+            yield pd.DataFrame(rows, columns=["node", "comp", "part", "shingles"])
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        long = pdf["shingles"].map(len).to_numpy() // 8
+        found, place = np.unique(np.frombuffer(b"".join(pdf["shingles"]), np.uint64), return_inverse=True)
+        comp = np.repeat(pdf["comp"].to_numpy(), long)
+        low, high = np.full(len(found), np.iinfo(np.int64).max), np.full(len(found), np.iinfo(np.int64).min)
+        np.minimum.at(low, place, comp)
+        np.maximum.at(high, place, comp)
+        common = np.flatnonzero((low < high)[place])
+        own, at = np.repeat(np.arange(len(pdf)), long)[common], found[place[common]] % np.uint64(64 * WORDS)
+        bits = np.zeros((len(pdf), WORDS), np.uint64)
+        np.bitwise_or.at(bits, (own, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+        return pd.DataFrame({"node": pdf["node"], "most": np.bincount(own, minlength=len(pdf)), **{w: bits[:, i].view(np.int64) for i, w in enumerate(words)}})
+
+    pieces = sets.select("node", "comp", "shingles").mapInPandas(cut, "node bigint, comp bigint, part int, shingles binary")
+    found = pieces.groupBy("part").applyInPandas(count, "node bigint, most bigint, " + ", ".join(f"{w} bigint" for w in words)).groupBy("node").agg(F.sum("most").alias("most"), *(F.bit_or(w).alias(w) for w in words))
+    return found.where("most > 0").select("node", "most", F.struct(*words).alias("bits"))
+
+
+def linkable(full: DataFrame, sizes: DataFrame, whole: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, comp, n, most, bits) of the sets of ``full`` (node, shingles) that may link with one of another component, by no more than counts of common shingles.
+
+    A set has at most ``most`` shingles in common with any of another component; with fewer than ``percent`` of its own it can't link, and
+    goes. What others have in common with it goes too, so this is done again while a tenth of the sets goes. Texts cut from one template differ from each other mostly in
+    shingles of their own, which shows here at a cost in proportion to their sizes. Exact: no pair that links goes.
+    """
+    placed = whole.select("node", F.col("component").alias("comp"))
+    kept = scratch.table(sizes.select("node", "n").join(full.select("node").hint("merge"), "node", "left_semi").join(placed.hint("merge"), "node"))
+    count = kept.count()
+    while count:
+        parts = 16 + kept.agg(F.sum("n")).first()[0] // PART
+        of = full.join(kept.select("node", "comp").hint("merge"), "node")
+        step = scratch.table(kept.select("node", "comp", "n").join(common_shingles(of, parts).hint("merge"), "node").where(f"100 * most >= {percent} * n"))
+        before, count, kept = count, step.count(), step
+        if 10 * (before - count) < before:
+            break
+    return kept
 
 
 def with_centres(rows: DataFrame, about: int) -> DataFrame:
-    """``rows`` (node, key, comp, size) with ``is_centre`` for the one set of largest hash in each bucket and ``about`` - 1 more by hash."""
+    """``rows`` (node, key, size, ...) with ``is_centre`` for the one set of largest hash in each bucket and ``about`` - 1 more by hash."""
     drawn = F.xxhash64("node", "key")
     first = rows.groupBy("key").agg(F.max(F.struct(drawn.alias("_h"), "node"))["node"].alias("_first"))
-    return rows.join(first.hint("shuffle_hash"), "key").select("node", "key", "comp", "size", ((F.col("node") == F.col("_first")) | (F.pmod(drawn, F.col("size")) < about - 1)).alias("is_centre"))
+    return rows.join(first.hint("shuffle_hash"), "key").select(*rows.columns, ((F.col("node") == F.col("_first")) | (F.pmod(drawn, F.col("size")) < about - 1)).alias("is_centre"))
 
 
 def merged(whole: DataFrame, links: DataFrame) -> DataFrame:
@@ -290,7 +364,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     the start, so exact copies of any number cost one row each. Pairs that are compared pass the likelihood estimate on their
     sketches first and are then confirmed on full sets. In small buckets of equal band keys all sets are compared; the sets of large ones with one centre each, which
     settles groups of near copies. The sets of large buckets that still lie in several components get longer sketches and keys of more
-    registers, which part what is only alike from what may link. In those buckets small ones are again compared in full; a large one gets
+    registers, which part what is only alike from what may link; before and after each round go the sets that have too few shingles in common with those of
+    other components to link with any (``linkable``). In those buckets small ones are again compared in full; a large one gets
     centres, ``CENTRES`` in the first round and so many times more in each further one, which are compared with every set of another component and then leave it.
 
     So the rounds end: in each, every bucket that is left is finished or loses a centre, after about log16 of its size rounds all are gone, and
@@ -307,17 +382,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     wide = rows.where(F.col("size") > SMALL)
     seen = scratch.table(ordered(pairs_within(rows.where(F.col("size") <= SMALL).withColumn("comp", F.col("node"))).unionByName(star_pairs(wide))))
     whole = scratch.table(merged(some.select("node"), confirmed_pairs(likely_pairs(seen, some, percent), full, percent)))
-    unsettled = scratch.table(full.join(open_rows(wide, whole).select("node").distinct().hint("merge"), "node", "left_semi"))
-    rows, about = scratch.table(bucket_rows(fine_rows(unsettled))), CENTRES
+    mixed = open_rows(wide, whole.select("node", F.col("component").alias("comp"))).select("node").distinct()
+    unsettled = scratch.table(full.join(mixed.hint("merge"), "node", "left_semi"))
+    able = linkable(unsettled, some, whole, percent, scratch)
+    rows, about = scratch.table(bucket_rows(fine_rows(unsettled.join(able.select("node").hint("merge"), "node", "left_semi")))), CENTRES
     while True:
-        held = scratch.table(open_rows(rows, whole))
+        held = scratch.table(open_rows(rows, able))
         if held.isEmpty():
             break
         told = scratch.table(with_centres(held.where(F.col("size") > SMALL), about))
-        centres = told.where("is_centre").select(F.col("node").alias("b"), "key", F.col("comp").alias("_comp"))
-        spokes = told.join(centres.hint("merge"), "key").where("comp != _comp").select(F.col("node").alias("a"), "b")
-        new = scratch.table(ordered(pairs_within(held.where(F.col("size") <= SMALL)).unionByName(spokes)).join(seen.hint("merge"), ["a", "b"], "left_anti"))
-        whole = scratch.table(merged(whole, scratch.table(confirmed_pairs(likely_pairs(new, some, percent), full, percent))))
+        centres = told.where("is_centre").select(F.col("node").alias("b"), "key", *(F.col(c).alias(f"_b_{c}") for c in ("comp", "n", "most", "bits")))
+        spokes = told.join(centres.hint("merge"), "key").where(f"comp != _b_comp and {may_link('', '_b_', percent)}").select(F.col("node").alias("a"), "b")
+        new = scratch.table(ordered(pairs_within(held.where(F.col("size") <= SMALL), percent).unionByName(spokes)).join(seen.hint("merge"), ["a", "b"], "left_anti"))
+        links = scratch.table(confirmed_pairs(likely_pairs(new, some, percent), full, percent))
+        if not links.isEmpty():
+            whole = scratch.table(merged(whole, links))
+            able = linkable(unsettled.join(able.select("node").hint("merge"), "node", "left_semi"), some, whole, percent, scratch)
         rows, seen, about = told.where("not is_centre"), seen.unionByName(new), CENTRES * about
     named = sets.select("node", "set_key", "doc", "text_key").join(whole.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min(F.struct("doc", "text_key")).alias("_least"))
