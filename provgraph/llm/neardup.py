@@ -147,7 +147,7 @@ def band_rows(sets: DataFrame) -> DataFrame:
 
 
 def fine_rows(full: DataFrame) -> DataFrame:
-    """(node, key) of full sets (node, shingles): for each draw of ``FINE_ROWS`` of a longer sketch's registers one 64-bit key."""
+    """(node, comp, key) of full sets (node, comp, shingles): for each draw of ``FINE_ROWS`` of a longer sketch's registers one 64-bit key."""
     numbers = np.arange(1, FINE_BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,9 +158,10 @@ def fine_rows(full: DataFrame) -> DataFrame:
                 total = np.zeros((len(some), FINE_BANDS), np.uint64)
                 for places, weight in zip(_FINE, _WEIGHTS):
                     total += held[:, places] * weight
-                yield pd.DataFrame({"node": np.repeat(some["node"].to_numpy(), FINE_BANDS), "key": _finish(total + numbers).view(np.int64).ravel()})
+                ends = {c: np.repeat(some[c].to_numpy(), FINE_BANDS) for c in ("node", "comp")}
+                yield pd.DataFrame({**ends, "key": _finish(total + numbers).view(np.int64).ravel()})
 
-    return full.select("node", "shingles").mapInPandas(run, "node bigint, key bigint")
+    return full.select("node", "comp", "shingles").mapInPandas(run, "node bigint, comp bigint, key bigint")
 
 
 def bucket_rows(bands: DataFrame) -> DataFrame:
@@ -196,8 +197,7 @@ def pairs_within(rows: DataFrame, percent: int = 0) -> DataFrame:
 
 def star_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): every set of the buckets (node, key, size) with one centre, that which shares the most buckets among the centres of its own buckets; a bucket's centre is the set that shares the most."""
-    score = rows.groupBy("node").agg(F.sum("size").alias("_score"))
-    scored = rows.join(score.hint("shuffle_hash"), "node")
+    scored = rows.groupBy("node").agg(F.sum("size").alias("_score"), F.collect_list("key").alias("_keys")).select("node", "_score", F.explode("_keys").alias("key"))
     of_key = scored.groupBy("key").agg(F.max(F.struct("_score", "node")).alias("_centre"))
     return rows.select("node", "key").join(of_key.hint("merge"), "key").groupBy(F.col("node").alias("a")).agg(F.max("_centre")["node"].alias("b"))
 
@@ -273,9 +273,12 @@ def confirmed_pairs(pairs: DataFrame, full: DataFrame, percent: int) -> DataFram
     return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "f_a", "f_b").mapInPandas(run, "a bigint, b bigint")
 
 
-def open_rows(rows: DataFrame, placed: DataFrame) -> DataFrame:
-    """The rows (node, key) of those buckets whose sets lie in several components, with what ``placed`` (node, comp, ...) says of them and the bucket's size; sets that aren't in ``placed`` go."""
-    met = rows.select("node", "key").join(placed.hint("merge"), "node")
+def open_rows(rows: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """The rows (node, key) of those buckets whose sets lie in several components, with what ``placed`` (node, comp, ...; None: the rows have it) says of them and the bucket's size; sets that aren't in ``placed`` go."""
+    met = rows
+    if placed is not None:
+        keys = rows.groupBy("node").agg(F.collect_list("key").alias("_keys"))  # at most ``FINE_BANDS``, so a set is placed once and not once a key
+        met = keys.join(placed.hint("merge"), "node").withColumn("key", F.explode("_keys")).drop("_keys")
     mixed = met.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo != _hi").select("key", "size")
     return met.join(mixed.hint("shuffle_hash"), "key")
 
@@ -385,9 +388,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     mixed = open_rows(wide, whole.select("node", F.col("component").alias("comp"))).select("node").distinct()
     unsettled = scratch.table(full.join(mixed.hint("merge"), "node", "left_semi"))
     able = linkable(unsettled, some, whole, percent, scratch)
-    rows, about = scratch.table(bucket_rows(fine_rows(unsettled.join(able.select("node").hint("merge"), "node", "left_semi")))), CENTRES
+    rows, news, about = scratch.table(open_rows(fine_rows(unsettled.join(able.select("node", "comp").hint("merge"), "node"))).select("node", "key")), able, CENTRES
     while True:
-        held = scratch.table(open_rows(rows, able))
+        held = scratch.table(open_rows(rows, news))
         if held.isEmpty():
             break
         told = scratch.table(with_centres(held.where(F.col("size") > SMALL), about))
@@ -397,8 +400,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         links = scratch.table(confirmed_pairs(likely_pairs(new, some, percent), full, percent))
         if not links.isEmpty():
             whole = scratch.table(merged(whole, links))
-            able = linkable(unsettled.join(able.select("node").hint("merge"), "node", "left_semi"), some, whole, percent, scratch)
-        rows, seen, about = told.where("not is_centre"), seen.unionByName(new), CENTRES * about
+            news = able = linkable(unsettled.join(able.select("node").hint("merge"), "node", "left_semi"), some, whole, percent, scratch)
+        else:
+            news = None  # the rows have what holds of their sets
+        rows, seen, about = told.where("not is_centre").drop("size", "is_centre"), seen.unionByName(new), CENTRES * about
     named = sets.select("node", "set_key", "doc", "text_key").join(whole.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min(F.struct("doc", "text_key")).alias("_least"))
     class_of = scratch.table(named.join(least.hint("merge"), "component").select("set_key", F.col("_least.doc").alias("component_id"), F.col("_least.text_key").alias("component_text")))
