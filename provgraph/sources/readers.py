@@ -144,12 +144,15 @@ ENTITIES = ["MP", "TP", "MF", "SF", "TF", "SO"]
 
 def _placed_lines(spark: SparkSession, path: str, mark: str | None = None) -> DataFrame:
     """(graph_id, k, line): the lines that aren't blank, numbered from 1 within a file, or within the part of it that a line of the
-    form ``mark`` (with a number) starts; such a part is named by file and number, and what comes before the first is left out.
+    form ``mark`` (with a number) starts; such a part is named by file and number, and what comes before the first is left out. The folder
+    ``graph_layout=...`` of ``write_graph_text`` has marks of its own, with a graph's name, and a backslash before lines that could be taken for one.
 
     A large file is read in splits. A line's number is its number within its split plus the lines of the splits before, and
     its mark the last one in its split or before it, so that what meets over splits is one row a split.
     """
     read = spark.read.text(path)
+    named = "graph_layout" in read.columns
+    mark = r"^#(.*)$" if named else mark
     name = F.col("graph_id").cast("string") if "graph_id" in read.columns else _stem()
     placed = read.select(
         name.alias("_f"), F.trim(F.regexp_replace("value", "\r", "")).alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_n")
@@ -168,7 +171,9 @@ def _placed_lines(spark: SparkSession, path: str, mark: str | None = None) -> Da
     if mark is None:
         return joined.select(F.col("_f").alias("graph_id"), at.alias("k"), "line")
     here = F.coalesce(F.when(F.col("_mark").isNotNull(), F.struct((F.col("_before") + F.col("_mark.at")).alias("at"), F.col("_mark.no").alias("no"))), F.col("_carried"))
-    return joined.withColumn("_here", here).where("_here is not null and _own is null").select(F.concat_ws("#", "_f", "_here.no").alias("graph_id"), (at - F.col("_here.at")).alias("k"), "line")
+    graph = F.url_decode("_here.no") if named else F.concat_ws("#", "_f", "_here.no")
+    line = F.regexp_replace("line", r"^\\", "") if named else F.col("line")
+    return joined.withColumn("_here", here).where("_here is not null and _own is null").select(graph.alias("graph_id"), (at - F.col("_here.at")).alias("k"), line.alias("line"))
 
 
 def _graph_blocks(blocks: DataFrame, staged: bool) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +204,7 @@ def read_graph_text(spark: SparkSession, path: str, staged: bool = False) -> tup
 
     ``staged`` adds a row for each stage of the suffix, for all four without one; stages outside 1 to 4 are ignored, and
     only verbs of two capitals count. An index without a node has a null name. A file without a number first gives no row.
-    A graph is named by its file, or by the folder ``graph_id=...`` that it lies in, as ``write_graph_text`` leaves it. Files are read in splits.
+    A graph is named by its file, or by the folder ``graph_id=...`` that it lies in, as ``write_graph_text`` leaves it; where that has put many graphs into a file, by the line before it. Files are read in splits.
     """
     return _graph_lines(_placed_lines(spark, path), staged)
 

@@ -25,6 +25,10 @@ def write_edges(edges: DataFrame, path: str, overwrite: bool = False, by: str =
     return True
 
 
+#: Most graphs that get a folder each in ``write_graph_text``.
+FOLDERS = 1000
+
+
 def _by_graph(rows: DataFrame, path: str, key: str = "graph_id") -> None:
     """One text row (key, value) a graph, in a folder ``key=...`` each."""
     rows.select(key, "value").write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
@@ -36,18 +40,28 @@ def _lines(rows: DataFrame, order: Sequence[str], line: str, key: str = "graph_i
     return rows.groupBy(key).agg(F.array_join(F.transform(sorted_lines, lambda x: x[line]), "\n").alias("lines"), F.count("*").alias("n"))
 
 
-def write_graph_text(edges: DataFrame, path: str) -> None:
+def write_graph_text(edges: DataFrame, path: str, folders: int | None = None) -> None:
     """The layout of ``read_graph_text``: N, node lines in the order of first appearance, M, edge lines by edge_id.
 
-    Edges are (graph_id, edge_id, actorID, actor_type, objectID, object, action). Line feeds in names become spaces.
+    Edges are (graph_id, edge_id, actorID, actor_type, objectID, object, action). Line feeds in names become spaces. Up to ``folders`` graphs (None: ``FOLDERS``) get a
+    folder each. More lie together in the files of one folder ``graph_layout=blocks``, each behind a line ``#`` with its name as in a URL, so that neither the writer
+    nor a reader has to list a file a graph; there a backslash goes before node names that start with ``#`` or a backslash.
     """
+    most = FOLDERS if folders is None else folders
+    blocks = edges.select("graph_id").distinct().limit(most + 1).count() > most
     nodes, ends = index_graph(edges)
     plain = lambda c: F.regexp_replace(F.col(c), r"[\r\n]+", " ")
-    listed = _lines(nodes.withColumn("line", plain("node")), ["idx"], "line").select("graph_id", F.col("lines").alias("_nodes"), F.col("n").alias("_n"))
+    name = F.regexp_replace(plain("node"), r"^ *([#\\])", r"\\$1") if blocks else plain("node")
+    listed = _lines(nodes.withColumn("line", name), ["idx"], "line").select("graph_id", F.col("lines").alias("_nodes"), F.col("n").alias("_n"))
     named = ends.join(edges.select("graph_id", "edge_id", "action"), ["graph_id", "edge_id"]).withColumn("line", F.concat_ws(" ", F.col("src_idx").cast("string"), F.col("dst_idx").cast("string"), plain("action")))
     links = _lines(named, ["edge_id"], "line")
     text = F.concat_ws("\n", F.col("_n").cast("string"), "_nodes", F.col("n").cast("string"), "lines")
-    _by_graph(listed.join(links.hint("merge"), "graph_id").select("graph_id", text.alias("value")), path)
+    rows = listed.join(links.hint("merge"), "graph_id").select("graph_id", text.alias("value"))
+    if blocks:
+        marked = F.concat_ws("\n", F.concat(F.lit("#"), F.url_encode(F.col("graph_id").cast("string"))), "value")
+        _by_graph(rows.select(F.lit("blocks").alias("graph_layout"), marked.alias("value")), path, "graph_layout")
+    else:
+        _by_graph(rows, path)
 
 
 def bundles(samples: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

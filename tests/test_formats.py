@@ -189,3 +189,22 @@ def test_graph_text_written_and_read(spark, tmp_path):
     K.write_graph_text(spark.createDataFrame(rows, EDGES), str(tmp_path / "out"))
     nodes, edges = S.read_graph_text(spark, str(tmp_path / "out"))
     assert _rows(edges.select("graph_id", "edge_idx", "src", "dst", "verb")) == sorted((g, i, s, d, v) for g, i, s, _, d, _, v in rows) and nodes.count() == 10
+
+
+def test_graph_text_many_graphs_a_file(spark, tmp_path):
+    """Beyond ``folders`` graphs share files and come back whole, whatever they and their nodes are called, and wherever a split falls."""
+    names = ["007", "1e5", "a b", "#3", "50%+x/y", "\\\\", "é"]
+    rows = [(g, i, f"{mark}n{i % 5}", "process", f"#n{i % 3}", "file", "read") for g in names for i in range(9) for mark in ("#", " #", "\\", "2 2 ")[i % 4 : i % 4 + 1]]
+    K.write_graph_text(spark.createDataFrame(rows, EDGES), str(tmp_path / "out"), folders=len(names) - 1)
+    assert [p.name for p in tmp_path.joinpath("out").iterdir() if p.is_dir()] == ["graph_layout=blocks"]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (before, "100"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            nodes, edges = S.read_graph_text(spark, str(tmp_path / "out"))
+            assert _rows(edges.select("graph_id", "edge_idx", "src", "dst", "verb")) == sorted((g, i, s.strip(), d, v) for g, i, s, _, d, _, v in rows)
+            assert _rows(nodes.groupBy("graph_id").count()) == sorted((g, len({x for r in rows if r[0] == g for x in (r[2], r[4])})) for g in names)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    K.write_graph_text(spark.createDataFrame(rows, EDGES), str(tmp_path / "each"), folders=len(names))
+    assert len([p for p in tmp_path.joinpath("each").iterdir() if p.is_dir()]) == len(names)
